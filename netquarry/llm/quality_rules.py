@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize, text_or_empty
 
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]"
 
 _RATIO_GRID = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02)
 
@@ -50,67 +49,102 @@ class RuleSettings:
     )
 
 
-def _removed(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count_of(text: Column, kind: str) -> Column:
+    """Characters of a regex class (``translate`` would take many times as long)."""
+    return F.length(text) - F.length(F.regexp_replace(text, kind, ""))
 
 
-def _repeated_positions(grams: Column, n: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more; equal windows are neighbours once sorted."""
-    pairs = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+def _covered(starts: Column) -> Column:
+    """Number of positions in 3-word windows at ``starts`` (sorted, distinct)."""
+    return F.aggregate(
+        starts,
+        F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
+        lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")),
+        lambda acc: acc["n"],
+    )
+
+
+def _bind(value: Column, use) -> Column:
+    """``use`` sees ``value`` as a lambda variable, so it is computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _repeated_by_text(w: Column) -> Column:
+    """Words in repeated windows, by sorting the windows' texts: the plain way, slower."""
+    n = F.size(w)
+    grams = F.transform(
+        F.slice(w, 1, F.greatest(n - 2, F.lit(0))),
+        lambda x, i: F.struct(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")),
+    )
 
     def covered(s: Column) -> Column:
-        size = F.size(s)
         hits = F.filter(
             s,
-            lambda x, k: ((k > 0) & (F.get(s, k - 1)["g"] == x["g"])) | ((k < size - 1) & (F.get(s, k + 1)["g"] == x["g"])),
+            lambda x, k: ((k > 0) & (F.get(s, k - 1)["g"] == x["g"])) | ((k < F.size(s) - 1) & (F.get(s, k + 1)["g"] == x["g"])),
         )
-        starts = F.array_sort(F.transform(hits, lambda x: x["i"]))
-        # A window adds 3 positions, less those that the window before it (in order) already has.
-        return F.aggregate(
-            starts,
-            F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
-            lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")),
-            lambda acc: acc["n"],
+        return _covered(F.sort_array(F.transform(hits, lambda x: x["i"])))
+
+    return _bind(F.sort_array(grams), covered)
+
+
+_PLACE_BITS = 24
+
+
+def _repeated_words(w: Column) -> Column:
+    """Words inside 3-word windows that occur twice or more.
+
+    Windows sort as longs (hash above, place below), so equal ones are neighbours. Every
+    pair of neighbours is compared word by word; a text where two different windows share
+    a hash, or of 2**24 words, takes the plain way.
+    """
+    n = F.size(w)
+    packed = F.sort_array(F.transform(
+        F.slice(w, 1, F.greatest(n - 2, F.lit(0))),
+        lambda x, i: F.shiftleft(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), _PLACE_BITS).bitwiseOR(i.cast("long")),
+    ))
+    place = F.lit((1 << _PLACE_BITS) - 1).cast("long")
+
+    def from_packed(s: Column) -> Column:
+        twins = F.filter(
+            F.transform(s, lambda x, k: _bind(F.get(s, k + 1), lambda y: F.when(
+                F.shiftright(x, _PLACE_BITS) == F.shiftright(y, _PLACE_BITS),
+                F.struct(x.bitwiseAND(place).cast("int").alias("a"), y.bitwiseAND(place).cast("int").alias("b")),
+            ))),
+            lambda p: p.isNotNull(),
         )
 
-    # one pass through a one-element array binds the sorted pairs once
-    return F.when(n < 4, F.lit(0)).otherwise(F.get(F.transform(F.array(pairs), covered), F.lit(0)))
+        def from_twins(pairs: Column) -> Column:
+            same = F.forall(pairs, lambda p: (
+                (F.get(w, p["a"]) == F.get(w, p["b"])) & (F.get(w, p["a"] + 1) == F.get(w, p["b"] + 1)) & (F.get(w, p["a"] + 2) == F.get(w, p["b"] + 2))
+            ))
+            starts = F.sort_array(F.array_distinct(F.concat(F.transform(pairs, lambda p: p["a"]), F.transform(pairs, lambda p: p["b"]))))
+            return F.when(F.size(pairs) == 0, F.lit(0)).when(same, _covered(starts)).otherwise(_repeated_by_text(w))
+
+        return _bind(twins, from_twins)
+
+    return F.when(n < 4, F.lit(0)).when(n >= 1 << _PLACE_BITS, _repeated_by_text(w)).otherwise(_bind(packed, from_packed))
 
 
 def base_features(df: DataFrame, text: str = "text") -> Column:
     """Struct of the base counts of one text (longs)."""
     t = text_or_empty(text)
 
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
     def from_words(w: Column) -> Column:
         n = F.size(w)
-        grams = F.transform(
-            F.slice(w, 1, F.greatest(n - 2, F.lit(0))),
-            lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)),
-        )
-
-        def from_grams(g: Column) -> Column:
-            return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(_repeated_positions(g, n))
-
-        return F.struct(
+        return _bind(lines, lambda ls: F.struct(
             n.cast("long").alias("n_words"),
-            F.get(F.transform(F.array(grams), from_grams), F.lit(0)).cast("long").alias("n_repeat_words"),
-        )
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            _count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
+            (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+            _repeated_words(w).cast("long").alias("n_repeat_words"),
+            F.size(ls).cast("long").alias("n_lines"),
+            _count_of(t, "[!?]").cast("long").alias("n_exclaim"),
+            _count_of(t, "[A-Z]+").cast("long").alias("n_upper"),
+        ))
 
-    def from_lines(lines: Column) -> Column:
-        return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
-
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    counted = F.get(F.transform(F.array(F.regexp_extract_all(t, F.lit(WORD), F.lit(0))), from_words), F.lit(0))
-    return F.struct(
-        counted["n_words"].alias("n_words"),
-        F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
-        _removed(t, SYMBOLS).cast("long").alias("n_symbols"),
-        F.get(F.transform(F.array(lines), from_lines), F.lit(0)).alias("n_dup_lines"),
-        counted["n_repeat_words"].alias("n_repeat_words"),
-        F.size(lines).cast("long").alias("n_lines"),
-        _removed(t, "!?").cast("long").alias("n_exclaim"),
-        _removed(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
-    )
+    return _bind(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), from_words)
 
 
 def _ratios(f: Column) -> dict[str, Column]:
@@ -141,7 +175,7 @@ def _log_factorial(n: Column) -> Column:
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
     """Exact ``P(Bin(n, p) <= k)`` for k below n*p (1.0 above): the largest term is in closed
     form, and the terms below it shrink by a known ratio, so they are folded until they vanish."""
-    head = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * F.lit(p).cast("double") * 0
+    head = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
     head = head + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
     odds = (1 - p) / p
     # terms beyond 12 standard deviations below the mean are under 1e-30 of the tail
@@ -215,7 +249,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", tex
     over = reduce(lambda a, b: a | b, [F.coalesce(ratios[r] > F.col(f"__cut_{r}"), F.lit(False)) for r in settings.grids])
     failed = base_failed(F.col("__f"))
     if keep_columns:
-        return joined.where(~failed & ~over).select(*[F.col(f"`{c}`") for c in docs.columns])
+        # one undivided expression over both sides: pushed below the join, the counts would be made twice
+        verdict = F.when(failed, F.lit(1)).when(over, F.lit(2)).otherwise(F.lit(0))
+        return joined.where(verdict == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
     f = F.col("__f")
     return joined.select(
         "doc_id", *[f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
