@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .near_dedup import near_dedup
 from .quality_rules import quality_rules
+from .secret_scan import secret_spans
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(read_table(spark, sf_dir, "documents"))
+
+
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read_table(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op4_minhash_dedup": op4_minhash_dedup,
+    "op9_quality_rules": op9_quality_rules,
+}
 ORACLE_SQL: dict[str, str] = {}
