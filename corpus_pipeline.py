@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from netquarry.llm.common import materialize, read_table
+from netquarry.llm.mixing import mix_documents
+from netquarry.llm.near_dedup import keep_first
+from netquarry.llm.packing import pack
 from netquarry.llm.quality_rules import quality_rules
+from netquarry.llm.secret_scan import redact_secrets
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +17,33 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, read_table(spark, sf_dir, "labels"), keep_columns=True)
 
 
-STAGES = [("quality rules", rules_stage)]
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return keep_first(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mark."""
+    return redact_secrets(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the proportions of the mix, a row for every time one is taken."""
+    return mix_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences with their token ids."""
+    return pack(docs, with_ids=True)
+
+
+STAGES = [
+    ("quality rules", rules_stage),
+    ("minhash near-dedup", dedup_stage),
+    ("secret scan", secrets_stage),
+    ("source mixing", mixing_stage),
+    ("binary packing", packing_stage),
+]
 
 #: Token ids, hashed darts and trained models are beyond SQL; tests/llm holds every stage against brute force.
 ORACLE_SQL = None

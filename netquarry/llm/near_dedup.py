@@ -111,7 +111,7 @@ def dart_signatures(elements: np.ndarray, rows: np.ndarray, n_rows: int, coordin
             if not len(hit):
                 break
             seed, u, r, cell, top = seed[hit], u[hit], r[hit], cell[hit], top[hit]
-            dart = mix64(seed + np.uint64(n + 1) * np.uint64(0x9E3779B97F4A7C15))
+            dart = mix64(seed + np.uint64((n + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
             time = low + (cell + (dart & np.uint64(0xFFFFFFFF)) * 2.0**-32) * (width / cells)
             spot = ((dart >> np.uint64(32)) * np.uint64(coordinates)) >> np.uint64(32)
             kept = slice(None)

@@ -5,26 +5,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .mixing import MixSettings, mix_plan
 from .near_dedup import near_dedup
+from .packing import pack
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
+from .token_lengths import token_lengths
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(read_table(spark, sf_dir, "documents"))
 
 
+def op2_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_lengths(read_table(spark, sf_dir, "documents"))
+
+
+_SEED = MixSettings().seed
+
+OP6_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('{_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS n,
+         [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
+  FROM d GROUP BY source),
+f AS (
+  SELECT *, 1.5 * sum(n) OVER () AS total, 2 * n AS cap FROM s WHERE n > 0),
+o AS (
+  SELECT *, total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_total,
+         sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w,
+         row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS k
+  FROM f),
+stop AS (SELECT min(k) AS k0 FROM o WHERE rest_total * w / rest_w < cap),
+lam AS (SELECT rest_total AS rt, rest_w AS rw FROM o, stop WHERE k = k0),
+t AS (
+  SELECT o.source, o.n, CASE WHEN k0 IS NULL OR k < k0 THEN cap ELSE rt * w / rw END AS target
+  FROM o CROSS JOIN stop LEFT JOIN lam ON true
+  UNION ALL SELECT source, n, 0.0 FROM s WHERE n = 0),
+p AS (
+  SELECT *, CASE WHEN n > 0 THEN floor(floor(target + 0.5) / n) ELSE 0 END AS passes,
+         CASE WHEN n > 0 THEN floor(target + 0.5) - n * floor(floor(target + 0.5) / n) ELSE 0 END AS rest FROM t),
+c AS (
+  SELECT d.*, p.n, p.target, p.passes, p.rest,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, target,
+       CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken
+FROM c
+"""
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_binary_packing": op2_binary_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op6_mix_sources": op6_mix_sources,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_lengths": op10_token_lengths,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL}
