@@ -8,6 +8,7 @@ from .common import read_table
 from .mixing import MixSettings, mix_plan
 from .near_dedup import near_dedup
 from .packing import pack
+from .personal_data import personal_data
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
 from .token_lengths import token_lengths
@@ -29,6 +30,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read_table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op2_binary_packing": op2_binary_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op6_mix_sources": op6_mix_sources,
+    "op7_personal_data": op7_personal_data,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_lengths": op10_token_lengths,
 }
