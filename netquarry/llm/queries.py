@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .hmm_lm import hmm_scores
 from .mixing import MixSettings, mix_plan
 from .near_dedup import near_dedup
 from .packing import pack
@@ -26,6 +27,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op5_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read_table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_binary_packing": op2_binary_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_hmm_scores": op5_hmm_scores,
     "op6_mix_sources": op6_mix_sources,
     "op7_personal_data": op7_personal_data,
     "op9_quality_rules": op9_quality_rules,
