@@ -133,7 +133,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _power_table(len(raw) + 1)
-    letters = mix64(np.arange(256, dtype=np.uint64) + np.uint64(seed * 1000 + 1) * np.uint64(_ODD))
+    letters = mix64(np.arange(256, dtype=np.uint64) + np.uint64((seed * 1000 + 1) * _ODD & 0xFFFFFFFFFFFFFFFF))
     prefix = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(letters[raw] * up[: len(raw)], out=prefix[1:])
     return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))

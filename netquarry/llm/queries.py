@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .attention_quality import quality_scores
 from .common import read_table
 from .hmm_lm import hmm_scores
 from .mixing import MixSettings, mix_plan
 from .near_dedup import near_dedup
 from .packing import pack
 from .personal_data import personal_data
+from .projected_search import nearest
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
 from .token_lengths import token_lengths
@@ -23,6 +25,10 @@ def op2_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op3_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +45,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(read_table(spark, sf_dir, "documents"))
 
 
+def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -86,10 +96,12 @@ FROM c
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_binary_packing": op2_binary_packing,
+    "op3_projected_neighbours": op3_projected_neighbours,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_hmm_scores": op5_hmm_scores,
     "op6_mix_sources": op6_mix_sources,
     "op7_personal_data": op7_personal_data,
+    "op8_attention_quality": op8_attention_quality,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_lengths": op10_token_lengths,
 }
