@@ -7,10 +7,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.rules import all_alerts
-from .plans import traffic
+from .plans import knowledge, live, records, traffic
 from .sources.packets import packets_from_events, table
 
-_PLANS = (traffic,)
+_PLANS = (traffic, records, knowledge, live)
 
 
 def queries() -> dict:
