@@ -110,7 +110,7 @@ def rerank(hits: DataFrame, cores: DataFrame) -> DataFrame:
     t = count(F.col("title"))
     score = base * 0.45 + t / n * 0.25 + count(F.col("content")) / n * 0.15 + count(F.col("meta")) / n * 0.05
     bonus = F.when((t >= 2) | ((t >= 1) & (F.length("title") <= 20)), 0.10).otherwise(0.0)
-    return rows.select("query_id", "chunk_id", F.round(score + bonus + 1e-9, 4).alias("rerank_score")  # halves go up however the sum was added)
+    return rows.select("query_id", "chunk_id", F.round(score + bonus + 1e-9, 4).alias("rerank_score"))  # halves go up however the sum was added
 
 
 def recall_at(found: DataFrame, relevant: Column, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
