@@ -8,10 +8,12 @@ two texts agree in a coordinate with probability equal to their weighted Jaccard
 similarity. Texts whose bands agree are candidates; links are verified on the whole shingle
 sets, so banding decides speed and recall only.
 
-No bucket is expanded into all its pairs: a bucket's members are held against a leader,
-linked texts are contracted to components, and only members of different components are
-held against each other after that. Buckets that a second leader leaves apart are settled
-pair by pair, in blocks, so no link is lost to the short cut.
+No bucket is expanded into all its pairs. Every candidate carries a bitmap in which each
+shingle flips one bit, so the bits in which two bitmaps differ are at most the shingles in
+which the texts differ: pairs that this rules out are never made, and none that is a link is
+lost by it. A bucket's members are held against a leader, linked texts are contracted to
+components, and after a second leader only members of different components that the
+bitmaps still allow are held against each other.
 
 Defined cases: a text of one to four words is one shingle; null, empty and blank texts have
 no shingles and stand alone; texts with equal word sequences are one text; the class id is
@@ -22,10 +24,11 @@ returned; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, slices, text_buffer, text_or_empty, word_hashes, words
@@ -34,6 +37,8 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 
+BITMAP = 1024
+
 _BASE_SLAB = 0.125
 
 
@@ -164,7 +169,11 @@ def _set_maker(size: int):
             element, row, _, _ = shingles(*text_buffer(part.column(1)), size)
             ends = np.searchsorted(row, np.arange(part.num_rows + 1))
             blobs = [element[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["node", "shingles"])
+            flips = np.zeros((part.num_rows, BITMAP), np.uint8)
+            np.bitwise_xor.at(flips, (row, (element % np.uint64(BITMAP)).astype(np.int64)), 1)
+            maps = np.packbits(flips, axis=1).view(np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * maps.shape[1], pa.int32()), pa.array(maps.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), listed, pa.array(blobs, pa.binary())], names=["node", "n", "map", "shingles"])
 
     return sets
 
@@ -226,16 +235,19 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thre
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = materialize(buckets.join(shared, "key"), "buckets")
     shapes = _candidate_sets(texts, buckets, given, size)
-    links = _checked(_leader_pairs(buckets.withColumn("component", F.col("node")), 0), shapes, threshold)
-    links = materialize(links, "links")
-    found = components(links)
-    # Buckets that still join different components: one more leader, then every pair that is left.
-    apart = _apart(buckets, found)
-    links = materialize(links.unionByName(_checked(_leader_pairs(apart, 1), shapes, threshold)), "links")
+    buckets = materialize(buckets.join(shapes.select("node", "n", "map"), "node").select("key", "node", "n", "map"), "buckets")
+    # a leader, another one, then every pair of different components that the bitmaps allow
+    links = materialize(_checked(_leader_pairs(buckets.withColumn("component", F.col("node")), 0, threshold), shapes, threshold), "links")
     found = components(links)
     apart = _apart(buckets, found)
-    left = apart.join(apart.select("key", F.col("node").alias("v"), F.col("component").alias("other")), "key")
-    pairs = left.where("component < other").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+    more = materialize(_checked(_leader_pairs(apart, 1, threshold), shapes, threshold), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = components(links)
+        apart = _apart(buckets, found)
+    x, y = (apart.select("key", *[F.col(c).alias(f"{c}_{side}") for c in _MEMBER]) for side in "xy")
+    joined = x.join(y, (x["key"] == y["key"]) & (x["component_x"] < y["component_y"]) & _possible("x", "y", threshold))
+    pairs = joined.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct()
     more = materialize(_checked(pairs, shapes, threshold), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
@@ -253,22 +265,34 @@ def _candidate_sets(texts: DataFrame, buckets: DataFrame, given: DataFrame, size
     wanted = texts.join(buckets.select("node").distinct(), "node").select("node", "first.doc_id", "first.t")
     same = given["doc_id"].eqNullSafe(wanted["doc_id"]) & (given["t"] == wanted["t"])
     found = given.join(wanted, same).select(wanted["node"], wanted["t"], "text").dropDuplicates(["node", "t"])
-    return materialize(found.select("node", "text").mapInArrow(_set_maker(size), "node long, shingles binary"), "shingle-sets")
+    return materialize(found.select("node", "text").mapInArrow(_set_maker(size), "node long, n long, map array<long>, shingles binary"), "shingle-sets")
 
 
 def _apart(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of the buckets that hold more than one component."""
-    known = buckets.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    known = buckets.join(found, "node", "left").select("key", "node", "n", "map", F.coalesce("component", "node").alias("component"))
     mixed = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     return materialize(known.join(mixed, "key"), "apart")
 
 
-def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Each member with its bucket's leader, where they are not of one component yet."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("node"), F.col("component").alias("component"))
-    leaders = members.groupBy("key").agg(F.min(order).alias("leader"))
-    joined = members.join(leaders, "key").where(F.col("component") != F.col("leader.component"))
-    return joined.select(F.least("node", "leader.node").alias("u"), F.greatest("node", "leader.node").alias("v")).distinct()
+_MEMBER = ("node", "n", "map", "component")
+
+
+def _possible(x: str, y: str, threshold: float) -> Column:
+    """If two texts may reach the threshold: they differ in as many shingles as bits at least."""
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.get(f"map_{x}", F.lit(i)).bitwiseXOR(F.get(f"map_{y}", F.lit(i)))) for i in range(BITMAP // 64)])
+    return apart <= (F.col(f"n_{x}") + F.col(f"n_{y}")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9
+
+
+def _leader_pairs(members: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """Each member with its bucket's leader, where they are not of one component yet and a link is possible."""
+    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), *[F.col(c).alias(c) for c in _MEMBER])
+    leaders = members.groupBy("key").agg(F.min(order).alias("leader")).select(
+        F.col("key").alias("leader_key"), *[F.col(f"leader.{c}").alias(f"{c}_y") for c in _MEMBER]
+    )
+    x = members.select("key", *[F.col(c).alias(f"{c}_x") for c in _MEMBER])
+    joined = x.join(leaders, (F.col("key") == F.col("leader_key")) & (F.col("component_x") != F.col("component_y")) & _possible("x", "y", threshold))
+    return joined.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct()
 
 
 def _checked(pairs: DataFrame, shapes: DataFrame, threshold: float) -> DataFrame:
