@@ -3,8 +3,9 @@
 Two character Markov models, one of random strings and one of ordinary identifiers, score
 every long token by the log-likelihood ratio of its transitions. Both are trained from
 samples labelled by the corpus itself: values that the patterns find are random, other long
-tokens are ordinary. Both models back off to a uniform choice of the next character, the
-random one strongly (chance has no favourites), the ordinary one weakly.
+tokens are ordinary. The random model backs off to a uniform choice of the next character
+(chance has no favourites), the ordinary one to how often ordinary tokens use a character,
+so a secret without a label that counted as ordinary doesn't vouch for itself.
 
 Spans count code points, end exclusive. Kinds, in the order that breaks ties: assign,
 access, hex, markov. An added span never touches a base span.
@@ -39,7 +40,7 @@ class SecretSettings:
     min_token: int = 16
     min_ratio: float = 12.0
     random_prior: float = 200.0
-    ordinary_prior: float = 2.0
+    ordinary_prior: float = 500.0
 
 
 def _bind(value: Column, use) -> Column:
@@ -118,13 +119,15 @@ def train_models(found: DataFrame, scan: str, settings: SecretSettings) -> DataF
     pairs = steps.select("random", (_position(F.col("token"), F.col("at") - 1) * STATES + _position(F.col("token"), F.col("at"))).alias("pair"))
     counts = pairs.groupBy("pair").agg(F.sum("random").alias("r"), F.sum(1 - F.col("random")).alias("o"))
     spark = found.sparkSession
-    grid = spark.range(STATES * STATES).select(F.col("id").cast("int").alias("pair"), F.floor(F.col("id") / STATES).cast("int").alias("row"))
-    full = grid.join(counts, "pair", "left").select("pair", "row", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o"))
+    grid = spark.range(STATES * STATES).select(F.col("id").cast("int").alias("pair"), F.floor(F.col("id") / STATES).cast("int").alias("row"), (F.col("id") % STATES).cast("int").alias("next"))
+    full = grid.join(counts, "pair", "left").select("pair", "row", "next", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o"))
     totals = full.groupBy("row").agg(F.sum("r").alias("rt"), F.sum("o").alias("ot"))
+    single = full.groupBy("next").agg(F.sum("o").alias("on")).crossJoin(F.broadcast(full.agg(F.sum("o").alias("all"))))  # one row
+    single = single.select("next", ((F.col("on") + 0.5) / (F.col("all") + 0.5 * STATES)).alias("share"))
     rp, op = settings.random_prior, settings.ordinary_prior
-    known = full.join(totals, "row").select(
+    known = full.join(totals, "row").join(single, "next").select(
         "pair", "r", "o",
-        (F.log((F.col("r") + rp / STATES) / (F.col("rt") + rp)) - F.log((F.col("o") + op / STATES) / (F.col("ot") + op))).alias("x"),
+        (F.log((F.col("r") + rp / STATES) / (F.col("rt") + rp)) - F.log((F.col("o") + op * F.col("share")) / (F.col("ot") + op))).alias("x"),
     )
     return known.agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pair", "x"))), lambda p: p["x"]).alias("x"), F.sum("r").alias("r"), F.sum("o").alias("o")
