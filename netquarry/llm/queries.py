@@ -12,7 +12,7 @@ from .near_dedup import near_dedup
 from .packing import pack
 from .personal_data import personal_data
 from .projected_search import nearest
-from .quality_rules import quality_rules
+from .quality_rules import RuleSettings, quality_rules
 from .secret_scan import secret_spans
 from .token_lengths import token_lengths
 
@@ -93,6 +93,45 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, t
 FROM c
 """
 
+_RULES = RuleSettings()
+_RATIO = {
+    "symbol_ratio": "n_symbols / greatest(word_chars, 1)", "exclaim_ratio": "n_exclaim / greatest(word_chars, 1)", "upper_ratio": "n_upper / greatest(word_chars, 1)",
+    "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)", "repeat_ratio": "n_repeat_words / greatest(n_words, 1)", "mean_word": "word_chars / greatest(n_words, 1)",
+}
+_POINTS = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, grid in _RULES.grids.items() for i, c in enumerate(grid))
+_LONG = " UNION ALL ".join(f"SELECT rid, s, '{r}' AS rule, ({x})::DOUBLE AS v, base_failed FROM f" for r, x in _RATIO.items())
+_SHARE, _GRIDS = _RULES.alpha / len(_RULES.grids), len(_RULES.grids)
+
+OP9_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang AS s, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) > 2)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1),
+cover AS (SELECT rid, count(DISTINCT i + j) AS n FROM twice, (VALUES (0), (1), (2)) x(j) GROUP BY 1),
+l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+f AS (
+  SELECT rid, doc_id, s, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+         length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_exclaim, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
+         len(w) < 50 OR 100 * coalesce(cover.n, 0) > 50 * len(w) AS base_failed
+  FROM d JOIN l USING (rid) LEFT JOIN cover USING (rid)),
+ratios AS ({_LONG}),
+good AS (SELECT f.rid FROM f JOIN (SELECT doc_id FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id)),
+strata AS (SELECT s, count(*) AS n FROM f JOIN good USING (rid) GROUP BY s),
+points(rule, step, cutoff) AS (VALUES {_POINTS}),
+tests AS (
+  SELECT strata.s, strata.n, p.rule, p.step, p.cutoff, count(*) FILTER (r.v > p.cutoff AND NOT r.base_failed) AS k
+  FROM points p JOIN ratios r ON p.rule = r.rule JOIN good USING (rid) JOIN strata ON strata.s IS NOT DISTINCT FROM r.s GROUP BY ALL),
+tails AS (
+  SELECT *, CASE WHEN k >= n * {_SHARE}::DOUBLE THEN 1 ELSE list_sum(list_transform(generate_series(0, k), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}::DOUBLE) + (n - i) * ln(1 - {_SHARE}::DOUBLE)))) END AS p
+  FROM tests),
+stops AS (SELECT s, rule, min(CASE WHEN p > {_RULES.delta}::DOUBLE / ({_GRIDS} * (SELECT count(*) FROM strata)) THEN step END) AS stop, max(step) + 1 AS steps FROM tails GROUP BY 1, 2),
+cuts AS (SELECT stops.s, stops.rule, cutoff FROM stops JOIN points ON points.rule = stops.rule AND points.step = coalesce(stop, steps) - 1),
+over AS (SELECT DISTINCT r.rid FROM ratios r JOIN cuts c ON c.rule = r.rule AND c.s IS NOT DISTINCT FROM r.s WHERE r.v > c.cutoff)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM over) AS kept FROM f
+"""
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_binary_packing": op2_binary_packing,
@@ -105,4 +144,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_lengths": op10_token_lengths,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op9_quality_rules": OP9_SQL}
