@@ -32,7 +32,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, text_or_empty
@@ -84,6 +84,19 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(_word_counter, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    """The words whose count is above the least that lets ``most`` of them at most through, most frequent first.
+
+    The limit comes from how many words have each count, so no task sends its own top words.
+    """
+    steps = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    steps = steps.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("c"))))  # a row per distinct count
+    least = steps.where(F.col("upto") <= most).agg(F.min("c")).first()[0]
+    if least is None:
+        return []
+    return sorted(counts.where(F.col("c") >= least).collect(), key=lambda r: (-r.c, r.word))
+
+
 def _suffix_class(word: bytes, classes: int) -> int:
     return zlib.crc32(word[-3:]) % classes
 
@@ -315,7 +328,7 @@ def hmm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sett
     )
     counts = materialize(word_counts(given.where("not held_out")), "word-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    local = counts.orderBy(F.desc("c"), "word").limit(settings.local_words).collect()  # at most local_words rows
+    local = _most_frequent(counts, settings.local_words)
     own = min(settings.own_words, len(local))
     g = settings.suffix_classes
     top = spark.createDataFrame([(r.word,) for r in local[:own]], "word string")

@@ -116,9 +116,9 @@ _SPELLED = re.compile(
 )
 _AT = re.compile(r"\s{0,3}[(\[{<]\s{0,3}(?i:at|@)\s{0,3}[)\]}>]\s{0,3}")
 _DOT = re.compile(rf"\s{{0,3}}[(\[{{<]\s{{0,3}}(?i:{_POINT}|\.)\s{{0,3}}[)\]}}>]\s{{0,3}}")
-# spaces around a bare "at" or "dot" are read as an address only where both are spelled
-_BARE = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}(\s(?i:at)\s|@)[A-Za-z0-9-]{{1,63}}((?:\s(?i:{_POINT})\s[A-Za-z0-9-]{{1,63}}){{1,8}})(?![^\W_])")
-_BARE_DOT = re.compile(rf"\s(?i:{_POINT})\s")
+# a bare "at" is read as part of an address only before a bare "dot" (other words for it are common words too)
+_BARE = re.compile(r"[A-Za-z0-9._%+-]{1,64}(\s(?i:at)\s|@)[A-Za-z0-9-]{1,63}((?:\s(?i:dot)\s[A-Za-z0-9-]{1,63}){1,8})(?![^\W_])")
+_BARE_DOT = re.compile(r"\s(?i:dot)\s")
 _BRACKET = re.compile(r"[(\[{<]\s{0,3}(?:[aA][tT]|@|\.)\s{0,3}[)\]}>]")
 _POINTS = tuple(_POINT.split("|"))
 _SPOKEN = {w + end for w in (*_VALUE, *_POINTS, "plus", "dash", "hyphen", *"0123456789") for end in ("", ",", ".", "-")}

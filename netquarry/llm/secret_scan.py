@@ -117,7 +117,7 @@ def train_models(found: DataFrame, scan: str, settings: SecretSettings) -> DataF
     ).select("s.random", "s.token")
     steps = tokens.select("random", "token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("at"))
     pairs = steps.select("random", (_position(F.col("token"), F.col("at") - 1) * STATES + _position(F.col("token"), F.col("at"))).alias("pair"))
-    counts = pairs.groupBy("pair").agg(F.sum("random").alias("r"), F.sum(1 - F.col("random")).alias("o"))
+    counts = materialize(pairs.groupBy("pair").agg(F.sum("random").alias("r"), F.sum(1 - F.col("random")).alias("o")), "transitions")
     spark = found.sparkSession
     grid = spark.range(STATES * STATES).select(F.col("id").cast("int").alias("pair"), F.floor(F.col("id") / STATES).cast("int").alias("row"), (F.col("id") % STATES).cast("int").alias("next"))
     full = grid.join(counts, "pair", "left").select("pair", "row", "next", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o"))
@@ -182,13 +182,13 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]",
         ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))),
     )
-    clean = F.when(F.size("__spans") > 0, rebuilt).otherwise(F.col(text))
+    rows = rows.withColumn("__clean", F.when(F.size("__spans") > 0, rebuilt).otherwise(F.col(text)))
     columns = []
     for c in docs.columns:
         if c == text:
-            columns.append(clean.alias(c))
+            columns.append(F.col("__clean").alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.size("__spans") > 0, F.length(clean).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            columns.append(F.when(F.size("__spans") > 0, F.length("__clean").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             columns.append(F.col(f"`{c}`"))
     return rows.select(*columns)
