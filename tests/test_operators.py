@@ -168,3 +168,15 @@ def test_online_stream_equals_batch_fold(spark, tmp_path):
 
 def test_stream_windows_have_rows(spark):
     assert stream_windows(spark, "/root/testdata/sf0.001").count() > 100
+
+
+def test_scalars_and_consensus(spark):
+    from netquarry.functions import scalars
+    from netquarry.operators import consensus
+
+    rows = spark.createDataFrame([(500, 59.94, "10.0.0.1"), (2048, 90.0, "172.31.0.1"), (5 * 1024**2, 7200.0, "8.8.8.8"), (3 * 1024**3, 1.0, "1.2.3.256")], "n long, s double, ip string")
+    got = rows.select(scalars.byte_size(F.col("n")).alias("n"), scalars.duration(F.col("s")).alias("s"), scalars.is_private_ipv4(F.col("ip")).alias("p")).collect()
+    assert [tuple(r) for r in got] == [("500 B", "59.9s", True), ("2.0 KB", "1.5min", True), ("5.0 MB", "2.00h", False), ("3.00 GB", "1.0s", False)]
+    v = spark.createDataFrame([("attack", 0, 0, False, 0.9), ("attack", 3, 0, True, 0.7), ("unknown", 0, 0, None, None)], "v string, a int, c int, f boolean, p double")
+    out = consensus.consensus(v, F.col("v"), F.col("a"), F.col("c"), F.col("f"), F.col("p")).collect()
+    assert [(r.consensus, r.contradictions, r.needs_review) for r in out] == [("normal", 1, True), ("attack", 0, False), ("normal", 0, False)]
