@@ -27,6 +27,9 @@ from .common import WORD, materialize, text_or_empty
 
 SYMBOLS = "[#*$%&|<>]"
 
+#: Strata (rows under 200 bytes) up to which their cutoffs are broadcast.
+FEW_STRATA = 10_000
+
 _RATIO_GRID = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02)
 
 
@@ -242,8 +245,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", tex
         rows = docs.withColumns({"__s": F.col(stratum).cast("string"), "__f": base_features(docs, text)})
     else:
         rows = narrow
-    # one row per stratum; strata are values of a label column, and past the limit of the
-    # session's broadcast threshold Spark joins them by shuffle
+    # a row per stratum: broadcast while there are few, so that no text is dealt by stratum
+    cuts = materialize(cuts, "cutoffs")
+    if cuts.count() <= FEW_STRATA:
+        cuts = F.broadcast(cuts)
     joined = rows.join(cuts, F.col("__s").eqNullSafe(F.col("__stratum")), "left")
     ratios = _ratios(F.col("__f"))
     over = reduce(lambda a, b: a | b, [F.coalesce(ratios[r] > F.col(f"__cut_{r}"), F.lit(False)) for r in settings.grids])
