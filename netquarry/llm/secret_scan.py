@@ -3,7 +3,8 @@
 Two character Markov models, one of random strings and one of ordinary identifiers, score
 every long token by the log-likelihood ratio of its transitions. Both are trained from
 samples labelled by the corpus itself: values that the patterns find are random, other long
-tokens are ordinary. The random model backs off to a uniform choice of the next character
+tokens are ordinary. A token counts once, however often it or its document is copied, so
+copies of a bare secret don't teach the ordinary model. The random model backs off to a uniform choice of the next character
 (chance has no favourites), the ordinary one to how often ordinary tokens use a character,
 so a secret without a label that counted as ordinary doesn't vouch for itself.
 
@@ -106,7 +107,7 @@ def _position(token: Column, at: Column) -> Column:
 def train_models(found: DataFrame, scan: str, settings: SecretSettings) -> DataFrame:
     """One row: ``ratio``, array of ln P_random - ln P_ordinary for every pair of states.
 
-    Transitions are counted with map-side sums; what is gathered is one row per pair of
+    Distinct tokens and then transitions are counted with map-side sums; what is gathered is one row per pair of
     states and label, whatever the input's size.
     """
     tokens = found.select(
@@ -114,7 +115,7 @@ def train_models(found: DataFrame, scan: str, settings: SecretSettings) -> DataF
             F.transform(F.col(scan)["secrets"], lambda v: F.struct(F.lit(1).alias("random"), v.alias("token"))),
             F.transform(F.col(scan)["others"], lambda x: F.struct(F.lit(0).alias("random"), x["value"].alias("token"))),
         )).alias("s")
-    ).select("s.random", "s.token")
+    ).select("s.random", "s.token").distinct()
     steps = tokens.select("random", "token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("at"))
     pairs = steps.select("random", (_position(F.col("token"), F.col("at") - 1) * STATES + _position(F.col("token"), F.col("at"))).alias("pair"))
     counts = materialize(pairs.groupBy("pair").agg(F.sum("random").alias("r"), F.sum(1 - F.col("random")).alias("o")), "transitions")

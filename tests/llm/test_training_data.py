@@ -197,6 +197,19 @@ def test_markov_adds_random_strings_and_not_identifiers(spark):
     assert got[1001] == "" and not any("markov" in got[i] for i in range(400))
 
 
+@pytest.mark.parametrize("copies", [10, 1000])
+def test_copies_of_a_bare_secret_stay_secret(spark, copies):
+    rng = random.Random(8)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    rows = [(i, "_".join(prose(rng, 6)) + " password=" + draw(24), "en", "s", 0) for i in range(400)]
+    rows += [(1000 + i, f"seen {plain} here", "en", "s", 0) for plain in [draw(40) for _ in range(3)] for i in range(copies)]
+    got = [r for r in secret_scan.secret_spans(docs_of(spark, rows)).collect() if r.doc_id >= 1000]
+    assert len(got) == 3 * copies and {r.spans for r in got} == {"markov:5:45"}
+    clean = secret_scan.redact_secrets(docs_of(spark, rows)).where("doc_id >= 1000").collect()
+    assert {r.text for r in clean} == {"seen [SECRET] here"}
+
+
 def test_redaction_keeps_the_rest(spark):
     rows = [(1, "a password=0123456789abcdef0123 b deadbeefdeadbeef", "en", "s", 50), (2, "clean text", "en", "s", 10), *ODD]
     out = secret_scan.redact_secrets(clashing(docs_of(spark, rows)))
