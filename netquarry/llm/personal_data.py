@@ -121,13 +121,11 @@ _BARE = re.compile(r"[A-Za-z0-9._%+-]{1,64}(\s(?i:at)\s|@)[A-Za-z0-9-]{1,63}((?:
 _BARE_DOT = re.compile(r"\s(?i:dot)\s")
 _BRACKET = re.compile(r"[(\[{<]\s{0,3}(?:[aA][tT]|@|\.)\s{0,3}[)\]}>]")
 _POINTS = tuple(_POINT.split("|"))
-_SPOKEN = {w + end for w in (*_VALUE, *_POINTS, "plus", "dash", "hyphen", *"0123456789") for end in ("", ",", ".", "-")}
-_HYPHENED = re.compile(r"[^\W\d_]-[^\W\d_]")
 
 
-def _spells(low: str) -> bool:
-    """If two neighbouring words of a lower-case text may be spoken digits: a quick test before the pattern."""
-    return b"\1\1" in bytes(map(_SPOKEN.__contains__, low.split())) or ("-" in low and bool(_HYPHENED.search(low)))
+def _lower(text: str) -> str:
+    """Lower case, with the two letters that patterns take for i and s in any case."""
+    return text.lower().replace("ı", "i").replace("ſ", "s")
 
 
 Edit = tuple[int, int, str]
@@ -166,13 +164,13 @@ class Rewritten:
 
 def _word_edits(text: str) -> list[Edit]:
     edits: list[Edit] = []
-    low = text.lower()
-    for m in _SPELLED.finditer(text) if _spells(low) else ():
+    low = _lower(text)
+    for m in _SPELLED.finditer(text):
         tokens = list(_TOKEN.finditer(text, m.start(), m.end()))
         if sum(1 for t in tokens if t[1]) < 3:
             continue
         for k, t in enumerate(tokens):
-            new = _VALUE.get(t[1].lower(), "") if t[1] else "+" if t[2] else "." if t[3] else "-" if t[4] else t[5]
+            new = _VALUE.get(_lower(t[1]), "") if t[1] else "+" if t[2] else "." if t[3] else "-" if t[4] else t[5]
             edits.append((t.start(), tokens[k + 1].start() if k + 1 < len(tokens) else t.end(), new))
     if any(p in low for p in _POINTS) or _BRACKET.search(text):
         edits += [(m.start(), m.end(), "@") for m in _AT.finditer(text)]

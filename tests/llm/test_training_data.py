@@ -393,6 +393,14 @@ def test_disguises_map_back_to_the_source(text, kind, part):
     assert [(personal_data.KINDS[k], text[a:b]) for a, k, b in found] == [(kind, part)]
 
 
+@pytest.mark.parametrize(("text", "kind"), [
+    ("plus one,five,five,five,one,two,three,four,five,six,seven", "phone"), ("one.nine.two.dot.one.six.eight.dot.one.dot.one", "ip"),
+    ("four 111 one 111 one 111 one 111", "card"), ("four - one - one" + " - one" * 13, "card"), ("four , one , one" + " , one" * 13, "card"), ("pluS ſıx six six six six six six six six", "phone"),
+])
+def test_spelled_digits_in_any_joining(text, kind):
+    assert [(personal_data.KINDS[k], a, b) for a, k, b in personal_data.disguised(text, [])] == [(kind, 0, len(text))]
+
+
 @pytest.mark.parametrize("text", ["look at the cat dot", "meet at example.com", "one two three", "éàü ist schön", "at dot at dot", "he was at one point in two or three places", ""])
 def test_clean_text_has_no_spans(text):
     assert personal_data.disguised(text, personal_data.find(text)) == []
