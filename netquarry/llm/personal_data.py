@@ -1,10 +1,10 @@
 """Personal data in whole texts, disguised or not, as spans of the source text.
 
-Base spans come from plain patterns. The method then runs two transducers over a text, each
+Base spans come from plain patterns. The method then runs transducers over a text, each
 of which keeps the source stretch of every character it writes: the first folds characters
 (look-alikes of other scripts, wide forms, foreign digits, unusual spaces, nothing for
-zero-width ones), the second rewrites words (spelled digits, ``at`` and ``dot`` in brackets or
-between the parts of an address). The same detectors read the result, and each find that
+zero-width ones), the others rewrite words (spelled digits and the dots between digits, then
+``at`` and ``dot`` in brackets, then bare ones between the parts of an address). The same detectors read the result, and each find that
 rests on a rewritten character is mapped back to the characters it came from.
 
 Spans count code points, end exclusive. Kinds, in the order that breaks ties: email, ip,
@@ -116,11 +116,13 @@ _SPELLED = re.compile(
 )
 _AT = re.compile(r"\s{0,3}[(\[{<]\s{0,3}(?i:at|@)\s{0,3}[)\]}>]\s{0,3}")
 _DOT = re.compile(rf"\s{{0,3}}[(\[{{<]\s{{0,3}}(?i:{_POINT}|\.)\s{{0,3}}[)\]}}>]\s{{0,3}}")
-# a bare "at" is read as part of an address only before a bare "dot" (other words for it are common words too)
-_BARE = re.compile(r"[A-Za-z0-9._%+-]{1,64}(\s(?i:at)\s|@)[A-Za-z0-9-]{1,63}((?:\s(?i:dot)\s[A-Za-z0-9-]{1,63}){1,8})(?![^\W_])")
-_BARE_DOT = re.compile(r"\s(?i:dot)\s")
-_BRACKET = re.compile(r"[(\[{<]\s{0,3}(?:[aA][tT]|@|\.)\s{0,3}[)\]}>]")
-_POINTS = tuple(_POINT.split("|"))
+_ANCHOR = re.compile(r"\s{1,3}[aA][tT]\s{1,3}(?=[A-Za-z0-9-])|@")
+_HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|\s{{1,3}}(?i:{_POINT})\s{{1,3}})[A-Za-z0-9-]+)+(?![^\W_])")
+_HOST_DOT = re.compile(rf"\.|\s{{1,3}}(?i:({_POINT}))\s{{1,3}}")
+#: Local parts that no plain word gives: a letter first, and a digit or a sign other than a hyphen inside.
+_MADE = re.compile(r"[A-Za-z](?=.*[._%+0-9]).*[A-Za-z0-9]", re.S)
+#: Last parts of addresses that are no English words; after a bare "at", "this point in" is prose.
+_ENDS = frozenset("com org net edu gov info io eu uk fr de es ch ca lu mx ar co".split())
 
 
 def _lower(text: str) -> str:
@@ -162,48 +164,80 @@ class Rewritten:
         return a, b, gaps or any(self.edited[i : j + 1])
 
 
-def _word_edits(text: str) -> list[Edit]:
+def _spelled_edits(text: str) -> list[Edit]:
+    """Runs of digits with a spelled digit or point; with fewer than three, plain digits stay as far apart as they are."""
     edits: list[Edit] = []
-    low = _lower(text)
     for m in _SPELLED.finditer(text):
         tokens = list(_TOKEN.finditer(text, m.start(), m.end()))
-        if sum(1 for t in tokens if t[1]) < 3:
+        while tokens and (tokens[-1][3] or tokens[-1][4]):
+            tokens.pop()  # a point after the last digit may be that of an address
+        if not any(t[1] or t[3] for t in tokens):
             continue
+        close = sum(1 for t in tokens if t[1]) >= 3
         for k, t in enumerate(tokens):
             new = _VALUE.get(_lower(t[1]), "") if t[1] else "+" if t[2] else "." if t[3] else "-" if t[4] else t[5]
-            edits.append((t.start(), tokens[k + 1].start() if k + 1 < len(tokens) else t.end(), new))
-    if any(p in low for p in _POINTS) or _BRACKET.search(text):
-        edits += [(m.start(), m.end(), "@") for m in _AT.finditer(text)]
-        edits += [(m.start(), m.end(), ".") for m in _DOT.finditer(text)]
-        for m in _BARE.finditer(text):
-            if m[1] != "@":
-                edits.append((m.start(1), m.end(1), "@"))
-            edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.start(2), m.end(2))]
-    edits.sort()
+            after = tokens[k + 1] if k + 1 < len(tokens) else None
+            if not after or not close and t[5] and after[5]:
+                edits.append((t.start(), t.end(), new))
+            else:
+                edits.append((t.start(), after.start(), new))
+    return [e for e in edits if text[e[0] : e[1]] != e[2]]
+
+
+def _bracket_edits(text: str) -> list[Edit]:
+    found = [(m.start(), m.end(), "@") for m in _AT.finditer(text)]
     kept, last = [], -1
-    for e in edits:
+    for e in sorted(found + [(m.start(), m.end(), ".") for m in _DOT.finditer(text)]):
         if e[0] >= last:
             kept.append(e)
             last = e[1]
     return kept
 
 
+def _bare_edits(text: str, before: Rewritten | None) -> list[Edit]:
+    """Bare at and dot of addresses. ``before``: how the text came from brackets.
+
+    After a bare "at", an address needs a disguised dot, or a local part that no plain word
+    gives ("meet at example.com" is prose); "point" alone also needs a last part that is no word.
+    """
+    edits: list[Edit] = []
+    low = 0
+    for m in _ANCHOR.finditer(text):
+        start = m.start()
+        while start > low and text[start - 1] in _LOCAL:
+            start -= 1
+        low = m.end()
+        host = _HOST.match(text, m.end()) if start < m.start() else None
+        if not host:
+            continue
+        dots = list(_HOST_DOT.finditer(text, host.start(), host.end()))
+        if m.group() != "@":
+            sure = any(d[1].lower() != "point" if d[1] else before and before.stretch(d.start(), d.end())[2] for d in dots)
+            pointed = any(d[1] for d in dots) and text[dots[-1].end() : host.end()].lower() in _ENDS
+            if not sure and not pointed and not _MADE.fullmatch(text[start : m.start()]):
+                continue
+            edits.append((m.start(), m.end(), "@"))
+        edits += [(d.start(), d.end(), ".") for d in dots if d[1]]
+    return edits
+
+
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the rewritten text shows."""
     folds = [(m.start(), m.end(), FOLDS[m.group()]) for m in _UNUSUAL.finditer(text) if m.group() in FOLDS]
-    folded = Rewritten(text, folds) if folds else None
-    middle = folded.text if folded else text
-    edits = _word_edits(middle)
-    if not folds and not edits:
+    layers, bracketed = [], None
+    for edits_of in (lambda _: folds, _spelled_edits, _bracket_edits, lambda t: _bare_edits(t, bracketed)):
+        last = layers[-1].text if layers else text
+        edits = edits_of(last)
+        if edits:
+            layers.append(Rewritten(last, edits))
+            bracketed = layers[-1] if edits_of is _bracket_edits else None
+    if not layers:
         return []
-    spoken = Rewritten(middle, edits) if edits else None
     added = []
-    for start, kind, end in find(spoken.text if spoken else middle):
+    for start, kind, end in find(layers[-1].text):
         changed = False
-        if spoken:
-            start, end, changed = spoken.stretch(start, end)
-        if folded:
-            start, end, also = folded.stretch(start, end)
+        for layer in reversed(layers):
+            start, end, also = layer.stretch(start, end)
             changed |= also
         if changed and not any(k == kind and a < end and start < b for a, k, b in base):
             added.append((start, kind, end))

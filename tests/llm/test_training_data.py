@@ -401,6 +401,22 @@ def test_spelled_digits_in_any_joining(text, kind):
     assert [(personal_data.KINDS[k], a, b) for a, k, b in personal_data.disguised(text, [])] == [(kind, 0, len(text))]
 
 
+@pytest.mark.parametrize(("text", "kind", "part"), [
+    *((f"mail {x} now", "email", x) for x in (
+        "john [at] example dot com", "john at example [dot] com", "john at example [dot] co dot uk", "jane.doe at example.com", "jane_2 at mail.example.com", "john at  example  dot  com",
+        "jane@example point com", "jane [at] exemple punto es", "jean at exemple point fr", "max at beispiel punkt de", "jane.1 at 4 dot 3 dot 2 dot com")),
+    *((f"x {x} now", k, x) for x, k in (("192 dot 168 dot 0 dot 12", "ip"), ("plus 1 555 123 45 six seven", "phone"))),
+])
+def test_disguises_of_either_part(text, kind, part):
+    found = personal_data.disguised(text, personal_data.find(text))
+    assert [(personal_data.KINDS[k], text[a:b]) for a, k, b in found] == [(kind, part)]
+
+
+@pytest.mark.parametrize("text", ["we arrive at this point in time", "we look at example.com now", "the check-in at example.com", "plus 1,000,000,000 more", "one, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12", "at 9.30pm at example.com"])
+def test_prose_near_disguises_has_no_spans(text):
+    assert personal_data.disguised(text, personal_data.find(text)) == []
+
+
 @pytest.mark.parametrize("text", ["look at the cat dot", "meet at example.com", "one two three", "éàü ist schön", "at dot at dot", "he was at one point in two or three places", ""])
 def test_clean_text_has_no_spans(text):
     assert personal_data.disguised(text, personal_data.find(text)) == []
