@@ -259,6 +259,18 @@ def test_ids_of_tokenizers_on_all_documents(documents):
         assert list(tokens.encode(r.text, tokens.vocabulary_path())) == plain.encode(r.text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_a_text_have_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary_path())
+    end = "<|endoftext|>"
+    texts = [f"x {end} y", end, end * 3, f"a{end}b\n{end} \n", f"<|{end}|>", end[:-1] + " " + end.upper(), f"é {end}\u00a0 ß  {end}  "]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0] and [list(tokens.encode(t, tokens.vocabulary_path())) for t in texts] == want
+    rows = docs_of(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    assert {r.length: r.n_docs for r in token_lengths.token_lengths(rows).collect()} == Counter(map(len, want))
+
+
 def test_length_sums_by_brute_force(spark, documents):
     rows = documents.unionByName(docs_of(spark, ODD))
     table = token_lengths.token_lengths(clashing(rows))
