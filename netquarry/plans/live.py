@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir
 from ..sources.packets import packets_from_events, table
 from ..streaming import live
 from .traffic import _SYN, HOUR, PACKETS, _with
@@ -16,8 +17,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/netquarry"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
