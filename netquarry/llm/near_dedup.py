@@ -1,24 +1,30 @@
 """Near-duplicate classes by DartMinHash signatures, banding and verified links.
 
-Every element (a word shingle) with weight w owns the region ``[0, w) x time``. Darts fall
+Every element (a word shingle) weighs what it counts in its text. One of weight w owns the region ``[0, w) x time``. Darts fall
 on it as a Poisson process that is a pure function of the element: cells of the region
 (unit strips of weight, doubling slabs of time) draw their number of darts, times and
 coordinates from a hash. A signature keeps the earliest dart of each of its coordinates, so
 two texts agree in a coordinate with probability equal to their weighted Jaccard
-similarity. Texts whose bands agree are candidates; links are verified on the whole shingle
-sets, so banding decides speed and recall only.
+similarity (sum of the smaller counts over sum of the larger ones). Texts whose bands agree
+are candidates; links are verified on all counted shingles, so banding decides speed and recall
+only. The i-th occurrence of a shingle is an element of its own there, which makes weighted
+similarity that of plain sets.
 
 No bucket is expanded into all its pairs. Every candidate carries a bitmap in which each
 shingle flips one bit, so the bits in which two bitmaps differ are at most the shingles in
 which the texts differ: pairs that this rules out are never made, and none that is a link is
 lost by it. A bucket's members are held against a leader, linked texts are contracted to
 components, and after a second leader only members of different components that the
-bitmaps still allow are held against each other.
+bitmaps still allow are held against each other: a bucket is cut into bounded chunks, every pair of
+chunks is a group of its own (so one bucket is many tasks), and a group returns the links of a
+forest that joins its components, never its pairs.
 
 Defined cases: a text of one to four words is one shingle; null, empty and blank texts have
-no shingles and stand alone; texts with equal word sequences are one text; the class id is
-the smallest doc_id of the class (null only if all ids are null); repeated rows are all
-returned; an empty table gives an empty result.
+no shingles and stand alone (class_key null); texts with equal word sequences are one text; class_id is
+the smallest doc_id of the class (null only if all ids are null), and as ids may repeat over
+different texts, class_key names a class by that id and the fingerprint of its first text;
+repeated rows are all returned; texts of any length are taken whole (memory is a few times the
+longest one); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, slices, text_buffer, text_or_empty, word_hashes, words
+from .common import discard, materialize, mix64, slices, text_buffer, text_or_empty, word_hashes, words
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -42,8 +48,8 @@ BITMAP = 1024
 _BASE_SLAB = 0.125
 
 
-def shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes (sorted in each row), their rows, and a 128-bit fingerprint of each row's words."""
+def shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes (sorted in each row), their rows and counts, and a 128-bit fingerprint of each row's words."""
     starts, ends, counts = words(raw, offsets)
     h = word_hashes(raw, starts, ends)
     rows = len(counts)
@@ -69,7 +75,16 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     out, row = out[order], row[order]
     fresh = np.ones(len(out), bool)
     fresh[1:] = (out[1:] != out[:-1]) | (row[1:] != row[:-1])
-    return out[fresh], row[fresh], print_a, print_b
+    counted = np.diff(np.flatnonzero(np.append(fresh, True)))
+    return out[fresh], row[fresh], counted, print_a, print_b
+
+
+def occurrences(element: np.ndarray, row: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An element for each occurrence of a shingle, sorted in each row."""
+    turn = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    out, rows = np.repeat(element, count) ^ (mix64(turn.astype(np.uint64)) * (turn > 0).astype(np.uint64)), np.repeat(row, count)
+    order = np.lexsort((out, rows))
+    return out[order], rows[order]
 
 
 def _poisson_steps(mean: float) -> np.ndarray:
@@ -87,12 +102,13 @@ def dart_signatures(elements: np.ndarray, rows: np.ndarray, n_rows: int, coordin
     ``rows`` must be sorted. Weights may be any positive numbers (1 where not given): whole
     units of weight are strips of their own, and the last strip drops darts above its part.
     """
-    strip, part = np.zeros(len(rows), np.uint64), np.ones(len(rows))
+    part, thin = np.ones(len(rows)), False
     if weights is not None:
         many = np.ceil(weights).astype(np.int64)
         strip = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)).astype(np.uint64)
         elements, rows = np.repeat(elements, many), np.repeat(rows, many)
         part = np.minimum(np.repeat(weights, many) - strip, 1.0)
+        thin = bool((part < 1).any())
         elements = elements ^ (strip * np.uint64(0xD1B54A32D192ED03))
     signature = np.zeros(n_rows * coordinates, np.uint64)
     filled = np.zeros(n_rows * coordinates, bool)
@@ -120,7 +136,7 @@ def dart_signatures(elements: np.ndarray, rows: np.ndarray, n_rows: int, coordin
             time = low + (cell + (dart & np.uint64(0xFFFFFFFF)) * 2.0**-32) * (width / cells)
             spot = ((dart >> np.uint64(32)) * np.uint64(coordinates)) >> np.uint64(32)
             kept = slice(None)
-            if weights is not None:
+            if thin:
                 kept = (mix64(dart) >> np.uint64(11)) * 2.0**-53 < top
             found.append((r[kept] * coordinates + spot[kept].astype(np.int64), time[kept], dart[kept]))
         if found:
@@ -151,9 +167,9 @@ def _signer(size: int, bands: int, rows: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            element, row, a, b = shingles(*text_buffer(part.column(1)), size)
+            element, row, count, a, b = shingles(*text_buffer(part.column(1)), size)
             n = part.num_rows
-            keys = band_keys(dart_signatures(element, row, n, bands * rows), bands, rows)
+            keys = band_keys(dart_signatures(element, row, n, bands * rows, count), bands, rows)
             has = np.zeros(n, bool)
             has[row] = True
             at = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
@@ -166,7 +182,8 @@ def _signer(size: int, bands: int, rows: int):
 def _set_maker(size: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            element, row, _, _ = shingles(*text_buffer(part.column(1)), size)
+            element, row, count, _, _ = shingles(*text_buffer(part.column(1)), size)
+            element, row = occurrences(element, row, count)
             ends = np.searchsorted(row, np.arange(part.num_rows + 1))
             blobs = [element[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
             flips = np.zeros((part.num_rows, BITMAP), np.uint8)
@@ -178,17 +195,21 @@ def _set_maker(size: int):
     return sets
 
 
+def _similar(p: np.ndarray, q: np.ndarray, threshold: float) -> bool:
+    """If two sorted sets share ``threshold`` of their union."""
+    if min(len(p), len(q)) < threshold * max(len(p), len(q)) - 1e-9:
+        return False
+    at = np.searchsorted(q, p)
+    common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+    return common >= threshold * (len(p) + len(q) - common) - 1e-9
+
+
 def _verifier(threshold: float):
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(p), len(q)) < threshold * max(len(p), len(q)) - 1e-9:
-                    continue
-                at = np.searchsorted(q, p)
-                common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                if common >= threshold * (len(p) + len(q) - common) - 1e-9:
+                if _similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold):
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
@@ -204,8 +225,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.where("u <> v").select("u", "v").distinct(), "edges")
     total = None
     while True:
+        old = [edges, total]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")), "parents")
+        nearest = parent = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")), "parents")
         for _ in range(2):
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
             parent = parent.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p"))
@@ -219,44 +241,55 @@ def components(links: DataFrame) -> DataFrame:
             edges.join(pu, "u").join(pv, "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), "edges"
         )
         total = materialize(total, "components")
+        discard(nearest, parent, *[x for x in old if x is not None])
         if edges.isEmpty():
+            discard(edges)
             return total
 
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, size: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id and class_id of every row of ``docs``; rows of one class are near duplicates, linked step by step."""
+def _row_key(doc_id: Column) -> Column:
+    """Order of rows by id (nulls last), then by the hash of their text."""
+    return F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("t").alias("t"))
+
+
+def classified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, size: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, t (hash of the text) and ``first``, the (none, doc_id, t) of the first row of its class, of every
+    row; null for a text without words. Equal (doc_id, t) are equal rows but for other columns."""
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("t", F.xxhash64("text"))
     signed = materialize(given.mapInArrow(_signer(size, bands, rows), "doc_id long, t long, a long, b long, bands array<long>"), "signatures")
     texts = materialize(
-        signed.where(F.size("bands") > 0).groupBy("a", "b").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands"))
+        signed.where(F.size("bands") > 0).groupBy("a", "b").agg(F.min(_row_key(F.col("doc_id"))).alias("first"), F.any_value("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()), "texts",
     )
-    buckets = texts.select("node", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = materialize(buckets.join(shared, "key"), "buckets")
-    shapes = _candidate_sets(texts, buckets, given, size)
-    buckets = materialize(buckets.join(shapes.select("node", "n", "map"), "node").select("key", "node", "n", "map"), "buckets")
-    # a leader, another one, then every pair of different components that the bitmaps allow
+    keyed = texts.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = materialize(keyed.join(shared, "key"), "buckets")
+    shapes = _candidate_sets(texts, members, given, size)
+    buckets = materialize(members.join(shapes.select("node", "n", "map"), "node").select("key", "node", "n", "map"), "buckets")
+    # a leader, another one, then whatever may still join two components
     links = materialize(_checked(_leader_pairs(buckets.withColumn("component", F.col("node")), 0, threshold), shapes, threshold), "links")
     found = components(links)
     apart = _apart(buckets, found)
-    more = materialize(_checked(_leader_pairs(apart, 1, threshold), shapes, threshold), "links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        found = components(links)
-        apart = _apart(buckets, found)
-    x, y = (apart.select("key", *[F.col(c).alias(f"{c}_{side}") for c in _MEMBER]) for side in "xy")
-    joined = x.join(y, (x["key"] == y["key"]) & (x["component_x"] < y["component_y"]) & _possible("x", "y", threshold))
-    pairs = joined.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct()
-    more = materialize(_checked(pairs, shapes, threshold), "links")
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
-    classes = texts.join(found, "node", "left").select("a", "b", "first_id", F.coalesce("component", "node").alias("component"))
-    names = classes.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    named = classes.join(names, "component").select("a", "b", "class_id")
-    blank = (F.col("a") == 0) & (F.col("b") == 0)
-    return signed.drop("bands").join(named, ["a", "b"], "left").select(
-        "doc_id", F.when(blank, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+    for more_of in (lambda rows: _checked(_leader_pairs(rows, 1, threshold), shapes, threshold), lambda rows: _remaining(rows, shapes, threshold)):
+        more = materialize(more_of(apart), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            discard(found, apart)
+            found = components(links)
+            apart = _apart(buckets, found)
+    discard(members, buckets, shapes, apart)
+    classes = texts.join(found, "node", "left").select("a", "b", "first", F.coalesce("component", "node").alias("component"))
+    names = classes.groupBy("component").agg(F.min("first").alias("first"))
+    named = classes.select("a", "b", "component").join(names, "component").select("a", "b", "first")
+    return signed.drop("bands").join(named, ["a", "b"], "left").select("doc_id", "t", "first")
+
+
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """doc_id, class_id and class_key of every row of ``docs``; rows of one class are near duplicates, linked step by step."""
+    found = classified(docs, text, doc_id, **options)
+    key = F.concat_ws(":", F.coalesce(F.col("first.doc_id").cast("string"), F.lit("null")), F.hex("first.t"))
+    return found.select(
+        "doc_id", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.when(F.col("first").isNotNull(), key).alias("class_key")
     )
 
 
@@ -284,9 +317,56 @@ def _possible(x: str, y: str, threshold: float) -> Column:
     return apart <= (F.col(f"n_{x}") + F.col(f"n_{y}")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9
 
 
+CHUNK, CHUNK_SHINGLES = 256, 1 << 23
+
+
+def _joined_apart(threshold: float):
+    """Links that join the components of two chunks of a bucket: pairs in order of their bitmaps' distance, each
+    verified unless its sides are joined already, so what comes out is a forest and not all pairs."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        chunk, node, component, n = (t.column(c).to_numpy() for c in ("chunk", "node", "component", "n"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+        maps = np.asarray(t.column("map").combine_chunks().flatten()).view(np.uint64).reshape(len(node), -1)
+        parent = {int(c): int(c) for c in component}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        within = bool((chunk == chunk[0]).all())
+        links = []
+        for i in range(len(node)):
+            others = np.flatnonzero((chunk > chunk[i]) | (within & (np.arange(len(node)) > i)))
+            apart = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1)
+            allowed = np.flatnonzero((apart <= (n[others] + n[i]) * ((1 - threshold) / (1 + threshold)) + 1e-9) & (component[others] != component[i]))
+            for j in others[allowed[np.argsort(apart[allowed], kind="stable")]].tolist():
+                a, b = root(int(component[i])), root(int(component[j]))
+                if a != b and _similar(sets[i], sets[j], threshold):
+                    parent[a] = b
+                    links.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+        return pa.table({"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())})
+
+    return compare
+
+
+def _remaining(members: DataFrame, shapes: DataFrame, threshold: float) -> DataFrame:
+    """Links between the components that share a bucket still. A bucket is cut into chunks by a hash, bounded in members
+    and in shingles, and each pair of chunks is a group of its own: a member is copied once per chunk, and no pair is a row."""
+    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    rows = members.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.join(shapes.select("node", "shingles"), "node")
+    groups = rows.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component", "n", "map", "shingles")
+    return groups.groupBy("key", "low", "high").applyInArrow(_joined_apart(threshold), "u long, v long").distinct()
+
+
 def _leader_pairs(members: DataFrame, turn: int, threshold: float) -> DataFrame:
     """Each member with its bucket's leader, where they are not of one component yet and a link is possible."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), *[F.col(c).alias(c) for c in _MEMBER])
+    # the first leader is one text for all its buckets, later ones differ by bucket
+    order = F.struct((F.xxhash64("node", F.lit(turn), "key") if turn else F.xxhash64("node")).alias("h"), *[F.col(c).alias(c) for c in _MEMBER])
     leaders = members.groupBy("key").agg(F.min(order).alias("leader")).select(
         F.col("key").alias("leader_key"), *[F.col(f"leader.{c}").alias(f"{c}_y") for c in _MEMBER]
     )
@@ -301,18 +381,26 @@ def _checked(pairs: DataFrame, shapes: DataFrame, threshold: float) -> DataFrame
     return pairs.join(u, "u").join(v, "v").select("u", "v", "x", "y").mapInArrow(_verifier(threshold), "u long, v long")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
+def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """Rows of ``docs`` less all but one of each class, with exactly its columns.
 
-    The row with the class's smallest doc_id stays (one of them, if the id is repeated);
-    rows without an id can't be named by a class and stay.
+    Rows are told apart by id and text, so ids may repeat or be null: the first row of a class stays (by
+    id, nulls last, then by the text's hash; one of them where the whole row key repeats), texts without words stay.
     """
-    classes = materialize(near_dedup(docs, **options), "classes")
-    others = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__other")).distinct()
-    kept = docs.join(others, docs["doc_id"] == others["__other"], "left_anti")
-    again = classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    classes = materialize(classified(docs, text, doc_id, **options), "classes")
+    own = classes.where("first is not null").select("doc_id", "t", (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.t") == F.col("t"))).alias("is_first"))
+    keys = own.groupBy("doc_id", "t").agg(F.max("is_first").alias("is_first"), F.count(F.lit(1)).alias("n"))
+    keys = materialize(keys.where("not is_first or n > 1").select(F.col("doc_id").alias("__k_id"), F.col("t").alias("__k_t"), "is_first"), "row-keys")
+    mark = docs.withColumn("__t", F.xxhash64(text_or_empty(text)))
+    id_ = F.col(f"`{doc_id}`").cast("long")
+
+    def on(table: DataFrame) -> Column:
+        return (F.col("__t") == F.col("__k_t")) & id_.eqNullSafe(F.col("__k_id"))
+
+    others, again = keys.where("not is_first").drop("is_first"), keys.where("is_first").drop("is_first")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, kept["doc_id"] == again["__again"], "left_anti")
-    repeated = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id"])
+        return mark.join(others, on(others), "left_anti").drop("__t")
+    once = mark.join(keys.drop("is_first"), on(keys), "left_anti").drop("__t")
+    # equal row keys: one row of each, whichever of its other columns
+    repeated = mark.join(again, on(again), "left_semi").withColumn("__id", id_).dropDuplicates(["__id", "__t"]).drop("__id", "__t")
     return once.unionByName(repeated)
