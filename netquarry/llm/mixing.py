@@ -2,87 +2,83 @@
 
 Targets: sources, ordered by name, weigh 5, 2, 1 and so on in turn; together they get a share of
 all words, and a source whose part passes ``max_epochs`` times its size stops there, its
-excess going to the others by weight (water filling).
+excess going to the others by weight (water filling, one small aggregation a round).
 
-Draw: each source's documents are blocks, in the order of a hash (a random permutation that
-every run repeats). A source takes whole passes over its blocks, then blocks up to the words
-that are left; the block at the border is cut at a word, so a source's words meet the rounded
-target exactly. The border is found in two steps: word sums of ranges of the hash, then the
-blocks of one range. No task holds a source.
+Quotas: a block is a document in one pass over its source. A source gives all its blocks of whole
+passes and, of the last pass, the first in a permuted order (by a hash, so every run repeats
+it) up to the words that are left; the block at that border is cut at a word, so a source's words
+meet the rounded target exactly. That makes an exact quota of blocks for every source.
 
-Shards: the number of blocks each source sends to each shard comes from a binary tree over
-the shards, every node splitting its vector of source quotas by a multivariate
-hypergeometric draw, so shards are equal in blocks and every block is dealt once. A shard's
-blocks of a source are a stretch of the permuted order, and each shard is shuffled locally.
+Tree: a binary tree over the output shards splits the vector of quotas; every node draws its left
+half's share by a multivariate hypergeometric law. The top of it runs over groups of
+``source_group`` sources (their totals are all that reaches the driver), and each group then splits
+its own sources in a task, given its totals, which is the same law. Shards are equal in blocks to
+one. A shard draws a stretch of every source's permuted blocks, the one next to the stretches of
+the shards before it, so draws are disjoint and leave nothing out, and shuffles what it drew.
+What a document gives is the sum of its draws.
+
+No task holds a source: ranks in the permuted order are found by counts of 4096 ranges of the
+hash, then inside a range.
 
 Defined cases: null text has no words; a null source is a source of its own, last in order;
-documents of no words are never taken; a mix of no words takes nothing; rows with equal ids are one
-block, cut in proportion; an empty table gives an empty result.
+documents of no words are never taken; a mix of no words takes nothing; rows with equal ids (null
+ones too) of a source share a place in its order and are cut in proportion; texts of any length are blocks as others are; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_or_empty
+from .common import WORD, if_small, materialize, text_or_empty
 
 _RANGE_DIGITS = 3  # 4096 ranges of the hash
+_MOST_BLOCKS = 500_000_000  # what the hypergeometric sampler takes; beyond, neighbours in the permuted order are drawn together
 
 
 @dataclass(frozen=True)
 class MixSettings:
+    """``shard_words``: size of an output shard, so their number follows the data."""
+
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     share: float = 1.5
     max_epochs: float = 2.0
-    shards: int = 48
+    shard_words: int = 2_000_000
+    source_group: int = 65_536
     seed: int = 20240607
 
 
-def water_fill(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
-    """Parts of ``total`` by weight, none above ``most`` times its size, the excess shared again."""
-    parts, open_ = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    left = total
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / weight >= most * sizes[i]]
-        if not full:
-            for i in open_:
-                parts[i] = left * weights[i] / weight
-            break
-        for i in full:
-            parts[i] = most * sizes[i]
-        left = max(0.0, left - sum(parts[i] for i in full))
-        open_ = [i for i in open_ if i not in set(full)]
-    return parts
-
+def even_totals(total: int, shards: int) -> np.ndarray:
+    ends = np.array([total * k // shards for k in range(shards + 1)], np.int64)
+    return np.diff(ends)
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """(shards x sources) block counts: a tree of multivariate hypergeometric draws.
 
-    Shard totals differ by one block at most; columns sum to ``quotas``.
-    """
-    out = np.zeros((shards, len(quotas)), np.int64)
+def split_tree(quotas: np.ndarray, totals: np.ndarray, seed: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, places in ``quotas``, blocks drawn of each): ``totals`` holds the blocks of every shard."""
+    ends = np.concatenate([[0], np.cumsum(totals)])
 
-    def split(quota: np.ndarray, low: int, high: int) -> None:
+    def split(places: np.ndarray, quota: np.ndarray, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         if high - low == 1:
-            out[low] = quota
+            yield low, places, quota
             return
         middle = (low + high) // 2
-        total = int(quota.sum())
-        # blocks that the left half's shards hold when all shards are as even as can be
-        left_total = total * (middle - low) // (high - low)
-        rng = np.random.default_rng([seed, low, high])
-        left = rng.multivariate_hypergeometric(quota, left_total, method="marginals")
-        split(left, low, middle)
-        split(quota - left, middle, high)
+        left = np.random.default_rng([*seed, low, high]).multivariate_hypergeometric(quota, int(ends[middle] - ends[low]), method="marginals")
+        for part, a, b in ((left, low, middle), (quota - left, middle, high)):
+            some = part > 0
+            if some.any():
+                yield from split(places[some], part[some], a, b)
 
-    if len(quotas):
-        split(np.asarray(quotas, np.int64), 0, shards)
-    return out
+    quotas = np.asarray(quotas, np.int64)
+    if quotas.sum():
+        yield from split(np.arange(len(quotas)), quotas, 0, len(totals))
 
 
 def _place(seed: int, doc_id: Column) -> Column:
@@ -96,100 +92,145 @@ def _sized(docs: DataFrame, text: str, source: str, doc_id: str, seed: int) -> D
     return docs.withColumns({"__size": size, "__source": F.col(source).cast("string"), "__place": _place(seed, F.col(doc_id))})
 
 
-@dataclass(frozen=True)
-class Recipe:
-    """``sources``: a row per source with target, whole passes and the border block of the last pass;
-    ``quotas``: blocks that each source gives, in the order of ``names``."""
-
-    sources: DataFrame
-    names: list[str | None]
-
-
-def draw(rows: DataFrame, settings: MixSettings) -> Recipe:
-    """Recipe of a mix of ``rows`` (__source, __size, __place)."""
-    spark = rows.sparkSession
-    # what comes to the driver is one row per source name
-    found = sorted(rows.groupBy("__source").agg(F.sum("__size").alias("n")).collect(), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8")))
-    sizes = [int(r.n) for r in found]
-    weights = [settings.weights[i % len(settings.weights)] for i in range(len(found))]
-    targets = water_fill(sizes, weights, settings.share * sum(sizes), settings.max_epochs)
-    table = []
-    for r, size, target in zip(found, sizes, targets):
-        words = int(target + 0.5)
-        table.append((r[0], size, float(target), words // size if size else 0, words % size if size else 0))
-    recipe = spark.createDataFrame(table, "s string, source_size long, target double, passes long, rest long")
+def _numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``number``, their place by name (nulls last): sorted in ranges, each numbered from where the ranges before it end."""
+    order = [F.col("s").isNull(), F.col("s")]
+    sorted_ = sources.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    ranged = materialize(sorted_.withColumns({"part": F.shiftright(at, 33), "at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "sources")
+    counts = {r.part: r.n for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per partition
+    first = np.cumsum([0] + [counts[p] for p in sorted(counts)]).tolist()
+    starts = sources.sparkSession.createDataFrame([(p, first[i]) for i, p in enumerate(sorted(counts))], "p long, first long")
+    return ranged.join(F.broadcast(starts), F.col("part") == F.col("p")).select("s", "n", (F.col("first") + F.col("at")).alias("number"))
+
+
+def with_targets(sources: DataFrame, settings: MixSettings) -> DataFrame:
+    """``sources`` (s, n, number) with ``target`` by water filling: each round fills the sources that the level passes."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in settings.weights]), (F.col("number") % len(settings.weights) + 1).cast("int"))
+    rows = materialize(sources.withColumns({"w": weight, "cap": settings.max_epochs * F.col("n")}), "weights")
+    total = settings.share * (rows.agg(F.sum("n")).first()[0] or 0)
+    levels: list[tuple[float, float]] = []
+    known = -1
+    while True:
+        full = reduce(lambda a, b: a | b, [F.lit(left) * F.col("w") / F.lit(open_) >= F.col("cap") for left, open_ in levels], F.lit(False))
+        r = rows.where("n > 0").agg(F.sum(F.when(full, F.col("cap"))).alias("caps"), F.sum(F.when(~full, F.col("w"))).alias("open"), F.count_if(full).alias("full")).first()
+        left, open_ = max(0.0, total - (r.caps or 0.0)), r.open or 0.0
+        if r.full == known or not open_:
+            break
+        known = r.full
+        levels.append((left, open_))
+    part = F.when(full, F.col("cap")).otherwise(F.lit(left) * F.col("w") / F.lit(open_ or 1.0))
+    return rows.withColumn("target", F.when(F.col("n") == 0, 0.0).otherwise(part))
+
+
+def draw(rows: DataFrame, settings: MixSettings) -> DataFrame:
+    """Recipe of a mix of ``rows`` (__source, __size, __place): a row per source with number, target, whole passes and
+    the border block of the last pass."""
+    sources = rows.groupBy(F.col("__source").alias("s")).agg(F.sum("__size").alias("n"))
+    words = F.floor(F.col("target") + 0.5)
+    whole = F.when(F.col("n") > 0, F.floor(words / F.col("n"))).otherwise(0).cast("long")
+    recipe = with_targets(_numbered(sources), settings).select("s", "number", F.col("n").alias("source_size"), "target", whole.alias("passes"), (words - whole * F.col("n")).cast("long").alias("rest"))
+    recipe = materialize(recipe, "targets")
     # the border of the last pass: first by ranges of the hash, then inside one range
     ranged = rows.select("__source", "__size", "__place", F.substring("__place", 1, _RANGE_DIGITS).alias("range"))
     sums = ranged.groupBy("__source", "range").agg(F.sum("__size").alias("words"))
-    sums = sums.join(F.broadcast(recipe), sums["__source"].eqNullSafe(recipe["s"]))
+    sums = sums.join(if_small(recipe), sums["__source"].eqNullSafe(recipe["s"]))
     upto = Window.partitionBy("__source").orderBy("range")
     border = sums.withColumn("before", F.sum("words").over(upto) - F.col("words")).where("rest > before and rest <= before + words")
-    border = border.select(F.col("__source").alias("bs"), F.col("range").alias("br"), F.col("before"), F.col("rest"))
-    near = ranged.join(F.broadcast(border), ranged["__source"].eqNullSafe(border["bs"]) & (ranged["range"] == border["br"]))
+    border = materialize(border.select(F.col("__source").alias("bs"), F.col("range").alias("br"), F.col("before"), F.col("rest")), "border-ranges")
+    near = ranged.join(if_small(border), ranged["__source"].eqNullSafe(border["bs"]) & (ranged["range"] == border["br"]))
     blocks = near.groupBy("__source", "__place", "before", "rest").agg(F.sum("__size").alias("words"))
     upto = Window.partitionBy("__source").orderBy("__place")
     blocks = blocks.withColumn("start", F.col("before") + F.sum("words").over(upto) - F.col("words")).where("rest > start and rest <= start + words")
     cut = blocks.select(F.col("__source").alias("cs"), F.col("__place").alias("border"), (F.col("rest") - F.col("start")).alias("part"), F.col("words").alias("whole"))
-    full = recipe.join(cut, recipe["s"].eqNullSafe(cut["cs"]), "left").drop("cs", "rest")
-    return Recipe(materialize(full, "recipe"), [r[0] for r in found])
+    return materialize(recipe.join(cut, recipe["s"].eqNullSafe(cut["cs"]), "left").drop("cs", "rest"), "recipe")
 
 
-def _with_takes(rows: DataFrame, recipe: Recipe) -> DataFrame:
-    """Rows with the columns of the recipe and ``last``, the words of the pass that is not whole."""
-    known = rows.join(F.broadcast(recipe.sources), rows["__source"].eqNullSafe(recipe.sources["s"]))  # a row per source name
+def _taken(rows: DataFrame, recipe: DataFrame) -> DataFrame:
+    """A row per block that the mix takes: ``rows`` with number, ``words``, ``spot`` and ``range`` of its place among the source's blocks."""
+    known = rows.join(if_small(recipe), rows["__source"].eqNullSafe(recipe["s"]))
     last = (
         F.when(F.col("__place") < F.col("border"), F.col("__size"))
         .when(F.col("__place") == F.col("border"), F.floor(F.col("part") * F.col("__size") / F.col("whole")))
         .otherwise(F.lit(0))
     )
-    return known.withColumn("last", last.cast("long"))
-
-
-def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", settings: MixSettings | None = None) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
-    settings = settings or MixSettings()
-    rows = _sized(docs, text, source, doc_id, settings.seed).select(F.col(doc_id).alias("doc_id"), "__source", "__size", "__place")
-    rows = materialize(rows, "sizes")
-    plan = _with_takes(rows, draw(rows, settings))
-    return plan.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("passes") * F.col("__size") + F.col("last")).cast("long").alias("taken"))
-
-
-def _takes() -> Column:
-    """array<struct<pass, words>>: the passes in which a row is taken."""
     every = F.transform(
         F.sequence(F.lit(1), F.col("passes").cast("int") + 1),
-        lambda p: F.struct(p.alias("pass"), F.when(p <= F.col("passes"), F.col("__size")).otherwise(F.col("last")).alias("words")),
+        lambda p: F.struct(p.alias("pass"), F.when(p <= F.col("passes"), F.col("__size")).otherwise(F.col("__last")).alias("words")),
     )
-    return F.filter(every, lambda x: x["words"] > 0)
+    takes = known.withColumn("__last", last.cast("long")).withColumn("__take", F.explode(F.filter(every, lambda x: x["words"] > 0)))
+    spot = F.md5(F.concat_ws(":", "__place", F.col("__take.pass")))
+    return takes.withColumns({"__words": F.col("__take.words"), "__spot": spot}).withColumn("__range", F.substring("__spot", 1, _RANGE_DIGITS))
 
 
-def _spot(pass_: Column) -> Column:
-    return F.md5(F.concat_ws(":", "__place", pass_))
+def split_quotas(quotas: DataFrame, shards: int, settings: MixSettings) -> DataFrame:
+    """``quotas`` (number, blocks) -> (number, shard, blocks), by the tree."""
+    spark, width = quotas.sparkSession, settings.source_group
+    grouped = quotas.withColumn("part", F.floor(F.col("number") / width))
+    sums = sorted(grouped.groupBy("part").agg(F.sum("blocks").alias("n")).collect(), key=lambda r: r.part)  # a row per ``source_group`` sources
+    per_part = np.zeros((shards, len(sums)), np.int64)
+    for shard, places, n in split_tree(np.array([r.n for r in sums]), even_totals(sum(r.n for r in sums), shards), [settings.seed]):
+        per_part[shard, places] = n
+    totals = spark.createDataFrame([(r.part, per_part[:, i].tolist()) for i, r in enumerate(sums)], "tp long, totals array<long>")
 
+    def split(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("number")
+        numbers, found = own.number.to_numpy(), list(split_tree(own.blocks.to_numpy(), np.asarray(own.totals.iloc[0]), [settings.seed, int(key[0])]))
+        sizes = [len(p) for _, p, _ in found]
+        return pd.DataFrame({"number": np.concatenate([numbers[p] for _, p, _ in found]), "shard": np.repeat([k for k, _, _ in found], sizes), "blocks": np.concatenate([n for _, _, n in found])})
 
-def shard_borders(blocks: DataFrame, names: list[str | None], settings: MixSettings) -> DataFrame:
-    """(bs, ends): for each source the last permuted place of every shard's stretch but the last.
+    joined = grouped.join(F.broadcast(totals), F.col("part") == F.col("tp")).select("part", "number", "blocks", "totals")  # a row per group
+    return joined.groupBy("part").applyInPandas(split, "number long, shard int, blocks long")
 
-    ``blocks`` holds a row per block (__source, spot). The tree gives counts; the place at a
-    count is found by counts of hash ranges, then by rank inside a range.
+
+def stretches(blocks: DataFrame, settings: MixSettings) -> tuple[DataFrame, int]:
+    """Borders (bn, br, ends) of the shards' stretches in every range of a source's blocks, and the number of shards.
+
+    ``blocks``: number, __spot, __range and __words of every block. ``ends`` lists (last spot, shard).
     """
-    spark = blocks.sparkSession
-    counted = {r[0]: r[1] for r in blocks.groupBy("__source").count().collect()}  # a row per source name
-    table = split_quotas(np.array([counted.get(n, 0) for n in names], np.int64), settings.shards, settings.seed)
-    ends = np.cumsum(table, axis=0)
-    wanted = spark.createDataFrame([(n, k, int(ends[k, i])) for i, n in enumerate(names) for k in range(settings.shards - 1)], "ws string, shard int, rank long")
-    ranged = blocks.withColumn("range", F.substring("spot", 1, _RANGE_DIGITS))
-    counts = ranged.groupBy("__source", "range").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("__source").orderBy("range")) - F.col("n"))
-    inside = wanted.join(counts, wanted["ws"].eqNullSafe(counts["__source"]) & (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n")))
-    inside = materialize(inside.select("ws", "shard", "range", (F.col("rank") - F.col("before")).alias("nth")), "borders")
-    used = inside.select(F.col("ws"), F.col("range").alias("wr")).distinct()  # sources x shards rows at most
-    near = ranged.join(F.broadcast(used), ranged["__source"].eqNullSafe(used["ws"]) & (ranged["range"] == used["wr"])).select("__source", "range", "spot")
-    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("__source", "range").orderBy("spot")))
-    at = inside.join(near.select(F.col("__source").alias("ns"), F.col("range").alias("nr"), F.col("nth").alias("nn"), "spot"), F.col("ws").eqNullSafe(F.col("ns")) & (F.col("range") == F.col("nr")) & (F.col("nth") == F.col("nn")))
-    # a shard that gets nothing of a source at the start has no border; rank 0 lies before every place
-    every = wanted.join(at.select(F.col("ws").alias("xs"), F.col("shard").alias("xk"), "spot"), wanted["ws"].eqNullSafe(F.col("xs")) & (wanted["shard"] == F.col("xk")), "left")
-    return every.groupBy(F.col("ws").alias("bs")).agg(F.sort_array(F.collect_list(F.coalesce("spot", F.lit("")))).alias("ends"))
+    known = blocks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("__words"), F.lit(0)).alias("words")).first()
+    shards, bundle = max(1, math.ceil(known.words / settings.shard_words)), max(1, math.ceil(known.n / _MOST_BLOCKS))
+    counts = materialize(blocks.groupBy("number", "__range").agg(F.count(F.lit(1)).alias("n")), "ranges")
+    whole = counts.groupBy("number").agg(F.sum("n").alias("whole"))
+    split = split_quotas(whole.select("number", F.ceil(F.col("whole") / bundle).alias("blocks")), shards, settings)
+    upto = Window.partitionBy("number").orderBy("shard")
+    end = F.sum("blocks").over(upto) * bundle
+    drawn = split.join(whole, "number").select(F.col("number").alias("dn"), "shard", (end - F.col("blocks") * bundle).alias("start"), F.least(end, F.col("whole")).alias("end"))
+    ranged = counts.withColumn("before", F.sum("n").over(Window.partitionBy("number").orderBy("__range")) - F.col("n"))
+    meet = (F.col("number") == F.col("dn")) & (F.col("start") < F.col("before") + F.col("n")) & (F.col("end") > F.col("before"))
+    inside = F.col("end") < F.col("before") + F.col("n")
+    pieces = materialize(ranged.join(drawn, meet).select("number", "__range", "shard", F.when(inside, F.col("end") - F.col("before")).alias("nth")), "stretches")
+    used = materialize(pieces.where("nth is not null").select(F.col("number").alias("un"), F.col("__range").alias("ur")).distinct(), "used-ranges")
+    near = blocks.join(if_small(used), (F.col("number") == F.col("un")) & (F.col("__range") == F.col("ur")), "left_semi").select("number", "__range", "__spot")
+    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("number", "__range").orderBy("__spot")).cast("long"))
+    ends = pieces.join(near, ["number", "__range", "nth"], "left")
+    borders = ends.groupBy(F.col("number").alias("bn"), F.col("__range").alias("br")).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("__spot", F.lit("~")).alias("end"), "shard"))).alias("ends"))
+    return materialize(borders, "borders"), shards
+
+
+def _dealt(blocks: DataFrame, borders: DataFrame) -> DataFrame:
+    """``blocks`` with the shard that draws them."""
+    own = F.filter("ends", lambda e: e["end"] >= F.col("__spot"))
+    return blocks.join(if_small(borders), (F.col("number") == F.col("bn")) & (F.col("__range") == F.col("br"))).withColumn("__shard", F.get(own, F.lit(0))["shard"])
+
+
+def mix_draws(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", settings: MixSettings | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, recipe, draws): a row per document (uid, doc_id, __source, __size, __place), per source, and per block drawn (uid, number, shard, words)."""
+    settings = settings or MixSettings()
+    rows = _sized(docs, text, source, doc_id, settings.seed).select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), "__source", "__size", "__place")
+    rows = materialize(rows, "sizes")
+    recipe = draw(rows, settings)
+    blocks = materialize(_taken(rows, recipe).select("uid", "number", "__spot", "__range", "__words"), "blocks")
+    borders, _ = stretches(blocks, settings)
+    return rows, recipe, _dealt(blocks, borders).select("uid", "number", F.col("__shard").alias("shard"), F.col("__words").alias("words"))
+
+
+def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", settings: MixSettings | None = None) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document, ``taken`` being the sum of what the shards draw of it."""
+    rows, recipe, draws = mix_draws(docs, text, source, doc_id, settings)
+    taken = draws.groupBy(F.col("uid").alias("tu")).agg(F.sum("words").alias("taken"))
+    known = rows.join(taken, F.col("uid") == F.col("tu"), "left").join(if_small(recipe), rows["__source"].eqNullSafe(recipe["s"]))
+    return known.select("doc_id", F.col("__size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def _first_words(t: Column, n: Column) -> Column:
@@ -201,24 +242,23 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", d
     """The mix itself, with exactly the columns of ``docs``: a row per document and pass, each shard a
     partition shuffled inside. The border block keeps its first words, and ``n_chars`` is counted anew."""
     settings = settings or MixSettings()
-    sized = _sized(docs, text, source, doc_id, settings.seed)
+    own = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)]
+    sized = _sized(docs, text, source, doc_id, settings.seed).select(*own, "__size", "__source", "__place")
     rows = materialize(sized.select("__source", "__size", "__place"), "sizes")
     recipe = draw(rows, settings)
-    blocks = materialize(_with_takes(rows, recipe).select("__source", "__place", F.explode(_takes()).alias("x")).select("__source", _spot(F.col("x.pass")).alias("spot")), "blocks")
-    borders = materialize(shard_borders(blocks, recipe.names, settings), "shards")
-    rows = _with_takes(sized, recipe).withColumn("__take", F.explode(_takes())).withColumn("__spot", _spot(F.col("__take.pass")))
-    rows = rows.join(F.broadcast(borders), rows["__source"].eqNullSafe(borders["bs"]))
-    cut = F.col("__take.words") < F.col("__size")
-    kept = F.when(cut, _first_words(text_or_empty(text), F.col("__take.words"))).otherwise(F.col(text))
-    rows = rows.withColumn("__kept", kept)
+    blocks = materialize(_taken(rows, recipe).select("number", "__spot", "__range", "__words"), "blocks")
+    borders, shards = stretches(blocks, settings)
+    dealt = _dealt(_taken(sized, recipe), borders)
+    cut = F.col("__words") < F.col("__size")
+    given = {c: F.col(f"__c{i}") for i, c in enumerate(docs.columns)}
+    # bound to a name first: the text is cut once, for itself and its length
+    dealt = dealt.withColumn("__kept", F.when(cut, _first_words(F.coalesce(given[text].cast("string"), F.lit("")), F.col("__words"))).otherwise(given[text]))
     columns = []
-    for c in docs.columns:
+    for c, value in given.items():
         if c == text:
-            columns.append(F.col("__kept").alias(c))
+            value = F.col("__kept")
         elif c == "n_chars":
-            columns.append(F.when(cut, F.length("__kept").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    dealt = rows.withColumns({"__shard": F.size(F.filter("ends", lambda e: e < F.col("__spot"))), "__shuffled": F.md5(F.concat("__spot", F.lit("shuffle")))})
-    picked = dealt.select(*columns, F.col("__shard"), F.col("__shuffled"))
-    return picked.repartitionByRange(settings.shards, "__shard").sortWithinPartitions("__shard", "__shuffled").drop("__shard", "__shuffled")
+            value = F.when(cut, F.length("__kept").cast(docs.schema[c].dataType)).otherwise(value)
+        columns.append(value.alias(c))
+    dealt = dealt.select(*columns, F.col("__shard"), F.md5(F.concat("__spot", F.lit("shuffle"))).alias("__shuffled"))
+    return dealt.repartitionById(shards, F.col("__shard")).sortWithinPartitions("__shard", "__shuffled").drop("__shard", "__shuffled")
