@@ -7,17 +7,17 @@ classes is a parameter while the vocabulary is not bounded. The model is
 ``P(word | class)`` and one unknown word in every class of rarer words.
 
 Training is Baum-Welch: each task runs the scaled forward and backward recursions over its
-texts (cut into segments of ``segment`` tokens for training only) and returns expected
-counts, one row per model cell and task; their sums give the next model. Scores run the
-exact forward recursion over whole texts: long texts are cut into stretches whose transfer
-matrices are computed side by side and then chained.
+whole texts and returns expected counts, one row per model cell and task; their sums give the
+next model. Scores run the exact forward recursion over whole texts, too. Long texts run as
+stretches side by side: their transfer matrices are chained, which gives each stretch what comes
+before it (and, in training, what comes after), so a step across a border counts like any other.
 
 Word counts are one aggregation over all training words. The most frequent
 ``local_words`` are looked up inside tasks; every other word meets its count by a join, so
-no table grows with the vocabulary outside Spark.
+no table grows with the vocabulary outside Spark. A text sends each of its rarer words once, with its count.
 
 Defined cases: null text counts as empty (an end token only); a null doc_id is in training;
-repeated rows count once each; without training rows every word is unknown; an empty
+repeated rows count once each; a text of any length is one sequence; without training rows every word is unknown; an empty
 table gives an empty result.
 """
 
@@ -48,7 +48,7 @@ class HmmSettings:
     suffix_classes: int = 512
     local_words: int = 100_000
     rounds: int = 5
-    segment: int = 512
+    stretch: int = 1024
     smoothing: float = 0.5
     seed: int = 7
 
@@ -90,7 +90,8 @@ def _most_frequent(counts: DataFrame, most: int) -> list:
     The limit comes from how many words have each count, so no task sends its own top words.
     """
     steps = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    steps = steps.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("c"))))  # a row per distinct count
+    # a row per distinct count: k of them take k^2/2 tokens at least, so ten trillion tokens have under five million
+    steps = steps.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("c"))))
     least = steps.where(F.col("upto") <= most).agg(F.min("c")).first()[0]
     if least is None:
         return []
@@ -123,7 +124,7 @@ def _encoder(shared, schema: pa.Schema):
         find, none = v.index.get, repeat(-1)
         suffix: dict[bytes, int] = {}
         for part in slices(batches, "text"):
-            n, known, log_c, log_n, codes, rare, ends = [], [], [], [], [], [], [0]
+            n, known, log_c, log_n, codes, rare, times, ends = [], [], [], [], [], [], [], [0]
             for text in part.column(3).cast(pa.binary()).to_pylist():
                 tokens = text.lower().split()
                 tokens.append(b"")
@@ -135,7 +136,9 @@ def _encoder(shared, schema: pa.Schema):
                     if tail not in suffix:
                         suffix[tail] = v.own + _suffix_class(tail, v.suffixes)
                     code[i] = suffix[tail]
-                    rare.append(tokens[i])
+                found = Counter(tokens[i] for i in out.tolist())
+                rare += found
+                times += found.values()
                 ends.append(len(rare))
                 hit = at[at >= 0]
                 n.append(len(tokens))
@@ -147,17 +150,17 @@ def _encoder(shared, schema: pa.Schema):
                 codes.append(code.astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), part.column(2), *(pa.array(x, pa.int64()) for x in (n, known)), *(pa.array(x, pa.float64()) for x in (log_c, log_n)),
-                 pa.array(codes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.string()))],
+                 pa.array(codes, pa.binary()), *(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(rare, pa.string()), pa.array(times, pa.int64())))],
                 schema=schema,
             )
 
     return encode
 
 
-_ENCODED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, log_c double, log_n double, codes binary, rare array<string>"
+_ENCODED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, log_c double, log_n double, codes binary, rare array<string>, times array<long>"
 _ENCODED_ARROW = pa.schema([
     ("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
-    ("log_c", pa.float64()), ("log_n", pa.float64()), ("codes", pa.binary()), ("rare", pa.list_(pa.string())),
+    ("log_c", pa.float64()), ("log_n", pa.float64()), ("codes", pa.binary()), ("rare", pa.list_(pa.string())), ("times", pa.list_(pa.int64())),
 ])
 
 
@@ -176,35 +179,92 @@ def _time_major(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return order, active, np.concatenate([[0], np.cumsum(active)])
 
 
-def expected_counts(sequences: list[np.ndarray], hmm: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of starts, steps and emissions, and the natural log-likelihood."""
-    sequences = sorted(sequences, key=len, reverse=True)
-    lengths = np.array([len(s) for s in sequences])
-    codes = np.concatenate(sequences)
+def _stretches(sequences: list[np.ndarray], stretch: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Stretches of all sequences in order, the sequence of each, and if it is that sequence's first."""
+    pieces, owner, lead = [], [], []
+    for i, s in enumerate(sequences):
+        for j in range(0, len(s), stretch):
+            pieces.append(s[j : j + stretch])
+            owner.append(i)
+            lead.append(j == 0)
+    return pieces, np.array(owner), np.array(lead, bool)
+
+
+def _transfers(pieces: list[np.ndarray], lead: np.ndarray, hmm: Hmm) -> tuple[np.ndarray, np.ndarray]:
+    """For each stretch and possible state before it: the scaled state after it, and the natural log of its weight."""
+    k = len(hmm.start)
+    lengths = np.array([len(p) for p in pieces])
+    rank = np.argsort(-lengths, kind="stable")
+    order, active, at = _time_major(lengths[rank])
+    e = hmm.emit.T[np.concatenate([pieces[i] for i in rank])[order].astype(np.int64)]
+    first = lead[rank]
+    state, logs = np.empty((len(pieces), k, k)), np.zeros((len(pieces), k))
+    for t, n in enumerate(active):
+        here = e[at[t] : at[t + 1], None, :]
+        if t == 0:  # the first stretch has only the model's start before it
+            a = np.where(first[:, None, None], hmm.start[None, None, :], hmm.step[None, :, :]) * here
+        else:
+            a = (state[:n].reshape(-1, k) @ hmm.step).reshape(n, k, k) * here
+        s = a.sum(axis=2)
+        state[:n] = a / s[:, :, None]
+        logs[:n] += np.log(s)
+    back = np.empty(len(pieces), np.int64)
+    back[rank] = np.arange(len(pieces))
+    return state[back], logs[back]
+
+
+def _messages(pieces: list[np.ndarray], owner: np.ndarray, lead: np.ndarray, hmm: Hmm) -> tuple[np.ndarray, np.ndarray]:
+    """For each stretch: the state's law before it given what came before, and the weight of each state after it by what follows (up to scale)."""
+    k = len(hmm.start)
+    before, after = np.zeros((len(pieces), k)), np.ones((len(pieces), k))
+    many = np.flatnonzero(np.isin(owner, owner[~lead]))
+    if len(many):
+        state, logs = np.zeros((len(pieces), k, k)), np.zeros((len(pieces), k))
+        state[many], logs[many] = _transfers([pieces[i] for i in many], lead[many], hmm)
+        for i in many.tolist():
+            if not lead[i]:
+                belief = state[i - 1, 0] if lead[i - 1] else (before[i - 1] * np.exp(logs[i - 1] - logs[i - 1].max())) @ state[i - 1]
+                before[i] = belief / belief.sum()
+        for i in reversed(many.tolist()):
+            if not lead[i]:
+                weight = np.exp(logs[i] - logs[i].max()) * (state[i] @ after[i])
+                after[i - 1] = weight / weight.sum()
+    return before, after
+
+
+def expected_counts(sequences: list[np.ndarray], hmm: Hmm, stretch: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of starts, steps and emissions over whole sequences, and the natural log-likelihood."""
+    pieces, owner, lead = _stretches(sequences, stretch)
+    before, after = _messages(pieces, owner, lead, hmm)
+    rank = np.argsort([-len(p) for p in pieces], kind="stable")
+    lengths, first = np.array([len(pieces[i]) for i in rank]), lead[rank]
     order, active, at = _time_major(lengths)
-    codes = codes[order].astype(np.int64)
+    codes = np.concatenate([pieces[i] for i in rank])[order].astype(np.int64)
     k = len(hmm.start)
     e = hmm.emit.T[codes]
     alpha, scale = np.empty_like(e), np.empty(len(e))
-    before = None
+    a = None
     for t, n in enumerate(active):
-        a = (hmm.start if before is None else before[:n] @ hmm.step) * e[at[t] : at[t + 1]]
+        a = (np.where(first[:, None], hmm.start, before[rank] @ hmm.step) if a is None else a[:n] @ hmm.step) * e[at[t] : at[t + 1]]
         s = a.sum(axis=1)
         a /= s[:, None]
         alpha[at[t] : at[t + 1]], scale[at[t] : at[t + 1]] = a, s
-        before = a
-    beta = np.ones_like(e)
-    for t in range(len(active) - 1, 0, -1):
-        n = active[t]
+    # a stretch's last token starts the way back, with what follows the stretch scaled to belief 1
+    beta = np.empty_like(e)
+    last = at[lengths - 1] + np.arange(len(lengths))
+    beta[last] = after[rank] / (alpha[last] * after[rank]).sum(axis=1, keepdims=True)
+    for t in range(len(active) - 1, -1, -1):
         w = e[at[t] : at[t + 1]] * beta[at[t] : at[t + 1]] / scale[at[t] : at[t + 1], None]
         e[at[t] : at[t + 1]] = w  # what a step into this place weighs
-        beta[at[t - 1] : at[t - 1] + n] = w @ hmm.step.T
+        if t:
+            beta[at[t - 1] : at[t - 1] + active[t]] = w @ hmm.step.T
     later = np.arange(at[1], len(e))
     previous = later - np.repeat(active[:-1], active[1:])
-    steps = (alpha[previous].T @ e[later]) * hmm.step
+    across = np.flatnonzero(~first)
+    steps = (alpha[previous].T @ e[later] + before[rank[across]].T @ e[across]) * hmm.step
     gamma = alpha * beta
     emits = np.stack([np.bincount(codes, weights=gamma[:, i], minlength=hmm.emit.shape[1]) for i in range(k)])
-    return gamma[: at[1]].sum(axis=0), steps, emits, float(np.log(scale).sum())
+    return gamma[: at[1]][first].sum(axis=0), steps, emits, float(np.log(scale).sum())
 
 
 def log_likelihoods(sequences: list[np.ndarray], hmm: Hmm, stretch: int = 512) -> np.ndarray:
@@ -213,37 +273,12 @@ def log_likelihoods(sequences: list[np.ndarray], hmm: Hmm, stretch: int = 512) -
     Sequences over ``stretch`` run as stretches from every state at once, and the resulting
     transfer matrices are multiplied in order.
     """
-    k = len(hmm.start)
-    pieces, owner, lead = [], [], []
-    for i, s in enumerate(sequences):
-        for j in range(0, len(s), stretch):
-            pieces.append(s[j : j + stretch])
-            owner.append(i)
-            lead.append(j == 0)
-    lengths = np.array([len(p) for p in pieces])
-    rank = np.argsort(-lengths, kind="stable")
-    lengths, codes = lengths[rank], np.concatenate([pieces[i] for i in rank])
-    first = np.array(lead)[rank]
-    order, active, at = _time_major(lengths)
-    e = hmm.emit.T[codes[order].astype(np.int64)]
-    # a row per stretch and possible state before it; the first stretch has only the model's start
-    state = np.empty((len(pieces), k, k))
-    logs = np.zeros((len(pieces), k))
-    for t, n in enumerate(active):
-        here = e[at[t] : at[t + 1], None, :]
-        if t == 0:
-            a = np.where(first[:, None, None], hmm.start[None, None, :], hmm.step[None, :, :]) * here
-        else:
-            a = (state[:n].reshape(-1, k) @ hmm.step).reshape(n, k, k) * here
-        s = a.sum(axis=2)
-        state[:n] = a / s[:, :, None]
-        logs[:n] += np.log(s)
+    pieces, owner, lead = _stretches(sequences, stretch)
+    state, logs = _transfers(pieces, lead, hmm)
     out = np.zeros(len(sequences))
-    place = np.empty(len(pieces), np.int64)
-    place[rank] = np.arange(len(pieces))
     belief: np.ndarray | None = None
-    for j, i in enumerate(owner):
-        m, x = state[place[j]], logs[place[j]]
+    for j, i in enumerate(owner.tolist()):
+        m, x = state[j], logs[j]
         if lead[j]:
             out[i], belief = x[0], m[0]
         else:
@@ -271,13 +306,12 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iter
             yield rows, found, batch
 
 
-def _trainer(shared, segment: int):
+def _trainer(shared, stretch: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm: Hmm = shared.value
         totals = None
         for _, found, _ in _groups(batches, 0, 150_000):
-            cut = [s[j : j + segment] for s in found for j in range(0, len(s), segment)]
-            start, step, emit, log = expected_counts(cut, hmm)
+            start, step, emit, log = expected_counts(found, hmm, stretch)
             flat = np.concatenate([start, step.ravel(), emit.ravel(), [log]])
             totals = flat if totals is None else totals + flat
         if totals is not None:
@@ -307,7 +341,7 @@ def train(encoded: DataFrame, classes: int, settings: HmmSettings) -> Hmm:
     for _ in range(settings.rounds):
         shared = context.broadcast(hmm)
         # one row per model cell and task comes in, one per cell goes to the driver: states x classes, a parameter
-        summed = encoded.select("codes").mapInArrow(_trainer(shared, settings.segment), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+        summed = encoded.select("codes").mapInArrow(_trainer(shared, settings.stretch), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value"))
         totals = np.zeros(k + k * k + k * classes + 1)
         for r in summed.collect():
             totals[r.cell] = r.value
@@ -349,8 +383,8 @@ def hmm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sett
     encoded = materialize(ordered.mapInArrow(_encoder(shared, _ENCODED_ARROW), _ENCODED), "encoded")
     hmm = train(encoded.where("not held_out"), vocabulary.classes, settings)
     scored = encoded.select("uid", "codes").mapInArrow(_scorer(spark.sparkContext.broadcast(hmm)), "uid long, log_classes double")
-    rare = encoded.select("uid", F.explode("rare").alias("word")).join(counts, "word")
-    rare = rare.groupBy("uid").agg(F.count(F.lit(1)).alias("rare_known"), F.sum(F.log10(F.col("c") + 1)).alias("rare_log"))
+    rare = encoded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("word"), F.col("r.times").alias("times")).join(counts, "word")
+    rare = rare.groupBy("uid").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_log"))
     full = encoded.select("uid", "doc_id", "held_out", "n_tokens", "known", "log_c", "log_n").join(scored, "uid").join(rare, "uid", "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     return full.select(
