@@ -3,18 +3,19 @@
 Base spans come from plain patterns. The method then runs transducers over a text, each
 of which keeps the source stretch of every character it writes: the first folds characters
 (look-alikes of other scripts, wide forms, foreign digits, unusual spaces, nothing for
-zero-width ones), the others rewrite words (spelled digits and the dots between digits, then
+zero-width ones; compatibility forms such as mathematical letters become what they stand for), the others rewrite words (spelled digits and the dots between digits, then
 ``at`` and ``dot`` in brackets, then bare ones between the parts of an address). The same detectors read the result, and each find that
 rests on a rewritten character is mapped back to the characters it came from.
 
 Spans count code points, end exclusive. Kinds, in the order that breaks ties: email, ip,
 card, phone. An added span never touches a base span of its kind.
 
-Rows are independent: no shuffle, and a task holds one slice of texts. Detectors are linear
-in a text's length.
+Rows are independent: no shuffle, and a task holds one slice of texts. Detectors and transducers are
+linear in a text's length: patterns are anchored at a sign or word and walk outwards from it without a
+limit on blanks, labels or dots, and never give back what they took.
 
 Defined cases: null text counts as empty (no spans, the digest of the empty string);
-repeated rows are scanned alike; an empty table gives an empty result.
+repeated rows are scanned alike; texts of any length are scanned whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,16 +83,16 @@ def find(text: str) -> list[Span]:
 
 #: Letters of other scripts that look like Latin ones.
 LOOK_ALIKES = dict(zip(
-    "АВЕКМНОРСТУХЅІЈаеорсухѕіјһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναιυρ",
-    "ABEKMHOPCTYXSIJaeopcyxsijhdqwABEZHIKMNOPTYXovaiup",
+    "АВЕКМНОРСТУХЅІЈаеорсухѕіјһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναιυρεηκτχγωѵӏҮүԌօոսհցզɑɡɩᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢᎪᎬᎻᎷᎢᏔᏃᏟ",
+    "ABEKMHOPCTYXSIJaeopcyxsijhdqwABEZHIKMNOPTYXovaiupenktxywvlYyGonuhgqagiabcdefghijklmnoprstuvwyzAEHMTWZC",
     strict=True,
 ))
 _DASHES, _DOTS, _NOTHING = "‐‑‒–—−", "․。｡", "​‌‍⁠﻿­"
 
 
 def _folds() -> dict[str, str]:
-    table = dict(LOOK_ALIKES)
-    table |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # wide forms of ASCII
+    plain = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x250, 0x1FBFA))
+    table = {c: n for c, n in plain if n != c and n.isascii() and n.isprintable()} | LOOK_ALIKES  # wide, mathematical and circled forms
     table |= {chr(c): str(unicodedata.digit(chr(c))) for c in range(0x80, 0x1FBFA) if unicodedata.category(chr(c)) == "Nd"}
     table |= dict.fromkeys(_DASHES, "-") | dict.fromkeys(_DOTS, ".") | dict.fromkeys(_NOTHING, "")
     return table | {chr(c): " " for c in range(0x80, 0x3001) if unicodedata.category(chr(c)) == "Zs"}
@@ -110,15 +111,17 @@ DIGIT_WORDS = {
 _VALUE = {w: str(i) for words in DIGIT_WORDS.values() for i, w in enumerate(words)} | {"oh": "0"}
 _POINT = "dot|point|punkt|punto"
 _NUMBER = "|".join(sorted(_VALUE, key=len, reverse=True))
-_TOKEN = re.compile(rf"(?i:({_NUMBER})|(plus)|({_POINT})|(dash|hyphen)|([0-9]+))(?![^\W_])")
+_TOKEN = re.compile(rf"(?i:(?:(double|triple)[ -]++)?(?:({_NUMBER})|([0-9]+))|(plus)|({_POINT})|(dash|hyphen))(?![^\W_])")
+_TIMES = {"double": 2, "triple": 3}
 _SPELLED = re.compile(
-    rf"(?<![^\W_])(?:(?i:plus)[ ,-]{{1,3}})?(?i:{_NUMBER}|[0-9]+)(?![^\W_])(?:[ ,.-]{{1,3}}(?i:{_NUMBER}|{_POINT}|dash|hyphen|[0-9]+)(?![^\W_])){{3,}}"
+    rf"(?<![^\W_])(?:(?i:plus)[ ,-]++)?(?:(?i:double|triple)[ -]++)?(?i:{_NUMBER}|[0-9]+)(?![^\W_])"
+    rf"(?:[ ,.-]++(?:(?i:double|triple)[ -]++)?(?i:{_NUMBER}|{_POINT}|dash|hyphen|[0-9]+)(?![^\W_])){{3,}}+"
 )
-_AT = re.compile(r"\s{0,3}[(\[{<]\s{0,3}(?i:at|@)\s{0,3}[)\]}>]\s{0,3}")
-_DOT = re.compile(rf"\s{{0,3}}[(\[{{<]\s{{0,3}}(?i:{_POINT}|\.)\s{{0,3}}[)\]}}>]\s{{0,3}}")
-_ANCHOR = re.compile(r"\s{1,3}[aA][tT]\s{1,3}(?=[A-Za-z0-9-])|@")
-_HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|\s{{1,3}}(?i:{_POINT})\s{{1,3}})[A-Za-z0-9-]+)+(?![^\W_])")
-_HOST_DOT = re.compile(rf"\.|\s{{1,3}}(?i:({_POINT}))\s{{1,3}}")
+_BRACKET = re.compile(rf"[(\[{{<]\s*+(?:((?i:at|@))|(?i:{_POINT}|\.))\s*+[)\]}}>]\s*+")
+_ANCHOR = re.compile(r"(?<=\s)[aA][tT](?=\s)|@")
+_BLANK = re.compile(r"\s*+")
+_HOST = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|\s++(?i:{_POINT})\s++)[A-Za-z0-9-]++(?![^\W_]))++")
+_HOST_DOT = re.compile(rf"\.|\s++(?i:({_POINT}))\s++")
 #: Local parts that no plain word gives: a letter first, and a digit or a sign other than a hyphen inside.
 _MADE = re.compile(r"[A-Za-z](?=.*[._%+0-9]).*[A-Za-z0-9]", re.S)
 #: Last parts of addresses that are no English words; after a bare "at", "this point in" is prose.
@@ -164,34 +167,46 @@ class Rewritten:
         return a, b, gaps or any(self.edited[i : j + 1])
 
 
+def _written(times: str | None, number: str | None, digits: str | None, plus: str | None, point: str | None) -> str:
+    """What a token of a spelled run stands for; "double" and "triple" repeat one digit."""
+    if not number and not digits:
+        return "+" if plus else "." if point else "-"
+    value = _VALUE.get(_lower(number), "") if number else digits
+    return value * _TIMES[_lower(times)] if times and len(value) == 1 else value
+
+
 def _spelled_edits(text: str) -> list[Edit]:
     """Runs of digits with a spelled digit or point; with fewer than three, plain digits stay as far apart as they are."""
     edits: list[Edit] = []
     for m in _SPELLED.finditer(text):
         tokens = list(_TOKEN.finditer(text, m.start(), m.end()))
-        while tokens and (tokens[-1][3] or tokens[-1][4]):
+        while tokens and (tokens[-1][5] or tokens[-1][6]):
             tokens.pop()  # a point after the last digit may be that of an address
-        if not any(t[1] or t[3] for t in tokens):
+        if not any(t[2] or t[5] for t in tokens):
             continue
-        close = sum(1 for t in tokens if t[1]) >= 3
+        close = sum(1 for t in tokens if t[2]) >= 3
         for k, t in enumerate(tokens):
-            new = _VALUE.get(_lower(t[1]), "") if t[1] else "+" if t[2] else "." if t[3] else "-" if t[4] else t[5]
+            new = _written(*t.groups()[:5])
             after = tokens[k + 1] if k + 1 < len(tokens) else None
-            if not after or not close and t[5] and after[5]:
+            if not after or not close and t[3] and after[3]:
                 edits.append((t.start(), t.end(), new))
             else:
                 edits.append((t.start(), after.start(), new))
     return [e for e in edits if text[e[0] : e[1]] != e[2]]
 
 
+def _before_blanks(text: str, at: int, low: int) -> int:
+    while at > low and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
 def _bracket_edits(text: str) -> list[Edit]:
-    found = [(m.start(), m.end(), "@") for m in _AT.finditer(text)]
-    kept, last = [], -1
-    for e in sorted(found + [(m.start(), m.end(), ".") for m in _DOT.finditer(text)]):
-        if e[0] >= last:
-            kept.append(e)
-            last = e[1]
-    return kept
+    """At and dot in brackets, with the blanks around them."""
+    edits: list[Edit] = []
+    for m in _BRACKET.finditer(text):
+        edits.append((_before_blanks(text, m.start(), edits[-1][1] if edits else 0), m.end(), "@" if m[1] else "."))
+    return edits
 
 
 def _bare_edits(text: str, before: Rewritten | None) -> list[Edit]:
@@ -203,20 +218,23 @@ def _bare_edits(text: str, before: Rewritten | None) -> list[Edit]:
     edits: list[Edit] = []
     low = 0
     for m in _ANCHOR.finditer(text):
-        start = m.start()
+        bare = m.group() != "@"
+        left = _before_blanks(text, m.start(), low) if bare else m.start()
+        right = _BLANK.match(text, m.end()).end() if bare else m.end()
+        start = left
         while start > low and text[start - 1] in _LOCAL:
             start -= 1
         low = m.end()
-        host = _HOST.match(text, m.end()) if start < m.start() else None
+        host = _HOST.match(text, right) if start < left else None
         if not host:
             continue
         dots = list(_HOST_DOT.finditer(text, host.start(), host.end()))
-        if m.group() != "@":
+        if bare:
             sure = any(d[1].lower() != "point" if d[1] else before and before.stretch(d.start(), d.end())[2] for d in dots)
             pointed = any(d[1] for d in dots) and text[dots[-1].end() : host.end()].lower() in _ENDS
-            if not sure and not pointed and not _MADE.fullmatch(text[start : m.start()]):
+            if not sure and not pointed and not _MADE.fullmatch(text[start:left]):
                 continue
-            edits.append((m.start(), m.end(), "@"))
+            edits.append((left, right, "@"))
         edits += [(d.start(), d.end(), ".") for d in dots if d[1]]
     return edits
 
