@@ -7,17 +7,20 @@ signed hash of its words; a learned layer makes an embedding of that. Gated atte
 scored by a logistic unit. Document labels are all that training sees.
 
 Training takes at most ``sample`` labelled documents (half of each label where there are as
-many), the ones with the smallest hash of their id: a documented bound on what reaches the
-driver. Encoding and scoring are independent by row and cover all passages of all rows.
+many), the ones with the smallest hash of their id, and of each ``train_passages`` passages at
+most, evenly spread over the document: a documented bound on what the one task that fits gets. They
+are sorted there, so runs give the same weights however rows are dealt; the weights go to the driver. Encoding and scoring
+are independent by row and cover all passages of all rows, whatever a text's length.
 
 Defined cases: null text counts as empty, and an empty text is one empty passage; labels
-other than 0 and 1 and null ids are ignored, of several labels of an id the smallest counts;
-without both labels every score is 0.5; repeated rows are scored alike; an empty table
+other than 0 and 1 and null ids are ignored, of several labels of an id the smallest counts, of
+several texts of an id the one of the smallest hash trains; without both labels every score is 0.5; repeated rows are scored alike; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,10 +38,11 @@ FEATURES = SHAPES + HASHED
 
 @dataclass(frozen=True)
 class AttentionSettings:
-    """``passage``: words; ``sample``: labelled documents that training may take at most."""
+    """``passage``: words; ``sample``: labelled documents that training may take at most; ``train_passages``: of each of them."""
 
     passage: int = 100
     sample: int = 4000
+    train_passages: int = 64
     width: int = 16
     epochs: int = 250
     rate: float = 0.02
@@ -88,7 +92,7 @@ def encode_passages(raw: np.ndarray, offsets: np.ndarray, passage: int) -> tuple
     x[:, 6] = share(raw >= 128)
     x[:, 7] = share(raw == 10)
     x[:, 8] = np.log1p(size) / np.log1p(passage)
-    x[:, 9] = chars / held / 10
+    x[:, 9] = np.where(some, chars / held / 10, 0)  # an empty passage is all zeros, whatever comes with it
     x[:, 10] = np.sqrt(np.maximum(np.bincount(owner, weights=length**2, minlength=n) / held - (chars / held) ** 2, 0)) / 10
     x[:, 11] = np.bincount(owner, weights=length <= 3, minlength=n) / held
     h = word_hashes(raw, starts, ends, seed=3)
@@ -159,12 +163,25 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, settings: AttentionSett
     return model
 
 
-def _passages(passage: int):
+def _passages(passage: int, most: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            x, first = encode_passages(*text_buffer(part.column(1)), passage)
-            blobs = [x[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["y", "passages"])
+            x, first = encode_passages(*text_buffer(part.column(3)), passage)
+            blobs = [x[np.unique(np.linspace(i, j - 1, min(j - i, most)).astype(int))].tobytes() for i, j in zip(first[:-1], first[1:])]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(blobs, pa.binary())], names=["id", "t", "y", "passages"])
+
+    return make
+
+
+def _fitter(settings: AttentionSettings):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(x for b in batches for x in zip(*(c.to_pylist() for c in b.columns)))
+        y = np.array([r[1] for r in rows], float)
+        if len(y) and y.min() < y.max():
+            bags = [np.frombuffer(r[2], np.float32).reshape(-1, FEATURES) for r in rows]
+            first = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+            model = fit(np.concatenate(bags).astype(float), first, y, settings)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     return make
 
@@ -188,15 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     half = settings.sample // 2
     picked = [lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1]).withColumnRenamed("doc_id", "__id")
-    texts = docs.join(F.broadcast(chosen), docs[doc_id] == chosen["__id"]).select(F.col("__id"), "y", text_or_empty(text).alias("text"))  # ``sample`` ids at most
-    texts = texts.dropDuplicates(["__id"]).select(F.col("y").cast("int").alias("y"), "text")
-    rows = texts.mapInArrow(_passages(settings.passage), "y int, passages binary").collect()  # ``sample`` rows at most
-    y = np.array([r.y for r in rows], float)
-    if not len(y) or y.min() == y.max():
-        return None
-    bags = [np.frombuffer(r.passages, np.float32).reshape(-1, FEATURES) for r in rows]
-    first = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
-    return fit(np.concatenate(bags).astype(float), first, y, settings)
+    value = text_or_empty(text)
+    texts = docs.join(F.broadcast(chosen), F.col(f"`{doc_id}`") == chosen["__id"]).select(F.col("__id").alias("id"), F.xxhash64(value).alias("t"), F.col("y").cast("int").alias("y"), value.alias("text"))  # ``sample`` ids at most
+    encoded = texts.mapInArrow(_passages(settings.passage, settings.train_passages), "id long, t long, y int, passages binary")
+    once = encoded.groupBy("id").agg(F.min(F.struct("t", "y", "passages")).alias("r")).select("id", "r.y", "r.passages").repartition(1)
+    found = once.mapInArrow(_fitter(settings), "model binary").first()  # ``sample`` rows at most come together
+    return pickle.loads(found.model) if found else None
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", settings: AttentionSettings | None = None) -> DataFrame:
