@@ -12,7 +12,7 @@ Defined cases: null text counts as empty; a null stratum is a stratum of its own
 other than 0 and 1 and null ids are ignored; of several labels of a document the
 smallest counts, and of repeated documents each row counts; a stratum with too few good
 rows gets no cutoff, so nothing is rejected there beyond the base rules; an empty table
-gives an empty result.
+gives an empty result. A text of any length is counted whole.
 """
 
 from __future__ import annotations
@@ -224,27 +224,23 @@ def select_cutoffs(good: DataFrame, stratum: str, features: str, settings: RuleS
     return chosen.groupBy("__stratum").agg(*[F.max(F.when(F.col("rule") == r, cut)).alias(f"__cut_{r}") for r in settings.grids])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", settings: RuleSettings | None = None, keep_columns: bool = False, reuse: bool = True) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", settings: RuleSettings | None = None, keep_columns: bool = False) -> DataFrame:
     """Apply the risk-controlled rules to every document.
 
     With ``keep_columns`` the rows that stay are returned with exactly the columns of
     ``docs``; otherwise doc_id, the counts, ``base_failed`` and ``kept`` of every row.
-    ``reuse`` writes the counts (a few longs a row) once for both passes.
+    The counts are made once and written for both passes, beside the rows where those are returned.
     """
     settings = settings or RuleSettings()
     lab = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
         .groupBy(F.col("doc_id").alias("__label_id")).agg(F.min("quality").alias("__quality"))
     )
-    narrow = docs.select(F.col("doc_id"), F.col(stratum).cast("string").alias("__s"), base_features(docs, text).alias("__f"))
-    if reuse and not keep_columns:
-        narrow = materialize(narrow, "quality-features")
+    made = {"__s": F.col(stratum).cast("string"), "__f": base_features(docs, text)}
+    rows = materialize(docs.withColumns(made) if keep_columns else docs.select("doc_id", *[c.alias(n) for n, c in made.items()]), "quality-features")
+    narrow = rows.select("doc_id", "__s", "__f")
     good = narrow.join(lab.where("__quality = 1"), F.col("doc_id") == F.col("__label_id")).select("__s", "__f")
     cuts = select_cutoffs(good, "__s", "__f", settings)
-    if keep_columns:
-        rows = docs.withColumns({"__s": F.col(stratum).cast("string"), "__f": base_features(docs, text)})
-    else:
-        rows = narrow
     # a row per stratum: broadcast while there are few, so that no text is dealt by stratum
     cuts = materialize(cuts, "cutoffs")
     if cuts.count() <= FEW_STRATA:
@@ -254,9 +250,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", tex
     over = reduce(lambda a, b: a | b, [F.coalesce(ratios[r] > F.col(f"__cut_{r}"), F.lit(False)) for r in settings.grids])
     failed = base_failed(F.col("__f"))
     if keep_columns:
-        # one undivided expression over both sides: pushed below the join, the counts would be made twice
-        verdict = F.when(failed, F.lit(1)).when(over, F.lit(2)).otherwise(F.lit(0))
-        return joined.where(verdict == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return joined.where(~failed & ~over).select(*[F.col(f"`{c}`") for c in docs.columns])
     f = F.col("__f")
     return joined.select(
         "doc_id", *[f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
