@@ -6,7 +6,7 @@ dominant direction and its counts. Order of arrival is ``pkt_seq`` everywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,8 +64,13 @@ def directions(packets: DataFrame, ordered: bool = True) -> DataFrame:
 def flows(packets: DataFrame, ordered: bool = True) -> DataFrame:
     """Flows with totals, first and last packet, and the dominant direction: most packets, then the larger
     (source, port, destination, port), ports as numbers."""
+    return flows_of(directions(packets, ordered))
+
+
+def flows_of(found: DataFrame) -> DataFrame:
+    """Flows from their directions."""
     top = F.max(F.struct("n", "src_ip", "src_port", "dst_ip", "dst_port", "bytes"))
-    grouped = directions(packets, ordered).groupBy("protocol", "lo", "hi").agg(
+    grouped = found.groupBy("protocol", "lo", "hi").agg(
         F.sum("n").alias("packets"), F.sum("bytes").alias("bytes"), F.sum("payload").alias("payload"), F.min("first").alias("first"), F.max("last").alias("last"), top.alias("dom")
     )
     return grouped.select(
@@ -106,12 +111,17 @@ def top_flows(found: DataFrame, by: str, k: int = 10) -> DataFrame:
 
 
 def tcp_conversations(packets: DataFrame) -> DataFrame:
-    """Undirected TCP conversations with their packets in order."""
+    """Packets of the undirected TCP conversations, a row each with its place in the conversation (from 1).
+
+    A conversation is never gathered: packets are counted in stretches of 65536 arrivals, and numbered inside a
+    stretch from where the stretches before it end.
+    """
     src, dst = end_point("src"), end_point("dst")
-    rows = of_protocol(packets, "TCP")
-    return rows.groupBy(F.least(src, dst).alias("lo"), F.greatest(src, dst).alias("hi")).agg(
-        F.count(F.lit(1)).alias("packets"), F.array_join(F.transform(F.array_sort(F.collect_list("pkt_seq")), lambda x: x.cast("string")), ",").alias("sequence")
-    )
+    rows = of_protocol(packets, "TCP").select(F.least(src, dst).alias("lo"), F.greatest(src, dst).alias("hi"), "pkt_seq", F.floor(F.col("pkt_seq") / 65536).alias("stretch"))
+    counts = rows.groupBy("lo", "hi", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("lo", "hi").orderBy("stretch")) - F.col("n")).drop("n")
+    inside = rows.withColumn("at", F.row_number().over(Window.partitionBy("lo", "hi", "stretch").orderBy("pkt_seq")))
+    return inside.join(before, ["lo", "hi", "stretch"]).select("lo", "hi", (F.col("before") + F.col("at")).cast("long").alias("place"), "pkt_seq")
 
 
 def capture_summary(packets: DataFrame) -> DataFrame:
@@ -121,16 +131,49 @@ def capture_summary(packets: DataFrame) -> DataFrame:
 
 
 def flow_stats(found: DataFrame) -> DataFrame:
-    """Totals over flows, in one pass; sums apart, so averages are the caller's exact quotient."""
+    """Totals and averages (2 places) over flows, in one pass; one row of zeros where there are none."""
     lo_ip, hi_ip = F.substring_index("lo", ":", 1), F.substring_index("hi", ":", 1)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    most = lambda c: F.coalesce(F.max(c), F.lit(0))
+    mean = lambda c: F.coalesce(F.round(F.try_divide(F.sum(c), F.count(F.lit(1))), 2), F.lit(0.0))
     return found.agg(
-        F.count(F.lit(1)).alias("flows"), F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("max_bytes"), F.max("packets").alias("max_packets"),
+        F.count(F.lit(1)).alias("flows"), total("packets").alias("packets"), total("bytes").alias("bytes"), total("payload").alias("payload"), mean("packets").alias("avg_packets"), mean("bytes").alias("avg_bytes"),
+        most("bytes").alias("max_bytes"), most("packets").alias("max_packets"),
         F.count_distinct("dom_src_ip").alias("src_ips"), F.count_distinct("dom_dst_ip").alias("dst_ips"), F.count_distinct("dom_src_port").alias("src_ports"),
         F.count_distinct("dom_dst_port").alias("dst_ports"), F.count_distinct(F.concat_ws("|", lo_ip, hi_ip)).alias("ip_pairs"),
     )
 
 
+def most_common(found: DataFrame, column: str, k: int, order: str = "first_seq") -> DataFrame:
+    """The k commonest values of a column, earlier seen first among equals."""
+    return found.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first").limit(k).select("value", "n")
+
+
+def flow_protocols(found: DataFrame) -> DataFrame:
+    """Flows by protocol, with their share in ten-thousandths."""
+    counted = found.groupBy("protocol").agg(F.count(F.lit(1)).alias("flows"))
+    return counted.withColumn("share_bp", F.floor(F.col("flows") * 10000 / F.sum("flows").over(Window.partitionBy())).cast("long"))  # a row per protocol
+
+
+def flow_records(found: DataFrame, flags: DataFrame) -> DataFrame:
+    """Flows with a map of their flag counts (flags that occur), as reports export them."""
+    pairs = F.map_filter(F.map_from_arrays(F.array(*[F.lit(f) for f in FLAGS]), F.array(*[F.col(f.lower()) for f in FLAGS])), lambda _, n: n > 0)
+    counts = flags.select("protocol", "lo", "hi", pairs.alias("flag_counts"), "syn", "ack", "fin", "rst")
+    return found.join(counts, ["protocol", "lo", "hi"], "left")
+
+
+def flows_with(found: DataFrame, protocol: str | None = None, ip: str | None = None, port: int | None = None) -> DataFrame:
+    """Flows of a protocol, and with an address or a port at either end."""
+    if protocol is not None:
+        found = found.where(F.upper("protocol") == protocol.upper())
+    if ip is not None:
+        found = found.where((F.col("dom_src_ip") == ip) | (F.col("dom_dst_ip") == ip))
+    if port is not None:
+        found = found.where((F.col("dom_src_port") == port) | (F.col("dom_dst_port") == port))
+    return found
+
+
 def packet_records(packets: DataFrame) -> DataFrame:
     """Packets as JSON objects of the fields that reports show."""
-    fields = ["protocol", "src_ip", "src_port", "dst_ip", "dst_port", "length", "flags", "payload_size", "dns_query"]
+    fields = ["ts_ms", "protocol", "src_ip", "src_port", "dst_ip", "dst_port", "length", "flags", "payload_size", "raw_summary", "dns_query"]
     return packets.select("pkt_seq", F.to_json(F.struct(*fields)).alias("record"))

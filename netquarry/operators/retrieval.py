@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import if_small, materialize
+
 #: English words that are never terms.
 STOP_WORDS = ["the", "a", "an", "of", "to", "in", "on", "for", "and", "or", "with", "is", "are", "was", "were", "be", "been", "how", "what", "which", "why"]
 
@@ -26,39 +34,51 @@ def postings(chunks: DataFrame) -> DataFrame:
     return listed.select("chunk_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def index_statistics(chunks: DataFrame) -> DataFrame:
-    """Chunks and average length, over all chunks."""
-    return chunks.select(F.size(terms(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("terms"))
+@dataclass(frozen=True)
+class Asked:
+    """Query terms (query_id, term), and for every chunk its count ``tf`` of each of them and, as the null term, of all others."""
 
+    terms: DataFrame
+    counts: DataFrame
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, within: Column | None = None) -> DataFrame:
-    """query_id, rank, chunk_id, score of the best chunks of every query; ``within`` filters chunks, not statistics.
 
-    Only postings of query terms are joined: the terms of all queries are broadcast when
-    Spark finds them small, and their document frequencies come from the same postings.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    hits = postings(chunks).join(asked.select("term").distinct(), "term", "left_semi")
+def ask(chunks: DataFrame, queries: DataFrame) -> Asked:
+    """One pass over the texts: terms that no query asks are counted together before anything is shuffled."""
+    asked = materialize(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")), "asked")
+    words = asked.select(F.col("term").alias("asked")).distinct()
+    listed = chunks.select("chunk_id", F.explode_outer(terms(F.col("text"))).alias("t"))
+    counts = listed.join(if_small(words), F.col("t") == F.col("asked"), "left").groupBy("chunk_id", F.col("asked").alias("term")).agg(F.count("t").alias("tf"))
+    return Asked(asked, materialize(counts, "term-counts"))
+
+
+def bm25(index: Asked, k: int = 20, k1: float = 1.5, b: float = 0.75, within: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, chunk_id, score of the best chunks of every query; ``within`` (chunk_id) filters chunks, not statistics."""
+    lengths = index.counts.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+    stats = lengths.agg(F.count(F.lit(1)).alias("chunks"), F.sum("dl").alias("terms"))
+    hits = index.counts.where("term is not null")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = index_statistics(chunks)
     if within is not None:
-        hits = hits.join(chunks.where(within).select("chunk_id"), "chunk_id", "left_semi")
-    scored = asked.join(df, "term").join(hits, "term").crossJoin(F.broadcast(stats))  # one row
+        hits = hits.join(within.select("chunk_id"), "chunk_id", "left_semi")
+    scored = index.terms.join(df, "term").join(hits, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(stats))  # one row
     idf = F.log1p((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("terms") / F.col("chunks")))
     found = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / norm), 6).alias("score"))
     return top(found, k)
 
 
+def having(chunks: DataFrame, **values) -> DataFrame:
+    """Chunks whose columns have all of the given values."""
+    return chunks.where(reduce(lambda x, y: x & y, [F.col(c) == F.lit(v) for c, v in values.items()], F.lit(True)))
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def overlap(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def overlap(index: Asked, k: int = 20) -> DataFrame:
     """Chunks by the number of distinct query terms they hold."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    found = postings(chunks).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    found = index.counts.where("term is not null").join(index.terms, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     return top(found, k)
 
 
@@ -80,14 +100,133 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Nearest vectors by cosine distance; queries are a stated set, held against all rows in blocks."""
-    own = vectors.select(F.col("vec_id").alias("chunk_id"), normalised(F.col("embedding").cast("array<double>")).alias("v"))
-    asked = queries.select(F.col("vec_id").alias("query_id"), normalised(F.col("embedding").cast("array<double>")).alias("q"))
-    pairs = own.join(F.broadcast(asked), F.col("chunk_id") != F.col("query_id"))  # the caller's query set
-    distance = F.round(1 - dot(F.col("v"), F.col("q")), 6)
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(length > 0, length, 1.0)
+
+
+def _nearest_of_shard(k: int, block: int):
+    """Rows and then queries of every shard -> the k nearest rows of the shard for each query, and whatever ties with them."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shards, asks, ids = (batch.column(i).to_numpy() for i in range(3))
+            vectors = _unit(np.asarray(batch.column(3).flatten(), float).reshape(batch.num_rows, -1))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(shards.astype(np.int64) * 2 + asks)) + 1, [len(ids)]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if shards[a] != shard:
+                    shard, held = shards[a], []
+                if not asks[a]:
+                    held.append((ids[a:b], vectors[a:b]))
+                    continue
+                if len(held) > 1:
+                    held = [tuple(np.concatenate(x) for x in zip(*held))]
+                if not held:
+                    continue
+                rows, matrix = held[0]
+                for start in range(a, b, block):
+                    own = slice(start, min(b, start + block))
+                    score = vectors[own] @ matrix.T
+                    score[rows[None, :] == ids[own][:, None]] = -np.inf
+                    least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+                    q, r = np.nonzero((score >= least[:, None] - 2e-6) & np.isfinite(score))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[own][q]), pa.array(rows[r]), pa.array(score[q, r])], names=["query_id", "chunk_id", "cosine"])
+
+    return search
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = 50_000, block: int = 256) -> DataFrame:
+    """Nearest vectors by cosine distance, exactly (to 6 places, ties by id): a stated query set against all rows, in blocks.
+
+    Rows lie in shards and are moved once; queries are sent to every shard and stream through it.
+    """
+    rows = vectors.where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    shards = max(1, -(-rows.count() // shard_rows))
+    own = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("ask"), "vec_id", "v")
+    asked = queries.where("vec_id is not null and embedding is not null").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("ask"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    both = own.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "ask", "vec_id")
+    found = both.mapInArrow(_nearest_of_shard(k, block), "query_id long, chunk_id long, cosine double")
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return pairs.select("query_id", "chunk_id", distance.alias("distance")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    near = found.select("query_id", "chunk_id", F.round(1 - F.col("cosine"), 6).alias("distance"))
+    return near.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def distances(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``pairs`` (query_id, chunk_id) with their exact cosine distance; null where either has no vector."""
+    unit = lambda df, name: df.select(F.col("vec_id").alias(name), normalised(F.col("embedding").cast("array<double>")).alias(f"v_{name}"))
+    known = pairs.join(unit(vectors, "chunk_id"), "chunk_id", "left").join(unit(queries, "query_id"), "query_id", "left")
+    return known.withColumn("distance", F.round(1 - dot(F.col("v_chunk_id"), F.col("v_query_id")), 6)).drop("v_chunk_id", "v_query_id")
+
+
+#: Abbreviations and what a query that names one also asks for.
+TERM_SYNONYMS = {
+    "BGP": "边界网关协议 BGP", "OSPF": "开放最短路径优先 OSPF", "RIP": "路由信息协议 RIP",
+    "T1046": "T1046 网络服务扫描", "T1110": "T1110 暴力破解", "T1498": "T1498 网络拒绝服务", "T1572": "T1572 协议隧道", "T1071": "T1071 应用层协议",
+    "T1048": "T1048 数据渗出", "T1090": "T1090 代理", "T1021": "T1021 远程服务", "T1005": "T1005 本地数据窃取", "T1082": "T1082 系统信息发现",
+    "XSS": "跨站脚本 XSS", "CSRF": "跨站请求伪造 CSRF", "SQLi": "SQL注入 SQLi",
+    "SSH": "SSH 安全外壳", "RDP": "RDP 远程桌面", "FTP": "FTP 文件传输", "HTTP": "HTTP 超文本传输", "HTTPS": "HTTPS 超文本传输安全", "DNS": "DNS 域名系统",
+    "DHCP": "DHCP 动态主机配置", "NTP": "NTP 网络时间协议", "SNMP": "SNMP 简单网络管理",
+    "Wireshark": "Wireshark 网络封包分析", "Nmap": "Nmap 网络扫描", "Tcpdump": "Tcpdump 命令行抓包", "Snort": "Snort 入侵检测",
+    "SSL": "SSL 安全套接层", "TLS": "TLS 传输层安全", "IPsec": "IPsec 互联网协议安全", "VPN": "VPN 虚拟专用网络",
+}
+
+#: Core terms of the domain that reranking looks for.
+CORE_TERMS = [
+    "dns", "http", "https", "tcp", "udp", "icmp", "arp", "ospf", "bgp", "rip",
+    "ip", "ssl", "tls", "ipsec", "ftp", "ssh", "rdp", "smb", "dhcp", "vlan",
+    "sql", "xss", "csrf", "syn", "ack", "端口", "登录", "登陆", "数据包", "流量",
+    "带宽", "密码", "暴力", "注入", "钓鱼", "勒索", "木马", "病毒", "恶意", "隧道",
+    "代理", "横向", "持久化", "侦察", "扫描", "渗出", "泄露", "防火墙", "路由", "交换",
+    "连接", "会话", "证书", "加密", "认证", "权限", "命令", "脚本", "进程",
+]
+
+
+def expanded(text: Column) -> Column:
+    """A query with its abbreviations written out, longest first, where they stand alone."""
+    for short in sorted(TERM_SYNONYMS, key=len, reverse=True):
+        text = F.regexp_replace(text, rf"(?<![A-Za-z0-9]){short}(?![A-Za-z0-9])", TERM_SYNONYMS[short])
+    return text
+
+
+def core_terms(text: Column) -> Column:
+    """Core terms that a query names; the whole query where it names none."""
+    low = F.lower(text)
+    hits = F.filter(F.array(*[F.lit(t) for t in CORE_TERMS]), lambda t: F.contains(low, t))
+    return F.when(F.size(hits) > 0, hits).otherwise(F.array(low))
+
+
+def titled(title: Column, content: Column) -> Column:
+    """A knowledge item as the text that is indexed."""
+    return F.when(F.length(F.coalesce(title, F.lit(""))) > 0, F.concat(F.lit("【"), title, F.lit("】\n"), content)).otherwise(content)
+
+
+def hybrid(index: Asked, chunks: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 5, pool: int = 20) -> DataFrame:
+    """Hybrid search: query_id, chunk_id, similarity and rerank_score of the k best of every query, in order of ``rank``.
+
+    The ``pool`` best by BM25 (an index of the expanded queries) and by vectors are fused by reciprocal ranks; where they are fewer than k, the
+    next nearest vectors (3k) fill up. The k that lead are given their exact distance and reranked.
+    ``chunks``: chunk_id, title, content, meta; ``queries``: query_id, text.
+    """
+    near = vector_top(vectors, query_vectors, max(pool, 3 * k))
+    fused = top(fuse([bm25(index, pool), near.where(F.col("rank") <= pool)]), k).select("query_id", "chunk_id", F.col("rank").alias("place"))
+    have = fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
+    spare = near.where(F.col("rank") <= 3 * k).join(fused, ["query_id", "chunk_id"], "left_anti").join(have, "query_id", "left")
+    spare = spare.where(F.coalesce("have", F.lit(0)) < k).select("query_id", "chunk_id", (F.lit(pool) + F.col("rank")).alias("place"))
+    order = Window.partitionBy("query_id").orderBy("place")
+    led = fused.unionByName(spare).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    known = distances(led, vectors, query_vectors).join(chunks, "chunk_id").withColumn("similarity", F.round(similarity(F.col("distance")), 6))
+    scored = rerank(known, queries.select("query_id", core_terms(F.col("text")).alias("cores")))
+    rows = known.select("query_id", "chunk_id", "place", "similarity").join(scored, ["query_id", "chunk_id"])
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "place")).cast("long")).drop("place")
+
+
+def rendered(rank: Column, title: Column, content: Column, similarity_: Column, longest: int = 500) -> Column:
+    """A hit as a block of a prompt; an unknown similarity says so."""
+    sim = F.coalesce(F.when(similarity_.isNotNull(), F.format_string("%.2f", F.bround(similarity_, 2))), F.lit("未知"))
+    return F.concat(F.lit("["), rank.cast("string"), F.lit("] "), title, F.lit(" ("), sim, F.lit(")\n"), F.substring(content, 1, longest))
 
 
 def similarity(distance: Column) -> Column:
@@ -119,34 +258,54 @@ def recall_at(found: DataFrame, relevant: Column, ks: tuple[int, ...] = (1, 3, 5
     return first.agg(F.count(F.lit(1)).alias("queries"), *[F.count_if(F.col("r") <= k).alias(f"hits_at_{k}") for k in ks], F.sum(F.coalesce(F.floor(1_000_000 / F.col("r")), F.lit(0))).cast("long").alias("mrr_millionths"))
 
 
-def split_text(chunks: DataFrame, size: int = 1000, overlap_: int = 50, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> DataFrame:
-    """Recursive splitting of (doc_id, text): chunk_no and text, longest separators first. Rows are independent."""
-    import pandas as pd
-
-    def cut(text: str, seps: tuple[str, ...]) -> list[str]:
-        if len(text) <= size:
-            return [text] if text.strip() else []
-        sep = next((s for s in seps if s == "" or s in text), "")
-        parts = [text[i : i + size] for i in range(0, len(text), size)] if sep == "" else text.split(sep)
-        out, held = [], ""
-        for p in parts:
-            joined = p if not held else held + sep + p
-            if len(joined) <= size:
-                held = joined
-                continue
-            if held:
-                out.append(held)
-            if len(p) > size:
-                out += cut(p, seps[seps.index(sep) + 1 :] if sep else seps)
-                held = ""
-            else:
-                tail = held[-overlap_:] if overlap_ and len(held[-overlap_:] + sep + p) <= size else ""
-                held = tail + sep + p if tail else p
-        return out + [held] if held.strip() else out
-
-    def make(batches):
+#: Where texts may be cut, the first that occurs first; the empty one cuts anywhere.
+SEPARATORS = ("\n\n", "\n", "。", "！", "？", ".", "!", "?", " ", "")
+
+
+def _joined(parts: list[str], size: int, lap: int) -> list[str]:
+    """Parts put together up to ``size``; the next text begins with the last parts of ``lap`` characters at most."""
+    out, held, total = [], [], 0
+    for part in parts:
+        if total + len(part) > size and held:
+            out.append("".join(held).strip())
+            while total > lap or (total and total + len(part) > size):
+                total -= len(held.pop(0))
+        held.append(part)
+        total += len(part)
+    return [x for x in [*out, "".join(held).strip()] if x]
+
+
+def cut_text(text: str, size: int = 1000, lap: int = 50, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Recursive splitting; a separator stays with what follows it."""
+    at = next((i for i, x in enumerate(separators) if x == "" or x in text), len(separators) - 1)
+    sep, finer = separators[at], separators[at + 1 :]
+    head, *tail = text.split(sep) if sep else [text]
+    parts = ([head] if head else []) + [sep + x for x in tail] if sep else list(text)
+    out, short = [], []
+    for part in parts:
+        if len(part) < size:
+            short.append(part)
+            continue
+        out += _joined(short, size, lap)
+        short = []
+        out += cut_text(part, size, lap, finer) if finer else [part]
+    return out + _joined(short, size, lap)
+
+
+def split_text(texts: DataFrame, size: int = 1000, lap: int = 50, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """(doc_id, text) -> doc_id, chunk_no, text. Rows are independent; a null text has no chunks, a null id stays null."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, i, c) for d, t in zip(b.doc_id, b.text) for i, c in enumerate(cut(t or "", separators))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "text"]).astype({"doc_id": "int64", "chunk_no": "int64"})
+            rows = [(i, n, c) for i, t in enumerate(b.column(1).to_pylist()) for n, c in enumerate(cut_text(t or "", size, lap, separators))]
+            of, no, text = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(no, pa.int64()), pa.array(text, pa.string())], names=["doc_id", "chunk_no", "text"])
+
+    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, chunk_no long, text string")
+
 
-    return chunks.select("doc_id", "text").mapInPandas(make, "doc_id long, chunk_no long, text string")
+def keyword_recall(found: DataFrame, golden: DataFrame, k: int = 5) -> DataFrame:
+    """For every query: if a hit up to k holds any of its keywords, and if one holds them all. ``golden``: query_id, keywords."""
+    rows = golden.join(found.where(F.col("rank") <= k), "query_id", "left")
+    has = lambda w: F.contains(F.lower(F.coalesce("content", F.lit(""))), F.lower(w))
+    return rows.groupBy("query_id").agg(F.max(F.exists("keywords", has)).alias("any_hit"), F.max(F.forall("keywords", has)).alias("all_hit"))

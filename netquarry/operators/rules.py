@@ -1,21 +1,45 @@
-"""Threshold detections. Every rule is one aggregation by its key, with first and last packet."""
+"""Threshold detections over one pre-aggregate of the packets.
+
+``facts`` has a row per end points, protocol and what a packet is to the rules, with counts, bytes,
+first and last packet. Every rule aggregates facts by its key, so packets are read and shuffled once.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import Thresholds
-from .flows import flows, has_flag, initiator_syn
+from ..scratch import materialize
+from .flows import end_point, flows_of, has_flag, initiator_syn
 
 #: QUIC version 1, version 2 and drafts 20, 21 and 29.
 KNOWN_QUIC = ("00000001", "6b3343cf", "ff000020", "ff000021", "ff00001d")
 
 
+_ENDS = ["protocol", "src_ip", "src_port", "dst_ip", "dst_port"]
+
+
+def facts(packets: DataFrame, t: Thresholds) -> DataFrame:
+    """The pre-aggregate: ``n`` packets, their bytes and payload, ``f`` and ``l`` (pkt_seq, ts_ms) of the first and last."""
+    dns, quic = F.col("protocol") == "DNS", (F.col("protocol") == "UDP") & (F.col("dst_port") == 443)
+    answer = F.col("dns_response") != ""
+    version = F.when(quic & F.contains("raw_summary", F.lit("QUIC")), F.lower(F.regexp_extract("raw_summary", r"Version[=:\s]+0x([0-9a-fA-F]+)", 1)))
+    kinds = {
+        "syn": initiator_syn(), "syn_ack": (F.col("protocol") == "TCP") & has_flag("SYN") & has_flag("ACK"), "rst": (F.col("protocol") == "TCP") & has_flag("RST"),
+        "long_dns": dns & (F.length(F.rtrim(F.col("dns_query"), F.lit("."))) > t.dns_max_len), "answer": dns & answer, "question": dns & ~answer & (F.col("dns_query") != ""),
+        "large": quic & (F.col("length") > t.quic_large_bytes),
+    }
+    unknown = F.when(~version.isin("", "00000000", *KNOWN_QUIC), version)
+    return packets.groupBy(*_ENDS, *[F.coalesce(c, F.lit(False)).alias(k) for k, c in kinds.items()], unknown.alias("version")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), F.sum("payload_size").alias("payload"), F.min(F.struct("pkt_seq", "ts_ms")).alias("f"), F.max(F.struct("pkt_seq", "ts_ms")).alias("l")
+    )
+
+
 def _span() -> list[Column]:
-    return [F.min(F.struct("pkt_seq", "ts_ms")).alias("f"), F.max(F.struct("pkt_seq", "ts_ms")).alias("l")]
+    return [F.min("f").alias("f"), F.max("l").alias("l")]
 
 
 def _alert(kind: str, order: int, severity: Column, key: Column, value: Column, detail: Column | None = None) -> list[Column]:
@@ -29,114 +53,150 @@ def _high(value: Column, high: float) -> Column:
     return F.when(value > high, F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
 
 
-def syn_flood(packets: DataFrame, t: Thresholds) -> DataFrame:
+def _counted(rows: DataFrame, *keys: Column) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), *_span())
+
+
+def _two_roles(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """A fact once by its source in the first role and once by its destination in the second, told by ``role``."""
+    roles = F.array(
+        F.when(F.col(first), F.struct(F.col("src_ip").alias("ip"), F.lit(1).alias("role"))), F.when(F.col(second), F.struct(F.col("dst_ip").alias("ip"), F.lit(2).alias("role"))),
+    )
+    return rows.select("n", "bytes", "f", "l", F.explode(F.array_compact(roles)).alias("r")).select("n", "bytes", "f", "l", "r.ip", "r.role")
+
+
+def syn_flood(found: DataFrame, t: Thresholds) -> DataFrame:
     """Initiator SYNs that a source sent less the SYN-ACKs it got: both roles of a host in one aggregation."""
-    syn_ack = (F.col("protocol") == "TCP") & has_flag("SYN") & has_flag("ACK")
-    roles = packets.select(
-        "pkt_seq", "ts_ms", F.explode(F.array(
-            F.struct(F.col("src_ip").alias("ip"), F.when(initiator_syn(), 1).otherwise(0).alias("sent"), F.lit(0).alias("got")),
-            F.struct(F.col("dst_ip").alias("ip"), F.lit(0).alias("sent"), F.when(syn_ack, 1).otherwise(0).alias("got")),
-        )).alias("r"),
-    ).where("r.sent + r.got > 0")
-    sent = F.col("r.sent") == 1
-    mark = F.when(sent, F.struct("pkt_seq", "ts_ms"))
-    keyed = roles.groupBy("r.ip").agg(F.sum("r.sent").alias("sent"), F.sum("r.got").alias("got"), F.min(mark).alias("f"), F.max(mark).alias("l")).where("sent > 0")
-    net = F.col("sent") - F.col("got")
+    sent = F.col("role") == 1
+    keyed = _two_roles(found, "syn", "syn_ack").groupBy("ip").agg(
+        F.sum(F.when(sent, F.col("n"))).alias("sent"), F.sum(F.when(~sent, F.col("n"))).alias("got"), F.min(F.when(sent, F.col("f"))).alias("f"), F.max(F.when(sent, F.col("l"))).alias("l")
+    ).where("sent > 0")
+    net = F.col("sent") - F.coalesce("got", F.lit(0))
     return keyed.where(net >= t.syn_flood_min).select(*_alert("SYN_FLOOD_SUSPECTED", 1, _high(net, t.syn_flood_high), F.col("ip"), net))
 
 
-def port_scan(packets: DataFrame, t: Thresholds) -> DataFrame:
-    rows = packets.where(initiator_syn() & (F.col("src_ip") != "") & (F.col("dst_port") > 0))
-    keyed = rows.groupBy("src_ip").agg(F.array_sort(F.collect_set("dst_port")).alias("ports"), *_span())
+def port_scan(found: DataFrame, t: Thresholds) -> DataFrame:
+    rows = found.where(F.col("syn") & (F.col("src_ip") != "") & (F.col("dst_port") > 0))
+    keyed = rows.groupBy("src_ip").agg(F.array_sort(F.collect_set("dst_port")).alias("ports"), *_span())  # 65535 ports at most
     n = F.size("ports")
     sample = F.array_join(F.transform(F.slice("ports", 1, 20), lambda x: x.cast("string")), ",")
     return keyed.where(n >= t.port_scan_min).select(*_alert("PORT_SCAN_SUSPECTED", 2, _high(n, t.port_scan_high), F.col("src_ip"), n, sample))
 
 
-def dns_tunnel(packets: DataFrame, t: Thresholds) -> DataFrame:
-    rows = packets.where((F.col("protocol") == "DNS") & (F.length(F.rtrim(F.col("dns_query"), F.lit("."))) > t.dns_max_len))
-    keyed = rows.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), *_span())
+def dns_tunnel(found: DataFrame, t: Thresholds) -> DataFrame:
+    keyed = _counted(found.where("long_dns"), F.col("src_ip"))
     return keyed.where(F.col("n") >= t.dns_tunnel_min).select(*_alert("DNS_TUNNEL_SUSPECTED", 3, _high(F.col("n"), t.dns_tunnel_high), F.col("src_ip"), F.col("n")))
 
 
-def large_transfer(packets: DataFrame, t: Thresholds) -> DataFrame:
-    found = flows(packets).where(F.col("bytes") > t.large_flow_mb * 1024 * 1024)
+def fact_flows(found: DataFrame) -> DataFrame:
+    """Flows of the facts' packets."""
+    rows = found.where(F.col("protocol").isin("TCP", "UDP") & (F.col("src_ip") != "") & (F.col("dst_ip") != ""))
+    src, dst = end_point("src"), end_point("dst")
+    ways = rows.groupBy("protocol", F.least(src, dst).alias("lo"), F.greatest(src, dst).alias("hi"), "src_ip", "src_port", "dst_ip", "dst_port").agg(
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum("payload").alias("payload"), F.min(F.struct(F.col("f.pkt_seq").alias("seq"), F.col("f.ts_ms").alias("ts_ms"))).alias("first"),
+        F.max(F.struct(F.col("l.pkt_seq").alias("seq"), F.col("l.ts_ms").alias("ts_ms"))).alias("last"),
+    )
+    return flows_of(ways)
+
+
+def large_transfer(found: DataFrame, t: Thresholds) -> DataFrame:
+    rows = fact_flows(found).where(F.col("bytes") > t.large_flow_mb * 1024 * 1024)
     way = F.concat(F.concat_ws(":", "dom_src_ip", F.col("dom_src_port").cast("string")), F.lit(" -> "), F.concat_ws(":", "dom_dst_ip", F.col("dom_dst_port").cast("string")))
-    rows = found.withColumns({"f": F.struct(F.col("first_seq").alias("pkt_seq"), F.col("first_ms").alias("ts_ms")), "l": F.struct(F.lit(0).alias("pkt_seq"), F.col("last_ms").alias("ts_ms"))})
+    rows = rows.withColumns({"f": F.struct(F.col("first_seq").alias("pkt_seq"), F.col("first_ms").alias("ts_ms")), "l": F.struct(F.lit(0).alias("pkt_seq"), F.col("last_ms").alias("ts_ms"))})
     return rows.select(*_alert("LARGE_DATA_TRANSFER", 4, F.lit("MEDIUM"), F.concat_ws("|", "protocol", "lo", "hi"), F.col("bytes"), way))
 
 
-def rst_storm(packets: DataFrame, t: Thresholds) -> DataFrame:
-    keyed = packets.where((F.col("protocol") == "TCP") & has_flag("RST")).groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), *_span())
+def rst_storm(found: DataFrame, t: Thresholds) -> DataFrame:
+    keyed = _counted(found.where("rst"), F.col("src_ip"))
     return keyed.where(F.col("n") >= t.rst_storm_min).select(*_alert("RST_STORM", 5, F.lit("LOW"), F.col("src_ip"), F.col("n")))
 
 
-def udp_flood(packets: DataFrame, t: Thresholds) -> DataFrame:
-    keyed = packets.where(F.col("protocol") == "UDP").groupBy("dst_ip").agg(F.count(F.lit(1)).alias("n"), *_span())
+def udp_flood(found: DataFrame, t: Thresholds) -> DataFrame:
+    keyed = _counted(found.where("protocol = 'UDP'"), F.col("dst_ip"))
     return keyed.where(F.col("n") >= t.udp_flood_min).select(*_alert("UDP_FLOOD_SUSPECTED", 6, _high(F.col("n"), t.udp_flood_high), F.col("dst_ip"), F.col("n")))
 
 
-def dns_amplification(packets: DataFrame, t: Thresholds) -> DataFrame:
+def dns_amplification(found: DataFrame, t: Thresholds) -> DataFrame:
     """Bytes answered to a target over bytes it asked; a target that never asked divides by 1.
 
     A packet with an answer is a response, whatever query it repeats.
     """
-    dns = packets.where(F.col("protocol") == "DNS")
-    answer = F.col("dns_response") != ""
-    roles = dns.select(
-        "pkt_seq", "ts_ms", "length", F.when(answer, F.col("dst_ip")).when(F.col("dns_query") != "", F.col("src_ip")).alias("ip"), answer.alias("answer")
-    ).where("ip is not null and ip <> ''")
-    mark = F.when(F.col("answer"), F.struct("pkt_seq", "ts_ms"))
-    keyed = roles.groupBy("ip").agg(
-        F.count_if("answer").alias("n"), F.sum(F.when(F.col("answer"), F.col("length")).otherwise(0)).alias("out"),
-        F.sum(F.when(~F.col("answer"), F.col("length"))).alias("asked"), F.min(mark).alias("f"), F.max(mark).alias("l"),
+    answered = F.col("role") == 2
+    keyed = _two_roles(found, "question", "answer").where("ip <> ''").groupBy("ip").agg(
+        F.sum(F.when(answered, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(answered, F.col("bytes")).otherwise(0)).alias("out"), F.sum(F.when(~answered, F.col("bytes"))).alias("asked"),
+        F.min(F.when(answered, F.col("f"))).alias("f"), F.max(F.when(answered, F.col("l"))).alias("l"),
     )
     asked = F.coalesce("asked", F.lit(1))
     ratio = F.when(asked > 0, F.col("out") / asked).otherwise(F.col("out").cast("double"))
-    found = keyed.where((F.col("n") >= t.dns_amp_responses) & (ratio >= t.dns_amp_ratio))
-    return found.select(*_alert("DNS_AMPLIFICATION_SUSPECTED", 7, F.lit("HIGH"), F.col("ip"), F.col("n"), F.concat_ws("/", F.col("out").cast("string"), asked.cast("string"))))
+    rows = keyed.where((F.col("n") >= t.dns_amp_responses) & (ratio >= t.dns_amp_ratio))
+    return rows.select(*_alert("DNS_AMPLIFICATION_SUSPECTED", 7, F.lit("HIGH"), F.col("ip"), F.col("n"), F.concat_ws("/", F.col("out").cast("string"), asked.cast("string"))))
 
 
-def _quic(packets: DataFrame) -> DataFrame:
-    return packets.where((F.col("protocol") == "UDP") & (F.col("dst_port") == 443))
+def _quic(found: DataFrame) -> DataFrame:
+    return found.where((F.col("protocol") == "UDP") & (F.col("dst_port") == 443))
 
 
-def quic_connections(packets: DataFrame, t: Thresholds) -> DataFrame:
-    keyed = _quic(packets).groupBy("src_ip").agg(F.count_distinct("src_port").alias("n"), F.min("pkt_seq").alias("a"), F.min_by("ts_ms", "pkt_seq").alias("b"), F.max_by("ts_ms", "pkt_seq").alias("c"))
-    keyed = keyed.withColumns({"f": F.struct(F.col("a").alias("pkt_seq"), F.col("b").alias("ts_ms")), "l": F.struct(F.col("a").alias("pkt_seq"), F.col("c").alias("ts_ms"))})
+def quic_connections(found: DataFrame, t: Thresholds) -> DataFrame:
+    keyed = _counted(_quic(found), F.col("src_ip"), F.col("src_port")).groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), *_span())
     return keyed.where(F.col("n") >= t.quic_connections).select(*_alert("QUIC_CONNECTION_FLOOD", 8, F.lit("HIGH"), F.col("src_ip"), F.col("n")))
 
 
-def quic_long_flow(packets: DataFrame, t: Thresholds) -> DataFrame:
+def quic_long_flow(found: DataFrame, t: Thresholds) -> DataFrame:
     way = F.concat_ws("->", F.concat_ws(":", "src_ip", F.col("src_port").cast("string")), F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string")))
-    keyed = _quic(packets).groupBy(way.alias("flow")).agg(F.count(F.lit(1)).alias("n"), *_span())
+    keyed = _counted(_quic(found), way.alias("flow"))
     return keyed.where(F.col("n") >= t.quic_long_flow).select(*_alert("QUIC_LONG_FLOW_ANOMALY", 9, F.lit("MEDIUM"), F.col("flow"), F.col("n")))
 
 
-def quic_initial_ratio(packets: DataFrame, t: Thresholds) -> DataFrame:
-    totals = _quic(packets).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("length") > t.quic_large_bytes).alias("large"), *_span())
-    found = totals.where((F.col("n") > 0) & (F.col("large") / F.col("n") >= t.quic_large_share))
-    return found.select(*_alert("QUIC_INITIAL_RATIO_ANOMALY", 10, F.lit("MEDIUM"), F.lit("all"), F.col("large"), F.col("n").cast("string")))
+def quic_initial_ratio(found: DataFrame, t: Thresholds) -> DataFrame:
+    totals = _quic(found).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.when(F.col("large"), F.col("n")).otherwise(0)).alias("large"), *_span())
+    rows = totals.where((F.col("n") > 0) & (F.col("large") / F.col("n") >= t.quic_large_share))
+    return rows.select(*_alert("QUIC_INITIAL_RATIO_ANOMALY", 10, F.lit("MEDIUM"), F.lit("all"), F.col("large"), F.col("n").cast("string")))
 
 
-def quic_versions(packets: DataFrame) -> DataFrame:
-    """Packets with a QUIC version that is neither known nor zero."""
-    version = F.lower(F.regexp_extract("raw_summary", r"Version[=:\s]+0x([0-9a-fA-F]+)", 1))
-    rows = _quic(packets).where(F.contains("raw_summary", F.lit("QUIC"))).withColumn("version", version)
-    return rows.where(~F.col("version").isin("", "00000000", *KNOWN_QUIC))
+def quic_unknown_version(found: DataFrame, t: Thresholds, shown: int = 100) -> DataFrame:
+    """One alert for all unknown versions: how many there are, and the first ``shown`` of them in order."""
+    each = _counted(found.where("version is not null"), F.col("version"))
+    first = each.orderBy("version").limit(shown).agg(F.array_join(F.array_sort(F.collect_list("version")), ",").alias("versions"))
+    rows = each.agg(F.count(F.lit(1)).alias("n"), *_span()).where("n > 0").crossJoin(first)  # one row each
+    return rows.select(*_alert("QUIC_UNKNOWN_VERSION", 11, F.lit("LOW"), F.lit("all"), F.col("n"), F.col("versions")))
 
 
-def quic_unknown_version(packets: DataFrame, t: Thresholds) -> DataFrame:
-    found = quic_versions(packets).agg(F.array_sort(F.collect_set("version")).alias("v"), *_span()).where(F.size("v") > 0)
-    return found.select(*_alert("QUIC_UNKNOWN_VERSION", 11, F.lit("LOW"), F.lit("all"), F.size("v"), F.array_join("v", ",")))
-
-
-RULES = {
+_BY_FACTS = {
     "rule_syn_flood": syn_flood, "rule_port_scan": port_scan, "rule_dns_tunnel": dns_tunnel, "rule_large_transfer": large_transfer, "rule_rst_storm": rst_storm,
     "rule_udp_flood": udp_flood, "rule_dns_amplification": dns_amplification, "rule_quic_conn_flood": quic_connections, "rule_quic_long_flow": quic_long_flow,
     "rule_quic_initial_ratio": quic_initial_ratio, "rule_quic_unknown_version": quic_unknown_version,
 }
 
+
+def _from_packets(rule):
+    return lambda packets, t: rule(facts(packets, t), t)
+
+
+#: Every rule by itself, from packets.
+RULES = {name: _from_packets(rule) for name, rule in _BY_FACTS.items()}
+
+#: The detector that each type of alert names.
+DETECTORS = {
+    "SYN_FLOOD_SUSPECTED": "rule-based-syn-flood", "PORT_SCAN_SUSPECTED": "rule-based-port-scan", "DNS_TUNNEL_SUSPECTED": "rule-based-dns-tunnel", "LARGE_DATA_TRANSFER": "rule-based-large-transfer",
+    "RST_STORM": "rule-based-rst-storm", "UDP_FLOOD_SUSPECTED": "rule-based-udp-flood", "DNS_AMPLIFICATION_SUSPECTED": "rule-based-dns-amplification",
+    "QUIC_CONNECTION_FLOOD": "rule-based-quic-connection-flood", "QUIC_LONG_FLOW_ANOMALY": "rule-based-quic-long-flow", "QUIC_INITIAL_RATIO_ANOMALY": "rule-based-quic-initial-ratio",
+    "QUIC_UNKNOWN_VERSION": "rule-based-quic-version", "BASELINE_DEVIATION": "ewma-statistical-baseline", "BASELINE_MULTI_DIM": "ewma-statistical-baseline", "ML_ANOMALY": "isolation-forest-unsupervised",
+}
+
+
+def detector(kind: Column) -> Column:
+    found = F.lit("unknown")
+    for name, by in DETECTORS.items():
+        found = F.when(kind == name, by).otherwise(found)
+    return found
+
+
+def time_window(first_ms: Column, last_ms: Column) -> Column:
+    """``first ~ last`` as times to the millisecond; empty where one is missing."""
+    text = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss.SSS")
+    return F.when(first_ms.isNull() | last_ms.isNull(), "").otherwise(F.concat(text(first_ms), F.lit(" ~ "), text(last_ms)))
+
+
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
 
@@ -149,7 +209,8 @@ def severity_rank(severity: Column) -> Column:
 
 def all_alerts(packets: DataFrame, t: Thresholds) -> DataFrame:
     """Alerts of all rules in order: severity, then rule, then the key that was seen first."""
-    every = reduce(DataFrame.unionByName, [rule(packets, t) for rule in RULES.values()])
+    found = materialize(facts(packets, t), "facts")
+    every = reduce(DataFrame.unionByName, [rule(found, t) for rule in _BY_FACTS.values()])
     return every.orderBy(severity_rank(F.col("severity")), "rule_ord", "key_ord", "subject")
 
 
@@ -158,10 +219,9 @@ def severity_summary(alerts: DataFrame) -> DataFrame:
 
 
 def engine_contribution(alerts: DataFrame) -> DataFrame:
-    """Alerts by type, with their share in ten-thousandths (whole numbers compare exactly)."""
-    counted = alerts.groupBy("type").agg(F.count(F.lit(1)).alias("alerts"))
-    total = alerts.agg(F.count(F.lit(1)).alias("total"))
-    return counted.crossJoin(F.broadcast(total)).select("type", "alerts", F.floor(F.col("alerts") * 10000 / F.col("total")).cast("long").alias("share_bp"))
+    """Alerts by detector, with their share in ten-thousandths (whole numbers compare exactly)."""
+    counted = alerts.groupBy(detector(F.col("type")).alias("detector")).agg(F.count(F.lit(1)).alias("alerts"))
+    return counted.withColumn("share_bp", F.floor(F.col("alerts") * 10000 / F.sum("alerts").over(Window.partitionBy())).cast("long"))  # a row per detector
 
 
 #: Parts of alert types and the stage (0 to 6) that each stands for.
@@ -194,15 +254,21 @@ def scan_candidates(packets: DataFrame, least: int = 20, high: int = 100) -> Dat
 
 def tunnel_candidates(packets: DataFrame, longest: int = 30, high: int = 20, shown: int = 5) -> DataFrame:
     rows = packets.where((F.col("dns_query") != "") & (F.length("dns_query") > longest))
-    numbered = rows.groupBy("src_ip").agg(F.count(F.lit(1)).alias("queries"), F.array_sort(F.collect_list(F.struct("pkt_seq", "dns_query"))).alias("q"))
-    return numbered.select("src_ip", "queries", F.array_join(F.transform(F.slice("q", 1, shown), lambda x: x["dns_query"]), ",").alias("sample"), _high(F.col("queries"), high).alias("severity"))
-
-
-def threshold_sweep(packets: DataFrame, cuts: list[int]) -> DataFrame:
-    """For each cut: sources whose SYN count reaches it, of those with and without a reset (the truth here)."""
-    keyed = packets.groupBy("src_ip").agg(F.count_if(initiator_syn()).alias("syns"), F.count_if(has_flag("RST")).alias("rsts"))
-    rows = keyed.withColumn("cut", F.explode(F.array(*[F.lit(c) for c in cuts])))
-    hit, truth = F.col("syns") >= F.col("cut"), F.col("rsts") >= 80
-    return rows.groupBy(F.col("cut").cast("long").alias("cut")).agg(
-        F.count_if(hit & truth).alias("tp"), F.count_if(hit & ~truth).alias("fp"), F.count_if(~hit & truth).alias("fn"), F.count_if(~hit & ~truth).alias("tn")
-    )
+    counts = rows.groupBy("src_ip").agg(F.count(F.lit(1)).alias("queries"))
+    # the first few of every stretch of arrivals, then of the source: neither window holds all its queries
+    early = rows.withColumn("r", F.row_number().over(Window.partitionBy("src_ip", F.floor(F.col("pkt_seq") / 65536)).orderBy("pkt_seq"))).where(F.col("r") <= shown)
+    early = early.withColumn("r", F.row_number().over(Window.partitionBy("src_ip").orderBy("pkt_seq"))).where(F.col("r") <= shown)
+    sample = early.groupBy("src_ip").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pkt_seq", "dns_query"))), lambda x: x["dns_query"]), ",").alias("sample"))
+    return counts.join(sample, "src_ip").select("src_ip", "queries", "sample", _high(F.col("queries"), high).alias("severity"))
+
+
+def threshold_sweep(rows: DataFrame, value: Column, truth: Column, cuts: list[float]) -> DataFrame:
+    """For each cut: rows whose value reaches it against the truth, their rates in ten-thousandths, and if it is the first cut that
+    finds all and nothing else. Every cut is counted in one pass."""
+    each = rows.select(value.alias("v"), truth.alias("t"), F.explode(F.array(*[F.lit(float(c)) for c in cuts])).alias("cut"))
+    hit = F.col("v") >= F.col("cut")
+    found = each.groupBy("cut").agg(F.count_if(hit & F.col("t")).alias("tp"), F.count_if(hit & ~F.col("t")).alias("fp"), F.count_if(~hit & F.col("t")).alias("fn"), F.count_if(~hit & ~F.col("t")).alias("tn"))
+    rate = lambda a, b: F.coalesce(F.floor(F.try_divide(F.col(a) * 10000, F.col(a) + F.col(b))), F.lit(0)).cast("long")
+    perfect = (F.col("fn") == 0) & (F.col("fp") == 0) & (F.col("tp") > 0)
+    first = F.min(F.when(perfect, F.col("cut"))).over(Window.partitionBy())  # a row per cut
+    return found.withColumns({"tpr_bp": rate("tp", "fn"), "fpr_bp": rate("fp", "tn"), "optimum": F.coalesce(F.col("cut") == first, F.lit(False))})

@@ -28,7 +28,7 @@ def failed(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.startswith(head, F.lit(m)) for m in FAILURE_MARKERS])
 
 
-def validation_points(text: Column, shortest: int = 20, longest: int = 5000) -> Column:
+def validation_points(text: Column, shortest: int = 20, longest: int = 10_000) -> Column:
     """Score in thousandths: 1000 less 200 if short, 100 if long, 150 for every absolute phrase; 0 if empty or failed."""
     absolute = reduce(lambda a, b: a + b, [F.when(F.contains(text, F.lit(p)), 150).otherwise(0) for p in ABSOLUTE])
     points = 1000 - F.when(F.length(text) < shortest, 200).otherwise(0) - F.when(F.length(text) > longest, 100).otherwise(0) - absolute

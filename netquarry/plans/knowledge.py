@@ -50,12 +50,17 @@ over AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
   SELECT query_id, chunk_id, count(*)::DOUBLE AS score FROM posts JOIN asked USING (term) GROUP BY 1, 2)) WHERE rank <= 20)"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str, within=None) -> DataFrame:
-    return retrieval.bm25(_chunks(spark, sf_dir), _queries(spark, sf_dir), within=within)
+def _index(spark: SparkSession, sf_dir: str) -> retrieval.Asked:
+    return retrieval.ask(_chunks(spark, sf_dir), _queries(spark, sf_dir))
+
+
+def _bm25(spark: SparkSession, sf_dir: str, within: DataFrame | None = None) -> DataFrame:
+    return retrieval.bm25(_index(spark, sf_dir), within=within)
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.fuse([_bm25(spark, sf_dir), retrieval.overlap(_chunks(spark, sf_dir), _queries(spark, sf_dir))])
+    index = _index(spark, sf_dir)
+    return retrieval.fuse([retrieval.bm25(index), retrieval.overlap(index)])
 
 
 _FUSED = """
@@ -64,21 +69,25 @@ _add("tokenize_terms", lambda s, d: _chunks(s, d).select("chunk_id", F.size(retr
      f"WITH x AS (SELECT doc_id AS chunk_id, {_TERMS.format('text')} AS t FROM documents) SELECT chunk_id, len(t) AS n, array_to_string(t[1:5], ' ') AS first FROM x")
 _add("bm25_index", lambda s, d: retrieval.postings(_chunks(s, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")), f"WITH {_INDEX} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM posts GROUP BY 1")
 _add("bm25_search", _bm25, f"WITH {_INDEX},{_bm25_sql('bm')} SELECT query_id, chunk_id, score, rank FROM bm")
-_add("metadata_filter_search", lambda s, d: _bm25(s, d, F.col("lang") == "de"), f"WITH {_INDEX},{_bm25_sql('bm', where=chr(108) + 'ang = ' + repr('de'))} SELECT query_id, chunk_id, score, rank FROM bm")
+_add("metadata_filter_search", lambda s, d: _bm25(s, d, retrieval.having(_chunks(s, d), lang="de")), f"WITH {_INDEX},{_bm25_sql('bm', where=chr(108) + 'ang = ' + repr('de'))} SELECT query_id, chunk_id, score, rank FROM bm")
 _add("rrf_fuse", _fused, f"WITH {_INDEX},{_bm25_sql('bm')},{_OVERLAP},{_FUSED} SELECT * FROM fused")
 
 
+_CORES = ", ".join(f"'{t}'" for t in retrieval.CORE_TERMS)
+
+
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 hits reranked: the source as title, the score's share of 100 as similarity (none for even ids)."""
     docs = _chunks(spark, sf_dir)
     hits = _bm25(spark, sf_dir).join(docs, "chunk_id").select(
         "query_id", "chunk_id", F.when(F.col("chunk_id") % 2 == 1, F.col("score") / 100).alias("similarity"), F.col("source").alias("title"), F.col("text").alias("content"), F.col("lang").alias("meta"))
-    cores = _queries(spark, sf_dir).select("query_id", F.slice(F.array_sort(F.array_distinct(retrieval.terms(F.col("text")))), 1, 8).alias("cores"))
+    cores = _queries(spark, sf_dir).select("query_id", retrieval.core_terms(F.col("text")).alias("cores"))
     return retrieval.rerank(hits, cores)
 
 
 _add("rerank", _reranked, f"WITH {_INDEX},{_bm25_sql('bm')}," + f"""
-cores AS (SELECT item_id AS query_id, list_sort(list_distinct({_TERMS.format('text')}))[1:8] AS cores FROM benchmark),
+found AS (SELECT item_id AS query_id, lower(text) AS low, list_filter([{_CORES}], lambda x: contains(lower(text), x)) AS c FROM benchmark),
+cores AS (SELECT query_id, CASE WHEN len(c) > 0 THEN c ELSE [low] END AS cores FROM found),
 h AS (SELECT query_id, chunk_id, CASE WHEN chunk_id % 2 = 1 THEN score / 100 END AS sim, source AS title, text AS content, d.lang AS meta FROM bm JOIN documents d ON d.doc_id = bm.chunk_id),
 w AS (SELECT *, min(sim) OVER (PARTITION BY query_id) AS lo, max(sim) OVER (PARTITION BY query_id) AS hi FROM h JOIN cores USING (query_id)),
 c AS (SELECT *, greatest(len(cores), 1) AS n, len(list_filter(cores, lambda x: contains(lower(title), x))) AS th, len(list_filter(cores, lambda x: contains(lower(content), x))) AS ch, len(list_filter(cores, lambda x: contains(lower(meta), x))) AS mh FROM w)
@@ -88,15 +97,15 @@ SELECT query_id, chunk_id, round(CASE WHEN sim IS NULL OR hi - lo < 1e-9 THEN 0.
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return retrieval.vector_top(rows, rows.where("vec_id < 10"), 5)
+    return retrieval.vector_top(rows, rows.where("vec_id % 20 = 0"), 5)
 
 
 _VEC = """
 WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, q.label AS ql, v.vec_id AS chunk_id, v.label AS vl, round(1 - list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 6) AS distance FROM v JOIN v q ON q.vec_id < 10 AND q.vec_id <> v.vec_id),
+p AS (SELECT q.vec_id AS query_id, q.label AS ql, v.vec_id AS chunk_id, v.label AS vl, round(1 - list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 6) AS distance FROM v JOIN v q ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM p)"""
 _add("vector_topk", _vectors, _VEC + " SELECT query_id, chunk_id, distance, rank FROM k WHERE rank <= 5")
-_add("vector_similarity", lambda s, d: _vectors(s, d).select("query_id", "rank", F.round(retrieval.similarity(F.col("distance")), 6).alias("similarity")), _VEC + " SELECT query_id, rank, round(1 - least(greatest(distance, 0), 2) / 2, 6) AS similarity FROM k WHERE rank <= 5")
+_add("vector_similarity", lambda s, d: _vectors(s, d).select("query_id", "rank", F.round(retrieval.similarity(F.col("distance")), 7).alias("similarity")), _VEC + " SELECT query_id, rank, round(1 - least(greatest(distance, 0), 2) / 2, 7) AS similarity FROM k WHERE rank <= 5")
 
 
 def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +117,41 @@ def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("recall_and_mrr", _recall, _VEC + """, f AS (SELECT query_id, min(CASE WHEN ql = vl THEN rank END) AS r FROM k WHERE rank <= 5 GROUP BY 1)
 SELECT count(*) AS queries, count(*) FILTER (r <= 1) AS hits_at_1, count(*) FILTER (r <= 3) AS hits_at_3, count(*) FILTER (r <= 5) AS hits_at_5, CAST(sum(coalesce(floor(1000000 / r), 0)) AS BIGINT) AS mrr_millionths FROM f""")
 _add("knowledge_stats", lambda s, d: _chunks(s, d).groupBy(F.coalesce("source", F.lit("unknown")).alias("category")).agg(F.count(F.lit(1)).alias("chunks")), "SELECT coalesce(source, 'unknown') AS category, count(*) AS chunks FROM documents GROUP BY 1")
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as queries over the documents; vectors of equal number go with both."""
+    docs, asked, vectors = _chunks(spark, sf_dir), _queries(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    own = vectors.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
+    index = retrieval.ask(docs, asked.select("query_id", retrieval.expanded(F.col("text")).alias("text")))
+    near = vectors.join(docs.select(F.col("chunk_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    items = docs.select("chunk_id", F.col("source").alias("title"), F.col("text").alias("content"), F.col("lang").alias("meta"))
+    return retrieval.hybrid(index, items, asked, near, own)
+
+
+_add("hybrid_search", lambda s, d: _hybrid(s, d).select("query_id", "chunk_id", "rank", "similarity", "rerank_score"))
+_EXPANDED = "text"
+for _short in sorted(retrieval.TERM_SYNONYMS, key=len, reverse=True):
+    _EXPANDED = f"regexp_replace({_EXPANDED}, '(^|[^A-Za-z0-9]){_short}($|[^A-Za-z0-9])', '\\1{retrieval.TERM_SYNONYMS[_short]}\\2', 'g')"
+_add("term_expansion", lambda s, d: table(s, d, "orders").select("o_orderkey", retrieval.expanded(F.concat(F.lit("what is HTTPS; SSH,T1046? "), F.col("o_orderpriority"))).alias("text")),
+     f"WITH q AS (SELECT o_orderkey, 'what is HTTPS; SSH,T1046? ' || o_orderpriority AS text FROM orders) SELECT o_orderkey, {_EXPANDED} AS text FROM q")
+_add("knowledge_blocks", lambda s, d: _chunks(s, d).select("chunk_id", retrieval.rendered(F.col("chunk_id"), F.coalesce("source", F.lit("")), F.col("text"), F.when(F.col("chunk_id") % 3 > 0, F.col("chunk_id") % 7 / 8)).alias("block"), F.length(retrieval.titled(F.col("source"), F.col("text"))).cast("long").alias("n")), """
+SELECT doc_id AS chunk_id, '[' || doc_id || '] ' || coalesce(source, '') || ' (' || CASE WHEN doc_id % 3 > 0 THEN printf('%.2f', (doc_id % 7)::DOUBLE / 8) ELSE '未知' END || ')' || chr(10) || text[1:500] AS block,
+       length(CASE WHEN length(coalesce(source, '')) > 0 THEN '【' || source || '】' || chr(10) || text ELSE text END) AS n FROM documents""")
+
+
+def _keyword_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 hits against the three longest words of every benchmark item."""
+    hits = _bm25(spark, sf_dir).join(_chunks(spark, sf_dir).select("chunk_id", F.col("text").alias("content")), "chunk_id")
+    words = F.array_sort(F.transform(F.array_distinct(F.split(F.col("text"), " ")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return retrieval.keyword_recall(hits, _queries(spark, sf_dir).select("query_id", F.transform(F.slice(words, 1, 3), lambda x: x["w"]).alias("keywords")))
+
+
+_add("keyword_recall", lambda s, d: _keyword_recall(s, d).select("query_id", F.col("any_hit").cast("long").alias("any_hit"), F.col("all_hit").cast("long").alias("all_hit")), f"WITH {_INDEX},{_bm25_sql('bm')}," + """
+g AS (SELECT item_id AS query_id, list_transform(list_sort(list_transform(list_distinct(string_split(text, ' ')), lambda w: {'n': -length(w), 'w': w}))[1:3], lambda x: x.w) AS k FROM benchmark),
+h AS (SELECT query_id, lower(text) AS content FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 5)
+SELECT g.query_id, CAST(max(CASE WHEN len(list_filter(k, lambda w: contains(coalesce(content, ''), lower(w)))) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS any_hit,
+       CAST(max(CASE WHEN len(list_filter(k, lambda w: contains(coalesce(content, ''), lower(w)))) = len(k) THEN 1 ELSE 0 END) AS BIGINT) AS all_hit FROM g LEFT JOIN h ON g.query_id = h.query_id GROUP BY 1""")
 _add("split_text", lambda s, d: retrieval.split_text(table(s, d, "documents").select("doc_id", "text")))
 
 
@@ -128,7 +172,7 @@ def _sql_any(text: str, words: list[str]) -> str:
 
 
 _FAIL = "(" + " OR ".join(f"starts_with(ltrim(text), '{m}')" for m in text_checks.FAILURE_MARKERS) + ")"
-_POINTS = f"CASE WHEN length(text) = 0 OR {_FAIL} THEN 0 ELSE greatest(0, 1000 - CASE WHEN length(text) < 20 THEN 200 ELSE 0 END - CASE WHEN length(text) > 5000 THEN 100 ELSE 0 END - " + " - ".join(f"CASE WHEN contains(text, '{p}') THEN 150 ELSE 0 END" for p in text_checks.ABSOLUTE) + ") END"
+_POINTS = f"CASE WHEN length(text) = 0 OR {_FAIL} THEN 0 ELSE greatest(0, 1000 - CASE WHEN length(text) < 20 THEN 200 ELSE 0 END - CASE WHEN length(text) > 10000 THEN 100 ELSE 0 END - " + " - ".join(f"CASE WHEN contains(text, '{p}') THEN 150 ELSE 0 END" for p in text_checks.ABSOLUTE) + ") END"
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,9 +112,9 @@ SELECT {_RATES} FROM c""")
 _add("ip_level_eval", lambda s, d: evaluate.set_comparison(rules.syn_flood(_packets(s, d), SCALED).select(F.col("subject").alias("ip")), rules.rst_storm(_packets(s, d), SCALED).select(F.col("subject").alias("ip")), "ip"), _A + """,
 p AS (SELECT subject AS ip FROM alerts WHERE type = 'SYN_FLOOD_SUSPECTED'), t AS (SELECT subject AS ip FROM alerts WHERE type = 'RST_STORM')
 SELECT (SELECT count(*) FROM p WHERE ip IN (SELECT ip FROM t)) AS both, (SELECT count(*) FROM p WHERE ip NOT IN (SELECT ip FROM t)) AS only_predicted, (SELECT count(*) FROM t WHERE ip NOT IN (SELECT ip FROM p)) AS only_truth""")
-_add("mixed_sample_shift", lambda s, d: evaluate.mixed_sample(_packets(s, d).where("pkt_seq < 5000").select("pkt_seq", "ts_ms"), _packets(s, d).where("protocol = 'UDP'").select("pkt_seq", "ts_ms"), 30000), _with(PACKETS) + """
-SELECT pkt_seq, ts_ms, 'base' AS part FROM packets WHERE pkt_seq < 5000 UNION ALL
-SELECT pkt_seq, ts_ms - (SELECT min(ts_ms) FROM packets WHERE protocol = 'UDP') + (SELECT max(ts_ms) FROM packets WHERE pkt_seq < 5000) + 30000, 'attack' FROM packets WHERE protocol = 'UDP'""")
+_add("mixed_sample_shift", lambda s, d: evaluate.mixed_sample(_packets(s, d).where("protocol <> 'UDP'").select("pkt_seq", "ts_ms"), _packets(s, d).where("protocol = 'UDP'").select("pkt_seq", "ts_ms"), 30000), _with(PACKETS) + """
+SELECT pkt_seq, ts_ms, 'base' AS part FROM packets WHERE protocol <> 'UDP' UNION ALL
+SELECT pkt_seq, ts_ms - (SELECT min(ts_ms) FROM packets WHERE protocol = 'UDP') + (SELECT max(ts_ms) FROM packets WHERE protocol <> 'UDP') + 30000, 'attack' FROM packets WHERE protocol = 'UDP'""")
 _add("mitigates_two_hop", lambda s, d: evaluate.two_hops(
     table(s, d, "supplier").select(F.col("s_suppkey").alias("course_id"), F.col("s_name").alias("course")), table(s, d, "supplier").select(F.col("s_suppkey").alias("source"), F.col("s_nationkey").alias("target")),
     table(s, d, "nation").select(F.col("n_nationkey").alias("pattern_id"), F.col("n_name").alias("pattern"))), "SELECT n_name AS pattern, string_agg(DISTINCT s_name, ',' ORDER BY s_name) AS courses, count(DISTINCT s_name) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")

@@ -137,7 +137,7 @@ SELECT src_ip || ' -> ' || dst_ip AS pair, count(*) AS packets, CAST(sum(length)
 FROM packets WHERE src_ip <> '' AND dst_ip <> '' GROUP BY 1 ORDER BY bytes DESC, first_seq LIMIT 10""")
 _add("tcp_conversations", lambda s, d: flows.tcp_conversations(_packets(s, d)), P + """
 SELECT least(src_ip || ':' || src_port, dst_ip || ':' || dst_port) AS lo, greatest(src_ip || ':' || src_port, dst_ip || ':' || dst_port) AS hi,
-       count(*) AS packets, string_agg(CAST(pkt_seq AS VARCHAR), ',' ORDER BY pkt_seq) AS sequence FROM packets WHERE protocol = 'TCP' GROUP BY 1, 2""")
+       row_number() OVER (PARTITION BY least(src_ip || ':' || src_port, dst_ip || ':' || dst_port), greatest(src_ip || ':' || src_port, dst_ip || ':' || dst_port) ORDER BY pkt_seq) AS place, pkt_seq FROM packets WHERE protocol = 'TCP'""")
 _add("flow_aggregate", lambda s, d: flows.flows(_packets(s, d)).select("protocol", "lo", "hi", "packets", "bytes", "payload", "first_ms", "last_ms"),
      _with(PACKETS, FLOWS) + "SELECT protocol, lo, hi, packets, bytes, payload, first_ms, last_ms FROM flows")
 _add("flow_dominant_direction", lambda s, d: flows.flows(_packets(s, d)).select("protocol", "lo", "hi", "dom_src_ip", "dom_src_port", "dom_dst_ip", "dom_dst_port", "dom_packets", "dom_bytes"),
@@ -147,9 +147,18 @@ SELECT protocol, least(src_ip || ':' || src_port, dst_ip || ':' || dst_port) AS
 """ + ", ".join(f"count(*) FILTER (list_contains(string_split(flags, ','), '{f}')) AS {f.lower()}" for f in flows.FLAGS) + """
 FROM packets WHERE protocol IN ('TCP', 'UDP') GROUP BY 1, 2, 3""")
 _add("flow_stats_summary", lambda s, d: flows.flow_stats(flows.flows(_packets(s, d))), _with(PACKETS, FLOWS) + """
-SELECT count(*) AS flows, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, max(bytes) AS max_bytes, max(packets) AS max_packets,
+SELECT count(*) AS flows, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(payload) AS BIGINT) AS payload, round(sum(packets)::DOUBLE / count(*), 2) AS avg_packets, round(sum(bytes)::DOUBLE / count(*), 2) AS avg_bytes, max(bytes) AS max_bytes, max(packets) AS max_packets,
        count(DISTINCT dom_src_ip) AS src_ips, count(DISTINCT dom_dst_ip) AS dst_ips, count(DISTINCT dom_src_port) AS src_ports, count(DISTINCT dom_dst_port) AS dst_ports,
        count(DISTINCT split_part(lo, ':', 1) || '|' || split_part(hi, ':', 1)) AS ip_pairs FROM flows""")
+_add("flow_protocols", lambda s, d: flows.flow_protocols(flows.flows(_packets(s, d))), _with(PACKETS, FLOWS) + "SELECT protocol, count(*) AS flows, CAST(floor(count(*) * 10000 / (SELECT count(*) FROM flows)) AS BIGINT) AS share_bp FROM flows GROUP BY 1")
+_add("top_flow_ports", lambda s, d: flows.most_common(flows.flows(_packets(s, d)), "dom_dst_port", 5), _with(PACKETS, FLOWS) + "SELECT value, n FROM (SELECT dom_dst_port AS value, count(*) AS n, min(first_seq) AS f FROM flows GROUP BY 1 ORDER BY n DESC, f LIMIT 5)")
+_add("flow_records", lambda s, d: flows.flow_records(flows.flows(_packets(s, d)), flows.flow_flag_counts(_packets(s, d))).select("protocol", "lo", "hi", "packets", "syn", "rst", F.array_join(F.array_sort(F.transform(F.map_entries("flag_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",").alias("flags")),
+     _with(PACKETS, FLOWS) + """,
+k AS (SELECT protocol, least(src_ip || ':' || src_port, dst_ip || ':' || dst_port) AS lo, greatest(src_ip || ':' || src_port, dst_ip || ':' || dst_port) AS hi, unnest(string_split(flags, ',')) AS f FROM packets WHERE protocol IN ('TCP', 'UDP')),
+c AS (SELECT protocol, lo, hi, f, count(*) AS n FROM k WHERE f <> '' GROUP BY ALL)
+SELECT protocol, lo, hi, any_value(packets) AS packets, CAST(coalesce(sum(n) FILTER (f = 'SYN'), 0) AS BIGINT) AS syn, CAST(coalesce(sum(n) FILTER (f = 'RST'), 0) AS BIGINT) AS rst, coalesce(string_agg(f || '=' || n, ',' ORDER BY f || '=' || n), '') AS flags FROM flows LEFT JOIN c USING (protocol, lo, hi) GROUP BY 1, 2, 3""")
+_add("flows_by_ip_port", lambda s, d: flows.flows_with(flows.flows(_packets(s, d)), "tcp", "10.0.1.3", 1003).select("protocol", "lo", "hi", "packets"),
+     _with(PACKETS, FLOWS) + "SELECT protocol, lo, hi, packets FROM flows WHERE protocol = 'TCP' AND (dom_src_ip = '10.0.1.3' OR dom_dst_ip = '10.0.1.3') AND (dom_src_port = 1003 OR dom_dst_port = 1003)")
 for _by in ("bytes", "packets"):
     _add(f"top_flows_by_{_by}", lambda s, d, by=_by: flows.top_flows(flows.flows(_packets(s, d)), by).select("protocol", "lo", "hi", "packets", "bytes"),
          _with(PACKETS, FLOWS) + f"SELECT protocol, lo, hi, packets, bytes FROM flows ORDER BY {_by} DESC, first_seq LIMIT 10")
@@ -217,7 +226,7 @@ FROM (SELECT src_ip || ':' || src_port || '->' || dst_ip || ':' || dst_port AS f
 SELECT 10 AS rule_ord, 'QUIC_INITIAL_RATIO_ANOMALY' AS type, 'MEDIUM' AS severity, 'all' AS subject, CAST(large AS DOUBLE) AS value, CAST(n AS VARCHAR) AS detail, key_ord, first_ms, last_ms
 FROM (SELECT count(*) AS n, count(*) FILTER (length > {_T.quic_large_bytes}) AS large, {_MS} FROM packets WHERE protocol = 'UDP' AND dst_port = 443) WHERE n > 0 AND large::DOUBLE / n >= {_T.quic_large_share}""",
     "rule_quic_unknown_version": r"""
-SELECT 11 AS rule_ord, 'QUIC_UNKNOWN_VERSION' AS type, 'LOW' AS severity, 'all' AS subject, CAST(len(v) AS DOUBLE) AS value, array_to_string(list_sort(v), ',') AS detail, key_ord, first_ms, last_ms
+SELECT 11 AS rule_ord, 'QUIC_UNKNOWN_VERSION' AS type, 'LOW' AS severity, 'all' AS subject, CAST(len(v) AS DOUBLE) AS value, array_to_string(list_sort(v)[1:100], ',') AS detail, key_ord, first_ms, last_ms
 FROM (SELECT list(DISTINCT ver) AS v, """ + _MS + r""" FROM (SELECT *, lower(regexp_extract(raw_summary, 'Version[=:\s]+0x([0-9a-fA-F]+)', 1)) AS ver FROM packets
       WHERE protocol = 'UDP' AND dst_port = 443 AND contains(raw_summary, 'QUIC')) WHERE ver NOT IN ('', '00000000', '00000001', '6b3343cf', 'ff000020', 'ff000021', 'ff00001d')) WHERE len(v) > 0""",
 }
@@ -234,7 +243,9 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("alerts_all_sorted", _alerts, _A + "SELECT * REPLACE (CAST(rule_ord AS BIGINT) AS rule_ord) FROM alerts")
 _add("severity_summary", lambda s, d: rules.severity_summary(_alerts(s, d)), _A + """
 SELECT count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, count(*) AS total FROM alerts""")
-_add("engine_contribution", lambda s, d: rules.engine_contribution(_alerts(s, d)), _A + "SELECT type, count(*) AS alerts, CAST(floor(count(*) * 10000 / (SELECT count(*) FROM alerts)) AS BIGINT) AS share_bp FROM alerts GROUP BY 1")
+_add("engine_contribution", lambda s, d: rules.engine_contribution(_alerts(s, d)), _A + "SELECT CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.DETECTORS.items()) + " ELSE 'unknown' END AS detector, count(*) AS alerts, CAST(floor(count(*) * 10000 / (SELECT count(*) FROM alerts)) AS BIGINT) AS share_bp FROM alerts GROUP BY 1")
+_add("alert_windows", lambda s, d: _alerts(s, d).select("type", "subject", rules.time_window(F.col("first_ms"), F.col("last_ms")).alias("time_window")),
+     _A + "SELECT type, subject, strftime(make_timestamp(first_ms * 1000), '%Y-%m-%d %H:%M:%S.%g') || ' ~ ' || strftime(make_timestamp(last_ms * 1000), '%Y-%m-%d %H:%M:%S.%g') AS time_window FROM alerts")
 _add("kill_chain_stages", lambda s, d: rules.kill_chain_stages(_alerts(s, d)), _A + """
 SELECT stage, count(*) AS alerts, count(DISTINCT type) AS types FROM (
   SELECT type, unnest(list_distinct(list_filter([""" + ", ".join(f"CASE WHEN contains(type, '{p}') THEN {s}::BIGINT END" for p, s in rules.KILL_CHAIN) + """], lambda x: x IS NOT NULL))) AS stage FROM alerts) GROUP BY 1""")
@@ -248,10 +259,26 @@ FROM packets WHERE protocol IN ('TCP', 'UDP') AND dst_port > 0 GROUP BY 1 HAVING
 _add("dns_tunnel_candidates", lambda s, d: rules.tunnel_candidates(_packets(s, d)), P + """
 SELECT src_ip, count(*) AS queries, array_to_string(list(dns_query ORDER BY pkt_seq)[1:5], ',') AS sample, CASE WHEN count(*) > 20 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
 FROM packets WHERE dns_query <> '' AND length(dns_query) > 30 GROUP BY 1""")
-_add("threshold_sweep", lambda s, d: rules.threshold_sweep(_packets(s, d), [20, 40, 60, 80, 100]), P + f"""
-, k AS (SELECT src_ip, count(*) FILTER ({_SYN}) AS syns, count(*) FILTER (contains(flags, 'RST')) AS rsts FROM packets GROUP BY 1)
-SELECT CAST(cut AS BIGINT) AS cut, count(*) FILTER (syns >= cut AND rsts >= 80) AS tp, count(*) FILTER (syns >= cut AND rsts < 80) AS fp,
-       count(*) FILTER (syns < cut AND rsts >= 80) AS fn, count(*) FILTER (syns < cut AND rsts < 80) AS tn FROM k, (VALUES (20), (40), (60), (80), (100)) c(cut) GROUP BY 1""")
+_CUTS = [20, 40, 60, 80, 100]
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SYN counts of sources by day against days on which the source was answered by a reset."""
+    p = _packets(spark, sf_dir)
+    day = F.floor(F.col("ts_ms") / 86_400_000).alias("day")
+    syns = p.groupBy(day, F.col("src_ip").alias("ip")).agg(F.count_if(flows.initiator_syn()).alias("syns"))
+    hit = p.where(flows.has_flag("RST")).select(day, F.col("dst_ip").alias("ip")).distinct().withColumn("hit", F.lit(True))
+    rows = syns.join(hit, ["day", "ip"], "left")
+    return rules.threshold_sweep(rows, F.col("syns"), F.coalesce("hit", F.lit(False)), _CUTS)
+
+
+_add("threshold_sweep", _sweep, P + f"""
+, k AS (SELECT ts_ms // 86400000 AS day, src_ip AS ip, count(*) FILTER ({_SYN}) AS syns FROM packets GROUP BY 1, 2),
+h AS (SELECT DISTINCT ts_ms // 86400000 AS day, dst_ip AS ip FROM packets WHERE contains(flags, 'RST')),
+r AS (SELECT syns, h.ip IS NOT NULL AS t FROM k LEFT JOIN h USING (day, ip)),
+c AS (SELECT cut::DOUBLE AS cut, count(*) FILTER (syns >= cut AND t) AS tp, count(*) FILTER (syns >= cut AND NOT t) AS fp, count(*) FILTER (syns < cut AND t) AS fn, count(*) FILTER (syns < cut AND NOT t) AS tn FROM r, (VALUES {", ".join(f"({c})" for c in _CUTS)}) c(cut) GROUP BY 1)
+SELECT *, CASE WHEN tp + fn > 0 THEN CAST(floor(tp * 10000 / (tp + fn)) AS BIGINT) ELSE 0 END AS tpr_bp, CASE WHEN fp + tn > 0 THEN CAST(floor(fp * 10000 / (fp + tn)) AS BIGINT) ELSE 0 END AS fpr_bp,
+       coalesce(cut = min(CASE WHEN fn = 0 AND fp = 0 AND tp > 0 THEN cut END) OVER (), false) AS optimum FROM c""")
 
 _W = _with(PACKETS, WINDOWS)
 _B = _with(PACKETS, WINDOWS, DIMS, PROFILE)
