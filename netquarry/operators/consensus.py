@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,17 +32,62 @@ def review_priority(level: Column, needs_review: Column, agreement_m: Column, cr
     return F.when(rank == 2, "high").when(rank == 1, "medium").otherwise("low")
 
 
+def numeric_fields(*values: Column) -> Column:
+    """Numbers of an alert that could be ports or counts: whole parts from 1 to 65535."""
+    return F.filter(F.array_compact(F.array(*[v.cast("long") for v in values])), lambda x: x.between(1, 65535))
+
+
+#: Protocol and flag names that count as tokens of an alert.
+PROTOCOL_WORDS = ["TCP", "UDP", "DNS", "HTTP", "HTTPS", "ICMP", "RST", "SYN", "ACK"]
+
+
+def alert_tokens(text: Column) -> Column:
+    """Addresses, domain names and protocol words of a text, each once."""
+    words = "|".join(PROTOCOL_WORDS)
+    patterns = [r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r"\b[a-zA-Z0-9][a-zA-Z0-9.-]*\.[a-zA-Z]{2,}\b", rf"(?i)\b(?:{words})\b"]
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns]))
+
+
+def named_numbers(text: Column) -> Column:
+    """Distinct numbers of two to five digits that stand alone in a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d{2,5})\b"), F.lit(1)), lambda x: x.cast("long")))
+
+
 def matched_evidence(alerts: DataFrame, hits: DataFrame) -> DataFrame:
-    """Best hit of every alert: 45 points for the share of its words that the hit holds, 30 for a shared port, 10 for
-    its own name, 25 for similarity; without a similarity the rest counts for all. Earlier hits win ties.
+    """Best hit of every alert by 45 points for the share of its keywords that the hit holds, 30 for the share of the hit's numbers that the
+    alert names, 10 for the alert's tokens in it (three are all), 25 for similarity; without a similarity the others count for all.
+    Earlier hits win ties; an alert without hits has score 0.
 
-    ``alerts``: alert_id, words (array), ports (array), name; ``hits``: alert_id, rank, content, ports (array), similarity.
+    ``alerts``: alert_id, keywords, numbers, tokens (arrays); ``hits``: alert_id, rank, title, content, similarity.
     """
-    h = hits.select("alert_id", "rank", F.lower("content").alias("content"), F.col("ports").alias("hit_ports"), "similarity")
-    rows = alerts.join(h, "alert_id")
-    found = F.size(F.filter("words", lambda w: F.contains(F.col("content"), w)))
-    base = 0.45 * found / F.greatest(F.size("words"), F.lit(1)) + 0.30 * F.when(F.arrays_overlap("ports", "hit_ports"), 1).otherwise(0) + 0.10 * F.when(F.contains("content", F.lower("name")), 1).otherwise(0)
-    score = F.when(F.col("similarity").isNull(), base / 0.85).otherwise(base + 0.25 * F.col("similarity"))
-    scored = rows.select("alert_id", "rank", F.round(F.least(score, F.lit(1.0)) + 1e-9, 4).alias("score"))
+    h = hits.select("alert_id", "rank", "content", "similarity", named_numbers(F.concat_ws(" ", "content", "title")).alias("known"))
+    rows = alerts.join(h, "alert_id", "left")
+    held = lambda c: F.size(F.filter(c, lambda w: F.contains(F.col("content"), w)))
+    words = F.when(F.size("keywords") > 0, held("keywords") / F.size("keywords")).otherwise(0.0)
+    ports = F.when(F.size("known") > 0, F.size(F.array_intersect("known", "numbers")) / F.size("known")).otherwise(0.0)
+    base = 0.45 * words + 0.30 * ports + 0.10 * F.least(F.lit(1.0), held("tokens") / 3)
+    score = F.when(F.col("similarity").isNull(), base / 0.85).otherwise(base + 0.25 * F.least(F.lit(1.0), F.col("similarity")))
+    scored = rows.select("alert_id", "rank", F.when(F.col("rank").isNull(), 0.0).otherwise(F.round(F.least(score, F.lit(1.0)) + 1e-9, 4)).alias("score"))
     best = scored.groupBy("alert_id").agg(F.max(F.struct("score", (-F.col("rank")).alias("r"))).alias("b"))
     return best.select("alert_id", F.col("b.score").alias("score"), (-F.col("b.r")).alias("rank"))
+
+
+def overall_risk(rows: DataFrame, available: Column, points: Column, confidence_m: Column, needs_review: Column, priority: Column) -> DataFrame:
+    """``overall_m`` in thousandths: four tenths each of the text's points and of the confidence, and two tenths where nothing needs review;
+    nothing, and an unavailable risk, where the text isn't available. ``risk`` follows the priority of review."""
+    total = F.floor((points * 4 + confidence_m * 4) / 10) + F.when(needs_review, 0).otherwise(200)
+    return rows.withColumns({"overall_m": F.when(available, total).otherwise(0).cast("long"), "risk": F.when(~available, "unavailable").otherwise(priority)})
+
+
+def vote_majority(votes: DataFrame, key: str) -> DataFrame:
+    """Votes (key, threat, confidence) by key: strict majority, agreement, and the mean confidence (0.5 where missing) by half to full weight of it."""
+    grouped = votes.where("threat is not null").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if("threat").alias("yes"), F.avg(F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.5))).alias("c"))
+    share = F.col("yes") / F.col("n")
+    return grouped.select(key, (F.col("yes") * 2 > F.col("n")).alias("is_threat"), F.round(share, 3).alias("agreement"), F.round(F.col("c") * (0.5 + share / 2), 3).alias("confidence"))
+
+
+def first_distinct(rows: DataFrame, key: str, value: str, order: str, k: int = 12) -> DataFrame:
+    """The first k distinct values of every key, in the order they are first seen: key, place, value."""
+    firsts = rows.where(F.length(value) > 0).groupBy(key, value).agg(F.min(order).alias("__at"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("__at", value))
+    return firsts.withColumn("place", place.cast("long")).where(F.col("place") <= k).select(key, "place", value)

@@ -67,14 +67,15 @@ def flows(packets: DataFrame, ordered: bool = True) -> DataFrame:
     return flows_of(directions(packets, ordered))
 
 
-def flows_of(found: DataFrame) -> DataFrame:
-    """Flows from their directions."""
+def flows_of(found: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Flows from their directions (of each capture by itself, where ``by`` names it)."""
+    by = by or []
     top = F.max(F.struct("n", "src_ip", "src_port", "dst_ip", "dst_port", "bytes"))
-    grouped = found.groupBy("protocol", "lo", "hi").agg(
+    grouped = found.groupBy(*by, "protocol", "lo", "hi").agg(
         F.sum("n").alias("packets"), F.sum("bytes").alias("bytes"), F.sum("payload").alias("payload"), F.min("first").alias("first"), F.max("last").alias("last"), top.alias("dom")
     )
     return grouped.select(
-        "protocol", "lo", "hi", "packets", "bytes", "payload", F.col("first.seq").alias("first_seq"), F.col("first.ts_ms").alias("first_ms"), F.col("last.ts_ms").alias("last_ms"),
+        *by, "protocol", "lo", "hi", "packets", "bytes", "payload", F.col("first.seq").alias("first_seq"), F.col("first.ts_ms").alias("first_ms"), F.col("last.ts_ms").alias("last_ms"),
         F.col("dom.src_ip").alias("dom_src_ip"), F.col("dom.src_port").cast("long").alias("dom_src_port"), F.col("dom.dst_ip").alias("dom_dst_ip"),
         F.col("dom.dst_port").cast("long").alias("dom_dst_port"), F.col("dom.n").alias("dom_packets"), F.col("dom.bytes").alias("dom_bytes"),
     )

@@ -84,30 +84,55 @@ def scored(rows: DataFrame, columns: list[str], model: tuple[list, int]) -> Data
     return rows.withColumn("score", score(*[F.col(c).cast("double") for c in columns]))
 
 
+def _at_place(rows: DataFrame, column: str, place: int) -> float:
+    """The value at a place (from 0) of the sorted column: from counts of values, so no task sorts or holds all rows."""
+    counts = rows.groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    low = high = None
+    while True:
+        part = counts if low is None else counts.where((F.col("v") >= low) & (F.col("v") <= high))
+        ends = part.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+        if ends[2] <= 4096 or ends[0] == ends[1]:
+            for r in sorted(part.collect()):
+                if place < r.n:
+                    return r.v
+                place -= r.n
+        step = (ends[1] - ends[0]) / 256
+        binned = part.groupBy(F.least(F.floor((F.col("v") - ends[0]) / step), F.lit(255)).alias("b")).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for r in sorted(binned.collect(), key=lambda r: r.b):  # 256 rows
+            if place < r.n:
+                low, high = r.low, r.high
+                break
+            place -= r.n
+
+
 def threshold(train: DataFrame, contamination: float) -> float:
     """Score at place ``int(n * contamination) - 1`` (0 at least) of the sorted training scores."""
-    n = train.count()
-    place = max(0, int(n * contamination) - 1)
-    return train.orderBy("score").limit(place + 1).agg(F.max("score")).first()[0]
+    return _at_place(train, "score", max(0, int(train.count() * contamination) - 1))
 
 
-def top_dimension(columns: list[str], medians: DataFrame, rows: DataFrame) -> DataFrame:
-    """The dimension farthest from its (upper) median in proportion, the first of equals, and the side it lies on."""
+def top_dimension(columns: list[str], medians: DataFrame, rows: DataFrame, *keep: str) -> DataFrame:
+    """The dimension farthest from its (upper) median in proportion, the first of equals, how far, and the side it lies on."""
     joined = rows.crossJoin(F.broadcast(medians))  # one row
 
     def ratio(c: str) -> Column:
         x, m = F.col(c).cast("double"), F.col(f"m_{c}")
         return F.when(m != 0, F.abs((x - m) / m)).when(x > 0, x).otherwise(0.0)
 
+    def side_of(c: str) -> Column:
+        m = F.col(f"m_{c}")
+        return F.when(F.when(m > 0, F.col(c) >= m).otherwise(F.col(c) > 0), "high").otherwise("low")
+
     best = F.greatest(*[F.struct(ratio(c).alias("r"), F.lit(-i).alias("o")) for i, c in enumerate(columns)])
-    name, side = F.lit(columns[0]), F.when(F.col(columns[0]) >= F.col(f"m_{columns[0]}"), "high").otherwise("low")
+    name, side = F.lit(columns[0]), side_of(columns[0])
     for i, c in enumerate(columns[1:], 1):
         name = F.when(best["o"] == -i, c).otherwise(name)
-        side = F.when(best["o"] == -i, F.when(F.col(c) >= F.col(f"m_{c}"), "high").otherwise("low")).otherwise(side)
-    return joined.select("window_index", name.alias("dimension"), side.alias("direction"))
+        side = F.when(best["o"] == -i, side_of(c)).otherwise(side)
+    return joined.select(*keep, "window_index", name.alias("dimension"), best["r"].alias("ratio"), side.alias("direction"))
 
 
 def upper_medians(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Element n // 2 of the sorted values of each column."""
-    n = F.count(F.lit(1))
-    return rows.agg(*[F.get(F.array_sort(F.collect_list(F.col(c).cast("double"))), F.floor(n / 2).cast("int")).alias(f"m_{c}") for c in columns])
+    """Element n // 2 of the sorted values of each column; no row where there are none."""
+    n = rows.count()
+    spark = rows.sparkSession
+    schema = ", ".join(f"m_{c} double" for c in columns)
+    return spark.createDataFrame([tuple(_at_place(rows, c, n // 2) for c in columns)] if n else [], schema)

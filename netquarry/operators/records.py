@@ -41,6 +41,70 @@ def severity_by_day(history: DataFrame) -> DataFrame:
     return each.groupBy("day", "severity").agg(F.sum("n").alias("n"))
 
 
+def verdict_by_day(history: DataFrame) -> DataFrame:
+    return history.groupBy("day").agg(F.count_if("is_attack").alias("attack"), F.count_if(~F.col("is_attack")).alias("normal"))
+
+
+def _rate(a: Column, b: Column, places: int) -> Column:
+    return F.coalesce(F.round(F.try_divide(a, b), places), F.lit(0.0))
+
+
+def trend_summary(history: DataFrame) -> DataFrame:
+    """Totals and rates of all records in one row, zeros where there are none."""
+    n, attacks = F.count(F.lit(1)), F.count_if("is_attack")
+    total = F.coalesce(F.sum("alerts"), F.lit(0))
+    high = F.count_if(F.map_contains_key(F.from_json("severity", "map<string,bigint>"), "HIGH"))
+    return history.agg(
+        n.alias("total_records"), attacks.alias("attack_records"), (n - attacks).alias("normal_records"), _rate(attacks, n, 3).alias("attack_rate"), total.alias("total_alerts"), _rate(total, n, 2).alias("avg_alerts"),
+        F.count_if("needs_review").alias("needs_review"), high.alias("high_risk"),
+    )
+
+
+def stored_alerts(history: DataFrame) -> DataFrame:
+    """Alerts inside the stored reports (JSON text ``raw``); a report that doesn't parse has none."""
+    shape = "anomaly_detection struct<alerts:array<struct<type:string,src_ip:string,dst_port:bigint>>>"
+    return history.select("id", F.explode(F.from_json("raw", shape)["anomaly_detection"]["alerts"]).alias("a")).select("id", F.coalesce("a.type", F.lit("unknown")).alias("type"), "a.src_ip", "a.dst_port")
+
+
+def top_attack_types(history: DataFrame, k: int = 10) -> DataFrame:
+    return stored_alerts(history).groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "type").limit(k)
+
+
+def record_indicators(history: DataFrame) -> DataFrame:
+    """Addresses and ports that the stored alerts name, repeats kept: id, kind, value, source."""
+    both = F.array(
+        F.when(F.length("src_ip") > 0, F.struct(F.lit("IP").alias("kind"), F.col("src_ip").alias("value"))), F.when(F.col("dst_port") > 0, F.struct(F.lit("Port").alias("kind"), F.col("dst_port").cast("string").alias("value"))),
+    )
+    return stored_alerts(history).select("id", F.col("type").alias("source"), F.explode(F.array_compact(both)).alias("x")).select("id", "x.kind", "x.value", "source")
+
+
+def by_id(rows: DataFrame, key: int | str, column: str = "id") -> DataFrame:
+    return rows.where(F.col(column) == key)
+
+
+def updated(rows: DataFrame, changes: DataFrame, key: str, allowed: list[str]) -> DataFrame:
+    """Rows with the non-null values of ``changes`` by key, in the allowed columns only; other columns of it are ignored."""
+    own = [c for c in allowed if c in changes.columns and c in rows.columns and c != key]
+    new = changes.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__new_{c}") for c in own])
+    joined = rows.join(new, rows[key] == new["__key"], "left")
+    return joined.select(*[F.coalesce(f"__new_{c}", c).alias(c) if c in own else F.col(c) for c in rows.columns])
+
+
+def evidence_timeline(alerts: DataFrame, k: int = 20) -> DataFrame:
+    """The first k alerts in time, each as one line of evidence."""
+    order = [F.col(c) for c in ("first_ms", "key_ord", "rule_ord", "subject")]
+    line = F.concat_ws(" ", "severity", "subject", F.lit("="), F.col("value").cast("long").cast("string"))
+    first = alerts.orderBy(*order).limit(k)
+    return first.withColumns({"place": F.row_number().over(Window.orderBy(*order)).cast("long"), "evidence": line})  # k rows
+
+
+def imported(spark, path: str) -> DataFrame:
+    """Exported records: a JSON list of objects, or an object with such a list under ``records``."""
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
+    listed = F.when(F.startswith("v", F.lit("{")), F.get_json_object("v", "$.records")).otherwise(F.col("v"))
+    return text.select(F.explode(F.from_json(listed, "array<map<string,string>>")).alias("record"))
+
+
 def related(history: DataFrame, target: int, pool: int = 100, k: int = 5) -> DataFrame:
     """Records most like one: 3 points each for the same verdict and for alerts within a fifth, 2 for each
     severity in common and for a week's distance; over 3 points of the newest ``pool`` records."""
@@ -60,6 +124,11 @@ def audit_stats(audit: DataFrame) -> DataFrame:
     return audit.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status_code") >= 400).alias("errors"), F.round(F.avg("duration_ms"), 1).alias("avg_ms")).orderBy(F.desc("n"), "path").limit(10)
 
 
+def audit_totals(audit: DataFrame) -> DataFrame:
+    n, errors = F.count(F.lit(1)), F.count_if(F.col("status_code") >= 400)
+    return audit.agg(n.alias("total"), errors.alias("errors"), _rate(errors, n, 4).alias("error_rate"), F.coalesce(F.round(F.avg("duration_ms"), 2), F.lit(0.0)).alias("avg_ms"))
+
+
 def audit_query(audit: DataFrame, status: int | None = None, path: str | None = None) -> DataFrame:
     if status is not None:
         audit = audit.where(F.col("status_code") == status)

@@ -22,8 +22,14 @@ KNOWN_QUIC = ("00000001", "6b3343cf", "ff000020", "ff000021", "ff00001d")
 _ENDS = ["protocol", "src_ip", "src_port", "dst_ip", "dst_port"]
 
 
-def facts(packets: DataFrame, t: Thresholds) -> DataFrame:
-    """The pre-aggregate: ``n`` packets, their bytes and payload, ``f`` and ``l`` (pkt_seq, ts_ms) of the first and last."""
+def _by(found: DataFrame) -> list[str]:
+    """The capture, where facts keep captures apart."""
+    return ["capture_id"] if "capture_id" in found.columns else []
+
+
+def facts(packets: DataFrame, t: Thresholds, captures: bool = False) -> DataFrame:
+    """The pre-aggregate: ``n`` packets, their bytes and payload, ``f`` and ``l`` (pkt_seq, ts_ms) of the first and last.
+    With ``captures`` every rule runs for each capture by itself."""
     dns, quic = F.col("protocol") == "DNS", (F.col("protocol") == "UDP") & (F.col("dst_port") == 443)
     answer = F.col("dns_response") != ""
     version = F.when(quic & F.contains("raw_summary", F.lit("QUIC")), F.lower(F.regexp_extract("raw_summary", r"Version[=:\s]+0x([0-9a-fA-F]+)", 1)))
@@ -33,7 +39,7 @@ def facts(packets: DataFrame, t: Thresholds) -> DataFrame:
         "large": quic & (F.col("length") > t.quic_large_bytes),
     }
     unknown = F.when(~version.isin("", "00000000", *KNOWN_QUIC), version)
-    return packets.groupBy(*_ENDS, *[F.coalesce(c, F.lit(False)).alias(k) for k, c in kinds.items()], unknown.alias("version")).agg(
+    return packets.groupBy(*(["capture_id"] if captures else []), *_ENDS, *[F.coalesce(c, F.lit(False)).alias(k) for k, c in kinds.items()], unknown.alias("version")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), F.sum("payload_size").alias("payload"), F.min(F.struct("pkt_seq", "ts_ms")).alias("f"), F.max(F.struct("pkt_seq", "ts_ms")).alias("l")
     )
 
@@ -54,7 +60,7 @@ def _high(value: Column, high: float) -> Column:
 
 
 def _counted(rows: DataFrame, *keys: Column) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), *_span())
+    return rows.groupBy(*_by(rows), *keys).agg(F.sum("n").alias("n"), *_span())
 
 
 def _two_roles(rows: DataFrame, first: str, second: str) -> DataFrame:
@@ -62,58 +68,59 @@ def _two_roles(rows: DataFrame, first: str, second: str) -> DataFrame:
     roles = F.array(
         F.when(F.col(first), F.struct(F.col("src_ip").alias("ip"), F.lit(1).alias("role"))), F.when(F.col(second), F.struct(F.col("dst_ip").alias("ip"), F.lit(2).alias("role"))),
     )
-    return rows.select("n", "bytes", "f", "l", F.explode(F.array_compact(roles)).alias("r")).select("n", "bytes", "f", "l", "r.ip", "r.role")
+    own = [*_by(rows), "n", "bytes", "f", "l"]
+    return rows.select(*own, F.explode(F.array_compact(roles)).alias("r")).select(*own, "r.ip", "r.role")
 
 
 def syn_flood(found: DataFrame, t: Thresholds) -> DataFrame:
     """Initiator SYNs that a source sent less the SYN-ACKs it got: both roles of a host in one aggregation."""
     sent = F.col("role") == 1
-    keyed = _two_roles(found, "syn", "syn_ack").groupBy("ip").agg(
+    keyed = _two_roles(found, "syn", "syn_ack").groupBy(*_by(found), "ip").agg(
         F.sum(F.when(sent, F.col("n"))).alias("sent"), F.sum(F.when(~sent, F.col("n"))).alias("got"), F.min(F.when(sent, F.col("f"))).alias("f"), F.max(F.when(sent, F.col("l"))).alias("l")
     ).where("sent > 0")
     net = F.col("sent") - F.coalesce("got", F.lit(0))
-    return keyed.where(net >= t.syn_flood_min).select(*_alert("SYN_FLOOD_SUSPECTED", 1, _high(net, t.syn_flood_high), F.col("ip"), net))
+    return keyed.where(net >= t.syn_flood_min).select(*_by(found), *_alert("SYN_FLOOD_SUSPECTED", 1, _high(net, t.syn_flood_high), F.col("ip"), net))
 
 
 def port_scan(found: DataFrame, t: Thresholds) -> DataFrame:
     rows = found.where(F.col("syn") & (F.col("src_ip") != "") & (F.col("dst_port") > 0))
-    keyed = rows.groupBy("src_ip").agg(F.array_sort(F.collect_set("dst_port")).alias("ports"), *_span())  # 65535 ports at most
+    keyed = rows.groupBy(*_by(rows), "src_ip").agg(F.array_sort(F.collect_set("dst_port")).alias("ports"), *_span())  # 65535 ports at most
     n = F.size("ports")
     sample = F.array_join(F.transform(F.slice("ports", 1, 20), lambda x: x.cast("string")), ",")
-    return keyed.where(n >= t.port_scan_min).select(*_alert("PORT_SCAN_SUSPECTED", 2, _high(n, t.port_scan_high), F.col("src_ip"), n, sample))
+    return keyed.where(n >= t.port_scan_min).select(*_by(found), *_alert("PORT_SCAN_SUSPECTED", 2, _high(n, t.port_scan_high), F.col("src_ip"), n, sample))
 
 
 def dns_tunnel(found: DataFrame, t: Thresholds) -> DataFrame:
     keyed = _counted(found.where("long_dns"), F.col("src_ip"))
-    return keyed.where(F.col("n") >= t.dns_tunnel_min).select(*_alert("DNS_TUNNEL_SUSPECTED", 3, _high(F.col("n"), t.dns_tunnel_high), F.col("src_ip"), F.col("n")))
+    return keyed.where(F.col("n") >= t.dns_tunnel_min).select(*_by(found), *_alert("DNS_TUNNEL_SUSPECTED", 3, _high(F.col("n"), t.dns_tunnel_high), F.col("src_ip"), F.col("n")))
 
 
 def fact_flows(found: DataFrame) -> DataFrame:
     """Flows of the facts' packets."""
     rows = found.where(F.col("protocol").isin("TCP", "UDP") & (F.col("src_ip") != "") & (F.col("dst_ip") != ""))
     src, dst = end_point("src"), end_point("dst")
-    ways = rows.groupBy("protocol", F.least(src, dst).alias("lo"), F.greatest(src, dst).alias("hi"), "src_ip", "src_port", "dst_ip", "dst_port").agg(
+    ways = rows.groupBy("protocol", F.least(src, dst).alias("lo"), F.greatest(src, dst).alias("hi"), "src_ip", "src_port", "dst_ip", "dst_port", *_by(found)).agg(
         F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum("payload").alias("payload"), F.min(F.struct(F.col("f.pkt_seq").alias("seq"), F.col("f.ts_ms").alias("ts_ms"))).alias("first"),
         F.max(F.struct(F.col("l.pkt_seq").alias("seq"), F.col("l.ts_ms").alias("ts_ms"))).alias("last"),
     )
-    return flows_of(ways)
+    return flows_of(ways, _by(found))
 
 
 def large_transfer(found: DataFrame, t: Thresholds) -> DataFrame:
     rows = fact_flows(found).where(F.col("bytes") > t.large_flow_mb * 1024 * 1024)
     way = F.concat(F.concat_ws(":", "dom_src_ip", F.col("dom_src_port").cast("string")), F.lit(" -> "), F.concat_ws(":", "dom_dst_ip", F.col("dom_dst_port").cast("string")))
     rows = rows.withColumns({"f": F.struct(F.col("first_seq").alias("pkt_seq"), F.col("first_ms").alias("ts_ms")), "l": F.struct(F.lit(0).alias("pkt_seq"), F.col("last_ms").alias("ts_ms"))})
-    return rows.select(*_alert("LARGE_DATA_TRANSFER", 4, F.lit("MEDIUM"), F.concat_ws("|", "protocol", "lo", "hi"), F.col("bytes"), way))
+    return rows.select(*_by(found), *_alert("LARGE_DATA_TRANSFER", 4, F.lit("MEDIUM"), F.concat_ws("|", "protocol", "lo", "hi"), F.col("bytes"), way))
 
 
 def rst_storm(found: DataFrame, t: Thresholds) -> DataFrame:
     keyed = _counted(found.where("rst"), F.col("src_ip"))
-    return keyed.where(F.col("n") >= t.rst_storm_min).select(*_alert("RST_STORM", 5, F.lit("LOW"), F.col("src_ip"), F.col("n")))
+    return keyed.where(F.col("n") >= t.rst_storm_min).select(*_by(found), *_alert("RST_STORM", 5, F.lit("LOW"), F.col("src_ip"), F.col("n")))
 
 
 def udp_flood(found: DataFrame, t: Thresholds) -> DataFrame:
     keyed = _counted(found.where("protocol = 'UDP'"), F.col("dst_ip"))
-    return keyed.where(F.col("n") >= t.udp_flood_min).select(*_alert("UDP_FLOOD_SUSPECTED", 6, _high(F.col("n"), t.udp_flood_high), F.col("dst_ip"), F.col("n")))
+    return keyed.where(F.col("n") >= t.udp_flood_min).select(*_by(found), *_alert("UDP_FLOOD_SUSPECTED", 6, _high(F.col("n"), t.udp_flood_high), F.col("dst_ip"), F.col("n")))
 
 
 def dns_amplification(found: DataFrame, t: Thresholds) -> DataFrame:
@@ -122,14 +129,14 @@ def dns_amplification(found: DataFrame, t: Thresholds) -> DataFrame:
     A packet with an answer is a response, whatever query it repeats.
     """
     answered = F.col("role") == 2
-    keyed = _two_roles(found, "question", "answer").where("ip <> ''").groupBy("ip").agg(
+    keyed = _two_roles(found, "question", "answer").where("ip <> ''").groupBy(*_by(found), "ip").agg(
         F.sum(F.when(answered, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(answered, F.col("bytes")).otherwise(0)).alias("out"), F.sum(F.when(~answered, F.col("bytes"))).alias("asked"),
         F.min(F.when(answered, F.col("f"))).alias("f"), F.max(F.when(answered, F.col("l"))).alias("l"),
     )
     asked = F.coalesce("asked", F.lit(1))
     ratio = F.when(asked > 0, F.col("out") / asked).otherwise(F.col("out").cast("double"))
     rows = keyed.where((F.col("n") >= t.dns_amp_responses) & (ratio >= t.dns_amp_ratio))
-    return rows.select(*_alert("DNS_AMPLIFICATION_SUSPECTED", 7, F.lit("HIGH"), F.col("ip"), F.col("n"), F.concat_ws("/", F.col("out").cast("string"), asked.cast("string"))))
+    return rows.select(*_by(found), *_alert("DNS_AMPLIFICATION_SUSPECTED", 7, F.lit("HIGH"), F.col("ip"), F.col("n"), F.concat_ws("/", F.col("out").cast("string"), asked.cast("string"))))
 
 
 def _quic(found: DataFrame) -> DataFrame:
@@ -137,28 +144,34 @@ def _quic(found: DataFrame) -> DataFrame:
 
 
 def quic_connections(found: DataFrame, t: Thresholds) -> DataFrame:
-    keyed = _counted(_quic(found), F.col("src_ip"), F.col("src_port")).groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), *_span())
-    return keyed.where(F.col("n") >= t.quic_connections).select(*_alert("QUIC_CONNECTION_FLOOD", 8, F.lit("HIGH"), F.col("src_ip"), F.col("n")))
+    keyed = _counted(_quic(found), F.col("src_ip"), F.col("src_port")).groupBy(*_by(found), "src_ip").agg(F.count(F.lit(1)).alias("n"), *_span())
+    return keyed.where(F.col("n") >= t.quic_connections).select(*_by(found), *_alert("QUIC_CONNECTION_FLOOD", 8, F.lit("HIGH"), F.col("src_ip"), F.col("n")))
 
 
 def quic_long_flow(found: DataFrame, t: Thresholds) -> DataFrame:
     way = F.concat_ws("->", F.concat_ws(":", "src_ip", F.col("src_port").cast("string")), F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string")))
     keyed = _counted(_quic(found), way.alias("flow"))
-    return keyed.where(F.col("n") >= t.quic_long_flow).select(*_alert("QUIC_LONG_FLOW_ANOMALY", 9, F.lit("MEDIUM"), F.col("flow"), F.col("n")))
+    return keyed.where(F.col("n") >= t.quic_long_flow).select(*_by(found), *_alert("QUIC_LONG_FLOW_ANOMALY", 9, F.lit("MEDIUM"), F.col("flow"), F.col("n")))
 
 
 def quic_initial_ratio(found: DataFrame, t: Thresholds) -> DataFrame:
-    totals = _quic(found).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.when(F.col("large"), F.col("n")).otherwise(0)).alias("large"), *_span())
+    totals = _quic(found).groupBy(*_by(found)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.when(F.col("large"), F.col("n")).otherwise(0)).alias("large"), *_span())
     rows = totals.where((F.col("n") > 0) & (F.col("large") / F.col("n") >= t.quic_large_share))
-    return rows.select(*_alert("QUIC_INITIAL_RATIO_ANOMALY", 10, F.lit("MEDIUM"), F.lit("all"), F.col("large"), F.col("n").cast("string")))
+    return rows.select(*_by(found), *_alert("QUIC_INITIAL_RATIO_ANOMALY", 10, F.lit("MEDIUM"), F.lit("all"), F.col("large"), F.col("n").cast("string")))
 
 
 def quic_unknown_version(found: DataFrame, t: Thresholds, shown: int = 100) -> DataFrame:
     """One alert for all unknown versions: how many there are, and the first ``shown`` of them in order."""
     each = _counted(found.where("version is not null"), F.col("version"))
-    first = each.orderBy("version").limit(shown).agg(F.array_join(F.array_sort(F.collect_list("version")), ",").alias("versions"))
-    rows = each.agg(F.count(F.lit(1)).alias("n"), *_span()).where("n > 0").crossJoin(first)  # one row each
-    return rows.select(*_alert("QUIC_UNKNOWN_VERSION", 11, F.lit("LOW"), F.lit("all"), F.col("n"), F.col("versions")))
+    by = _by(found)
+    if by:
+        early = each.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("version"))).where(F.col("r") <= shown)
+    else:
+        early = each.orderBy("version").limit(shown)
+    first = early.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("version")), ",").alias("versions"))
+    counted = each.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *_span()).where("n > 0")
+    rows = counted.join(first, by) if by else counted.crossJoin(first)  # one row each
+    return rows.select(*_by(found), *_alert("QUIC_UNKNOWN_VERSION", 11, F.lit("LOW"), F.lit("all"), F.col("n"), F.col("versions")))
 
 
 _BY_FACTS = {
@@ -207,11 +220,15 @@ def severity_rank(severity: Column) -> Column:
     return rank
 
 
+def unsorted_alerts(packets: DataFrame, t: Thresholds, captures: bool = False) -> DataFrame:
+    """Alerts of all rules, from facts that are written once."""
+    found = materialize(facts(packets, t, captures), "facts")
+    return reduce(DataFrame.unionByName, [rule(found, t) for rule in _BY_FACTS.values()])
+
+
 def all_alerts(packets: DataFrame, t: Thresholds) -> DataFrame:
     """Alerts of all rules in order: severity, then rule, then the key that was seen first."""
-    found = materialize(facts(packets, t), "facts")
-    every = reduce(DataFrame.unionByName, [rule(found, t) for rule in _BY_FACTS.values()])
-    return every.orderBy(severity_rank(F.col("severity")), "rule_ord", "key_ord", "subject")
+    return unsorted_alerts(packets, t).orderBy(severity_rank(F.col("severity")), "rule_ord", "key_ord", "subject")
 
 
 def severity_summary(alerts: DataFrame) -> DataFrame:
@@ -237,7 +254,7 @@ def kill_chain_stages(alerts: DataFrame) -> DataFrame:
 def indicators(alerts: DataFrame) -> DataFrame:
     """Addresses that alerts name, each with its first rule and number of alerts."""
     ip = F.regexp_extract("subject", r"\b(\d+\.\d+\.\d+\.\d+)\b", 1)
-    return alerts.withColumn("ip", ip).where("ip <> ''").groupBy("ip").agg(F.min("rule_ord").alias("first_rule"), F.count(F.lit(1)).alias("alerts"))
+    return alerts.withColumn("ip", ip).where("ip <> ''").groupBy(*_by(found), "ip").agg(F.min("rule_ord").alias("first_rule"), F.count(F.lit(1)).alias("alerts"))
 
 
 def syn_candidates(packets: DataFrame, least: int = 50, high: int = 200) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Phrases by which a text claims more than evidence gives.
@@ -28,10 +28,12 @@ def failed(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.startswith(head, F.lit(m)) for m in FAILURE_MARKERS])
 
 
-def validation_points(text: Column, shortest: int = 20, longest: int = 10_000) -> Column:
-    """Score in thousandths: 1000 less 200 if short, 100 if long, 150 for every absolute phrase; 0 if empty or failed."""
+def validation_points(text: Column, shortest: int = 20, longest: int = 10_000, contradictions: Column | None = None) -> Column:
+    """Score in thousandths: 1000 less 200 if short, 100 if long, 150 for every absolute phrase, 100 for every contradiction and
+    for doubtful techniques; 0 if empty or failed."""
     absolute = reduce(lambda a, b: a + b, [F.when(F.contains(text, F.lit(p)), 150).otherwise(0) for p in ABSOLUTE])
     points = 1000 - F.when(F.length(text) < shortest, 200).otherwise(0) - F.when(F.length(text) > longest, 100).otherwise(0) - absolute
+    points = points - F.when(doubtful_techniques(text), 100).otherwise(0) - (100 * contradictions if contradictions is not None else F.lit(0))
     return F.when((F.length(text) == 0) | failed(text), 0).otherwise(F.greatest(points, F.lit(0)))
 
 
@@ -39,6 +41,52 @@ def validation_level(text: Column, points: Column) -> Column:
     return F.when((F.length(text) == 0) | failed(text), "unavailable").when(points >= 800, "pass").when(points >= 500, "warning").otherwise("fail")
 
 
+#: What a text may name as a technique without being doubted.
+KNOWN_TECHNIQUES = [
+    "SYN Flood", "SYN flood", "端口扫描", "Port Scan", "port scan",
+    "DNS 隧道", "DNS Tunneling", "RST 风暴", "RST Storm",
+    "暴力破解", "Brute Force", "SQL 注入", "SQL Injection",
+    "XSS", "跨站脚本", "DDoS", "勒索软件", "Ransomware",
+    "钓鱼", "Phishing", "中间人攻击", "MITM", "零日漏洞", "0day",
+    "木马", "Trojan", "后门", "Backdoor", "蠕虫", "Worm",
+    "Shellcode",
+]
+#: Techniques in mixed case that are looked for by name.
+NAMED_TECHNIQUES = ["SYN Flood", "DNS Tunneling", "RST Storm", "Port Scan", "Brute Force", "SQL Injection"]
+
+
+def techniques(text: Column, most: int = 10) -> Column:
+    """Names of techniques in a text (words in title case side by side, then the known mixed ones), each once; none in a failed text."""
+    titles = F.regexp_extract_all(text, F.lit(r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"), F.lit(1))
+    named = F.regexp_extract_all(text, F.lit("(" + "|".join(NAMED_TECHNIQUES) + ")"), F.lit(1))
+    found = F.slice(F.array_distinct(F.filter(F.concat(titles, named), lambda x: F.length(x) > 3)), 1, most)
+    return F.when((F.length(text) == 0) | failed(text), F.array().cast("array<string>")).otherwise(found)
+
+
+def doubtful_techniques(text: Column) -> Column:
+    """If a text names more than two techniques that nobody knows."""
+    return F.size(F.filter(techniques(text), lambda x: ~x.isin(KNOWN_TECHNIQUES))) > 2
+
+
+#: Words by which a text speaks of an attack, kinds of attack it may assert, and hedges before them.
+ATTACK_WORDS = ["攻击", "恶意", "入侵", "威胁", "attack", "malicious", "intrusion"]
+ASSERTED = ["SYN Flood", "SYN洪水", "端口扫描", "DNS 隧道", "DNS隧道", "RST 风暴", "RST风暴"]
+HEDGES = ["可能", "疑似", "或许", "不排除", "may", "might", "possibly"]
+
+
+def inconsistencies(text: Column, fused_attack: Column, confidence: Column, alerts: Column) -> Column:
+    """How often a text contradicts the engines: an attack where fusion is sure there is none, and an unhedged kind of attack without any alert."""
+    against = F.coalesce(~fused_attack & (confidence > 0.8), F.lit(False)) & any_of(F.lower(text), ATTACK_WORDS)
+
+    def asserted(kind: str) -> Column:
+        at = F.locate(kind, text)
+        before = F.substring(text, F.greatest(at - 12, F.lit(1)), F.least(at - 1, F.lit(12)))
+        return (at > 0) & ~any_of(before, HEDGES)
+
+    bare = reduce(lambda a, b: a | b, [asserted(k) for k in ASSERTED])
+    return F.when(against, 1).otherwise(0) + F.when(F.coalesce(alerts == 0, F.lit(False)) & bare, 1).otherwise(0)
+
+
 def verdict(text: Column) -> Column:
     """attack, normal or unknown by clauses: a denial counts half for normal and hides the rest of its clause."""
     clauses = F.filter(F.split(F.lower(text), r"[。；;，,！!？?]|\.\s*|\n", -1), lambda c: F.length(F.trim(c)) > 0)
@@ -74,11 +122,19 @@ def parsed_reports(rows: DataFrame, text: str = "text") -> DataFrame:
 
 def merged_votes(votes: DataFrame) -> DataFrame:
     """Votes (alert_type, evidence, seq, positive, confidence) by type and start of the evidence: strict majority,
-    mean confidence (0.5 where missing) by half to full weight of the share of positives, and the middle vote as reference."""
-    grouped = votes.groupBy("alert_type", F.substring("evidence", 1, 40).alias("evidence40")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("tp"), F.avg(F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.5))).alias("conf"), F.array_sort(F.collect_list(F.struct("seq", "evidence"))).alias("v")
-    )
-    return grouped.select(
-        "alert_type", "evidence40", "n", "tp", (F.col("tp") * 2 > F.col("n")).alias("is_true_positive"), F.round(F.col("conf") * (0.5 + F.col("tp") / F.col("n") / 2), 3).alias("confidence"),
-        F.element_at("v", (F.floor(F.col("n") / 2) + 1).cast("int"))["seq"].alias("reference"),
+    mean confidence (0.5 where missing) by half to full weight of the share of positives, and the middle vote as reference.
+
+    The middle comes from counts of stretches of ``seq`` and a rank inside one stretch, so no group is gathered.
+    """
+    keys = ["alert_type", "evidence40"]
+    rows = votes.withColumns({"evidence40": F.substring("evidence", 1, 40), "stretch": F.floor(F.col("seq") / 4096)})
+    parts = rows.groupBy(*keys, "stretch").agg(F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("tp"), F.sum(F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.5))).alias("c"))
+    grouped = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"), F.sum("c").alias("c"))
+    upto = Window.partitionBy(*keys).orderBy("stretch")
+    placed = parts.select(*keys, "stretch", F.col("n").alias("m"), (F.sum("n").over(upto) - F.col("n")).alias("before")).join(grouped, keys)
+    middle = F.floor(F.col("n") / 2)
+    at = placed.where((middle >= F.col("before")) & (middle < F.col("before") + F.col("m"))).select(*keys, "stretch", "n", "tp", "c", (middle - F.col("before") + 1).alias("nth"))
+    ranked = rows.join(at, [*keys, "stretch"]).withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("seq")))
+    return ranked.where(F.col("r") == F.col("nth")).select(
+        *keys, "n", "tp", (F.col("tp") * 2 > F.col("n")).alias("is_true_positive"), F.round(F.col("c") / F.col("n") * (0.5 + F.col("tp") / F.col("n") / 2), 3).alias("confidence"), F.col("seq").alias("reference"),
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import if_small, materialize
 from .flows import initiator_syn
 
 
@@ -19,7 +20,7 @@ def windows(packets: DataFrame, window_sec: int, by: str | None = None) -> DataF
     """
     keys = [by] if by else []
     anchor = packets.groupBy(*keys).agg(F.min_by("ts_ms", "pkt_seq").alias("t0"))
-    rows = packets.join(F.broadcast(anchor), by) if by else packets.crossJoin(F.broadcast(anchor))  # a row per capture
+    rows = packets.join(if_small(materialize(anchor, "anchors")), by) if by else packets.crossJoin(F.broadcast(anchor))  # one row
     bucket = F.floor((F.col("ts_ms") - F.col("t0")) / (window_sec * 1000))
     port = F.when(F.col("dst_port") > 0, F.col("dst_port"))
     fine = rows.groupBy(*keys, bucket.alias("bucket"), port.alias("port")).agg(
@@ -52,4 +53,4 @@ def by_dimension(found: DataFrame, *keep: str) -> DataFrame:
     from ..schemas import DIMENSIONS
 
     every = F.array(*[F.struct(F.lit(i).alias("dim_ord"), F.lit(d).alias("dimension"), F.col(d).cast("double").alias("value")) for i, d in enumerate(DIMENSIONS)])
-    return found.select("window_index", *keep, F.explode(every).alias("x")).select("window_index", *keep, "x.*")
+    return found.select(*keep, "window_index", F.explode(every).alias("x")).select(*keep, "window_index", "x.*")

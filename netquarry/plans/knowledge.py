@@ -172,7 +172,10 @@ def _sql_any(text: str, words: list[str]) -> str:
 
 
 _FAIL = "(" + " OR ".join(f"starts_with(ltrim(text), '{m}')" for m in text_checks.FAILURE_MARKERS) + ")"
-_POINTS = f"CASE WHEN length(text) = 0 OR {_FAIL} THEN 0 ELSE greatest(0, 1000 - CASE WHEN length(text) < 20 THEN 200 ELSE 0 END - CASE WHEN length(text) > 10000 THEN 100 ELSE 0 END - " + " - ".join(f"CASE WHEN contains(text, '{p}') THEN 150 ELSE 0 END" for p in text_checks.ABSOLUTE) + ") END"
+_POINTS = f"CASE WHEN length(text) = 0 OR {_FAIL} THEN 0 ELSE greatest(0, 1000 - CASE WHEN length(text) < 20 THEN 200 ELSE 0 END - CASE WHEN length(text) > 10000 THEN 100 ELSE 0 END - " + " - ".join(f"CASE WHEN contains(text, '{p}') THEN 150 ELSE 0 END" for p in text_checks.ABSOLUTE) + " - CASE WHEN len(list_filter(tech, lambda x: NOT list_contains([" + ", ".join(f"'{t}'" for t in text_checks.KNOWN_TECHNIQUES) + "], x))) > 2 THEN 100 ELSE 0 END) END"
+_TECH = "list_filter(regexp_extract_all(text, '([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)', 1) || regexp_extract_all(text, '(" + "|".join(text_checks.NAMED_TECHNIQUES) + ")', 1), lambda x: length(x) > 3)"
+# distinct in order of first place
+_TECH = f"list_filter({_TECH}, lambda x, i: list_position({_TECH}, x) = i)[1:10]"
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,8 +183,11 @@ def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("conv_id", "turn", points.cast("long").alias("points"), text_checks.validation_level(F.col("text"), points).alias("level"))
 
 
-_add("llm_output_validation", _validated, _TXT + f""", p AS (SELECT *, CAST({_POINTS} AS BIGINT) AS points FROM texts)
+_add("llm_output_validation", _validated, _TXT + f""", q AS (SELECT *, {_TECH} AS tech FROM texts), p AS (SELECT *, CAST({_POINTS} AS BIGINT) AS points FROM q)
 SELECT conv_id, turn, points, CASE WHEN length(text) = 0 OR {_FAIL} THEN 'unavailable' WHEN points >= 800 THEN 'pass' WHEN points >= 500 THEN 'warning' ELSE 'fail' END AS level FROM p""")
+_add("technique_mentions", lambda s, d: _texts(s, d).select("conv_id", "turn", F.array_join(text_checks.techniques(F.concat(F.col("text"), F.lit(" Port Scan, Lateral Movement and SYN Flood. Port Scan"))), "|").alias("names")), _TXT.replace("WITH texts", "WITH raw") + f""",
+texts AS (SELECT conv_id, turn, text || ' Port Scan, Lateral Movement and SYN Flood. Port Scan' AS text FROM raw)
+SELECT conv_id, turn, CASE WHEN {_FAIL} THEN '' ELSE array_to_string({_TECH}, '|') END AS names FROM texts""")
 _add("verdict_parse", lambda s, d: _texts(s, d).select("conv_id", "turn", text_checks.verdict(F.col("text")).alias("verdict")), _TXT + f""",
 c AS (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[。；;，,！!？?]|\\.\\s*|\\n')) AS c FROM texts),
 s AS (SELECT conv_id, turn, sum(CASE WHEN length(trim(c)) = 0 THEN 0 WHEN {_sql_any('c', text_checks.DENIALS)} THEN -1 ELSE CASE WHEN {_sql_any('c', text_checks.ATTACK)} THEN 2 ELSE 0 END - CASE WHEN {_sql_any('c', text_checks.NORMAL)} THEN 2 ELSE 0 END END) AS s FROM c GROUP BY 1, 2)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import baseline, evaluate, forest, fusion, records, rules, windows
+from ..operators import baseline, engines, evaluate, forest, fusion, records, rules, windows
 from ..sources.packets import packets_from_events, table
+from . import traffic
 from .traffic import _A, _B, _TRAIN, _deviations, _later, _windows, HOUR, PACKETS, SCALED, SIGMA, WINDOWS, _alerts, _packets, _with
 
 QUERIES: dict = {}
@@ -19,6 +23,14 @@ def _add(name: str, query, sql: str | None = None) -> None:
         ORACLE_SQL[name] = sql
 
 
+def _raw_alerts(level: Column) -> Column:
+    """Alerts inside a stored report: one of its severity's name with an address, and for attacks one with a port."""
+    key = F.col("o_orderkey")
+    first = F.struct(F.when(level <= 2, "HIGH").when(level == 3, "MEDIUM").otherwise("LOW").alias("type"), F.concat(F.lit("10.0.0."), (key % 256).cast("string")).alias("src_ip"), F.lit(None).cast("long").alias("dst_port"))
+    second = F.struct(F.lit("SYN_FLOOD_SUSPECTED").alias("type"), F.lit("").alias("src_ip"), (1000 + key % 50).alias("dst_port"))
+    return F.when(F.col("o_orderstatus") == "F", F.array(first, second)).otherwise(F.array(first))
+
+
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as stored analyses."""
     level = F.element_at(F.split("o_orderpriority", "-"), 1).cast("int")
@@ -26,7 +38,7 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
         (F.col("o_custkey") % 20).alias("alerts"), (F.col("o_orderstatus") == "F").alias("is_attack"), (F.col("o_orderpriority") == "1-URGENT").alias("needs_review"),
         F.to_json(F.create_map(F.when(level <= 2, "HIGH").when(level == 3, "MEDIUM").otherwise("LOW"), F.col("o_custkey") % 5 + 1)).alias("severity"),
-        F.to_json(F.struct(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("file_hash"))).alias("raw"),
+        F.to_json(F.struct(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("file_hash"), F.struct(_raw_alerts(level).alias("alerts")).alias("anomaly_detection"))).alias("raw"),
     )
 
 
@@ -38,6 +50,16 @@ _H = _with(HISTORY)
 _add("history_page", lambda s, d: records.page(_history(s, d), [F.desc("ts_ms"), F.col("id")], 50, 100).select("id", "ts_ms", "alerts"), _H + "SELECT id, ts_ms, alerts FROM history ORDER BY ts_ms DESC, id LIMIT 50 OFFSET 100")
 _add("history_trend", lambda s, d: records.daily_trend(_history(s, d)), _H + """
 SELECT day, count(*) AS analyses, CAST(sum(alerts) AS BIGINT) AS alerts, count(*) FILTER (is_attack) AS attacks, count(*) FILTER (needs_review) AS reviews FROM history GROUP BY 1""")
+_add("trend_summary", lambda s, d: records.trend_summary(_history(s, d)), _H + """
+SELECT count(*) AS total_records, count(*) FILTER (is_attack) AS attack_records, count(*) FILTER (NOT is_attack) AS normal_records, round(count(*) FILTER (is_attack)::DOUBLE / count(*), 3) AS attack_rate, CAST(sum(alerts) AS BIGINT) AS total_alerts,
+       round(sum(alerts)::DOUBLE / count(*), 2) AS avg_alerts, count(*) FILTER (needs_review) AS needs_review, count(*) FILTER (sev = 'HIGH') AS high_risk FROM history""")
+_add("verdict_by_day", lambda s, d: records.verdict_by_day(_history(s, d)), _H + "SELECT day, count(*) FILTER (is_attack) AS attack, count(*) FILTER (NOT is_attack) AS normal FROM history GROUP BY 1")
+_add("top_attack_types", lambda s, d: records.top_attack_types(_history(s, d)), _H + """, a AS (SELECT unnest(CASE WHEN is_attack THEN ['SYN_FLOOD_SUSPECTED', sev] ELSE [sev] END) AS type FROM history) SELECT type, count(*) AS n FROM a GROUP BY 1 ORDER BY n DESC, type LIMIT 10""")
+_add("record_indicators", lambda s, d: records.record_indicators(_history(s, d)), _H + """
+SELECT id, 'IP' AS kind, '10.0.0.' || (id % 256) AS value, sev AS source FROM history UNION ALL SELECT id, 'Port', CAST(1000 + id % 50 AS VARCHAR), 'SYN_FLOOD_SUSPECTED' FROM history WHERE is_attack""")
+_add("record_by_id", lambda s, d: records.by_id(_history(s, d), 7).select("id", "day", "alerts"), _H + "SELECT id, day, alerts FROM history WHERE id = 7")
+_add("evidence_timeline", lambda s, d: records.evidence_timeline(_alerts(s, d)).select("place", "type", "evidence"), _A + """
+SELECT row_number() OVER (ORDER BY first_ms, key_ord, rule_ord, subject) AS place, type, severity || ' ' || subject || ' = ' || CAST(CAST(value AS BIGINT) AS VARCHAR) AS evidence FROM alerts ORDER BY first_ms, key_ord, rule_ord, subject LIMIT 20""")
 _add("severity_by_day", lambda s, d: records.severity_by_day(_history(s, d)), _H + "SELECT day, sev AS severity, CAST(sum(sev_n) AS BIGINT) AS n FROM history GROUP BY 1, 2")
 _add("last_days", lambda s, d: records.latest(records.daily_trend(_history(s, d)), [F.desc("day")], 7).select("day", "analyses"), _H + "SELECT day, count(*) AS analyses FROM history GROUP BY 1 ORDER BY day DESC LIMIT 7")
 _add("retention_latest_n", lambda s, d: records.latest(_history(s, d), [F.desc("ts_ms"), F.col("id")], 60).select("id", "ts_ms"), _H + "SELECT id, ts_ms FROM history ORDER BY ts_ms DESC, id LIMIT 60")
@@ -63,6 +85,7 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _AUDIT = "WITH audit AS (SELECT event_id AS id, event_type AS path, CASE WHEN event_type = 'error' THEN 500::BIGINT ELSE 200::BIGINT END AS status_code, value AS duration_ms FROM events)\n"
 _add("audit_stats", lambda s, d: records.audit_stats(_audit(s, d)), _AUDIT + "SELECT path, count(*) AS n, count(*) FILTER (status_code >= 400) AS errors, round(avg(duration_ms), 1) AS avg_ms FROM audit GROUP BY 1 ORDER BY n DESC, path LIMIT 10")
+_add("audit_totals", lambda s, d: records.audit_totals(_audit(s, d)), _AUDIT + "SELECT count(*) AS total, count(*) FILTER (status_code >= 400) AS errors, round(count(*) FILTER (status_code >= 400)::DOUBLE / count(*), 4) AS error_rate, round(avg(duration_ms), 2) AS avg_ms FROM audit")
 _add("audit_query", lambda s, d: records.page(records.audit_query(_audit(s, d), 500, "err"), [F.desc("id")], 100, 20).select("id", "path", "status_code"), _AUDIT + "SELECT id, path, status_code FROM audit WHERE status_code = 500 AND contains(path, 'err') ORDER BY id DESC LIMIT 100 OFFSET 20")
 _add("chat_history", lambda s, d: records.chat_context(table(s, d, "conversations")).select("conv_id", "turn", "role"), """
 SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 10 AND role <> 'system' AND length(trim(text)) > 0""")
@@ -84,19 +107,6 @@ _add("confusion_metrics", lambda s, d: evaluate.confusion(table(s, d, "labels"),
 SELECT {_RATES} FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality <> 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic <> 1) AS fn, count(*) FILTER (quality <> 1 AND toxic <> 1) AS tn FROM labels)""")
 
 
-def _engines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window predictions of three simple engines against windows that hold an error, unpivoted."""
-    found = _windows(spark, sf_dir).withColumn("truth", F.col("bucket") % 3 == 0)
-    each = F.array(*[F.struct(F.lit(n).alias("engine"), p.alias("p")) for n, p in (("packets", F.col("packets") > 16), ("bytes", F.col("bytes") > 9000), ("syn", F.col("syn") > 4))])
-    return evaluate.confusion(found.select("truth", F.explode(each).alias("x")).select("truth", "x.*"), F.col("truth"), F.col("p"), "engine")
-
-
-_add("engine_comparison", _engines, _with(PACKETS, WINDOWS) + f""",
-e AS (SELECT bucket % 3 = 0 AS t, unnest([{{'engine': 'packets', 'p': packets > 16}}, {{'engine': 'bytes', 'p': bytes > 9000}}, {{'engine': 'syn', 'p': syn > 4}}]) AS x FROM windows),
-c AS (SELECT x.engine AS engine, count(*) FILTER (t AND x.p) AS tp, count(*) FILTER (NOT t AND x.p) AS fp, count(*) FILTER (t AND NOT x.p) AS fn, count(*) FILTER (NOT t AND NOT x.p) AS tn FROM e GROUP BY 1)
-SELECT engine, {_RATES} FROM c""")
-
-
 def _window_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _windows(spark, sf_dir)
     flagged = _deviations(spark, sf_dir).join(found.select("window_index", "bucket"), "window_index")
@@ -120,38 +130,125 @@ _add("mitigates_two_hop", lambda s, d: evaluate.two_hops(
     table(s, d, "nation").select(F.col("n_nationkey").alias("pattern_id"), F.col("n_name").alias("pattern"))), "SELECT n_name AS pattern, string_agg(DISTINCT s_name, ',' ORDER BY s_name) AS courses, count(DISTINCT s_name) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirteen features by source address: alerts by subject, deviations and forest figures of the capture from windows."""
-    alerts = _alerts(spark, sf_dir).withColumn("ip", F.regexp_extract("subject", r"(10\.0\.[01]\.\d+)", 1)).where("ip <> ''")
-    rule = fusion.rule_features(alerts, "ip")
-    k = F.element_at(F.split("ip", r"\."), 4).cast("int")
-    return rule.select("ip", *fusion.RULE, F.least(k / 10, F.lit(1.0)).alias(fusion.BASELINE[0]), (k % 2).cast("double").alias(fusion.BASELINE[1]), F.lit(0.0).alias(fusion.BASELINE[2]), F.lit(1.0).alias(fusion.FOREST[0]),
-                       F.least(k / 20, F.lit(1.0)).alias(fusion.FOREST[1]), (k / 32).alias(fusion.FOREST[2]), F.lit(0.5).alias(fusion.FOREST[3]), F.lit(0.75).alias(fusion.FOREST[4]), F.when(k % 3 == 0, 1.0).otherwise(0.5).alias(fusion.FOREST[5]))
+CAPTURE_DAYS = 10  # captures are days; the first ten train
+_SET = engines.EngineSettings(window_sec=HOUR, sigma=SIGMA)
+_PER_DAY = replace(SCALED, syn_flood_min=3, syn_flood_high=12, port_scan_min=2, port_scan_high=9, dns_tunnel_min=2, dns_tunnel_high=6, rst_storm_min=3, udp_flood_min=4, udp_flood_high=15, dns_amp_responses=2, quic_connections=2, quic_long_flow=2)
+
+
+def _days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """Packets with the day as their capture, and which captures train."""
+    packets = _packets(spark, sf_dir).withColumn("capture_id", F.date_format("ts", "yyyy-MM-dd"))
+    first = F.date_format(F.date_add(F.lit(packets.agg(F.min("ts")).first()[0]).cast("date"), CAPTURE_DAYS), "yyyy-MM-dd")
+    return packets, F.col("capture_id") < first
+
+
+def _features(spark: SparkSession, sf_dir: str, with_forest: bool = False) -> DataFrame:
+    """Thirteen features of every day; without the forest (whose scores SQL can't give) its features are 0."""
+    return engines.features(*_days(spark, sf_dir), _PER_DAY, _SET, with_forest)
+
+
+def _day_sql(sql: str) -> str:
+    """A rule's SQL with the day (cap) as a part of every key."""
+    for old, new in (
+        ("SELECT 7 AS rule_ord", "SELECT r.cap AS cap, 7 AS rule_ord"), ("FROM (SELECT src_ip,", "FROM (SELECT cap, src_ip,"), ("(SELECT dst_ip,", "(SELECT cap, dst_ip,"), ("JOIN (SELECT src_ip,", "JOIN (SELECT cap, src_ip,"), ("(SELECT s.src_ip,", "(SELECT s.cap, s.src_ip,"),
+        ("(SELECT src_ip ||", "(SELECT cap, src_ip ||"), ("(SELECT count(*) AS n, count(*) FILTER", "(SELECT cap, count(*) AS n, count(*) FILTER"), ("dst_port = 443) WHERE n > 0", "dst_port = 443 GROUP BY cap) WHERE n > 0"), ("GROUP BY 1)", "GROUP BY ALL)"),
+        ("ON s.src_ip = a.dst_ip", "ON s.src_ip = a.dst_ip AND s.cap = a.cap"), ("ON r.dst_ip = q.src_ip", "ON r.dst_ip = q.src_ip AND r.cap = q.cap"), ("(SELECT list(DISTINCT ver)", "(SELECT cap, list(DISTINCT ver)"), ("'ff00001d')) WHERE len(v)", "'ff00001d') GROUP BY cap) WHERE len(v)"),
+    ):
+        sql = sql.replace(old, new)
+    return re.sub(r"^\s*SELECT (\d+) AS rule_ord", r"SELECT cap, \1 AS rule_ord", sql)
+
+
+def _rule_day_sql() -> str:
+    found, shared = [], traffic.rule_sql(_PER_DAY)
+    for sql in shared.values():
+        found.append(f"SELECT cap, type, severity FROM ({_day_sql(sql)})")
+    return " UNION ALL ".join(found)
+
+
+_DAY_PACKETS = PACKETS.replace("SELECT event_id AS pkt_seq, ts,", "SELECT strftime(ts, '%Y-%m-%d') AS cap, event_id AS pkt_seq, ts,").replace("packets AS (", "every AS (") + f""",
+split AS (SELECT strftime(CAST(min(ts) AS DATE) + INTERVAL {CAPTURE_DAYS} DAY, '%Y-%m-%d') AS first FROM every),
+packets AS (SELECT every.* FROM every, split WHERE cap >= first)"""
+_DAY_FLOWS = traffic.FLOWS.replace("SELECT protocol, least", "SELECT cap, protocol, least").replace("PARTITION BY protocol, lo, hi", "PARTITION BY cap, protocol, lo, hi").replace("SELECT protocol, lo, hi, CAST(sum(n)", "SELECT cap, protocol, lo, hi, CAST(sum(n)").replace("GROUP BY protocol, lo, hi", "GROUP BY cap, protocol, lo, hi")
+_UNPIVOT = " UNION ALL ".join(f"SELECT cap, window_index, {i} AS dim_ord, '{d}' AS dimension, CAST({d} AS DOUBLE) AS value FROM dayw" for i, d in enumerate(engines.DIMS))
+_DAYS = "WITH " + _DAY_PACKETS + "," + _DAY_FLOWS + f""",
+ruled AS ({_rule_day_sql()}),
+anchors AS (SELECT cap, min_by(ts_ms, pkt_seq) AS t0 FROM every GROUP BY 1),
+dayb AS (SELECT e.cap, CAST(floor((ts_ms - t0) / ({HOUR} * 1000)) AS BIGINT) AS bucket, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, count(*) FILTER ({traffic._SYN}) AS syn, count(DISTINCT CASE WHEN dst_port > 0 THEN dst_port END) AS dports FROM every e JOIN anchors a ON e.cap = a.cap GROUP BY 1, 2),
+dayw AS (SELECT *, row_number() OVER (PARTITION BY cap ORDER BY bucket) - 1 AS window_index FROM dayb),
+alld AS ({_UNPIVOT}),
+traind AS (SELECT alld.* FROM alld, split WHERE cap < first), ours AS (SELECT alld.* FROM alld, split WHERE cap >= first),
+m0 AS (SELECT dimension, median(value) AS m FROM traind GROUP BY 1), a0 AS (SELECT t.dimension, any_value(m) AS m, median(abs(value - m)) AS a FROM traind t JOIN m0 USING (dimension) GROUP BY 1),
+bad AS (SELECT DISTINCT cap, window_index FROM traind JOIN a0 USING (dimension) WHERE a > 0 AND value > m + 3 * a / 0.6745),
+clean AS (SELECT * FROM traind t WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.cap = t.cap AND b.window_index = t.window_index)),
+m1 AS (SELECT dimension, median(value) AS median FROM clean GROUP BY 1),
+prof AS (SELECT c.dimension, any_value(median) AS median, greatest(median(abs(value - median)), 1.0, any_value(median) * CASE c.dimension WHEN 'packets' THEN 0.30::DOUBLE ELSE 0.50::DOUBLE END) AS mad FROM clean c JOIN m1 USING (dimension) GROUP BY 1),
+devs AS (SELECT o.*, (value - median) * 0.6745::DOUBLE / mad AS z FROM ours o JOIN prof USING (dimension)), dev AS (SELECT *, CASE WHEN z > 2 * {SIGMA}::DOUBLE THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM devs WHERE z > {SIGMA}::DOUBLE),
+multi AS (SELECT cap, window_index, count(*) AS n, max(z) AS z FROM dev GROUP BY 1, 2 HAVING count(*) >= 2),
+dayalerts AS (
+  SELECT * FROM ruled UNION ALL
+  SELECT cap, 'BASELINE_DEVIATION', severity FROM (SELECT *, row_number() OVER (PARTITION BY cap, dimension ORDER BY z DESC, window_index) AS r FROM dev) WHERE r <= 3 UNION ALL
+  SELECT cap, 'BASELINE_MULTI_DIM', CASE WHEN n >= 3 OR z > 6 THEN 'CRITICAL' ELSE 'HIGH' END FROM multi),
+lastw AS (SELECT *, dense_rank() OVER (PARTITION BY cap ORDER BY window_index DESC) AS r FROM ours), recent AS (SELECT * FROM lastw WHERE r <= 10), caps AS (SELECT cap, count(DISTINCT window_index) AS n2 FROM recent GROUP BY 1 HAVING count(DISTINCT window_index) >= 5),
+pool AS (SELECT caps.cap, dimension, value, 1 AS x, 0 AS y FROM caps, traind UNION ALL SELECT recent.cap, dimension, value, 0, 1 FROM recent JOIN caps USING (cap)),
+vals AS (SELECT cap, dimension, value, sum(x) AS x, sum(y) AS y FROM pool GROUP BY 1, 2, 3),
+runs AS (SELECT cap, dimension, sum(x) OVER w AS cx, sum(y) OVER w AS cy, sum(x) OVER (PARTITION BY cap, dimension) AS n1, sum(y) OVER (PARTITION BY cap, dimension) AS n2 FROM vals WINDOW w AS (PARTITION BY cap, dimension ORDER BY value)),
+ks AS (SELECT cap, dimension, CAST(max(abs(cx * n2 - cy * n1)) AS BIGINT) AS numerator, CAST(any_value(n1) AS BIGINT) AS n1, CAST(any_value(n2) AS BIGINT) AS n2 FROM runs GROUP BY 1, 2),
+worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cap ORDER BY numerator DESC, CASE dimension WHEN 'packets' THEN 0 WHEN 'bytes' THEN 1 WHEN 'syn' THEN 2 ELSE 3 END) AS r FROM ks) WHERE r = 1),
+drifts AS (SELECT cap, dimension, numerator, n1, n2, numerator::DOUBLE / (n1 * n2) > 1.36 * sqrt((n1 + n2)::DOUBLE / (n1 * n2)) AS detected FROM worst),
+byalert AS (SELECT cap, count(*) AS n, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS sev, count(DISTINCT type) AS types FROM dayalerts GROUP BY 1),
+bywin AS (SELECT cap, count(DISTINCT window_index) AS k FROM dev GROUP BY 1),
+feat AS (
+  SELECT c.cap AS capture_id, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0 END AS rule_has_alert, least(coalesce(n, 0)::DOUBLE / 10, 1.0) AS rule_alert_count_norm, CAST(coalesce(sev, 0) AS DOUBLE) AS rule_max_severity, least(coalesce(types, 0)::DOUBLE / 5, 1.0) AS rule_triggered_rules,
+         least(coalesce(k, 0)::DOUBLE / 10, 1.0) AS baseline_deviation_count, CASE WHEN c.cap IN (SELECT cap FROM multi) THEN 1.0::DOUBLE ELSE 0 END AS baseline_multi_dim_triggered, CASE WHEN detected THEN 1.0::DOUBLE ELSE 0 END AS baseline_drifted,
+         {", ".join(f"0.0::DOUBLE AS {f}" for f in fusion.FOREST)}
+  FROM (SELECT DISTINCT cap FROM ours) c LEFT JOIN byalert USING (cap) LEFT JOIN bywin USING (cap) LEFT JOIN drifts USING (cap))"""
+WEIGHTS = {f: w / 8 for f, w in zip(fusion.FEATURES, (9, 5, 3, -2, 7, 4, 1, -3, 6, 2, -1, 5, 8))}
+_add("fusion_features", _features, _DAYS + " SELECT * FROM feat")
+_add("fusion_features_three_engines", lambda s, d: _features(s, d, True))
+_add("capture_drift", lambda s, d: engines.drift(engines.prepare(*_days(s, d), _SET), _SET), _DAYS + " SELECT cap AS capture_id, dimension, numerator, n1, n2, detected FROM drifts")
+_add("capture_baseline_alerts", lambda s, d: engines.baseline_alerts(engines.deviations(engines.prepare(*_days(s, d), _SET), _SET), _SET).groupBy("capture_id", "type", "severity").agg(F.count(F.lit(1)).alias("n")), _DAYS + " SELECT cap AS capture_id, type, severity, count(*) AS n FROM dayalerts WHERE starts_with(type, 'BASELINE') GROUP BY ALL")
 
 
-WEIGHTS = {f: w / 8 for f, w in zip(fusion.FEATURES, (9, 5, 3, -2, 7, 4, 1, -3, 6, 2, -1, 5, 8))}
-_FEAT = _A + r""",
-r AS (SELECT regexp_extract(subject, '(10\.0\.[01]\.\d+)', 1) AS ip, * FROM alerts),
-q AS (SELECT ip, 1.0::DOUBLE AS rule_has_alert, least(count(*)::DOUBLE / 10, 1.0) AS rule_alert_count_norm, CAST(max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS DOUBLE) AS rule_max_severity,
-      least(count(DISTINCT type)::DOUBLE / 5, 1.0) AS rule_triggered_rules, CAST(split_part(ip, '.', 4) AS INT) AS k FROM r WHERE ip <> '' GROUP BY ip),
-feat AS (SELECT * EXCLUDE (k), least(k::DOUBLE / 10, 1.0) AS baseline_deviation_count, (k % 2)::DOUBLE AS baseline_multi_dim_triggered, 0.0::DOUBLE AS baseline_drifted, 1.0::DOUBLE AS isolation_available,
-      least(k::DOUBLE / 20, 1.0) AS isolation_anomaly_count, k::DOUBLE / 32 AS isolation_anomaly_ratio, 0.5::DOUBLE AS isolation_mean_score, 0.75::DOUBLE AS isolation_max_score, CASE WHEN k % 3 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS isolation_top_dim_risk FROM q)"""
-_add("fusion_features", _features, _FEAT + " SELECT * FROM feat")
-_add("fusion_fallback", lambda s, d: _features(s, d).select("ip", F.round(fusion.weighted_score(), 6).alias("score")), _FEAT + """
-SELECT ip, round(0.4::DOUBLE * least(rule_has_alert * 0.5 + rule_alert_count_norm * 0.2 + rule_max_severity / 4.0 * 0.2 + rule_triggered_rules * 0.1, 1.0)
+def _forest_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, engines.Found]:
+    found = engines.prepare(*_days(spark, sf_dir), _SET)
+    judged = engines.forest_windows(found, _SET)
+    return judged[0], found
+
+
+_add("forest_profile", lambda s, d: engines.forest_profile(*_forest_days(s, d)))
+_add("forest_alerts", lambda s, d: engines.forest_alerts(_forest_days(s, d)[0], _SET))
+_FALL = """0.4::DOUBLE * least(rule_has_alert * 0.5 + rule_alert_count_norm * 0.2 + rule_max_severity / 4.0 * 0.2 + rule_triggered_rules * 0.1, 1.0)
   + 0.3::DOUBLE * least(baseline_deviation_count * 0.6 + baseline_multi_dim_triggered * 0.25 + baseline_drifted * 0.15, 1.0)
-  + 0.3::DOUBLE * least(isolation_anomaly_count * 0.35 + isolation_anomaly_ratio * 0.25 + isolation_mean_score * 0.15 + isolation_max_score * 0.15 + isolation_top_dim_risk * 0.10, 1.0), 6) AS score FROM feat""")
+  + 0.3::DOUBLE * least(isolation_anomaly_count * 0.35 + isolation_anomaly_ratio * 0.25 + isolation_mean_score * 0.15 + isolation_max_score * 0.15 + isolation_top_dim_risk * 0.10, 1.0)"""
+_add("fusion_fallback", lambda s, d: _features(s, d).select("capture_id", F.round(fusion.weighted_score(), 6).alias("score")), _DAYS + f" SELECT capture_id, round({_FALL}, 6) AS score FROM feat")
 _LIN = " + ".join(f"{f} * {w}::DOUBLE" for f, w in WEIGHTS.items())
-_add("fusion_logistic", lambda s, d: _features(s, d).select("ip", F.round(fusion.logistic_score(WEIGHTS, -3.0), 6).alias("p"), (fusion.logistic_score(WEIGHTS, -3.0) >= 0.5).cast("long").alias("attack")), _FEAT + f"""
-SELECT ip, round(1 / (1 + exp(-(-3.0 + {_LIN}))), 6) AS p, CAST(1 / (1 + exp(-(-3.0 + {_LIN}))) >= 0.5 AS BIGINT) AS attack FROM feat""")
+_add("fusion_logistic", lambda s, d: _features(s, d).select("capture_id", F.round(fusion.logistic_score(WEIGHTS, -3.0), 6).alias("p"), (fusion.logistic_score(WEIGHTS, -3.0) >= 0.5).cast("long").alias("attack")), _DAYS + f"""
+SELECT capture_id, round(1 / (1 + exp(-(-3.0 + {_LIN}))), 6) AS p, CAST(1 / (1 + exp(-(-3.0 + {_LIN}))) >= 0.5 AS BIGINT) AS attack FROM feat""")
 _PART = {e: " + ".join(f"abs({f} * {WEIGHTS[f]}::DOUBLE)" for f in fs) for e, fs in fusion.ENGINES.items()}
-_add("fusion_attribution", lambda s, d: _features(s, d).select("ip", *[c.alias(e) for e, c in fusion.attribution(WEIGHTS).items()]), _FEAT + f"""
-SELECT ip, {", ".join(f"round(({p}) / ({' + '.join(_PART.values())}), 4) AS {e}" for e, p in _PART.items())} FROM feat""")
-_add("dedup_training_rows", lambda s, d: fusion.distinct_training_rows(_features(s, d).withColumn("y", F.col("isolation_available") > 0).withColumn("g", F.substring("ip", 1, 6)), "g", "y").agg(F.count(F.lit(1)).alias("n")),
-     _FEAT + f"SELECT count(*) AS n FROM (SELECT DISTINCT ip[1:6], {', '.join(fusion.FEATURES)} FROM feat)")
+_add("fusion_attribution", lambda s, d: _features(s, d).select("capture_id", *[c.alias(e) for e, c in fusion.attribution(WEIGHTS).items()]), _DAYS + f"""
+SELECT capture_id, {", ".join(f"CASE WHEN {' + '.join(_PART.values())} <= 1e-12 THEN 0 ELSE round(({p}) / ({' + '.join(_PART.values())}), 4) END AS {e}" for e, p in _PART.items())} FROM feat""")
+_add("dedup_training_rows", lambda s, d: fusion.distinct_training_rows(_features(s, d).withColumn("y", F.col("rule_has_alert") > 0).withColumn("g", F.substring("capture_id", 1, 7)), "g", "y").agg(F.count(F.lit(1)).alias("n")),
+     _DAYS + f" SELECT count(*) AS n FROM (SELECT DISTINCT capture_id[1:7], {', '.join(fusion.FEATURES)} FROM feat)")
 _COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _add("feature_correlation", lambda s, d: fusion.strong_pairs(table(s, d, "lineitem"), _COLS, 0.001), "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(_COLS) for b in _COLS[i + 1 :]) + ") WHERE abs(r) > 0.001")
-_add("constant_columns", lambda s, d: fusion.constant_columns(_features(s, d), fusion.FEATURES), _FEAT + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS \"column\", min({f}) IS NOT DISTINCT FROM max({f}) AS constant FROM feat" for f in fusion.FEATURES) + ")")
+_add("constant_columns", lambda s, d: fusion.constant_columns(_features(s, d), fusion.FEATURES), _DAYS + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS \"column\", min({f}) IS NOT DISTINCT FROM max({f}) AS constant FROM feat" for f in fusion.FEATURES) + ")")
+
+
+def _judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day's verdict by rules, baseline and both, against days with more than a twelfth of answered resets."""
+    packets, training = _days(spark, sf_dir)
+    truth = packets.where(~training).groupBy("capture_id").agg((F.count_if(F.contains("flags", F.lit("RST"))) * 12 > F.count(F.lit(1))).alias("truth"))
+    f = _features(spark, sf_dir).join(truth, "capture_id")
+    engines_ = {"rules": F.col("rule_triggered_rules") >= 0.8, "baseline": F.col("baseline_deviation_count") > 0.4, "fused": fusion.weighted_score() >= 0.5, "every day": F.lit(True)}
+    return f.select("capture_id", "truth", F.explode(F.array(*[F.struct(F.lit(n).alias("engine"), p.alias("p")) for n, p in engines_.items()])).alias("x")).select("truth", "x.*")
+
+
+_JUDGED = _DAYS + f""",
+truths AS (SELECT cap AS capture_id, count(*) FILTER (contains(flags, 'RST')) * 12 > count(*) AS t FROM packets GROUP BY 1),
+e AS (SELECT t, unnest([{{'engine': 'rules', 'p': rule_triggered_rules >= 0.8}}, {{'engine': 'baseline', 'p': baseline_deviation_count > 0.4}}, {{'engine': 'fused', 'p': {_FALL} >= 0.5}}, {{'engine': 'every day', 'p': true}}]) AS x FROM feat JOIN truths USING (capture_id)),
+c AS (SELECT x.engine AS engine, count(*) FILTER (t AND x.p) AS tp, count(*) FILTER (NOT t AND x.p) AS fp, count(*) FILTER (t AND NOT x.p) AS fn, count(*) FILTER (NOT t AND NOT x.p) AS tn FROM e GROUP BY 1)
+SELECT engine, {_RATES} FROM c"""
+_add("engine_comparison", lambda s, d: evaluate.confusion(_judgements(s, d), F.col("truth"), F.col("p"), "engine"), _JUDGED)
 _DIM4 = ["packets", "bytes", "syn", "dports"]
 
 
@@ -164,7 +261,7 @@ def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("forest_anomalies", _forest)
-_add("forest_top_dimension", lambda s, d: forest.top_dimension(_DIM4, forest.upper_medians(_windows(s, d), _DIM4), _windows(s, d)), _with(PACKETS, WINDOWS) + """,
+_add("forest_top_dimension", lambda s, d: forest.top_dimension(_DIM4, forest.upper_medians(_windows(s, d), _DIM4), _windows(s, d)).select("window_index", "dimension", "direction"), _with(PACKETS, WINDOWS) + """,
 m AS (SELECT """ + ", ".join(f"(list({c}::DOUBLE ORDER BY {c}))[count(*) // 2 + 1] AS m_{c}" for c in _DIM4) + """ FROM windows),
 x AS (SELECT window_index, unnest([""" + ", ".join(f"{{'d': '{c}', 'o': {i}, 'r': CASE WHEN m_{c} <> 0 THEN abs(({c} - m_{c}) / m_{c}) WHEN {c} > 0 THEN {c}::DOUBLE ELSE 0 END, 's': CASE WHEN {c} >= m_{c} THEN 'high' ELSE 'low' END}}" for i, c in enumerate(_DIM4)) + """]) AS v FROM windows, m)
 SELECT window_index, v.d AS dimension, v.s AS direction FROM (SELECT *, row_number() OVER (PARTITION BY window_index ORDER BY v.r DESC, v.o) AS k FROM x) WHERE k = 1""")

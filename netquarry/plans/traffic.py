@@ -184,9 +184,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY protocol, lo, hi ORDER BY n DESC
 SELECT protocol, lo, hi, CAST(sum(n) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, max(CASE WHEN k = 1 THEN src_ip END) AS dom_src_ip,
        CAST(max(CASE WHEN k = 1 THEN src_port END) AS BIGINT) AS dom_src_port, max(CASE WHEN k = 1 THEN n END) AS dom_packets FROM r GROUP BY 1, 2, 3""")
 
-_T = SCALED
 _MS = "min_by(ts_ms, pkt_seq) AS first_ms, max_by(ts_ms, pkt_seq) AS last_ms, min(pkt_seq) AS key_ord"
-_RULE_SQL = {
+def rule_sql(_T: Thresholds) -> dict[str, str]:
+    """SQL of every rule over packets and flows."""
+    return {
     "rule_syn_flood": rf"""
 SELECT 1 AS rule_ord, 'SYN_FLOOD_SUSPECTED' AS type, CASE WHEN net > {_T.syn_flood_high} THEN 'HIGH' ELSE 'MEDIUM' END AS severity, src_ip AS subject, CAST(net AS DOUBLE) AS value,
        CAST(NULL AS VARCHAR) AS detail, key_ord, first_ms, last_ms
@@ -230,6 +231,9 @@ SELECT 11 AS rule_ord, 'QUIC_UNKNOWN_VERSION' AS type, 'LOW' AS severity, 'all'
 FROM (SELECT list(DISTINCT ver) AS v, """ + _MS + r""" FROM (SELECT *, lower(regexp_extract(raw_summary, 'Version[=:\s]+0x([0-9a-fA-F]+)', 1)) AS ver FROM packets
       WHERE protocol = 'UDP' AND dst_port = 443 AND contains(raw_summary, 'QUIC')) WHERE ver NOT IN ('', '00000000', '00000001', '6b3343cf', 'ff000020', 'ff000021', 'ff00001d')) WHERE len(v) > 0""",
 }
+
+
+_RULE_SQL = rule_sql(SCALED)
 for _name, _rule in rules.RULES.items():
     _add(_name, lambda s, d, rule=_rule: rule(_packets(s, d), SCALED), _with(PACKETS, FLOWS) + f"SELECT * REPLACE (CAST(rule_ord AS BIGINT) AS rule_ord) FROM ({_RULE_SQL[_name]})")
 ALERTS = "\nalerts AS (" + "\nUNION ALL BY NAME\n".join(f"SELECT * FROM ({x})" for x in _RULE_SQL.values()) + ")"
