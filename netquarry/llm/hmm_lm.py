@@ -48,7 +48,7 @@ class HmmSettings:
     suffix_classes: int = 512
     local_words: int = 100_000
     rounds: int = 5
-    stretch: int = 1024
+    stretch: int = 512
     smoothing: float = 0.5
     seed: int = 7
 
@@ -190,24 +190,34 @@ def _stretches(sequences: list[np.ndarray], stretch: int) -> tuple[list[np.ndarr
     return pieces, np.array(owner), np.array(lead, bool)
 
 
-def _transfers(pieces: list[np.ndarray], lead: np.ndarray, hmm: Hmm) -> tuple[np.ndarray, np.ndarray]:
-    """For each stretch and possible state before it: the scaled state after it, and the natural log of its weight."""
+_RESCALE = 16
+
+
+_RESCALE = 16
+
+
+def _sweep(pieces: list[np.ndarray], before: np.ndarray, hmm: Hmm) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the states after each piece, scaled by one number a piece, and the natural log of that.
+
+    ``before`` (k, or m x k) holds what comes before a first token: a law of the state that emits it, or m of them, whose
+    weights stay apart.
+    """
     k = len(hmm.start)
     lengths = np.array([len(p) for p in pieces])
     rank = np.argsort(-lengths, kind="stable")
     order, active, at = _time_major(lengths[rank])
-    e = hmm.emit.T[np.concatenate([pieces[i] for i in rank])[order].astype(np.int64)]
-    first = lead[rank]
-    state, logs = np.empty((len(pieces), k, k)), np.zeros((len(pieces), k))
-    for t, n in enumerate(active):
-        here = e[at[t] : at[t + 1], None, :]
-        if t == 0:  # the first stretch has only the model's start before it
-            a = np.where(first[:, None, None], hmm.start[None, None, :], hmm.step[None, :, :]) * here
-        else:
-            a = (state[:n].reshape(-1, k) @ hmm.step).reshape(n, k, k) * here
-        s = a.sum(axis=2)
-        state[:n] = a / s[:, :, None]
-        logs[:n] += np.log(s)
+    e = np.ascontiguousarray(hmm.emit.T)[np.concatenate([pieces[i] for i in rank])[order]]
+    m = before.size // k
+    state, logs, one = before.reshape(1, m, k) * e[: at[1], None, :], np.zeros(len(pieces)), np.ones(m * k)
+    for t in range(1, len(active)):
+        n = active[t]
+        a = (state[:n].reshape(-1, k) @ hmm.step).reshape(n, m, k)
+        a *= e[at[t] : at[t + 1], None, :]
+        if t % _RESCALE == 0:  # a step weighs 1e-12 at least, so nothing vanishes in between
+            s = a.reshape(n, -1) @ one
+            a /= s[:, None, None]
+            logs[:n] += np.log(s)
+        state[:n] = a
     back = np.empty(len(pieces), np.int64)
     back[rank] = np.arange(len(pieces))
     return state[back], logs[back]
@@ -217,36 +227,36 @@ def _messages(pieces: list[np.ndarray], owner: np.ndarray, lead: np.ndarray, hmm
     """For each stretch: the state's law before it given what came before, and the weight of each state after it by what follows (up to scale)."""
     k = len(hmm.start)
     before, after = np.zeros((len(pieces), k)), np.ones((len(pieces), k))
-    many = np.flatnonzero(np.isin(owner, owner[~lead]))
-    if len(many):
-        state, logs = np.zeros((len(pieces), k, k)), np.zeros((len(pieces), k))
-        state[many], logs[many] = _transfers([pieces[i] for i in many], lead[many], hmm)
-        for i in many.tolist():
-            if not lead[i]:
-                belief = state[i - 1, 0] if lead[i - 1] else (before[i - 1] * np.exp(logs[i - 1] - logs[i - 1].max())) @ state[i - 1]
-                before[i] = belief / belief.sum()
-        for i in reversed(many.tolist()):
-            if not lead[i]:
-                weight = np.exp(logs[i] - logs[i].max()) * (state[i] @ after[i])
-                after[i - 1] = weight / weight.sum()
+    later = np.flatnonzero(~lead)
+    if len(later):
+        first = later[lead[later - 1]] - 1
+        end, moves = np.zeros((len(pieces), k)), np.zeros((len(pieces), k, k))
+        end[first] = _sweep([pieces[i] for i in first], hmm.start, hmm)[0][:, 0]
+        moves[later] = _sweep([pieces[i] for i in later], hmm.step, hmm)[0]
+        for i in later.tolist():
+            belief = end[i - 1] if lead[i - 1] else before[i - 1] @ moves[i - 1]
+            before[i] = belief / belief.sum()
+        for i in reversed(later.tolist()):
+            weight = moves[i] @ after[i]
+            after[i - 1] = weight / weight.sum()
     return before, after
 
 
-def expected_counts(sequences: list[np.ndarray], hmm: Hmm, stretch: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expected_counts(sequences: list[np.ndarray], hmm: Hmm, stretch: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of starts, steps and emissions over whole sequences, and the natural log-likelihood."""
     pieces, owner, lead = _stretches(sequences, stretch)
     before, after = _messages(pieces, owner, lead, hmm)
     rank = np.argsort([-len(p) for p in pieces], kind="stable")
     lengths, first = np.array([len(pieces[i]) for i in rank]), lead[rank]
     order, active, at = _time_major(lengths)
-    codes = np.concatenate([pieces[i] for i in rank])[order].astype(np.int64)
+    codes = np.concatenate([pieces[i] for i in rank])[order]
     k = len(hmm.start)
-    e = hmm.emit.T[codes]
+    e, one = np.ascontiguousarray(hmm.emit.T)[codes], np.ones(len(hmm.start))
     alpha, scale = np.empty_like(e), np.empty(len(e))
     a = None
     for t, n in enumerate(active):
         a = (np.where(first[:, None], hmm.start, before[rank] @ hmm.step) if a is None else a[:n] @ hmm.step) * e[at[t] : at[t + 1]]
-        s = a.sum(axis=1)
+        s = a @ one
         a /= s[:, None]
         alpha[at[t] : at[t + 1]], scale[at[t] : at[t + 1]] = a, s
     # a stretch's last token starts the way back, with what follows the stretch scaled to belief 1
@@ -274,19 +284,17 @@ def log_likelihoods(sequences: list[np.ndarray], hmm: Hmm, stretch: int = 512) -
     transfer matrices are multiplied in order.
     """
     pieces, owner, lead = _stretches(sequences, stretch)
-    state, logs = _transfers(pieces, lead, hmm)
-    out = np.zeros(len(sequences))
-    belief: np.ndarray | None = None
-    for j, i in enumerate(owner.tolist()):
-        m, x = state[j], logs[j]
-        if lead[j]:
-            out[i], belief = x[0], m[0]
-        else:
-            top = x.max()
-            mixed = (belief * np.exp(x - top)) @ m
+    first, later = np.flatnonzero(lead), np.flatnonzero(~lead)
+    ends, logs = _sweep([pieces[i] for i in first], hmm.start, hmm)
+    total = ends[:, 0].sum(axis=1)
+    out, beliefs = logs + np.log(total), ends[:, 0] / total[:, None]
+    if len(later):
+        moves, logs = _sweep([pieces[i] for i in later], hmm.step, hmm)
+        for move, log, i in zip(moves, logs, owner[later].tolist()):
+            mixed = beliefs[i] @ move
             total = mixed.sum()
-            out[i] += top + math.log(total)
-            belief = mixed / total
+            out[i] += log + math.log(total)
+            beliefs[i] = mixed / total
     return out
 
 
