@@ -1,4 +1,6 @@
-"""Capture files as a Spark data source, a partition per file, and a writer for round trips.
+"""Capture files (pcap and pcapng) as a Spark data source, a partition per file, and a writer for round trips.
+
+Files are read in a stream and yield Arrow batches, so a task holds one block of a file and one batch of rows.
 
 Only the link types and protocols that the detections read are decoded: Ethernet, IPv4,
 TCP, UDP, ICMP, ARP and DNS over UDP. Records that break off end a file's rows without error.
@@ -6,15 +8,23 @@ TCP, UDP, ICMP, ARP and DNS over UDP. Records that break off end a file's rows w
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = (
-    "capture_id string, pkt_seq long, ts_ms long, protocol string, src_ip string, src_port int, dst_ip string, dst_port int, length long, flags string, "
-    "payload_size long, tcp_window int, dns_query string, dns_response string"
-)
+from ..schemas import PACKET_SCHEMA
+
+SCHEMA = PACKET_SCHEMA
+_ARROW = pa.schema([
+    ("capture_id", pa.string()), ("pkt_seq", pa.int64()), ("ts", pa.timestamp("us", tz="UTC")), ("ts_ms", pa.int64()), ("protocol", pa.string()), ("src_ip", pa.string()), ("src_port", pa.int32()),
+    ("dst_ip", pa.string()), ("dst_port", pa.int32()), ("length", pa.int64()), ("flags", pa.string()), ("payload_size", pa.int64()), ("tcp_window", pa.int32()), ("raw_summary", pa.string()),
+    ("dns_query", pa.string()), ("dns_response", pa.string()),
+])
+_BATCH = 8192
 _FLAGS = (("SYN", 2), ("ACK", 16), ("FIN", 1), ("RST", 4), ("PSH", 8), ("URG", 32))
 _ICMP = {0: "Echo Reply", 3: "Destination Unreachable", 5: "Redirect", 8: "Echo Request", 11: "Time Exceeded"}
 
@@ -58,13 +68,13 @@ def _dns(data: bytes) -> tuple[str, str]:
 
 
 def decode(frame: bytes, length: int) -> tuple:
-    """(protocol, src_ip, src_port, dst_ip, dst_port, length, flags, payload_size, tcp_window, query, response) of a frame."""
-    empty = ("", "", 0, "", 0, length, "", 0, 0, "", "")
+    """(protocol, src_ip, src_port, dst_ip, dst_port, length, flags, payload_size, tcp_window, summary, query, response) of a frame."""
+    empty = ("", "", 0, "", 0, length, "", 0, 0, "", "", "")
     if len(frame) < 14:
         return empty
     kind = struct.unpack("!H", frame[12:14])[0]
     if kind == 0x0806 and len(frame) >= 42:
-        return ("ARP", ".".join(map(str, frame[28:32])), 0, ".".join(map(str, frame[38:42])), 0, length, "", 0, 0, "", "")
+        return ("ARP", ".".join(map(str, frame[28:32])), 0, ".".join(map(str, frame[38:42])), 0, length, "", 0, 0, "ARP", "", "")
     if kind != 0x0800 or len(frame) < 34:
         return empty
     ip = frame[14:]
@@ -73,30 +83,70 @@ def decode(frame: bytes, length: int) -> tuple:
     src, dst, body = ".".join(map(str, ip[12:16])), ".".join(map(str, ip[16:20])), ip[head:total]
     if ip[9] == 6 and len(body) >= 20:
         sp, dp, _, _, off, bits, window = struct.unpack("!HHIIBBH", body[:16])
-        return ("TCP", src, sp, dst, dp, length, ",".join(f for f, b in _FLAGS if bits & b), max(0, len(body) - (off >> 4) * 4), window, "", "")
+        return ("TCP", src, sp, dst, dp, length, ",".join(f for f, b in _FLAGS if bits & b), max(0, len(body) - (off >> 4) * 4), window, f"TCP {src}:{sp} > {dst}:{dp}", "", "")
     if ip[9] == 17 and len(body) >= 8:
         sp, dp = struct.unpack("!HH", body[:4])
         if 53 in (sp, dp) and len(body) >= 20:
             query, response = _dns(body[8:])
-            return ("DNS", src, sp, dst, dp, length, "", len(body) - 8, 0, query, response)
-        return ("UDP", src, sp, dst, dp, length, "", len(body) - 8, 0, "", "")
+            return ("DNS", src, sp, dst, dp, length, "", len(body) - 8, 0, f"DNS {query}", query, response)
+        long_header = len(body) >= 13 and body[8] & 0xC0 == 0xC0 and 443 in (sp, dp)
+        summary = f"UDP {src}:{sp} > {dst}:{dp}" + (f" QUIC Version=0x{body[9:13].hex()}" if long_header else "")
+        return ("UDP", src, sp, dst, dp, length, "", len(body) - 8, 0, summary, "", "")
     if ip[9] == 1 and body:
-        return ("ICMP", src, 0, dst, 0, length, _ICMP.get(body[0], f"Type-{body[0]}"), max(0, len(body) - 8), 0, "", "")
-    return ("OTHER", src, 0, dst, 0, length, "", len(body), 0, "", "")
-
-
-def records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(milliseconds, length, frame) of a pcap file's records; nothing where it is no pcap."""
-    order = {b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\xa1\xb2\xc3\xd4": (">", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1_000_000), b"\xa1\xb2\x3c\x4d": (">", 1_000_000)}.get(data[:4])
-    if not order:
-        return
-    at = 24
-    while at + 16 <= len(data):
-        sec, part, kept, length = struct.unpack(order[0] + "IIII", data[at : at + 16])
-        if at + 16 + kept > len(data):
+        return ("ICMP", src, 0, dst, 0, length, _ICMP.get(body[0], f"Type-{body[0]}"), max(0, len(body) - 8), 0, "ICMP", "", "")
+    return ("OTHER", src, 0, dst, 0, length, "", len(body), 0, "IP", "", "")
+
+
+_MOST = 1 << 26  # a block that says it is longer is broken
+
+
+def _classic(file: BinaryIO, order: str, per_ms: int) -> Iterator[tuple[int, int, bytes]]:
+    file.read(20)
+    while len(head := file.read(16)) == 16:
+        sec, part, kept, length = struct.unpack(order + "IIII", head)
+        if kept > _MOST or len(frame := file.read(kept)) < kept:
             return
-        yield sec * 1000 + part // order[1], length, data[at + 16 : at + 16 + kept]
-        at += 16 + kept
+        yield sec * 1000 + part // per_ms, length, frame
+
+
+def _resolution(options: bytes, order: str) -> int:
+    """Ticks a second of an interface, from its options."""
+    while len(options) >= 4:
+        code, n = struct.unpack(order + "HH", options[:4])
+        if code == 9 and n:
+            return 2 ** (options[4] & 127) if options[4] & 128 else 10 ** options[4]
+        options = options[4 + n + -n % 4 :]
+    return 1_000_000
+
+
+def _blocks(file: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
+    order, ticks = "<", []
+    head = b"\x0a\x0d\x0d\x0a" + file.read(4)
+    while len(head) == 8:
+        kind = struct.unpack(order + "I", head[:4])[0]
+        start = b""
+        if head[:4] == b"\x0a\x0d\x0d\x0a":  # a section says its own byte order
+            start = file.read(4)
+            order, ticks = "<" if start == b"\x4d\x3c\x2b\x1a" else ">", []
+        size = struct.unpack(order + "I", head[4:])[0]
+        if size < 12 + len(start) or size > _MOST or len(body := file.read(size - 8 - len(start))) < size - 8 - len(start):
+            return
+        if kind == 1:
+            ticks.append(_resolution(body[8:-4], order))
+        elif kind == 6 and len(body) >= 24:
+            where, high, low, kept, length = struct.unpack(order + "IIIII", body[:20])
+            if where < len(ticks) and 20 + kept <= len(body) - 4:
+                yield (high << 32 | low) * 1000 // ticks[where], length, body[20 : 20 + kept]
+        head = file.read(8)
+
+
+def records(file: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
+    """(milliseconds, length, frame) of a capture's records; nothing where it is none."""
+    magic = file.read(4)
+    if magic == b"\x0a\x0d\x0d\x0a":
+        return _blocks(file)
+    order = {b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\xa1\xb2\xc3\xd4": (">", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1_000_000), b"\xa1\xb2\x3c\x4d": (">", 1_000_000)}.get(magic)
+    return _classic(file, *order) if order else iter(())
 
 
 class PcapSource(DataSource):
@@ -120,27 +170,36 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.paths]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            data = f.read()
-        yield from _rows(partition.value, data)
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        with open(partition.value, "rb") as file:
+            yield from _rows(partition.value, file)
+
+
+def _rows(path: str, file: BinaryIO) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
 
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
 
-def _rows(path: str, data: bytes) -> Iterator[tuple]:
-    for seq, (ms, length, frame) in enumerate(records(data)):
-        yield (path, seq, ms, *decode(frame, length))
+    for seq, (ms, length, frame) in enumerate(records(file)):
+        held.append((path, seq, ms * 1000, ms, *decode(frame, length)))
+        if len(held) == _BATCH:
+            yield batch()
+            held = []
+    if held:
+        yield batch()
 
 
 def packets_from_files(spark, path: str):
-    """Captures by Spark's own file reader, for paths that only it reads: one task a file, never the driver."""
-    import pandas as pd
+    """Captures by Spark's own file reader, for paths that only it reads: one task a file, never the driver. Spark hands a file over
+    whole, 2 GB at most; longer captures need the data source and a path that workers can open."""
 
     def parse(batches):
         for b in batches:
-            for p, data in zip(b.path, b.content):
-                yield pd.DataFrame(list(_rows(p, data)), columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            for p, data in zip(b.column(0).to_pylist(), b.column(1)):
+                yield from _rows(p, io.BytesIO(data.as_buffer()))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, SCHEMA)
 
 
 def _ip(text: str) -> bytes:
