@@ -83,7 +83,7 @@ def vote_majority(votes: DataFrame, key: str) -> DataFrame:
     """Votes (key, threat, confidence) by key: strict majority, agreement, and the mean confidence (0.5 where missing) by half to full weight of it."""
     grouped = votes.where("threat is not null").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if("threat").alias("yes"), F.avg(F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.5))).alias("c"))
     share = F.col("yes") / F.col("n")
-    return grouped.select(key, (F.col("yes") * 2 > F.col("n")).alias("is_threat"), F.round(share, 3).alias("agreement"), F.round(F.col("c") * (0.5 + share / 2), 3).alias("confidence"))
+    return grouped.select(key, (F.col("yes") * 2 > F.col("n")).alias("is_threat"), F.round(share, 3).alias("agreement"), F.round(F.col("c") * (0.5 + share / 2) + 1e-9, 3).alias("confidence"))
 
 
 def first_distinct(rows: DataFrame, key: str, value: str, order: str, k: int = 12) -> DataFrame:

@@ -254,7 +254,7 @@ def kill_chain_stages(alerts: DataFrame) -> DataFrame:
 def indicators(alerts: DataFrame) -> DataFrame:
     """Addresses that alerts name, each with its first rule and number of alerts."""
     ip = F.regexp_extract("subject", r"\b(\d+\.\d+\.\d+\.\d+)\b", 1)
-    return alerts.withColumn("ip", ip).where("ip <> ''").groupBy(*_by(found), "ip").agg(F.min("rule_ord").alias("first_rule"), F.count(F.lit(1)).alias("alerts"))
+    return alerts.withColumn("ip", ip).where("ip <> ''").groupBy(*_by(alerts), "ip").agg(F.min("rule_ord").alias("first_rule"), F.count(F.lit(1)).alias("alerts"))
 
 
 def syn_candidates(packets: DataFrame, least: int = 50, high: int = 200) -> DataFrame:

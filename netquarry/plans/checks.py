@@ -70,7 +70,7 @@ SELECT o_orderkey, CASE WHEN a > b THEN 'attack' WHEN b > a THEN 'normal' ELSE '
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as alerts, against the documents that BM25 finds for them."""
     t = F.col("text")
-    alerts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("alert_id"), F.array_distinct(F.split(t, " ")).alias("keywords"), consensus.numeric_fields(F.col("item_id") + 10, F.lit(443)).alias("numbers"), consensus.alert_tokens(F.concat(t, F.lit(" 10.0.0.1 tcp example.com"))).alias("tokens"))
+    alerts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("alert_id"), F.array_distinct(F.split(t, " ")).alias("keywords"), consensus.numeric_fields(F.col("item_id") + 10, F.lit(443)).alias("numbers"), consensus.alert_tokens(F.concat(F.regexp_replace(t, r"[^\x00-\x7f]", " "), F.lit(" 10.0.0.1 tcp example.com"))).alias("tokens"))
     docs = _chunks(spark, sf_dir)
     found = _bm25(spark, sf_dir).where("rank <= 3").join(docs, "chunk_id")
     hits = found.select(F.col("query_id").alias("alert_id"), "rank", F.concat(F.coalesce("source", F.lit("")), F.lit(" port "), F.col("chunk_id") + 10).alias("title"), F.col("text").alias("content"), F.when(F.col("chunk_id") % 3 > 0, F.col("score") / 100).alias("similarity"))
@@ -79,8 +79,8 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("evidence_match", _evidence, f"WITH {_INDEX},{_bm25_sql('bm')}," + r"""
 a AS (SELECT item_id AS alert_id, list_distinct(string_split(text, ' ')) AS keywords, list_filter([item_id + 10, 443], lambda x: x BETWEEN 1 AND 65535) AS numbers,
-        list_distinct(regexp_extract_all(text || ' 10.0.0.1 tcp example.com', '(?:\d{1,3}\.){3}\d{1,3}') || regexp_extract_all(text || ' 10.0.0.1 tcp example.com', '[a-zA-Z0-9][a-zA-Z0-9.-]*\.[a-zA-Z]{2,}') || regexp_extract_all(text || ' 10.0.0.1 tcp example.com', '(?i)(?:TCP|UDP|DNS|HTTP|HTTPS|ICMP|RST|SYN|ACK)')) AS tokens FROM benchmark),
-h AS (SELECT query_id AS alert_id, rank, text AS content, CASE WHEN doc_id % 3 > 0 THEN score / 100 END AS sim, list_transform(list_distinct(regexp_extract_all(text || ' ' || coalesce(source, '') || ' port ' || (doc_id + 10), '(\d{2,5})', 1)), lambda x: CAST(x AS BIGINT)) AS known FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 3),
+        list_distinct(regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', ' ', 'g') || ' 10.0.0.1 tcp example.com', '(?:\d{1,3}\.){3}\d{1,3}') || regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', ' ', 'g') || ' 10.0.0.1 tcp example.com', '[a-zA-Z0-9][a-zA-Z0-9.-]*\.[a-zA-Z]{2,}') || regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', ' ', 'g') || ' 10.0.0.1 tcp example.com', '(?i)(?:TCP|UDP|DNS|HTTP|HTTPS|ICMP|RST|SYN|ACK)')) AS tokens FROM benchmark),
+h AS (SELECT query_id AS alert_id, rank, text AS content, CASE WHEN doc_id % 3 > 0 THEN score / 100 END AS sim, list_transform(list_distinct(regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', 'x', 'g') || ' ' || coalesce(source, '') || ' port ' || (doc_id + 10), '(\d{2,5})', 1)), lambda x: CAST(x AS BIGINT)) AS known FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 3),
 b AS (SELECT alert_id, rank, sim, 0.45::DOUBLE * CASE WHEN len(keywords) > 0 THEN len(list_filter(keywords, lambda w: contains(content, w)))::DOUBLE / len(keywords) ELSE 0 END
         + 0.30::DOUBLE * CASE WHEN len(known) > 0 THEN len(list_intersect(list_distinct(known), numbers))::DOUBLE / len(list_distinct(known)) ELSE 0 END + 0.10::DOUBLE * least(1.0::DOUBLE, len(list_filter(tokens, lambda w: contains(content, w)))::DOUBLE / 3) AS base FROM a LEFT JOIN h USING (alert_id)),
 s AS (SELECT alert_id, rank, CASE WHEN rank IS NULL THEN 0 ELSE round(least(CASE WHEN sim IS NULL THEN base / 0.85::DOUBLE ELSE base + 0.25::DOUBLE * least(1.0, sim) END, 1.0) + 1e-9, 4) END AS score FROM b)
@@ -105,7 +105,7 @@ def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("vote_majority", lambda s, d: consensus.vote_majority(_votes(s, d), "conv_id"), """
 WITH v AS (SELECT conv_id, turn % 3 = 0 AS t, CASE WHEN turn % 2 = 0 THEN (conv_id % 8)::DOUBLE / 8 END AS c FROM conversations),
 g AS (SELECT conv_id, count(*) AS n, count(*) FILTER (t) AS y, avg(coalesce(nullif(c, 0), 0.5)) AS m FROM v GROUP BY 1)
-SELECT conv_id, y * 2 > n AS is_threat, round(y::DOUBLE / n, 3) AS agreement, round(m * (0.5 + y::DOUBLE / n / 2), 3) AS confidence FROM g""")
+SELECT conv_id, y * 2 > n AS is_threat, round(y::DOUBLE / n, 3) AS agreement, round(m * (0.5 + y::DOUBLE / n / 2) + 1e-9, 3) AS confidence FROM g""")
 _add("vote_union", lambda s, d: consensus.first_distinct(_votes(s, d), "conv_id", "action", "turn"), """
 WITH v AS (SELECT conv_id, 'step ' || (turn % 4) AS action, min(turn) AS f FROM conversations GROUP BY 1, 2)
 SELECT conv_id, place, action FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY f, action) AS place FROM v) WHERE place <= 12""")

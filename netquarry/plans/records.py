@@ -119,7 +119,7 @@ f AS (SELECT DISTINCT bucket FROM deviations JOIN windows USING (window_index)),
 m AS (SELECT bucket IN (SELECT bucket FROM f) AS p, bucket IN (SELECT bucket FROM g) AS t FROM cal),
 c AS (SELECT count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM m)
 SELECT {_RATES} FROM c""")
-_add("ip_level_eval", lambda s, d: evaluate.set_comparison(rules.syn_flood(_packets(s, d), SCALED).select(F.col("subject").alias("ip")), rules.rst_storm(_packets(s, d), SCALED).select(F.col("subject").alias("ip")), "ip"), _A + """,
+_add("ip_level_eval", lambda s, d: evaluate.set_comparison(rules.RULES["rule_syn_flood"](_packets(s, d), SCALED).select(F.col("subject").alias("ip")), rules.RULES["rule_rst_storm"](_packets(s, d), SCALED).select(F.col("subject").alias("ip")), "ip"), _A + """,
 p AS (SELECT subject AS ip FROM alerts WHERE type = 'SYN_FLOOD_SUSPECTED'), t AS (SELECT subject AS ip FROM alerts WHERE type = 'RST_STORM')
 SELECT (SELECT count(*) FROM p WHERE ip IN (SELECT ip FROM t)) AS both, (SELECT count(*) FROM p WHERE ip NOT IN (SELECT ip FROM t)) AS only_predicted, (SELECT count(*) FROM t WHERE ip NOT IN (SELECT ip FROM p)) AS only_truth""")
 _add("mixed_sample_shift", lambda s, d: evaluate.mixed_sample(_packets(s, d).where("protocol <> 'UDP'").select("pkt_seq", "ts_ms"), _packets(s, d).where("protocol = 'UDP'").select("pkt_seq", "ts_ms"), 30000), _with(PACKETS) + """
