@@ -79,8 +79,8 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("evidence_match", _evidence, f"WITH {_INDEX},{_bm25_sql('bm')}," + r"""
 a AS (SELECT item_id AS alert_id, list_distinct(string_split(text, ' ')) AS keywords, list_filter([item_id + 10, 443], lambda x: x BETWEEN 1 AND 65535) AS numbers,
-        list_distinct(regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', ' ', 'g') || ' 10.0.0.1 tcp example.com', '(?:\d{1,3}\.){3}\d{1,3}') || regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', ' ', 'g') || ' 10.0.0.1 tcp example.com', '[a-zA-Z0-9][a-zA-Z0-9.-]*\.[a-zA-Z]{2,}') || regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', ' ', 'g') || ' 10.0.0.1 tcp example.com', '(?i)(?:TCP|UDP|DNS|HTTP|HTTPS|ICMP|RST|SYN|ACK)')) AS tokens FROM benchmark),
-h AS (SELECT query_id AS alert_id, rank, text AS content, CASE WHEN doc_id % 3 > 0 THEN score / 100 END AS sim, list_transform(list_distinct(regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', 'x', 'g') || ' ' || coalesce(source, '') || ' port ' || (doc_id + 10), '(\d{2,5})', 1)), lambda x: CAST(x AS BIGINT)) AS known FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 3),
+        list_distinct(regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', ' ', 'g') || ' 10.0.0.1 tcp example.com', '\b(?:\d{1,3}\.){3}\d{1,3}\b') || regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', ' ', 'g') || ' 10.0.0.1 tcp example.com', '\b[a-zA-Z0-9][a-zA-Z0-9.-]*\.[a-zA-Z]{2,}\b') || regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', ' ', 'g') || ' 10.0.0.1 tcp example.com', '(?i)\b(?:TCP|UDP|DNS|HTTP|HTTPS|ICMP|RST|SYN|ACK)\b')) AS tokens FROM benchmark),
+h AS (SELECT query_id AS alert_id, rank, text AS content, CASE WHEN doc_id % 3 > 0 THEN score / 100 END AS sim, list_transform(list_distinct(regexp_extract_all(regexp_replace(text, '[^\x00-\x7f\p{P}\p{S}\p{Z}\p{C}]', 'x', 'g') || ' ' || coalesce(source, '') || ' port ' || (doc_id + 10), '\b(\d{2,5})\b', 1)), lambda x: CAST(x AS BIGINT)) AS known FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 3),
 b AS (SELECT alert_id, rank, sim, 0.45::DOUBLE * CASE WHEN len(keywords) > 0 THEN len(list_filter(keywords, lambda w: contains(content, w)))::DOUBLE / len(keywords) ELSE 0 END
         + 0.30::DOUBLE * CASE WHEN len(known) > 0 THEN len(list_intersect(list_distinct(known), numbers))::DOUBLE / len(list_distinct(known)) ELSE 0 END + 0.10::DOUBLE * least(1.0::DOUBLE, len(list_filter(tokens, lambda w: contains(content, w)))::DOUBLE / 3) AS base FROM a LEFT JOIN h USING (alert_id)),
 s AS (SELECT alert_id, rank, CASE WHEN rank IS NULL THEN 0 ELSE round(least(CASE WHEN sim IS NULL THEN base / 0.85::DOUBLE ELSE base + 0.25::DOUBLE * least(1.0, sim) END, 1.0) + 1e-9, 4) END AS score FROM b)
