@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import baseline, engines, evaluate, forest, fusion, records, rules, windows
+from ..operators import baseline, engines, evaluate, forest, fusion, records, rules, store, windows
 from ..sources.packets import packets_from_events, table
 from . import traffic
 from .traffic import _A, _B, _TRAIN, _deviations, _later, _windows, HOUR, PACKETS, SCALED, SIGMA, WINDOWS, _alerts, _packets, _with
@@ -265,3 +265,25 @@ _add("forest_top_dimension", lambda s, d: forest.top_dimension(_DIM4, forest.upp
 m AS (SELECT """ + ", ".join(f"(list({c}::DOUBLE ORDER BY {c}))[count(*) // 2 + 1] AS m_{c}" for c in _DIM4) + """ FROM windows),
 x AS (SELECT window_index, unnest([""" + ", ".join(f"{{'d': '{c}', 'o': {i}, 'r': CASE WHEN m_{c} <> 0 THEN abs(({c} - m_{c}) / m_{c}) WHEN {c} > 0 THEN {c}::DOUBLE ELSE 0 END, 's': CASE WHEN {c} >= m_{c} THEN 'high' ELSE 'low' END}}" for i, c in enumerate(_DIM4)) + """]) AS v FROM windows, m)
 SELECT window_index, v.d AS dimension, v.s AS direction FROM (SELECT *, row_number() OVER (PARTITION BY window_index ORDER BY v.r DESC, v.o) AS k FROM x) WHERE k = 1""")
+
+
+def _day_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored profile for every day: medians of its hourly windows."""
+    found = windows.by_dimension(windows.windows(_days(spark, sf_dir)[0], HOUR, "capture_id"), "capture_id")
+    rows = found.groupBy(F.col("capture_id").alias("name"), "dimension").agg(F.median("value").alias("median"), F.count(F.lit(1)).alias("samples"))
+    return rows.select("name", F.unix_millis(F.to_timestamp("name", "yyyy-MM-dd")).alias("updated_ms"), "dimension", "median", "samples")
+
+
+def _two_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even days are in the first store; the second has all, with medians doubled."""
+    rows = _day_profiles(spark, sf_dir)
+    return store.with_fallback(rows.where(F.substring("name", 9, 2).cast("int") % 2 == 0), rows.withColumn("median", F.col("median") * 2))
+
+
+_PROFILES = "WITH " + PACKETS.replace("SELECT event_id AS pkt_seq, ts,", "SELECT strftime(ts, '%Y-%m-%d') AS cap, event_id AS pkt_seq, ts,") + f""",
+anchors AS (SELECT cap, min_by(ts_ms, pkt_seq) AS t0 FROM packets GROUP BY 1),
+dayw AS (SELECT p.cap, CAST(floor((ts_ms - t0) / ({HOUR} * 1000)) AS BIGINT) AS window_index, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, count(*) FILTER ({traffic._SYN}) AS syn, count(DISTINCT CASE WHEN dst_port > 0 THEN dst_port END) AS dports FROM packets p JOIN anchors a ON p.cap = a.cap GROUP BY 1, 2),
+prof AS (SELECT cap AS name, epoch_ms(CAST(cap AS TIMESTAMP)) AS updated_ms, dimension, median(value) AS median, count(*) AS samples FROM ({_UNPIVOT}) GROUP BY 1, 2, 3)"""
+_add("baseline_lookup", _two_stores, _PROFILES + """
+SELECT name, updated_ms, dimension, CASE WHEN CAST(name[9:10] AS INT) % 2 = 0 THEN median ELSE median * 2 END AS median, samples, CASE WHEN CAST(name[9:10] AS INT) % 2 = 0 THEN 'first' ELSE 'second' END AS source FROM prof""")
+_add("baseline_list", lambda s, d: store.listed(_day_profiles(s, d)), _PROFILES + " SELECT name, any_value(updated_ms) AS updated_ms, count(*) AS dimensions, max(samples) AS samples FROM prof GROUP BY 1")

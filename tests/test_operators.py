@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netquarry.operators import baseline, consensus, engines, evaluate, flows, forest, fusion, records, retrieval, rules, seasonal, text_checks, windows
+from netquarry.operators import baseline, consensus, engines, evaluate, flows, forest, fusion, records, retrieval, rules, seasonal, store, text_checks, windows
 from netquarry.plans.live import stream_windows
 from netquarry.schemas import Thresholds
 from netquarry.sources import files, pcap
@@ -364,3 +364,21 @@ def test_captures_raise_the_alerts_of_their_packets(spark, tmp_path):
     assert {"SYN_FLOOD_SUSPECTED", "PORT_SCAN_SUSPECTED", "QUIC_CONNECTION_FLOOD", "QUIC_INITIAL_RATIO_ANOMALY", "QUIC_UNKNOWN_VERSION"} <= set(types) and types["QUIC_UNKNOWN_VERSION"] == "deadbeef"
     both = rules.unsorted_alerts(by_source, Thresholds(), captures=True).groupBy("capture_id").count().collect()
     assert len({r["count"] for r in both}) == 1 and len(both) == 2
+
+
+def test_stored_baselines_still_find_drift(spark, tmp_path):
+    schema = "window_index long, packets long, bytes long, syn long, dports long"
+    train = spark.createDataFrame([(i, 100 + i % 7, 1000 + i, 5, 3) for i in range(30)], schema)
+    for at in (1, 2):  # the second save of a name replaces the first
+        store.save(baseline.learn(train), train, "office", at, str(tmp_path))
+    store.save(baseline.learn(train.limit(20)), train.limit(20), "lab", 5, str(tmp_path))
+    profiles, training = store.load(spark, str(tmp_path))
+    assert profiles.count() == 8 and training.where("name = 'office'").count() == 30
+    assert [r.name for r in store.listed(profiles).collect()] == ["lab", "office"]
+    moved = spark.createDataFrame([(i, 500, 9000, 50, 30) for i in range(10)], schema)
+    found = baseline.drift(training.where("name = 'office'"), moved).collect()
+    assert len(found) == 4 and all(r.detected for r in found)
+    both = store.with_fallback(profiles.where("name = 'lab'"), profiles)
+    assert {(r.name, r.source) for r in both.collect()} == {("lab", "first"), ("office", "second")}
+    items = spark.createDataFrame([("a", "x")], "title string, content string")
+    assert [(r.title, r.category) for r in store.united({"one": items, "two": items.unionByName(items.select(F.lit("b").alias("title"), "content"))}).orderBy("title").collect()] == [("a", "one"), ("b", "two")]
