@@ -169,7 +169,9 @@ def train_models(found: DataFrame, scan: str, settings: SecretSettings) -> DataF
         )).alias("s")
     ).select("s.random", "s.token").distinct()
     weight = F.when(F.length("token") <= _TEACHES, F.lit(_UNIT)).otherwise(F.greatest(F.lit(1), F.floor(_UNIT * _TEACHES / F.length("token")))).cast("long")
-    pairs = tokens.select("random", weight.alias("weight"), F.explode(_pairs(F.col("token"))).alias("pair"))
+    # the weight is bound before the explode: beside it, a token would be carried along with each of its characters
+    weighed = tokens.select("random", "token", weight.alias("weight"))
+    pairs = weighed.select("random", "weight", F.explode(_pairs(F.col("token"))).alias("pair"))
     counts = pairs.groupBy("pair").agg(F.sum(F.col("random") * F.col("weight")).alias("r"), F.sum((1 - F.col("random")) * F.col("weight")).alias("o"))
     counts = materialize(counts.select("pair", (F.col("r") / _UNIT).alias("r"), (F.col("o") / _UNIT).alias("o")), "transitions")
     spark = found.sparkSession
