@@ -1,4 +1,4 @@
-"""Queries of the ten operators: production parameters, whole tables, full results."""
+"""Queries of the training-data operators: production parameters, whole tables, full results."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .attention_quality import quality_scores
 from .common import read_table
+from .filter_audit import filter_audit
 from .hmm_lm import hmm_scores
 from .mixing import MixSettings, mix_plan
 from .near_dedup import near_dedup
 from .packing import pack
 from .personal_data import personal_data
+from .piece_table import fill_in_middle
 from .projected_search import nearest
 from .quality_rules import RuleSettings, quality_rules
 from .secret_scan import secret_spans
@@ -57,6 +59,14 @@ def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths(read_table(spark, sf_dir, "documents"))
 
 
+def op11_piece_table_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(read_table(spark, sf_dir, "documents"), with_output=False)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 _SEED = MixSettings().seed
 
 OP6_SQL = rf"""
@@ -132,6 +142,45 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM over) AS kept FROM f
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+n AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+g AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, (len(w) < 200) AS fa, (100 * len(list_distinct(w)) < 50 * len(w)) AS fb, (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t)) AS fc,
+         regexp_matches(t, '[#$%&*|]') AS fd, first IS NOT NULL AND (d.doc_id IS NULL OR d.doc_id > first) AS fe, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d JOIN firsts USING (t) LEFT JOIN g ON d.doc_id = g.doc_id),
+h AS (SELECT part, map {'A': fa, 'B': fb, 'C': fc, 'D': fd, 'E': fe} AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+orders(o) AS (SELECT '' UNION ALL SELECT o || x FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(o, x)),
+steps AS (SELECT o AS filter_order, k AS step, o[k] AS filter, o[:k - 1] AS before FROM orders, range(1, 6) r(k) WHERE len(o) = 5),
+x AS (
+  SELECT part, filter_order, step, filter, n, good, toxic, fails[filter] AS fail, len(list_filter(string_split(before, ''), lambda c: c <> '' AND fails[c])) > 0 AS gone,
+         len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda c: fails[c])) = 1 AS single
+  FROM h, steps),
+y AS (
+  SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (NOT gone AND NOT fail), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fail), 0) AS removed, coalesce(sum(n) FILTER (gone AND fail), 0) AS redundant,
+         coalesce(sum(n) FILTER (single AND fail), 0) AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND fail), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fail), 0) AS toxic_lost
+  FROM x GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, filter, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley
+FROM y
+"""
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_binary_packing": op2_binary_packing,
@@ -143,5 +192,7 @@ QUERIES = {
     "op8_attention_quality": op8_attention_quality,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_lengths": op10_token_lengths,
+    "op11_piece_table_fim": op11_piece_table_fim,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op9_quality_rules": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op9_quality_rules": OP9_SQL, "op11_piece_table_fim": OP11_SQL, "op13_filter_audit": OP13_SQL}
