@@ -16,6 +16,7 @@ from .piece_table import fill_in_middle
 from .projected_search import nearest
 from .quality_rules import RuleSettings, quality_rules
 from .secret_scan import secret_spans
+from .suffix_dedup import remove_repeats, removal_report
 from .token_lengths import token_lengths
 
 
@@ -63,6 +64,10 @@ def op11_piece_table_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(read_table(spark, sf_dir, "documents"), with_output=False)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -193,6 +198,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_lengths": op10_token_lengths,
     "op11_piece_table_fim": op11_piece_table_fim,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {"op6_mix_sources": OP6_SQL, "op9_quality_rules": OP9_SQL, "op11_piece_table_fim": OP11_SQL, "op13_filter_audit": OP13_SQL}
