@@ -15,6 +15,7 @@ from ..schemas import MAD_SCALE, Thresholds
 from ..scratch import materialize
 from . import baseline, forest, rules
 from .fusion import BASELINE, FOREST, RULE
+from .ordered import running_sums
 from .windows import by_dimension, windows
 
 CAPTURE = "capture_id"
@@ -72,28 +73,55 @@ def baseline_alerts(deviating: DataFrame, settings: EngineSettings) -> DataFrame
     return single.unionByName(several)
 
 
+def _ranked(values: DataFrame, training: DataFrame) -> DataFrame:
+    """Distinct (dimension, value) of ``values`` with ``le`` and ``lt``, the training windows at or below and below the value, and ``n1``, all
+    of them. Values of both meet in one order, by ranges."""
+    base = by_dimension(training).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("x"))
+    wanted = values.select("dimension", "value").distinct().withColumn("x", F.lit(0).cast("long"))
+    at = base.unionByName(wanted.withColumn("w", F.lit(True)), allowMissingColumns=True).groupBy("dimension", "value").agg(F.sum("x").alias("x"), F.max("w").alias("w"))
+    upto = running_sums(at, ["dimension"], ["value"], {"le": F.col("x")}).where("w")
+    n1 = base.groupBy("dimension").agg(F.sum("x").alias("n1"))
+    return upto.join(F.broadcast(n1), "dimension").select("dimension", "value", "le", (F.col("le") - F.col("x")).alias("lt"), "n1")  # a row per dimension
+
+
+def _distance(own: Column, n1: Column) -> Column:
+    """Largest distance of the few values ``own`` (value, le, lt) to training, times both counts: it lies at one of them or just before it."""
+    n2 = F.size(own)
+
+    def at(x: Column) -> Column:
+        here = F.abs(x["le"] * n2 - F.size(F.filter(own, lambda y: y["value"] <= x["value"])) * n1)
+        before = F.abs(x["lt"] * n2 - F.size(F.filter(own, lambda y: y["value"] < x["value"])) * n1)
+        return F.greatest(here, before)
+
+    return F.array_max(F.transform(own, at))
+
+
+def _judged_drift(each: DataFrame, keys: list[str], settings: EngineSettings) -> DataFrame:
+    """The worst dimension (the first of equals) of every key, from rows with ``own`` and ``n1``."""
+    order = F.array_position(F.array(*[F.lit(d) for d in DIMS]), F.col("dimension"))
+    rows = each.select(*keys, "dimension", "n1", F.size("own").cast("long").alias("n2"), _distance(F.col("own"), F.col("n1")).alias("numerator")).where(F.col("n2") >= settings.least_recent)
+    worst = rows.groupBy(*keys).agg(F.max(F.struct("numerator", (-order).alias("o"), "dimension", "n1", "n2")).alias("w")).select(*keys, "w.dimension", "w.numerator", "w.n1", "w.n2")
+    critical = settings.factor * F.sqrt((F.col("n1") + F.col("n2")) / (F.col("n1") * F.col("n2")))
+    return worst.withColumn("detected", F.col("numerator") / (F.col("n1") * F.col("n2")) > critical)
+
+
 def drift(found: Found, settings: EngineSettings) -> DataFrame:
     """capture_id, dimension, numerator, n1, n2, detected: the capture's last windows against training, its worst dimension (the first of
     equals); no row where it has too few windows or training has none."""
     last = Window.partitionBy(CAPTURE).orderBy(F.desc("window_index"))
     recent = found.windows.withColumn("r", F.row_number().over(last)).where(F.col("r") <= settings.recent).drop("r")
-    ours = by_dimension(recent, CAPTURE)
-    captures = recent.groupBy(CAPTURE).agg(F.count(F.lit(1)).alias("n2")).where(F.col("n2") >= settings.least_recent)
-    # training's distribution once: how many windows lie at or below each value
-    base = by_dimension(found.training).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("x"))
-    known = base.select(F.lit(None).cast("string").alias(CAPTURE), "dimension", "value", "x", F.lit(0).alias("y"))
-    mine = ours.groupBy(CAPTURE, "dimension", "value").agg(F.count(F.lit(1)).alias("y"))
-    n1 = base.groupBy("dimension").agg(F.sum("x").alias("n1"))
-    # a capture's few values meet training's steps by rank: both running counts at every value of either
-    both = captures.select(CAPTURE, "n2").join(known.drop(CAPTURE), F.lit(True)).select(CAPTURE, "dimension", "value", "x", "y").unionByName(mine.join(captures.select(CAPTURE), CAPTURE).withColumn("x", F.lit(0)).select(CAPTURE, "dimension", "value", "x", "y"))
-    at = both.groupBy(CAPTURE, "dimension", "value").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    upto = Window.partitionBy(CAPTURE, "dimension").orderBy("value")
-    steps = at.withColumns({"cx": F.sum("x").over(upto), "cy": F.sum("y").over(upto)}).join(n1, "dimension").join(captures, CAPTURE)
-    each = steps.groupBy(CAPTURE, "dimension", "n1", "n2").agg(F.max(F.abs(F.col("cx") * F.col("n2") - F.col("cy") * F.col("n1"))).alias("numerator"))
-    order = F.array_position(F.array(*[F.lit(d) for d in DIMS]), F.col("dimension"))
-    worst = each.groupBy(CAPTURE, "n1", "n2").agg(F.max(F.struct("numerator", (-order).alias("o"), "dimension")).alias("w"))
-    critical = settings.factor * F.sqrt((F.col("n1") + F.col("n2")) / (F.col("n1") * F.col("n2")))
-    return worst.select(CAPTURE, "w.dimension", "w.numerator", "n1", "n2", (F.col("w.numerator") / (F.col("n1") * F.col("n2")) > critical).alias("detected"))
+    ours = materialize(by_dimension(recent, CAPTURE), "recent-windows")
+    each = ours.join(_ranked(ours, found.training), ["dimension", "value"]).groupBy(CAPTURE, "dimension").agg(F.first("n1").alias("n1"), F.collect_list(F.struct("value", "le", "lt")).alias("own"))
+    return _judged_drift(each, [CAPTURE], settings)
+
+
+def window_drift(found: Found, settings: EngineSettings) -> DataFrame:
+    """``drift`` at every window: it and the windows before it, ``recent`` at most (capture_id, window_index and drift's columns)."""
+    ours = materialize(by_dimension(found.windows, CAPTURE), "capture-windows")
+    upto = Window.partitionBy(CAPTURE, "dimension").orderBy("window_index").rowsBetween(1 - settings.recent, 0)
+    ranked = ours.join(_ranked(ours, found.training), ["dimension", "value"])
+    each = ranked.select(CAPTURE, "window_index", "dimension", "n1", F.collect_list(F.struct("value", "le", "lt")).over(upto).alias("own"))
+    return _judged_drift(each, [CAPTURE, "window_index"], settings)
 
 
 def forest_windows(found: Found, settings: EngineSettings) -> tuple[DataFrame, float] | None:

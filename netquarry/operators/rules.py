@@ -1,7 +1,8 @@
-"""Threshold detections over one pre-aggregate of the packets.
+"""Threshold detections over one narrow pre-aggregate of the packets.
 
-``facts`` has a row per end points, protocol and what a packet is to the rules, with counts, bytes,
-first and last packet. Every rule aggregates facts by its key, so packets are read and shuffled once.
+``signals`` has a row per measure (what a packet is to a rule), key and second key: an address and a port, a flow
+and a direction, a version. It is an ordinary aggregation with sums on the map side, so it runs over a table and
+over a stream alike. ``keyed`` folds the second key; every rule is then a filter over it.
 """
 
 from __future__ import annotations
@@ -13,39 +14,63 @@ from pyspark.sql import functions as F
 
 from ..schemas import Thresholds
 from ..scratch import materialize
-from .flows import end_point, flows_of, has_flag, initiator_syn
+from .flows import end_point, has_flag, initiator_syn
 
 #: QUIC version 1, version 2 and drafts 20, 21 and 29.
 KNOWN_QUIC = ("00000001", "6b3343cf", "ff000020", "ff000021", "ff00001d")
 
 
-_ENDS = ["protocol", "src_ip", "src_port", "dst_ip", "dst_port"]
-
-
 def _by(found: DataFrame) -> list[str]:
-    """The capture, where facts keep captures apart."""
+    """The capture, where the rows keep captures apart."""
     return ["capture_id"] if "capture_id" in found.columns else []
 
 
-def facts(packets: DataFrame, t: Thresholds, captures: bool = False) -> DataFrame:
-    """The pre-aggregate: ``n`` packets, their bytes and payload, ``f`` and ``l`` (pkt_seq, ts_ms) of the first and last.
-    With ``captures`` every rule runs for each capture by itself."""
-    dns, quic = F.col("protocol") == "DNS", (F.col("protocol") == "UDP") & (F.col("dst_port") == 443)
-    answer = F.col("dns_response") != ""
-    version = F.when(quic & F.contains("raw_summary", F.lit("QUIC")), F.lower(F.regexp_extract("raw_summary", r"Version[=:\s]+0x([0-9a-fA-F]+)", 1)))
-    kinds = {
-        "syn": initiator_syn(), "syn_ack": (F.col("protocol") == "TCP") & has_flag("SYN") & has_flag("ACK"), "rst": (F.col("protocol") == "TCP") & has_flag("RST"),
-        "long_dns": dns & (F.length(F.rtrim(F.col("dns_query"), F.lit("."))) > t.dns_max_len), "answer": dns & answer, "question": dns & ~answer & (F.col("dns_query") != ""),
-        "large": quic & (F.col("length") > t.quic_large_bytes),
-    }
-    unknown = F.when(~version.isin("", "00000000", *KNOWN_QUIC), version)
-    return packets.groupBy(*(["capture_id"] if captures else []), *_ENDS, *[F.coalesce(c, F.lit(False)).alias(k) for k, c in kinds.items()], unknown.alias("version")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), F.sum("payload_size").alias("payload"), F.min(F.struct("pkt_seq", "ts_ms")).alias("f"), F.max(F.struct("pkt_seq", "ts_ms")).alias("l")
+def signals(packets: DataFrame, t: Thresholds, captures: bool = False, only: tuple[str, ...] = ()) -> DataFrame:
+    """The pre-aggregate: measure, a, b with ``n`` packets, ``bytes``, ``f`` and ``l`` (pkt_seq, ts_ms) of the first and last; ``other`` and
+    ``other_bytes`` are those of a measure's second role (SYN-ACKs that a host got, what it asked, large QUIC packets).
+    With ``captures`` every rule runs for each capture by itself; ``only`` names the measures wanted."""
+    c, none = F.col, F.lit("")
+    tcp, udp, dns = c("protocol") == "TCP", c("protocol") == "UDP", c("protocol") == "DNS"
+    quic = udp & (c("dst_port") == 443)
+    syn, answer = initiator_syn(), c("dns_response") != ""
+    version = F.lower(F.regexp_extract("raw_summary", r"Version[=:\s]+0x([0-9a-fA-F]+)", 1))
+    src, dst = end_point("src"), end_point("dst")
+    named = (c("src_ip") != "") & (c("dst_ip") != "")
+    entries = [
+        ("syn", syn, c("src_ip"), none, True), ("syn", tcp & has_flag("SYN") & has_flag("ACK"), c("dst_ip"), none, False),
+        ("scan", syn & (c("src_ip") != "") & (c("dst_port") > 0), c("src_ip"), c("dst_port").cast("string"), True),
+        ("long_dns", dns & (F.length(F.rtrim(c("dns_query"), F.lit("."))) > t.dns_max_len), c("src_ip"), none, True),
+        ("way", c("protocol").isin("TCP", "UDP") & named, F.concat_ws("|", "protocol", F.least(src, dst), F.greatest(src, dst)), F.concat_ws("|", "src_ip", c("src_port").cast("string"), "dst_ip", c("dst_port").cast("string")), True),
+        ("rst", tcp & has_flag("RST"), c("src_ip"), none, True), ("udp", udp, c("dst_ip"), none, True),
+        ("dns", dns & answer & (c("dst_ip") != ""), c("dst_ip"), none, True), ("dns", dns & ~answer & (c("dns_query") != "") & (c("src_ip") != ""), c("src_ip"), none, False),
+        ("quic", quic, c("src_ip"), c("src_port").cast("string"), True), ("quic", quic & (c("length") > t.quic_large_bytes), c("src_ip"), c("src_port").cast("string"), False),
+        ("quic_way", quic, F.concat(src, F.lit("->"), dst), none, True),
+        ("version", quic & F.contains("raw_summary", F.lit("QUIC")) & ~version.isin("", "00000000", *KNOWN_QUIC), version, none, True),
+    ]
+    each = [F.when(when, F.struct(F.lit(m).alias("measure"), a.alias("a"), b.alias("b"), F.lit(own).alias("own"))) for m, when, a, b, own in entries if not only or m in only]
+    by = ["capture_id"] if captures else []
+    rows = packets.select(*by, "pkt_seq", "ts_ms", "length", F.explode(F.array_compact(F.array(*each))).alias("x")).select(*by, "pkt_seq", "ts_ms", "length", "x.*")
+    own, at = F.col("own"), F.struct("pkt_seq", "ts_ms")
+    return rows.groupBy(*by, "measure", "a", "b").agg(
+        F.count_if(own).alias("n"), F.count_if(~own).alias("other"), F.coalesce(F.sum(F.when(own, F.col("length"))), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(F.when(~own, F.col("length"))), F.lit(0)).alias("other_bytes"), F.min(F.when(own, at)).alias("f"), F.max(F.when(own, at)).alias("l"),
     )
 
 
-def _span() -> list[Column]:
-    return [F.min("f").alias("f"), F.max("l").alias("l")]
+def keyed(found: DataFrame) -> DataFrame:
+    """``signals`` by measure and key: sums, ``keys`` (second keys), ``ports`` (of scans, sorted; 65535 at most) and ``top`` (a flow's
+    dominant direction: most packets, then the larger end points, ports as numbers)."""
+    end = F.split("b", r"\|")
+    way = F.struct(F.col("n").alias("n"), end[0].alias("src_ip"), end[1].cast("int").alias("src_port"), end[2].alias("dst_ip"), end[3].cast("int").alias("dst_port"))
+    return found.groupBy(*_by(found), "measure", "a").agg(
+        F.sum("n").alias("n"), F.sum("other").alias("other"), F.sum("bytes").alias("bytes"), F.sum("other_bytes").alias("other_bytes"), F.min("f").alias("f"), F.max("l").alias("l"),
+        F.count_if(F.col("n") > 0).alias("keys"), F.array_sort(F.collect_set(F.when(F.col("measure") == "scan", F.col("b").cast("int")))).alias("ports"),
+        F.max(F.when(F.col("measure") == "way", way)).alias("top"),
+    )
+
+
+def _of(found: DataFrame, measure: str) -> DataFrame:
+    return found.where((F.col("measure") == measure) & (F.col("n") > 0))
 
 
 def _alert(kind: str, order: int, severity: Column, key: Column, value: Column, detail: Column | None = None) -> list[Column]:
@@ -59,68 +84,37 @@ def _high(value: Column, high: float) -> Column:
     return F.when(value > high, F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
 
 
-def _counted(rows: DataFrame, *keys: Column) -> DataFrame:
-    return rows.groupBy(*_by(rows), *keys).agg(F.sum("n").alias("n"), *_span())
-
-
-def _two_roles(rows: DataFrame, first: str, second: str) -> DataFrame:
-    """A fact once by its source in the first role and once by its destination in the second, told by ``role``."""
-    roles = F.array(
-        F.when(F.col(first), F.struct(F.col("src_ip").alias("ip"), F.lit(1).alias("role"))), F.when(F.col(second), F.struct(F.col("dst_ip").alias("ip"), F.lit(2).alias("role"))),
-    )
-    own = [*_by(rows), "n", "bytes", "f", "l"]
-    return rows.select(*own, F.explode(F.array_compact(roles)).alias("r")).select(*own, "r.ip", "r.role")
+def _fired(found: DataFrame, measure: str, least: float, kind: str, order: int, severity: Column, value: str = "n", detail: Column | None = None) -> DataFrame:
+    return _of(found, measure).where(F.col(value) >= least).select(*_by(found), *_alert(kind, order, severity, F.col("a"), F.col(value), detail))
 
 
 def syn_flood(found: DataFrame, t: Thresholds) -> DataFrame:
-    """Initiator SYNs that a source sent less the SYN-ACKs it got: both roles of a host in one aggregation."""
-    sent = F.col("role") == 1
-    keyed = _two_roles(found, "syn", "syn_ack").groupBy(*_by(found), "ip").agg(
-        F.sum(F.when(sent, F.col("n"))).alias("sent"), F.sum(F.when(~sent, F.col("n"))).alias("got"), F.min(F.when(sent, F.col("f"))).alias("f"), F.max(F.when(sent, F.col("l"))).alias("l")
-    ).where("sent > 0")
-    net = F.col("sent") - F.coalesce("got", F.lit(0))
-    return keyed.where(net >= t.syn_flood_min).select(*_by(found), *_alert("SYN_FLOOD_SUSPECTED", 1, _high(net, t.syn_flood_high), F.col("ip"), net))
+    """Initiator SYNs that a source sent less the SYN-ACKs it got."""
+    net = F.col("n") - F.col("other")
+    return _of(found, "syn").where(net >= t.syn_flood_min).select(*_by(found), *_alert("SYN_FLOOD_SUSPECTED", 1, _high(net, t.syn_flood_high), F.col("a"), net))
 
 
 def port_scan(found: DataFrame, t: Thresholds) -> DataFrame:
-    rows = found.where(F.col("syn") & (F.col("src_ip") != "") & (F.col("dst_port") > 0))
-    keyed = rows.groupBy(*_by(rows), "src_ip").agg(F.array_sort(F.collect_set("dst_port")).alias("ports"), *_span())  # 65535 ports at most
-    n = F.size("ports")
     sample = F.array_join(F.transform(F.slice("ports", 1, 20), lambda x: x.cast("string")), ",")
-    return keyed.where(n >= t.port_scan_min).select(*_by(found), *_alert("PORT_SCAN_SUSPECTED", 2, _high(n, t.port_scan_high), F.col("src_ip"), n, sample))
+    return _fired(found, "scan", t.port_scan_min, "PORT_SCAN_SUSPECTED", 2, _high(F.col("keys"), t.port_scan_high), "keys", sample)
 
 
 def dns_tunnel(found: DataFrame, t: Thresholds) -> DataFrame:
-    keyed = _counted(found.where("long_dns"), F.col("src_ip"))
-    return keyed.where(F.col("n") >= t.dns_tunnel_min).select(*_by(found), *_alert("DNS_TUNNEL_SUSPECTED", 3, _high(F.col("n"), t.dns_tunnel_high), F.col("src_ip"), F.col("n")))
-
-
-def fact_flows(found: DataFrame) -> DataFrame:
-    """Flows of the facts' packets."""
-    rows = found.where(F.col("protocol").isin("TCP", "UDP") & (F.col("src_ip") != "") & (F.col("dst_ip") != ""))
-    src, dst = end_point("src"), end_point("dst")
-    ways = rows.groupBy("protocol", F.least(src, dst).alias("lo"), F.greatest(src, dst).alias("hi"), "src_ip", "src_port", "dst_ip", "dst_port", *_by(found)).agg(
-        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum("payload").alias("payload"), F.min(F.struct(F.col("f.pkt_seq").alias("seq"), F.col("f.ts_ms").alias("ts_ms"))).alias("first"),
-        F.max(F.struct(F.col("l.pkt_seq").alias("seq"), F.col("l.ts_ms").alias("ts_ms"))).alias("last"),
-    )
-    return flows_of(ways, _by(found))
+    return _fired(found, "long_dns", t.dns_tunnel_min, "DNS_TUNNEL_SUSPECTED", 3, _high(F.col("n"), t.dns_tunnel_high))
 
 
 def large_transfer(found: DataFrame, t: Thresholds) -> DataFrame:
-    rows = fact_flows(found).where(F.col("bytes") > t.large_flow_mb * 1024 * 1024)
-    way = F.concat(F.concat_ws(":", "dom_src_ip", F.col("dom_src_port").cast("string")), F.lit(" -> "), F.concat_ws(":", "dom_dst_ip", F.col("dom_dst_port").cast("string")))
-    rows = rows.withColumns({"f": F.struct(F.col("first_seq").alias("pkt_seq"), F.col("first_ms").alias("ts_ms")), "l": F.struct(F.lit(0).alias("pkt_seq"), F.col("last_ms").alias("ts_ms"))})
-    return rows.select(*_by(found), *_alert("LARGE_DATA_TRANSFER", 4, F.lit("MEDIUM"), F.concat_ws("|", "protocol", "lo", "hi"), F.col("bytes"), way))
+    way = F.concat(F.concat_ws(":", "top.src_ip", F.col("top.src_port").cast("string")), F.lit(" -> "), F.concat_ws(":", "top.dst_ip", F.col("top.dst_port").cast("string")))
+    rows = _of(found, "way").where(F.col("bytes") > t.large_flow_mb * 1024 * 1024)
+    return rows.select(*_by(found), *_alert("LARGE_DATA_TRANSFER", 4, F.lit("MEDIUM"), F.col("a"), F.col("bytes"), way))
 
 
 def rst_storm(found: DataFrame, t: Thresholds) -> DataFrame:
-    keyed = _counted(found.where("rst"), F.col("src_ip"))
-    return keyed.where(F.col("n") >= t.rst_storm_min).select(*_by(found), *_alert("RST_STORM", 5, F.lit("LOW"), F.col("src_ip"), F.col("n")))
+    return _fired(found, "rst", t.rst_storm_min, "RST_STORM", 5, F.lit("LOW"))
 
 
 def udp_flood(found: DataFrame, t: Thresholds) -> DataFrame:
-    keyed = _counted(found.where("protocol = 'UDP'"), F.col("dst_ip"))
-    return keyed.where(F.col("n") >= t.udp_flood_min).select(*_by(found), *_alert("UDP_FLOOD_SUSPECTED", 6, _high(F.col("n"), t.udp_flood_high), F.col("dst_ip"), F.col("n")))
+    return _fired(found, "udp", t.udp_flood_min, "UDP_FLOOD_SUSPECTED", 6, _high(F.col("n"), t.udp_flood_high))
 
 
 def dns_amplification(found: DataFrame, t: Thresholds) -> DataFrame:
@@ -128,65 +122,53 @@ def dns_amplification(found: DataFrame, t: Thresholds) -> DataFrame:
 
     A packet with an answer is a response, whatever query it repeats.
     """
-    answered = F.col("role") == 2
-    keyed = _two_roles(found, "question", "answer").where("ip <> ''").groupBy(*_by(found), "ip").agg(
-        F.sum(F.when(answered, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(answered, F.col("bytes")).otherwise(0)).alias("out"), F.sum(F.when(~answered, F.col("bytes"))).alias("asked"),
-        F.min(F.when(answered, F.col("f"))).alias("f"), F.max(F.when(answered, F.col("l"))).alias("l"),
-    )
-    asked = F.coalesce("asked", F.lit(1))
-    ratio = F.when(asked > 0, F.col("out") / asked).otherwise(F.col("out").cast("double"))
-    rows = keyed.where((F.col("n") >= t.dns_amp_responses) & (ratio >= t.dns_amp_ratio))
-    return rows.select(*_by(found), *_alert("DNS_AMPLIFICATION_SUSPECTED", 7, F.lit("HIGH"), F.col("ip"), F.col("n"), F.concat_ws("/", F.col("out").cast("string"), asked.cast("string"))))
-
-
-def _quic(found: DataFrame) -> DataFrame:
-    return found.where((F.col("protocol") == "UDP") & (F.col("dst_port") == 443))
+    asked = F.when(F.col("other") > 0, F.col("other_bytes")).otherwise(1)
+    ratio = F.when(asked > 0, F.col("bytes") / asked).otherwise(F.col("bytes").cast("double"))
+    rows = _of(found, "dns").where((F.col("n") >= t.dns_amp_responses) & (ratio >= t.dns_amp_ratio))
+    return rows.select(*_by(found), *_alert("DNS_AMPLIFICATION_SUSPECTED", 7, F.lit("HIGH"), F.col("a"), F.col("n"), F.concat_ws("/", F.col("bytes").cast("string"), asked.cast("string"))))
 
 
 def quic_connections(found: DataFrame, t: Thresholds) -> DataFrame:
-    keyed = _counted(_quic(found), F.col("src_ip"), F.col("src_port")).groupBy(*_by(found), "src_ip").agg(F.count(F.lit(1)).alias("n"), *_span())
-    return keyed.where(F.col("n") >= t.quic_connections).select(*_by(found), *_alert("QUIC_CONNECTION_FLOOD", 8, F.lit("HIGH"), F.col("src_ip"), F.col("n")))
+    return _fired(found, "quic", t.quic_connections, "QUIC_CONNECTION_FLOOD", 8, F.lit("HIGH"), "keys")
 
 
 def quic_long_flow(found: DataFrame, t: Thresholds) -> DataFrame:
-    way = F.concat_ws("->", F.concat_ws(":", "src_ip", F.col("src_port").cast("string")), F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string")))
-    keyed = _counted(_quic(found), way.alias("flow"))
-    return keyed.where(F.col("n") >= t.quic_long_flow).select(*_by(found), *_alert("QUIC_LONG_FLOW_ANOMALY", 9, F.lit("MEDIUM"), F.col("flow"), F.col("n")))
+    return _fired(found, "quic_way", t.quic_long_flow, "QUIC_LONG_FLOW_ANOMALY", 9, F.lit("MEDIUM"))
 
 
 def quic_initial_ratio(found: DataFrame, t: Thresholds) -> DataFrame:
-    totals = _quic(found).groupBy(*_by(found)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.when(F.col("large"), F.col("n")).otherwise(0)).alias("large"), *_span())
+    totals = _of(found, "quic").groupBy(*_by(found)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("other").alias("large"), F.min("f").alias("f"), F.max("l").alias("l"))
     rows = totals.where((F.col("n") > 0) & (F.col("large") / F.col("n") >= t.quic_large_share))
     return rows.select(*_by(found), *_alert("QUIC_INITIAL_RATIO_ANOMALY", 10, F.lit("MEDIUM"), F.lit("all"), F.col("large"), F.col("n").cast("string")))
 
 
 def quic_unknown_version(found: DataFrame, t: Thresholds, shown: int = 100) -> DataFrame:
     """One alert for all unknown versions: how many there are, and the first ``shown`` of them in order."""
-    each = _counted(found.where("version is not null"), F.col("version"))
-    by = _by(found)
+    each, by = _of(found, "version"), _by(found)
     if by:
-        early = each.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("version"))).where(F.col("r") <= shown)
+        early = each.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("a"))).where(F.col("r") <= shown)
     else:
-        early = each.orderBy("version").limit(shown)
-    first = early.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("version")), ",").alias("versions"))
-    counted = each.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *_span()).where("n > 0")
+        early = each.orderBy("a").limit(shown)
+    first = early.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("a")), ",").alias("versions"))
+    counted = each.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("f"), F.max("l").alias("l")).where("n > 0")
     rows = counted.join(first, by) if by else counted.crossJoin(first)  # one row each
     return rows.select(*_by(found), *_alert("QUIC_UNKNOWN_VERSION", 11, F.lit("LOW"), F.lit("all"), F.col("n"), F.col("versions")))
 
 
-_BY_FACTS = {
-    "rule_syn_flood": syn_flood, "rule_port_scan": port_scan, "rule_dns_tunnel": dns_tunnel, "rule_large_transfer": large_transfer, "rule_rst_storm": rst_storm,
-    "rule_udp_flood": udp_flood, "rule_dns_amplification": dns_amplification, "rule_quic_conn_flood": quic_connections, "rule_quic_long_flow": quic_long_flow,
-    "rule_quic_initial_ratio": quic_initial_ratio, "rule_quic_unknown_version": quic_unknown_version,
+#: Every rule with the measure that it reads.
+_RULES = {
+    "rule_syn_flood": (syn_flood, "syn"), "rule_port_scan": (port_scan, "scan"), "rule_dns_tunnel": (dns_tunnel, "long_dns"), "rule_large_transfer": (large_transfer, "way"), "rule_rst_storm": (rst_storm, "rst"),
+    "rule_udp_flood": (udp_flood, "udp"), "rule_dns_amplification": (dns_amplification, "dns"), "rule_quic_conn_flood": (quic_connections, "quic"), "rule_quic_long_flow": (quic_long_flow, "quic_way"),
+    "rule_quic_initial_ratio": (quic_initial_ratio, "quic"), "rule_quic_unknown_version": (quic_unknown_version, "version"),
 }
 
 
-def _from_packets(rule):
-    return lambda packets, t: rule(facts(packets, t), t)
+def _from_packets(rule, measure: str):
+    return lambda packets, t: rule(keyed(signals(packets, t, only=(measure,))), t)
 
 
 #: Every rule by itself, from packets.
-RULES = {name: _from_packets(rule) for name, rule in _BY_FACTS.items()}
+RULES = {name: _from_packets(rule, measure) for name, (rule, measure) in _RULES.items()}
 
 #: The detector that each type of alert names.
 DETECTORS = {
@@ -220,15 +202,23 @@ def severity_rank(severity: Column) -> Column:
     return rank
 
 
+def alerts_of(found: DataFrame, t: Thresholds) -> DataFrame:
+    """Alerts of all rules from ``signals``, whose keys are written once."""
+    table = materialize(keyed(found), "keys")
+    return reduce(DataFrame.unionByName, [rule(table, t) for rule, _ in _RULES.values()])
+
+
 def unsorted_alerts(packets: DataFrame, t: Thresholds, captures: bool = False) -> DataFrame:
-    """Alerts of all rules, from facts that are written once."""
-    found = materialize(facts(packets, t, captures), "facts")
-    return reduce(DataFrame.unionByName, [rule(found, t) for rule in _BY_FACTS.values()])
+    return alerts_of(signals(packets, t, captures), t)
+
+
+def in_order(alerts: DataFrame) -> DataFrame:
+    """Alerts by severity, then rule, then the key that was seen first."""
+    return alerts.orderBy(severity_rank(F.col("severity")), "rule_ord", "key_ord", "subject")
 
 
 def all_alerts(packets: DataFrame, t: Thresholds) -> DataFrame:
-    """Alerts of all rules in order: severity, then rule, then the key that was seen first."""
-    return unsorted_alerts(packets, t).orderBy(severity_rank(F.col("severity")), "rule_ord", "key_ord", "subject")
+    return in_order(unsorted_alerts(packets, t))
 
 
 def severity_summary(alerts: DataFrame) -> DataFrame:
