@@ -119,7 +119,7 @@ def refined(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
 def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     n = len(raw) - GRAM + 1
     words = np.ascontiguousarray(np.ndarray((len(raw) - 7,), "<u8", raw.tobytes(), strides=(1,)))
-    return mix64(words[:n] * np.uint64(0x9E3779B97F4A7C15) + mix64(words[8 : 8 + n]))
+    return mix64(words[:n] * np.uint64(0x9E3779B97F4A7C15) + words[8 : 8 + n] * np.uint64(0xD1B54A32D192ED03))
 
 
 def runs(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,16 +138,13 @@ def runs(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np
     if span < width:
         best = np.minimum(best[: span - width], best[width - span :])
     sample = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    inside = np.zeros(len(raw) + 1, np.int32)
-    long = sizes >= length
-    np.add.at(inside, (ends - sizes)[long], 1)
-    np.add.at(inside, (ends - length + 1)[long], -1)
-    whole = np.cumsum(inside[:count]) > 0
+    starts = np.maximum(sizes - length + 1, 0)  # strings of each text
+    whole = np.repeat(np.tile([True, False], len(sizes)), np.stack([starts, sizes - starts], axis=1).ravel())[:count]
     head = whole.copy()
     head[1:] &= ~whole[:-1] | (sample[1:] != sample[:-1])
     first = np.flatnonzero(head)
-    total = np.cumsum(whole)
-    strings = np.diff(np.append(total[first] - 1, total[-1]))
+    text = np.searchsorted(ends, first, side="right")
+    strings = np.minimum(np.append(first[1:], count), (ends - sizes + starts)[text]) - first
     return first, strings, hashes[sample[first]] >> np.uint64(8)
 
 
@@ -289,8 +286,9 @@ def _chunker(settings: SuffixSettings):
             raw, offsets = text_buffer(part.column(1))
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             name = int.from_bytes(os.urandom(8), "little") >> 1  # the written rows keep it
+            packed = pa.Codec("zstd", 1).compress(raw.tobytes(), asbytes=True)  # chunks cross the network twice
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), one(pa.array(part.column(0).to_pylist(), pa.int64())), one(pa.array(offsets[1:])), pa.array([raw.tobytes()], pa.binary())], names=["chunk", "ids", "ends", "bytes"]
+                [pa.array([name]), one(pa.array(part.column(0).to_pylist(), pa.int64())), one(pa.array(offsets[1:])), pa.array([packed], pa.binary())], names=["chunk", "ids", "ends", "packed"]
             )
 
     return chunks
@@ -300,7 +298,9 @@ def _loaded(batches: Iterator[pa.RecordBatch], settings: SuffixSettings) -> Iter
     for batch in batches:
         for i in range(batch.num_rows):
             ids = batch.column("ids")[i].values.fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
-            yield batch, i, Chunk(np.frombuffer(batch.column("bytes")[i].as_buffer(), np.uint8), batch.column("ends")[i].values.to_numpy(), ids, settings)
+            ends = batch.column("ends")[i].values.to_numpy()
+            raw = pa.Codec("zstd").decompress(batch.column("packed")[i].as_buffer(), int(ends[-1]))
+            yield batch, i, Chunk(np.frombuffer(raw, np.uint8), ends, ids, settings)
 
 
 def _answers(batch: pa.RecordBatch, i: int, name: str) -> list[bytes]:
@@ -421,17 +421,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if settings.length < GRAM:
         raise ValueError(f"strings of {GRAM} bytes at least")
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    chunks = materialize(given.mapInArrow(_chunker(settings), "chunk long, ids array<long>, ends array<long>, bytes binary"), "text-chunks")
-    total = chunks.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    chunks = materialize(given.mapInArrow(_chunker(settings), "chunk long, ids array<long>, ends array<long>, packed binary"), "text-chunks")
+    total = chunks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
     groups = max(1, math.ceil(total / settings.group_bytes))
     parts = max(1, groups // 16)
     asked = chunks.mapInArrow(_asker(settings, parts), "part long, chunk long, asked binary")
     opened = materialize(asked.groupBy("part").applyInArrow(_replier(settings), "chunk long, part long, bits binary"), "open-buckets")
     known = chunks.join(_per_chunk(opened, "opened"), F.col("chunk") == F.col("opened_chunk"), "left")
-    items = known.select("chunk", "ids", "ends", "bytes", "opened").mapInArrow(_sender(settings, parts, groups), "part long, chunk long, low binary, strings binary, items binary")
+    items = known.select("chunk", "ids", "ends", "packed", "opened").mapInArrow(_sender(settings, parts, groups), "part long, chunk long, low binary, strings binary, items binary")
     told = materialize(items.groupBy("part").applyInArrow(_refiner(settings), "chunk long, part long, bits binary"), "smaller-ids")
     whole = known.join(_per_chunk(told, "told"), F.col("chunk") == F.col("told_chunk"), "left")
-    removed = whole.select("ids", "ends", "bytes", "opened", "told").mapInArrow(_remover(settings, parts, groups), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    removed = whole.select("ids", "ends", "packed", "opened", "told").mapInArrow(_remover(settings, parts, groups), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return removed
 
 
