@@ -31,6 +31,14 @@ def windows(packets: DataFrame, window_sec: int, by: str | None = None) -> DataF
     return found.withColumn("window_index", F.row_number().over(order).cast("long") - 1)
 
 
+def epoch_windows(packets: DataFrame, window_sec: int, by: str) -> DataFrame:
+    """Windows of every capture, aligned to the epoch: window_index is the window's start in milliseconds."""
+    start = F.floor(F.col("ts_ms") / (window_sec * 1000)) * (window_sec * 1000)
+    return packets.groupBy(by, start.alias("window_index")).agg(
+        F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"), F.count_if(initiator_syn()).alias("syn"), F.count_distinct(F.when(F.col("dst_port") > 0, F.col("dst_port"))).alias("dports")
+    )
+
+
 def epoch_slices(packets: DataFrame, window_sec: int) -> DataFrame:
     """Windows aligned to the epoch."""
     bucket = F.floor(F.col("ts_ms") / (window_sec * 1000))
