@@ -106,7 +106,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _nearest_of_shard(k: int, block: int):
-    """Rows and then queries of every shard -> the k nearest rows of the shard for each query, and whatever ties with them."""
+    """Rows (in order of id) and then queries of every shard -> the k nearest rows of the shard for each query, by distance to 6 places and then by id."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
@@ -131,9 +131,15 @@ def _nearest_of_shard(k: int, block: int):
                     own = slice(start, min(b, start + block))
                     score = vectors[own] @ matrix.T
                     score[rows[None, :] == ids[own][:, None]] = -np.inf
-                    least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
-                    q, r = np.nonzero((score >= least[:, None] - 2e-6) & np.isfinite(score))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[own][q]), pa.array(rows[r]), pa.array(score[q, r])], names=["query_id", "chunk_id", "cosine"])
+                    far = np.round(1 - score, 6)
+                    if far.shape[1] > k:  # of rows that tie at the k-th place, the first
+                        last = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+                        nearer, tied = far < last, far == last
+                        kept = nearer | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - nearer.sum(axis=1, keepdims=True)))
+                    else:
+                        kept = np.ones(far.shape, bool)
+                    q, r = np.nonzero(kept & np.isfinite(far))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[own][q]), pa.array(rows[r]), pa.array(far[q, r])], names=["query_id", "chunk_id", "distance"])
 
     return search
 
@@ -148,9 +154,8 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int =
     own = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("ask"), "vec_id", "v")
     asked = queries.where("vec_id is not null and embedding is not null").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("ask"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
     both = own.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "ask", "vec_id")
-    found = both.mapInArrow(_nearest_of_shard(k, block), "query_id long, chunk_id long, cosine double")
+    near = both.mapInArrow(_nearest_of_shard(k, block), "query_id long, chunk_id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    near = found.select("query_id", "chunk_id", F.round(1 - F.col("cosine"), 6).alias("distance"))
     return near.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
@@ -191,6 +196,31 @@ def expanded(text: Column) -> Column:
     return text
 
 
+#: What marks a question as a comparison, what stands between the two things compared, and endings that ask nothing more.
+COMPARISONS = ("有什么区别", "有什么不同", "有什么关系", "有何区别", "有什么区别吗", "的区别", "的差异", "的不同", "的对比")
+BETWEEN = ("和", "与", "及", "、", "vs", "VS")
+ASKS_NOTHING = ("是什么", "什么意思", "什么", "有何区别", "有哪些区别", "")
+
+
+def sub_queries(text: Column) -> Column:
+    """A comparison as two questions, one for each thing, both with what else is asked; any other text as itself."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    cut = F.split(t, "的?(?:" + "|".join(COMPARISONS) + ")", 2)
+    sides = F.split(F.trim(cut[0]), "(?:" + "|".join(b + r"\.?" if b.isascii() else b for b in BETWEEN) + ")", 2)
+    tail = F.trim(F.coalesce(F.get(cut, F.lit(1)), F.lit("")))
+    bare = F.regexp_replace(tail, r"^[？?，,。. 　]+|[？?，,。. 　]+$", "")
+    more = F.when(bare.isin(*ASKS_NOTHING), "是什么").when(tail.rlike("^[，,？?。.]"), tail).otherwise(F.concat(F.lit("，"), tail))
+    a, b = F.trim(sides[0]), F.trim(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+    return F.when((F.size(cut) == 2) & (F.size(sides) == 2) & (a != "") & (b != ""), F.array(F.concat(a, more), F.concat(b, more))).otherwise(F.array(F.coalesce(text, F.lit(""))))
+
+
+def compared(found: DataFrame, k: int = 5) -> DataFrame:
+    """Hits of sub-queries (query_id, sub, chunk_id, rank) as one list of k a query: the first sub-query's hits in their order, then what the next adds."""
+    seen = found.groupBy("query_id", "chunk_id").agg(F.min(F.struct("sub", "rank")).alias("at"))
+    order = Window.partitionBy("query_id").orderBy("at", "chunk_id")
+    return seen.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", F.col("at.sub").alias("sub"))
+
+
 def core_terms(text: Column) -> Column:
     """Core terms that a query names; the whole query where it names none."""
     low = F.lower(text)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: Phrases by which a text claims more than evidence gives.
 ABSOLUTE = ["毫无疑问", "绝对是", "100%", "完全确定", "铁证如山", "肯定是", "必然是"]
@@ -102,6 +103,30 @@ def sanitised(text: Column, longest: int = 200) -> Column:
     return F.when(F.length(text) == 0, "").when(any_of(F.lower(cut), INJECTION), F.concat(mark, cut)).otherwise(cut)
 
 
+def sanitised_struct(value: Column, kind: DataType, longest: int = 200) -> Column:
+    """``value`` of type ``kind`` with every text in it sanitised, however deep in structs, arrays and map values; map keys and other values stay.
+    The expression follows the schema, so nothing leaves the JVM."""
+    if isinstance(kind, StringType):
+        return F.when(value.isNotNull(), sanitised(value, longest))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: sanitised_struct(x, kind.elementType, longest)) if _holds_text(kind) else value
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda k, x: sanitised_struct(x, kind.valueType, longest)) if _holds_text(kind.valueType) else value
+    if isinstance(kind, StructType) and _holds_text(kind):
+        return F.when(value.isNotNull(), F.struct(*[sanitised_struct(value.getField(f.name), f.dataType, longest).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def _holds_text(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _holds_text(kind.elementType)
+    if isinstance(kind, MapType):
+        return _holds_text(kind.valueType)
+    if isinstance(kind, StructType):
+        return any(_holds_text(f.dataType) for f in kind.fields)
+    return isinstance(kind, StringType)
+
+
 def token_estimate(text: Column) -> Column:
     """Han characters over 1.7 and the rest over 4, cut to a whole number."""
     han = F.length(text) - F.length(F.regexp_replace(text, r"[\x{4e00}-\x{9fff}]", ""))

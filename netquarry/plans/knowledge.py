@@ -192,6 +192,38 @@ _add("verdict_parse", lambda s, d: _texts(s, d).select("conv_id", "turn", text_c
 c AS (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[。；;，,！!？?]|\\.\\s*|\\n')) AS c FROM texts),
 s AS (SELECT conv_id, turn, sum(CASE WHEN length(trim(c)) = 0 THEN 0 WHEN {_sql_any('c', text_checks.DENIALS)} THEN -1 ELSE CASE WHEN {_sql_any('c', text_checks.ATTACK)} THEN 2 ELSE 0 END - CASE WHEN {_sql_any('c', text_checks.NORMAL)} THEN 2 ELSE 0 END END) AS s FROM c GROUP BY 1, 2)
 SELECT conv_id, turn, CASE WHEN s > 0 THEN 'attack' WHEN s < 0 THEN 'normal' ELSE 'unknown' END AS verdict FROM s""")
+_PAIRS = [("和", "有什么区别？"), ("与", "的区别，检测上关注什么？"), (" vs ", "的差异"), (" or ", "?")]
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as questions: the first three words against the next three, compared in one of four ways (the last is no comparison)."""
+    w = F.split(F.trim("text"), r"\s+")
+    asked = F.lit(None).cast("string")
+    for i, (between, ends) in enumerate(_PAIRS):
+        text = F.concat(F.array_join(F.slice(w, 1, 3), " "), F.lit(between), F.array_join(F.slice(w, 4, 3), " "), F.lit(ends))
+        asked = F.when(F.col("item_id") % len(_PAIRS) == i, text).otherwise(asked)
+    subs = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(retrieval.sub_queries(asked)).alias("sub", "text"))
+    return subs.select(F.col("item_id").alias("query_id"), "sub", "text")
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subs = _questions(spark, sf_dir).select((F.col("query_id") * 2 + F.col("sub")).alias("query_id"), "text")
+    found = retrieval.bm25(retrieval.ask(_chunks(spark, sf_dir), subs))
+    split = found.select(F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("query_id") % 2).cast("int").alias("sub"), "chunk_id", "rank")
+    return retrieval.compared(split, 5)
+
+
+_QUESTIONS = r"""
+w AS (SELECT item_id, string_split_regex(trim(text), '\s+') AS w FROM benchmark),
+h AS (SELECT item_id, item_id % 4 AS k, array_to_string(w[1:3], ' ') AS a, array_to_string(w[4:6], ' ') AS b FROM w),
+subs AS (
+  SELECT item_id AS query_id, unnest(CASE k WHEN 0 THEN [{'sub': 0, 'text': a || '是什么'}, {'sub': 1, 'text': b || '是什么'}] WHEN 1 THEN [{'sub': 0, 'text': a || '，检测上关注什么？'}, {'sub': 1, 'text': b || '，检测上关注什么？'}]
+    WHEN 2 THEN [{'sub': 0, 'text': a || '是什么'}, {'sub': 1, 'text': b || '是什么'}] ELSE [{'sub': 0, 'text': a || ' or ' || b || '?'}] END, recursive := true) FROM h)"""
+_add("comparison_questions", _questions, f"WITH {_QUESTIONS} SELECT query_id, sub, text FROM subs")
+_SUB_INDEX = _INDEX.replace("SELECT item_id AS query_id, unnest(list_distinct(", "SELECT query_id * 2 + sub AS query_id, unnest(list_distinct(").replace("FROM benchmark)", "FROM subs)")
+_add("comparison_search", _compared, f"WITH {_QUESTIONS},{_SUB_INDEX},{_bm25_sql('bm')}" + """,
+seen AS (SELECT query_id // 2 AS query_id, chunk_id, min((query_id % 2) * 1000 + rank) AS place FROM bm GROUP BY 1, 2)
+SELECT query_id, chunk_id, rank, CAST(place // 1000 AS INTEGER) AS sub FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, chunk_id) AS rank FROM seen) WHERE rank <= 5""")
 _INJ = _sql_any("lower(cut)", text_checks.INJECTION)
 _add("sanitize_text", lambda s, d: _texts(s, d).select("conv_id", "turn", text_checks.sanitised(F.col("text")).alias("text")), _TXT + f""",
 a AS (SELECT conv_id, turn, text, trim(regexp_replace(text, '[\\x00-\\x1f\\x7f\\x{{200b}}-\\x{{200f}}\\x{{2028}}-\\x{{202f}}\\x{{feff}}]', '', 'g')) AS clean FROM texts),
@@ -216,3 +248,19 @@ _add("vote_merge", lambda s, d: text_checks.merged_votes(table(s, d, "conversati
 WITH v AS (SELECT role AS alert_type, 'evidence ' || (conv_id % 9) AS evidence, conv_id * 100 + turn AS seq, turn % 2 = 0 AS positive, CASE WHEN conv_id % 4 > 0 THEN (conv_id % 4)::DOUBLE / 4 END AS confidence FROM conversations),
 g AS (SELECT alert_type, evidence[1:40] AS evidence40, count(*) AS n, count(*) FILTER (positive) AS tp, avg(coalesce(nullif(confidence, 0), 0.5)) AS conf, list(seq ORDER BY seq) AS s FROM v GROUP BY 1, 2)
 SELECT alert_type, evidence40, n, tp, tp * 2 > n AS is_true_positive, round(conf * (0.5 + tp::DOUBLE / n / 2), 3) AS confidence, s[n // 2 + 1] AS reference FROM g""")
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a report of three levels, sanitised as a whole, and its texts taken out again."""
+    report = F.struct(F.col("role").alias("role"), F.array(F.struct(F.col("text").alias("text"), F.col("turn").alias("turn"))).alias("parts"), F.create_map(F.lit("note\n"), F.concat(F.lit("\u200b "), "text")).alias("notes"))
+    rows = _texts(spark, sf_dir).join(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"]).select("conv_id", "turn", report.alias("r"))
+    clean = rows.select("conv_id", "turn", text_checks.sanitised_struct(F.col("r"), rows.schema["r"].dataType).alias("r"))
+    return clean.select("conv_id", "turn", F.col("r.role").alias("role"), F.col("r.parts")[0]["text"].alias("part"), F.col("r.parts")[0]["turn"].alias("number"), F.col("r.notes")["note\n"].alias("note"))
+
+
+_add("sanitize_report", _nested, _TXT + f""",
+x AS (SELECT t.conv_id, t.turn, c.role, t.text, unnest([{{'k': 'part', 's': t.text}}, {{'k': 'note', 's': chr(8203) || ' ' || t.text}}], recursive := true) FROM texts t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn),
+a AS (SELECT conv_id, turn, role, k, s AS text, trim(regexp_replace(s, '[\\x00-\\x1f\\x7f\\x{{200b}}-\\x{{200f}}\\x{{2028}}-\\x{{202f}}\\x{{feff}}]', '', 'g')) AS clean FROM x),
+b AS (SELECT *, CASE WHEN length(clean) > 200 THEN clean[1:200] || '…[截断]' ELSE clean END AS cut FROM a),
+z AS (SELECT conv_id, turn, role, k, CASE WHEN length(text) = 0 THEN '' WHEN {_INJ} THEN '[警告:该数据疑似包含指令注入特征，仅作背景参考] ' || cut ELSE cut END AS v FROM b)
+SELECT conv_id, turn, any_value(role) AS role, max(CASE WHEN k = 'part' THEN v END) AS part, turn AS number, max(CASE WHEN k = 'note' THEN v END) AS note FROM z GROUP BY conv_id, turn""")

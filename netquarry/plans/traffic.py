@@ -290,7 +290,7 @@ _add("window_aggregate", _windows, _W + "SELECT * FROM windows")
 _add("window_series", lambda s, d: _windows(s, d).select("window_index", "packets", "bytes"), _W + "SELECT window_index, packets, bytes FROM windows")
 _add("epoch_slices", lambda s, d: windows.epoch_slices(_packets(s, d), HOUR), P + f"""
 SELECT CAST(floor(ts_ms / ({HOUR} * 1000)) AS BIGINT) AS bucket, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, count(*) FILTER ({_SYN}) AS syn FROM packets GROUP BY 1""")
-_add("prefix_cumulative", lambda s, d: windows.prefix_cumulative(_packets(s, d), HOUR), _W + f""",
+_add("prefix_cumulative", lambda s, d: windows.prefix_cumulative(_packets(s, d), HOUR).drop("capture_id"), _W + f""",
 f AS (SELECT src_ip, min(CAST(floor((ts_ms - t0) / ({HOUR} * 1000)) AS BIGINT)) AS bucket FROM packets, anchor GROUP BY 1),
 g AS (SELECT bucket, count(*) AS fresh FROM f GROUP BY 1)
 SELECT window_index, CAST(sum(packets) OVER w AS BIGINT) AS cum_packets, CAST(sum(bytes) OVER w AS BIGINT) AS cum_bytes, CAST(sum(syn) OVER w AS BIGINT) AS cum_syn, CAST(sum(coalesce(fresh, 0)) OVER w AS BIGINT) AS cum_sources

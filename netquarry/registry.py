@@ -7,10 +7,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.rules import all_alerts
-from .plans import checks, knowledge, live, records, traffic
+from .plans import checks, context, knowledge, live, models, records, traffic
 from .sources.packets import packets_from_events, table
 
-_PLANS = (traffic, records, knowledge, checks, live)
+_PLANS = (traffic, records, knowledge, checks, live, models, context)
 
 
 def queries() -> dict:
