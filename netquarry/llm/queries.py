@@ -77,7 +77,7 @@ _SEED = MixSettings().seed
 OP6_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('{_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place
+         md5('{_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS place
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS n,

@@ -451,8 +451,9 @@ def test_splitting_tree_deals_every_block_once(quotas, shards):
 
 
 def test_shards_draw_disjoint_stretches_by_the_tree(spark, documents):
-    settings = mixing.MixSettings(shard_words=3000, source_group=2)
-    rows, recipe, draws = (x.toPandas() for x in mixing.mix_draws(documents, settings=settings))
+    settings = mixing.MixSettings(shard_words=3000, source_group=2, subtree=5)
+    again = docs_of(spark, [(7, "same row of text", "en", "src0", 0)] * 300 + [(None, f"null id {i}", "en", "src0", 0) for i in range(200)])
+    rows, recipe, draws = (x.toPandas() for x in mixing.mix_draws(documents.unionByName(again), settings=settings))
     number = dict(zip(recipe.s, recipe.number))
     blocks = {}
     for r in rows[rows["__size"] > 0].itertuples(index=False):
@@ -480,6 +481,22 @@ def test_shards_draw_disjoint_stretches_by_the_tree(spark, documents):
                 at += m
             assert at == len(order)
     assert Counter(draws[["uid", "number", "shard", "words"]].itertuples(index=False, name=None)) == want
+    sizes = draws.groupby("shard").size().tolist()  # each shard gets its quota, repeated and null ids or not
+    assert len(sizes) == shards and max(sizes) - min(sizes) <= 1
+
+
+def test_large_hypergeometric_draws():
+    rng = np.random.default_rng(3)
+    for good, bad, sample in ((7, 9, 5), (40, 3, 20), (1000, 5000, 300)):
+        got = np.array([mixing.large_hypergeometric(good, bad, sample, rng) for _ in range(20_000)])
+        values, n = np.unique(got, return_counts=True)
+        p = np.array([math.comb(good, int(v)) * math.comb(bad, sample - int(v)) / math.comb(good + bad, sample) for v in values])
+        assert (np.abs(n / len(got) - p) < 6 * np.sqrt(p * (1 - p) / len(got)) + 1e-3).all()
+    big = np.array([mixing.large_hypergeometric(3 * 10**12, 7 * 10**12, 10**12, rng) for _ in range(4000)], float)
+    spread = math.sqrt(1e12 * 0.3 * 0.7 * 0.9)
+    assert abs(big.mean() - 3e11) < 5 * spread / math.sqrt(4000) and abs(big.std() / spread - 1) < 0.06
+    drawn = mixing._drawn(np.array([2 * 10**9, 5, 0, 10**9]), 10**9, rng)
+    assert drawn.sum() == 10**9 and (drawn <= [2 * 10**9, 5, 0, 10**9]).all()
 
 
 def test_water_filling_shares_the_excess(spark):
