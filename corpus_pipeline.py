@@ -1,4 +1,10 @@
-"""A training corpus from raw documents, in stages that are each written and read again."""
+"""A training corpus from raw documents, in stages that are each written and read again.
+
+Defined cases, in every stage: a null text counts as empty; rows of equal or null ids stay rows of their own, told apart by their text;
+texts of any length are taken whole; extra columns are kept as they are, whatever their names; an empty table passes through. Rules
+reject texts of under 50 words, null and empty ones among them; near-dedup keeps one of several equal rows; secrets and packing
+take every row as it is; the mix leaves out rows that its targets don't reach, and takes others up to twice.
+"""
 
 from __future__ import annotations
 
@@ -45,7 +51,7 @@ STAGES = [
     ("binary packing", packing_stage),
 ]
 
-#: Token ids, hashed darts and trained models are beyond SQL; tests/llm holds every stage against brute force.
+#: Token ids, hashed darts and trained models are beyond SQL; tests/llm holds the whole run against plain Python.
 ORACLE_SQL = None
 
 

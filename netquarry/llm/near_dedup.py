@@ -317,7 +317,7 @@ def _possible(x: str, y: str, threshold: float) -> Column:
     return apart <= (F.col(f"n_{x}") + F.col(f"n_{y}")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9
 
 
-CHUNK, CHUNK_SHINGLES = 256, 1 << 23
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 23
 
 
 def _joined_apart(threshold: float):

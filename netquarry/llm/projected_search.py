@@ -314,9 +314,10 @@ def _router(shared, boxes):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projection: Projection = shared.value
         names, low, high = boxes.value
+        block = max(1, (1 << 22) // max(1, len(names)))  # queries whose distances to all boxes are held at once: 32 MB
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+            for start in range(0, whole.num_rows, block):
+                batch = whole.slice(start, block)
                 vectors, floor = _matrix(batch.column(2)), batch.column(3).to_numpy(zero_copy_only=False)
                 near = box_distance(low, high, projection.queries(vectors))
                 go = near <= projection.reach((vectors**2).sum(axis=1), floor)[:, None]
