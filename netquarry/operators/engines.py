@@ -7,6 +7,7 @@ against them by itself. Nothing here gathers a capture: windows are rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..scratch import materialize
 from . import baseline, forest, rules
 from .fusion import BASELINE, FOREST, RULE
 from .ordered import running_sums
-from .windows import by_dimension, windows
+from .windows import bucketed, by_dimension, windows
 
 CAPTURE = "capture_id"
 DIMS = ["packets", "bytes", "syn", "dports"]
@@ -202,3 +203,63 @@ def features(packets: DataFrame, training: Column, thresholds: Thresholds, setti
         FOREST[5]: F.when(F.col("top_dimension").isin("syn", "dports"), one).when(F.col("top_dimension").isin("packets", "bytes"), 0.5).otherwise(zero),
     }
     return rows.select(CAPTURE, *[c.alias(name) for name, c in out.items()])
+
+
+def _level_changes(packets: DataFrame, thresholds: Thresholds, settings: EngineSettings) -> DataFrame:
+    """(capture_id, bucket, measure, before, level): windows at which a key's alert comes, goes or changes its severity.
+
+    Every key's sums run over its own windows; second keys (ports, versions) count in the window that shows them first.
+    """
+    found = rules.signals(bucketed(packets, settings.window_sec, CAPTURE), thresholds, captures=True, also=("bucket",))
+    versions = F.col("measure") == "version"  # all unknown versions are one alert
+    found = found.withColumns({"b": F.when(versions, F.col("a")).otherwise(F.col("b")), "a": F.when(versions, "all").otherwise(F.col("a"))})
+    found = materialize(found.select(CAPTURE, "bucket", "measure", "a", "b", "n", "other", "bytes", "other_bytes"), "window-signals")
+    fresh = found.where(F.col("measure").isin("scan", "quic", "version") & (F.col("n") > 0)).groupBy(CAPTURE, "measure", "a", "b").agg(F.min("bucket").alias("bucket"))
+    fresh = fresh.groupBy(CAPTURE, "measure", "a", "bucket").agg(F.count(F.lit(1)).alias("keys"))
+    sums = [F.sum(c).alias(c) for c in ("n", "other", "bytes", "other_bytes")]
+    each = found.groupBy(CAPTURE, "measure", "a", "bucket").agg(*sums).join(fresh, [CAPTURE, "measure", "a", "bucket"], "left")
+    whole = found.where("measure = 'quic'").groupBy(CAPTURE, F.lit("quic_all").alias("measure"), F.lit("all").alias("a"), "bucket").agg(*sums).withColumn("keys", F.lit(0).cast("long"))
+    rows = each.unionByName(whole).withColumn("keys", F.coalesce("keys", F.lit(0)))
+    order = Window.partitionBy(CAPTURE, "measure", "a").orderBy("bucket")  # a key's windows
+    running = rows.select(CAPTURE, "measure", "a", "bucket", *[F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in ("n", "other", "bytes", "other_bytes", "keys")])
+    level = F.lit(0)
+    for measure, (_, own) in rules.levels(thresholds).items():
+        level = F.when(F.col("measure") == measure, own).otherwise(level)
+    judged = running.withColumn("level", level)
+    return judged.withColumn("before", F.lag("level", 1, 0).over(order)).where("level <> before").select(CAPTURE, "bucket", "measure", "before", "level")
+
+
+def prefix_features(packets: DataFrame, training: Column, thresholds: Thresholds, settings: EngineSettings) -> DataFrame:
+    """The features of rules and baseline for every prefix of every capture that isn't training: (capture_id, window_index) and what ``features``
+    says of the capture's windows up to and with that one.
+
+    No prefix is judged anew. Alerts are changes of level of their keys, summed over the windows; deviations, windows of several and their
+    severities are sums too (of the highest three of a dimension, three at most and a HIGH one if there was any); drift is judged at every window.
+    """
+    found = prepare(packets, training, settings)
+    changes = _level_changes(packets.where(~training), thresholds, settings)
+    measures = list(rules.levels(thresholds))
+    alive = lambda c: (F.col(c) > 0).cast("long")
+    at = lambda c, s: (F.col(c) == s).cast("long")
+    steps = {f"m_{m}": F.sum(F.when(F.col("measure") == m, alive("level") - alive("before")).otherwise(0)) for m in measures} | {f"s_{s}": F.sum(at("level", s) - at("before", s)) for s in (1, 2, 3)}
+    by_rule = changes.groupBy(CAPTURE, "bucket").agg(*[c.alias(k) for k, c in steps.items()])
+    deviating = deviations(found, settings)
+    high = F.col("severity") == "HIGH"
+    of_window = {f"d_{d}": F.count_if(F.col("dimension") == d) for d in DIMS} | {"d_high": F.count_if(high), "d_any": F.lit(1).cast("long")}
+    by_window = deviating.groupBy(CAPTURE, "window_index").agg(*[c.alias(k) for k, c in of_window.items()], F.count(F.lit(1)).alias("n"), F.max("z").alias("z"))
+    several = F.col("n") >= 2
+    by_window = by_window.withColumns({"d_multi": several.cast("long"), "d_critical": (several & ((F.col("n") >= 3) | (F.col("z") > 6))).cast("long")}).drop("n", "z")
+    names = [*steps, *of_window, "d_multi", "d_critical"]
+    rows = found.windows.select(CAPTURE, "window_index", "bucket").join(by_rule, [CAPTURE, "bucket"], "left").join(by_window, [CAPTURE, "window_index"], "left")
+    rows = running_sums(rows.select(CAPTURE, "window_index", *[F.coalesce(c, F.lit(0)).alias(f"x_{c}") for c in names]), [CAPTURE], ["window_index"], {c: F.col(f"x_{c}") for c in names})
+    rows = rows.join(window_drift(found, settings).select(CAPTURE, "window_index", "detected"), [CAPTURE, "window_index"], "left")
+    total = lambda cs: reduce(lambda a, b: a + b, cs)
+    n = total([F.col(f"m_{m}") for m in measures] + [F.least(F.col(f"d_{d}"), F.lit(settings.per_dimension)) for d in DIMS] + [F.col("d_multi")])
+    types = total([alive(f"m_{m}") for m in measures] + [alive("d_any"), alive("d_multi")])
+    severity = F.when(F.col("d_critical") > 0, 4).when((F.col("s_3") > 0) | (F.col("d_high") > 0) | (F.col("d_multi") > 0), 3).when((F.col("s_2") > 0) | (F.col("d_any") > 0), 2).when(F.col("s_1") > 0, 1).otherwise(0)
+    one, zero = F.lit(1.0), F.lit(0.0)
+    out = {
+        RULE[0]: F.when(n > 0, one).otherwise(zero), RULE[1]: F.least(n / 10, one), RULE[2]: severity.cast("double"), RULE[3]: F.least(types / 5, one),
+        BASELINE[0]: F.least(F.col("d_any") / 10, one), BASELINE[1]: F.when(F.col("d_multi") > 0, one).otherwise(zero), BASELINE[2]: F.when(F.col("detected"), one).otherwise(zero),
+    }
+    return rows.select(CAPTURE, "window_index", *[c.alias(k) for k, c in out.items()])

@@ -25,10 +25,10 @@ def _by(found: DataFrame) -> list[str]:
     return ["capture_id"] if "capture_id" in found.columns else []
 
 
-def signals(packets: DataFrame, t: Thresholds, captures: bool = False, only: tuple[str, ...] = ()) -> DataFrame:
+def signals(packets: DataFrame, t: Thresholds, captures: bool = False, only: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
     """The pre-aggregate: measure, a, b with ``n`` packets, ``bytes``, ``f`` and ``l`` (pkt_seq, ts_ms) of the first and last; ``other`` and
     ``other_bytes`` are those of a measure's second role (SYN-ACKs that a host got, what it asked, large QUIC packets).
-    With ``captures`` every rule runs for each capture by itself; ``only`` names the measures wanted."""
+    With ``captures`` every rule runs for each capture by itself; ``only`` names the measures wanted, ``also`` columns that are part of the key."""
     c, none = F.col, F.lit("")
     tcp, udp, dns = c("protocol") == "TCP", c("protocol") == "UDP", c("protocol") == "DNS"
     quic = udp & (c("dst_port") == 443)
@@ -48,7 +48,7 @@ def signals(packets: DataFrame, t: Thresholds, captures: bool = False, only: tup
         ("version", quic & F.contains("raw_summary", F.lit("QUIC")) & ~version.isin("", "00000000", *KNOWN_QUIC), version, none, True),
     ]
     each = [F.when(when, F.struct(F.lit(m).alias("measure"), a.alias("a"), b.alias("b"), F.lit(own).alias("own"))) for m, when, a, b, own in entries if not only or m in only]
-    by = ["capture_id"] if captures else []
+    by = ["capture_id"] * captures + list(also)
     rows = packets.select(*by, "pkt_seq", "ts_ms", "length", F.explode(F.array_compact(F.array(*each))).alias("x")).select(*by, "pkt_seq", "ts_ms", "length", "x.*")
     own, at = F.col("own"), F.struct("pkt_seq", "ts_ms")
     return rows.groupBy(*by, "measure", "a", "b").agg(
@@ -163,6 +163,24 @@ _RULES = {
 }
 
 
+def levels(t: Thresholds) -> dict[str, tuple[str, Column]]:
+    """For every measure the type of its alert and its level (3 HIGH, 2 MEDIUM, 1 LOW, 0 none) by a key's sums so far: n, other, bytes,
+    other_bytes and ``keys``; ``quic_all`` is a capture's QUIC traffic as a whole, ``version`` all its unknown versions."""
+    n, other, size, keys = (F.col(c) for c in ("n", "other", "bytes", "keys"))
+    high = lambda value, least, most: F.when(value >= least, F.when(value > most, 3).otherwise(2)).otherwise(0)
+    over = lambda value, least, level: F.when(value >= least, level).otherwise(0)
+    asked = F.when(other > 0, F.col("other_bytes")).otherwise(1)
+    ratio = F.when(asked > 0, size / asked).otherwise(size.cast("double"))
+    found = {
+        "syn": ("SYN_FLOOD_SUSPECTED", high(n - other, t.syn_flood_min, t.syn_flood_high)), "scan": ("PORT_SCAN_SUSPECTED", high(keys, t.port_scan_min, t.port_scan_high)),
+        "long_dns": ("DNS_TUNNEL_SUSPECTED", high(n, t.dns_tunnel_min, t.dns_tunnel_high)), "way": ("LARGE_DATA_TRANSFER", F.when(size > t.large_flow_mb * 1024 * 1024, 2).otherwise(0)),
+        "rst": ("RST_STORM", over(n, t.rst_storm_min, 1)), "udp": ("UDP_FLOOD_SUSPECTED", high(n, t.udp_flood_min, t.udp_flood_high)),
+        "dns": ("DNS_AMPLIFICATION_SUSPECTED", F.when((n >= t.dns_amp_responses) & (ratio >= t.dns_amp_ratio), 3).otherwise(0)), "quic": ("QUIC_CONNECTION_FLOOD", over(keys, t.quic_connections, 3)),
+        "quic_way": ("QUIC_LONG_FLOW_ANOMALY", over(n, t.quic_long_flow, 2)), "quic_all": ("QUIC_INITIAL_RATIO_ANOMALY", over(F.try_divide(other, n), t.quic_large_share, 2)), "version": ("QUIC_UNKNOWN_VERSION", over(keys, 1, 1)),
+    }
+    return {m: (kind, F.when(n > 0, level).otherwise(0)) for m, (kind, level) in found.items()}
+
+
 def _from_packets(rule, measure: str):
     return lambda packets, t: rule(keyed(signals(packets, t, only=(measure,))), t)
 

@@ -14,17 +14,23 @@ from .flows import initiator_syn
 from .ordered import numbered, running_sums
 
 
+def bucketed(packets: DataFrame, window_sec: int, by: str | None = None) -> DataFrame:
+    """``packets`` with ``bucket``, the number of their window from the capture's first packet to arrive."""
+    keys = [by] if by else []
+    anchor = packets.groupBy(*keys).agg(F.min_by("ts_ms", "pkt_seq").alias("t0"))
+    rows = packets.join(if_small(materialize(anchor, "anchors")), by) if by else packets.crossJoin(F.broadcast(anchor))  # one row
+    return rows.withColumn("bucket", F.floor((F.col("ts_ms") - F.col("t0")) / (window_sec * 1000))).drop("t0")
+
+
 def windows(packets: DataFrame, window_sec: int, by: str | None = None) -> DataFrame:
     """window_index, bucket, packets, bytes, syn, dports; ``by`` keeps captures apart.
 
     Two aggregations: (bucket, port) first, so distinct ports need no set, then the bucket.
     """
     keys = [by] if by else []
-    anchor = packets.groupBy(*keys).agg(F.min_by("ts_ms", "pkt_seq").alias("t0"))
-    rows = packets.join(if_small(materialize(anchor, "anchors")), by) if by else packets.crossJoin(F.broadcast(anchor))  # one row
-    bucket = F.floor((F.col("ts_ms") - F.col("t0")) / (window_sec * 1000))
+    rows = bucketed(packets, window_sec, by)
     port = F.when(F.col("dst_port") > 0, F.col("dst_port"))
-    fine = rows.groupBy(*keys, bucket.alias("bucket"), port.alias("port")).agg(
+    fine = rows.groupBy(*keys, "bucket", port.alias("port")).agg(
         F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"), F.count_if(initiator_syn()).alias("syn")
     )
     found = fine.groupBy(*keys, "bucket").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.sum("syn").alias("syn"), F.count("port").alias("dports"))

@@ -209,6 +209,16 @@ _add("capture_drift", lambda s, d: engines.drift(engines.prepare(*_days(s, d), _
 _add("capture_baseline_alerts", lambda s, d: engines.baseline_alerts(engines.deviations(engines.prepare(*_days(s, d), _SET), _SET), _SET).groupBy("capture_id", "type", "severity").agg(F.count(F.lit(1)).alias("n")), _DAYS + " SELECT cap AS capture_id, type, severity, count(*) AS n FROM dayalerts WHERE starts_with(type, 'BASELINE') GROUP BY ALL")
 
 
+#: Every prefix of a day as a capture of its own, its windows counted from the day's first packet.
+_PREFIXES = _DAYS.replace("every AS (", "every0 AS (").replace("split AS (SELECT", f"""t0s AS (SELECT cap, min_by(ts_ms, pkt_seq) AS t0 FROM every0 GROUP BY 1),
+eb AS (SELECT e.*, CAST(floor((ts_ms - t0) / ({HOUR} * 1000)) AS BIGINT) AS bk FROM every0 e JOIN t0s USING (cap)),
+split0 AS (SELECT strftime(CAST(min(ts) AS DATE) + INTERVAL {CAPTURE_DAYS} DAY, '%Y-%m-%d') AS first FROM every0),
+pre AS (SELECT DISTINCT cap, bk AS pb FROM eb, split0 WHERE cap >= first),
+every AS (SELECT eb.* EXCLUDE (bk) REPLACE (eb.cap || '#' || lpad(CAST(pb + 1000 AS VARCHAR), 5, '0') AS cap) FROM eb JOIN pre ON pre.cap = eb.cap AND bk <= pb UNION ALL SELECT eb.* EXCLUDE (bk) FROM eb, split0 WHERE cap < first),
+split AS (SELECT""", 1).replace("anchors AS (SELECT cap, min_by(ts_ms, pkt_seq) AS t0 FROM every GROUP BY 1)", "anchors AS (SELECT DISTINCT e.cap, t.t0 FROM every e JOIN t0s t ON t.cap = split_part(e.cap, '#', 1))")
+_add("prefix_features", lambda s, d: engines.prefix_features(*_days(s, d), _PER_DAY, _SET), _PREFIXES + f" SELECT split_part(capture_id, '#', 1) AS capture_id, row_number() OVER (PARTITION BY split_part(capture_id, '#', 1) ORDER BY capture_id) - 1 AS window_index, {', '.join(fusion.RULE + fusion.BASELINE)} FROM feat")
+
+
 def _forest_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, engines.Found]:
     found = engines.prepare(*_days(spark, sf_dir), _SET)
     judged = engines.forest_windows(found, _SET)
