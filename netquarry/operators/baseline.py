@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import DIMENSIONS, MAD_SCALE
@@ -62,41 +64,45 @@ def top_per_dimension(found: DataFrame, k: int = 3) -> DataFrame:
 
 
 def smoothed(found: DataFrame, profile: DataFrame, sigma: float, alpha: float, by: str | None = None) -> DataFrame:
-    """Online detection: each window is held against the profile, which it moves only if it deviates nowhere.
+    """Online detection: each window is held against the profile, which it moves only if it deviates nowhere: (by, window_index, dimensions,
+    calm, and the profile after it). Values are rounded to 4 places at every step.
 
-    A conditional recurrence, so a fold over one capture's windows in order (a window is five
-    numbers; captures run side by side). Values are rounded to 4 places at every step.
+    A conditional recurrence, so a capture's windows pass in order through one task, which holds a batch of them and eight numbers; captures run side by side.
     """
     dims = list(DIMENSIONS)
-    start = profile.groupBy().agg(*[F.max(F.when(F.col("dimension") == d, F.struct(F.col("median"), F.col("mad")))).alias(d) for d in dims])
-    keys = [by] if by else []
-    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("window_index", *[F.col(d).cast("double").alias(d) for d in dims]))).alias("w")).crossJoin(F.broadcast(start))
-
-    def z(w: Column, s: Column, d: str) -> Column:
-        return (w[d] - s[f"{d}_median"]) * MAD_SCALE / s[f"{d}_mad"]
-
-    first = F.struct(*[x for d in dims for x in (F.col(f"{d}.median").alias(f"{d}_median"), F.col(f"{d}.mad").alias(f"{d}_mad"))], F.expr("cast(array() as array<struct<window_index:bigint,dims:string,calm:boolean>>)").alias("out"))
-
-    def step(s: Column, w: Column) -> Column:
-        over = [z(w, s, d) > sigma for d in dims]
-        calm = ~reduce(lambda a, b: a | b, over)
-        parts = []
-        for d in dims:
-            m, a = s[f"{d}_median"], s[f"{d}_mad"]
-            middle = alpha * w[d] + (1 - alpha) * m
-            width = F.greatest(alpha * F.abs(w[d] - m) + (1 - alpha) * a, F.lit(1.0), middle * DIMENSIONS[d])
-            parts.append(F.when(calm, F.round(middle, 4)).otherwise(m).alias(f"{d}_median"))
-            parts.append(F.when(calm, F.round(width, 4)).otherwise(a).alias(f"{d}_mad"))
-        named = F.array_join(F.array_compact(F.array(*[F.when(o, F.lit(d)) for o, d in zip(over, dims)])), ",")
-        row = F.struct(w["window_index"].alias("window_index"), named.alias("dims"), calm.alias("calm"))
-        return F.struct(*parts, F.array_append(s["out"], row).alias("out"))
-
-    folded = listed.select(*keys, F.aggregate("w", first, step).alias("s"))
-    return folded.select(*keys, "s.*")
+    start = {r.dimension: (r["median"], r.mad) for r in profile.collect()}  # a row per dimension
+    key = F.col(by).cast("string") if by else F.lit("")
+    rows = found.select(key.alias("key"), "window_index", *[F.col(d).cast("double").alias(d) for d in dims]).repartition("key").sortWithinPartitions("key", "window_index")
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, state = None, {}
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.key != of:
+                    of, state = r.key, dict(start)
+                over = [d for d in dims if (getattr(r, d) - state[d][0]) * MAD_SCALE / state[d][1] > sigma]
+                if not over:
+                    for d in dims:
+                        x, (m, a) = getattr(r, d), state[d]
+                        middle = alpha * x + (1 - alpha) * m
+                        state[d] = _places(middle), _places(max(alpha * abs(x - m) + (1 - alpha) * a, 1.0, middle * DIMENSIONS[d]))
+                out.append((r.key, r.window_index, ",".join(over), not over, *(v for d in dims for v in state[d])))
+            yield pd.DataFrame(out, columns=["key", "window_index", "dimensions", "calm", *(f"{d}_{v}" for d in dims for v in ("median", "mad"))])
+
+    if len(start) < len(dims):
+        rows = rows.limit(0)
+    made = rows.mapInPandas(step, "key string, window_index long, dimensions string, calm boolean, " + ", ".join(f"{d}_median double, {d}_mad double" for d in dims))
+    return made.withColumnRenamed("key", by) if by else made.drop("key")
+
+
+def _places(x: float) -> float:
+    """To 4 places, halves up."""
+    return math.floor(x * 1e4 + 0.5) / 1e4
 
 
 def smoothed_windows(state: DataFrame) -> DataFrame:
-    return state.select(F.explode("out").alias("o")).select("o.window_index", F.col("o.dims").alias("dimensions"), F.col("o.calm").cast("long").alias("calm"))
+    return state.select("window_index", "dimensions", F.col("calm").cast("long").alias("calm"))
 
 
 def ks_distance(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -178,3 +178,13 @@ def packet_records(packets: DataFrame) -> DataFrame:
     """Packets as JSON objects of the fields that reports show."""
     fields = ["ts_ms", "protocol", "src_ip", "src_port", "dst_ip", "dst_port", "length", "flags", "payload_size", "raw_summary", "dns_query"]
     return packets.select("pkt_seq", F.to_json(F.struct(*fields)).alias("record"))
+
+
+def flow_packets(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """Flows (with ``flow_flag_counts``) as one packet each, for operators that take packets: the dominant direction's end points, the flow's bytes,
+    and for TCP the flags that were seen."""
+    named = F.concat_ws(",", *[F.when(F.col(f.lower()) > 0, f) for f in ("SYN", "ACK", "RST")])
+    return found.join(counts, ["protocol", "lo", "hi"]).select(
+        "protocol", F.col("dom_src_ip").alias("src_ip"), F.col("dom_src_port").alias("src_port"), F.col("dom_dst_ip").alias("dst_ip"), F.col("dom_dst_port").alias("dst_port"), F.col("first_ms").alias("ts_ms"),
+        F.col("bytes").alias("length"), F.col("bytes").alias("payload_size"), F.when(F.col("protocol") == "TCP", named).otherwise("").alias("flags"),
+    )

@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PROFILES = "name string, updated_ms long, dimension string, median double, mad double, raw_mad double, samples long"
-TRAINING = "name string, updated_ms long, window_index long, packets long, bytes long, syn long, dports long"
+PROFILES = "name string, updated_ms long, save_id string, dimension string, median double, mad double, raw_mad double, samples long"
+TRAINING = "name string, updated_ms long, save_id string, window_index long, packets long, bytes long, syn long, dports long"
+_ONLY_TRAINING = ", window_index long, packets long, bytes long, syn long, dports long"
 
 
 def save(profile: DataFrame, training: DataFrame, name: str, updated_ms: int, path: str) -> None:
-    """Append a profile and its training windows as JSON lines; of several by one name the latest counts."""
-    for rows, part, schema in ((profile, "profiles", PROFILES), (training, "training", TRAINING)):
-        named = rows.withColumns({"name": F.lit(name), "updated_ms": F.lit(updated_ms).cast("long")})
-        named.select(*[c.split()[0] for c in schema.split(", ")]).write.mode("append").json(f"{path}/{part}")
-
-
-def _latest(rows: DataFrame) -> DataFrame:
-    newest = rows.groupBy("name").agg(F.max("updated_ms").alias("updated_ms"))
-    return rows.join(newest, ["name", "updated_ms"], "left_semi")
+    """Append a profile and its training windows as JSON lines, in one write under one id: a reader finds both or neither."""
+    save_id = uuid.uuid4().hex
+    parts = [rows.select(F.lit(part).alias("part"), F.lit(name).alias("name"), F.lit(updated_ms).cast("long").alias("updated_ms"), F.lit(save_id).alias("save_id"), *[c.split()[0] for c in schema.split(", ")[3:]]) for rows, part, schema in ((profile, "profile", PROFILES), (training, "training", TRAINING))]
+    parts[0].unionByName(parts[1], allowMissingColumns=True).write.mode("append").json(f"{path}/saves")
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(profiles, training windows) of a store, the latest of every name. A name counts as learnt if it has a profile."""
-    return tuple(_latest(spark.read.schema(schema).json(f"{path}/{part}")) for part, schema in (("profiles", PROFILES), ("training", TRAINING)))
+    """(profiles, training windows) of a store, the latest save of every name (of one millisecond, one of them). A name counts as learnt if it has a profile."""
+    rows = spark.read.schema("part string, " + PROFILES + _ONLY_TRAINING).json(f"{path}/saves")
+    newest = rows.groupBy("name").agg(F.max(F.struct("updated_ms", "save_id")).alias("last")).select("name", "last.updated_ms", "last.save_id")
+    latest = rows.join(newest, ["name", "updated_ms", "save_id"], "left_semi")
+    return tuple(latest.where(F.col("part") == part).select(*[c.split()[0] for c in schema.split(", ") if not c.startswith("save_id")]) for part, schema in (("profile", PROFILES), ("training", TRAINING)))
 
 
 def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -49,33 +49,3 @@ def attack_patterns(spark: SparkSession, path: str) -> DataFrame:
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     digest = F.sha2("content", 256)
     return spark.read.format("binaryFile").load(path).select("path", digest.alias("sha256"), F.concat(F.lit("PCAP-"), F.substring(digest, 1, 16)).alias("case_id"))
-
-
-_START_MS = 1_700_000_000_000
-
-
-def traffic_mix(spark: SparkSession, n: int = 300_000) -> DataFrame:
-    """Packets in the shares 70 web, 15 name look-ups, 10 other UDP, 5 SYN of every hundred."""
-    m = F.col("id") % 100
-    kind = F.when(m < 70, "web").when(m < 85, "dns").when(m < 95, "udp").otherwise("syn")
-    host = F.concat(F.lit("10.2.0."), (F.col("id") % 200 + 1).cast("string"))
-    return spark.range(n).withColumn("kind", kind).select(
-        F.lit("mix").alias("capture_id"), F.col("id").alias("pkt_seq"), (F.lit(_START_MS) + F.col("id") * 2).alias("ts_ms"),
-        F.when(F.col("kind") == "dns", "DNS").when(F.col("kind") == "udp", "UDP").otherwise("TCP").alias("protocol"), host.alias("src_ip"), (40000 + F.col("id") % 1000).cast("int").alias("src_port"),
-        F.lit("10.2.1.1").alias("dst_ip"), F.when(F.col("kind") == "dns", 53).when(F.col("kind") == "udp", 123).when(F.col("kind") == "syn", (F.col("id") % 1024).cast("int")).otherwise(80).alias("dst_port"),
-        (60 + F.col("id") % 1300).alias("length"), (F.col("id") % 1300).alias("payload_size"), F.when(F.col("kind") == "syn", "SYN").when(F.col("kind") == "web", "ACK,PSH").otherwise("").alias("flags"),
-        F.when(F.col("kind") == "dns", F.concat(F.lit("host"), (F.col("id") % 50).cast("string"), F.lit(".example.com"))).otherwise("").alias("dns_query"), F.lit("").alias("dns_response"), F.lit("").alias("raw_summary"),
-    )
-
-
-def attack(spark: SparkSession, kind: str, n: int, span_ms: int = 60_000, src_ip: str = "10.9.9.9", dst_ip: str = "10.9.0.1") -> DataFrame:
-    """One attack's packets: synflood, portscan, rststorm, udpflood, dnstunnel or quicflood."""
-    flags = {"synflood": "SYN", "portscan": "SYN", "rststorm": "RST"}.get(kind, "")
-    protocol = "DNS" if kind == "dnstunnel" else "TCP" if flags else "UDP"
-    port = {"portscan": F.col("id") + 1, "udpflood": F.lit(9999), "dnstunnel": F.lit(53), "quicflood": F.lit(443)}.get(kind, F.lit(80))
-    query = F.concat(F.expr("repeat('a', 35)"), F.lit(".tunnel.example.com")) if kind == "dnstunnel" else F.lit("")
-    return spark.range(n).select(
-        F.lit(kind).alias("capture_id"), F.col("id").alias("pkt_seq"), (F.lit(_START_MS) + F.floor(F.col("id") * span_ms / n)).cast("long").alias("ts_ms"), F.lit(protocol).alias("protocol"),
-        F.lit(src_ip).alias("src_ip"), (20000 + F.col("id") % 40000).cast("int").alias("src_port"), F.lit(dst_ip).alias("dst_ip"), port.cast("int").alias("dst_port"),
-        F.lit(1350 if kind == "quicflood" else 60).cast("long").alias("length"), F.lit(6).cast("long").alias("payload_size"), F.lit(flags).alias("flags"), query.alias("dns_query"), F.lit("").alias("dns_response"), F.lit("").alias("raw_summary"),
-    )

@@ -200,27 +200,3 @@ def packets_from_files(spark, path: str):
                 yield from _rows(p, io.BytesIO(data.as_buffer()))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, SCHEMA)
-
-
-def _ip(text: str) -> bytes:
-    return bytes(map(int, text.split(".")))
-
-
-def frame_of(protocol: str, src_ip: str, src_port: int, dst_ip: str, dst_port: int, flags: str = "", payload: bytes = b"", query: str = "") -> bytes:
-    """An Ethernet frame of a TCP, UDP or DNS packet."""
-    if protocol == "TCP":
-        body = struct.pack("!HHIIBBHHH", src_port, dst_port, 0, 0, 5 << 4, sum(b for f, b in _FLAGS if f in flags.split(",")), 8192, 0, 0) + payload
-    else:
-        if query:
-            payload = struct.pack("!HHHHHH", 1, 0x100, 1, 0, 0, 0) + b"".join(bytes([len(p)]) + p.encode() for p in query.split(".")) + b"\0\0\1\0\1"
-        body = struct.pack("!HHHH", src_port, dst_port, 8 + len(payload), 0) + payload
-    ip = struct.pack("!BBHHHBBH", 0x45, 0, 20 + len(body), 0, 0, 64, 6 if protocol == "TCP" else 17, 0) + _ip(src_ip) + _ip(dst_ip)
-    return b"\0" * 12 + b"\x08\0" + ip + body
-
-
-def pcap_bytes(frames: list[tuple[int, bytes]]) -> bytes:
-    """A pcap file of (milliseconds, frame)."""
-    out = [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)]
-    for ms, f in frames:
-        out.append(struct.pack("<IIII", ms // 1000, ms % 1000 * 1000, len(f), len(f)) + f)
-    return b"".join(out)

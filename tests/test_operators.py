@@ -11,6 +11,8 @@ from netquarry.plans.live import stream_windows
 from netquarry.schemas import Thresholds
 from netquarry.sources import files, pcap
 
+from . import simulated
+
 COLUMNS = "pkt_seq long, ts_ms long, protocol string, src_ip string, src_port int, dst_ip string, dst_port int, length long, flags string, payload_size long, dns_query string, dns_response string, raw_summary string"
 
 
@@ -35,12 +37,12 @@ def test_dns_is_in_no_flow_and_no_udp_flood(spark):
 
 @pytest.mark.parametrize(("kind", "n", "rule"), [("synflood", 200, "SYN_FLOOD_SUSPECTED"), ("portscan", 50, "PORT_SCAN_SUSPECTED"), ("dnstunnel", 10, "DNS_TUNNEL_SUSPECTED"), ("rststorm", 80, "RST_STORM"), ("udpflood", 400, "UDP_FLOOD_SUSPECTED"), ("quicflood", 80, "QUIC_CONNECTION_FLOOD")])
 def test_attacks_raise_their_alert(spark, kind, n, rule):
-    alerts = rules.all_alerts(files.attack(spark, kind, n), Thresholds()).collect()
+    alerts = rules.all_alerts(simulated.attack(spark, kind, n), Thresholds()).collect()
     assert rule in {a.type for a in alerts}
 
 
 def test_mixed_traffic_raises_only_its_own(spark):
-    quiet = files.traffic_mix(spark, 400).where("flags <> 'SYN'")
+    quiet = simulated.traffic_mix(spark, 400).where("flags <> 'SYN'")
     assert rules.all_alerts(quiet, Thresholds()).count() == 0
 
 
@@ -69,9 +71,11 @@ def test_baseline_is_one_sided_and_never_too_narrow(spark):
 def test_smoothing_moves_only_on_calm_windows(spark):
     flat = spark.createDataFrame([(i, 100, 1000, 5, 3) for i in range(30)], "window_index long, packets long, bytes long, syn long, dports long")
     later = spark.createDataFrame([(0, 110, 1000, 5, 3), (1, 900, 9000, 5, 3)], flat.schema)
-    state = baseline.smoothed(later, baseline.learn(flat), 3.0, 0.1).first()
-    assert state.packets_median == 101.0
-    assert [(o.dims, o.calm) for o in state.out] == [("", True), ("packets,bytes", False)]
+    state = baseline.smoothed(later, baseline.learn(flat), 3.0, 0.1).orderBy("window_index").collect()
+    assert [s.packets_median for s in state] == [101.0, 101.0]
+    assert [(s.dimensions, s.calm) for s in state] == [("", True), ("packets,bytes", False)]
+    two = later.withColumn("c", F.lit("a")).unionByName(later.withColumn("c", F.lit("b")))
+    assert [(s.c, s.calm) for s in baseline.smoothed(two, baseline.learn(flat), 3.0, 0.1, by="c").orderBy("c", "window_index").collect()] == [("a", True), ("a", False), ("b", True), ("b", False)]
 
 
 def test_ks_distance_counts_ties_at_once(spark):
@@ -129,10 +133,10 @@ def test_zero_divisions_are_zero(spark):
 
 
 def test_capture_round_trip(spark, tmp_path):
-    frames = [(1_700_000_000_000 + i, pcap.frame_of("TCP", "10.0.0.1", 1000 + i, "10.0.0.2", 80, "SYN,ACK", b"x" * i)) for i in range(5)]
-    frames.append((1_700_000_000_010, pcap.frame_of("DNS", "10.0.0.1", 5000, "8.8.8.8", 53, query="host.example.com")))
+    frames = [(1_700_000_000_000 + i, simulated.frame_of("TCP", "10.0.0.1", 1000 + i, "10.0.0.2", 80, "SYN,ACK", b"x" * i)) for i in range(5)]
+    frames.append((1_700_000_000_010, simulated.frame_of("DNS", "10.0.0.1", 5000, "8.8.8.8", 53, query="host.example.com")))
     path = tmp_path / "a.pcap"
-    path.write_bytes(pcap.pcap_bytes(frames) + b"\0\0broken")
+    path.write_bytes(simulated.pcap_bytes(frames) + b"\0\0broken")
     (tmp_path / "b.pcap").write_bytes(b"no capture")
     spark.dataSource.register(pcap.PcapSource)
     own = spark.read.format("pcap").option("paths", f"{path},{tmp_path}/b.pcap").load().orderBy("pkt_seq").collect()
@@ -350,9 +354,9 @@ def _pcapng(frames):
 
 
 def test_captures_raise_the_alerts_of_their_packets(spark, tmp_path):
-    frames = [(1_700_000_000_000 + i, pcap.frame_of("TCP", "10.0.0.1", 1000 + i, "10.0.0.2", 1 + i % 40, "SYN")) for i in range(120)]
-    frames += [(1_700_000_001_000 + i, pcap.frame_of("UDP", "10.0.0.3", 2000 + i, "10.0.0.4", 443, payload=bytes([0xC3]) + bytes.fromhex("deadbeef") + b"x" * 1300)) for i in range(60)]
-    (tmp_path / "a.pcap").write_bytes(pcap.pcap_bytes(frames))
+    frames = [(1_700_000_000_000 + i, simulated.frame_of("TCP", "10.0.0.1", 1000 + i, "10.0.0.2", 1 + i % 40, "SYN")) for i in range(120)]
+    frames += [(1_700_000_001_000 + i, simulated.frame_of("UDP", "10.0.0.3", 2000 + i, "10.0.0.4", 443, payload=bytes([0xC3]) + bytes.fromhex("deadbeef") + b"x" * 1300)) for i in range(60)]
+    (tmp_path / "a.pcap").write_bytes(simulated.pcap_bytes(frames))
     (tmp_path / "b.pcapng").write_bytes(_pcapng(frames) + b"\x06\0\0\0broken")
     spark.dataSource.register(pcap.PcapSource)
     by_source = spark.read.format("pcap").option("paths", f"{tmp_path}/a.pcap,{tmp_path}/b.pcapng").load()
