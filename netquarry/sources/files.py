@@ -35,7 +35,8 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 def knowledge_files(spark: SparkSession, path: str, shortest: int = 200) -> DataFrame:
     """Markdown, text and JSON files as items; shorter ones are left out, the title is the name without its end."""
     rows = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
-    return rows.where(F.length(F.trim("value")) >= shortest).select(F.regexp_replace("name", r"\.[^.]*$", "").alias("title"), F.col("value").alias("content"))
+    name = F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B")))  # file names come as they stand in a URL
+    return rows.where(F.length(F.trim("value")) >= shortest).select(F.regexp_replace(name, r"\.[^.]*$", "").alias("title"), F.col("value").alias("content"))
 
 
 def attack_patterns(spark: SparkSession, path: str) -> DataFrame:
