@@ -23,11 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage by a written table in the shared folder; lost executors can't lose it."""
+def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Cut lineage by a written table in the shared folder; lost executors can't lose it. ``codec``: for tables that hold whole texts."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_at = path
     return table
