@@ -329,7 +329,7 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", d
     partition shuffled inside. The border block keeps its first words, and ``n_chars`` is counted anew."""
     settings = settings or MixSettings()
     own = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)]
-    sized = materialize(_sized(docs, text, source, doc_id, settings.seed).select(*own, "__size", "__source", "__place"), "mix-input")  # rows keep their places
+    sized = materialize(_sized(docs, text, source, doc_id, settings.seed).select(*own, "__size", "__source", "__place"), "mix-input", "zstd")  # rows keep their places
     rows = sized.select("__source", "__size", "__place")
     recipe = draw(rows, settings)
     blocks = materialize(_taken(rows, recipe).select("number", "__spot", "__words"), "blocks")

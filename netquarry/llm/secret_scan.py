@@ -247,7 +247,7 @@ def _without(t: Column, spans: Column, mark: str) -> Column:
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", settings: SecretSettings | None = None) -> DataFrame:
     """``docs`` with every span replaced by ``mark`` (overlapping spans by one) and ``n_chars``, if there, counted anew."""
     settings = settings or SecretSettings()
-    found = materialize(docs.withColumn("__scan", scanned(text, settings)), "secret-matches")  # rows and finds once, for both passes
+    found = materialize(docs.withColumn("__scan", scanned(text, settings)), "secret-matches", "zstd")  # rows and finds once, for both passes
     model = train_models(found, "__scan", settings).withColumnRenamed("ratio", "__ratio")
     rows = found.crossJoin(F.broadcast(model))  # one row
     rows = rows.withColumn("__spans", _all_spans(F.col("__scan"), F.col("__ratio"), settings))
