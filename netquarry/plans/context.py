@@ -33,7 +33,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packets.select("capture_id", start.alias("start_ms")).distinct().withColumn("end_ms", F.col("start_ms") + 15 * _MIN)
     begin = F.floor(F.col("ts_ms") / _MIN) * _MIN
     incidents = packets.where(F.contains("flags", F.lit("RST"))).select("capture_id", begin.alias("start_ms"), (begin + F.col("pkt_seq") % 4 * 15 * _MIN).alias("end_ms"))
-    return intervals.window_labels(found, incidents, "capture_id", 15 * _MIN)
+    return intervals.window_labels(found, incidents, "capture_id", 15 * _MIN).withColumn("label", F.coalesce(F.col("label").cast("string"), F.lit("across")))
 
 
 _DAY = _with(PACKETS) + ", p AS (SELECT *, strftime(ts, '%Y-%m-%d') AS capture_id FROM packets)"
@@ -42,7 +42,7 @@ w AS (SELECT DISTINCT capture_id, ts_ms // {15 * _MIN} * {15 * _MIN} AS start_ms
 i AS (SELECT capture_id, ts_ms // {_MIN} * {_MIN} AS a, ts_ms // {_MIN} * {_MIN} + pkt_seq % 4 * {15 * _MIN} AS b FROM p WHERE contains(flags, 'RST')),
 c AS (SELECT v.capture_id, v.start_ms, unnest(range(v.start_ms, v.end_ms, {_MIN})) AS m FROM v),
 h AS (SELECT c.capture_id, c.start_ms, count(*) FILTER (EXISTS (SELECT 1 FROM i WHERE i.capture_id = c.capture_id AND i.a <= c.m AND c.m < i.b)) AS n FROM c GROUP BY 1, 2)
-SELECT v.capture_id, v.start_ms, v.end_ms, CASE n WHEN 0 THEN 0 WHEN 15 THEN 1 END AS label FROM v JOIN h USING (capture_id, start_ms)""")
+SELECT v.capture_id, v.start_ms, v.end_ms, CASE n WHEN 0 THEN '0' WHEN 15 THEN '1' ELSE 'across' END AS label FROM v JOIN h USING (capture_id, start_ms)""")
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
