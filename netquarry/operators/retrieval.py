@@ -247,7 +247,7 @@ def hybrid(index: Asked, chunks: DataFrame, queries: DataFrame, vectors: DataFra
     spare = spare.where(F.coalesce("have", F.lit(0)) < k).select("query_id", "chunk_id", (F.lit(pool) + F.col("rank")).alias("place"))
     order = Window.partitionBy("query_id").orderBy("place")
     led = fused.unionByName(spare).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    known = distances(led, vectors, query_vectors).join(chunks, "chunk_id").withColumn("similarity", F.round(similarity(F.col("distance")), 6))
+    known = distances(led, vectors, query_vectors).join(chunks, "chunk_id").withColumn("similarity", F.round(similarity(F.col("distance")), 7))
     scored = rerank(known, queries.select("query_id", core_terms(F.col("text")).alias("cores")))
     rows = known.select("query_id", "chunk_id", "place", "similarity").join(scored, ["query_id", "chunk_id"])
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "place")).cast("long")).drop("place")

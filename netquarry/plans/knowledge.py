@@ -129,10 +129,27 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hybrid(index, items, asked, near, own)
 
 
-_add("hybrid_search", lambda s, d: _hybrid(s, d).select("query_id", "chunk_id", "rank", "similarity", "rerank_score"))
 _EXPANDED = "text"
 for _short in sorted(retrieval.TERM_SYNONYMS, key=len, reverse=True):
     _EXPANDED = f"regexp_replace({_EXPANDED}, '(^|[^A-Za-z0-9]){_short}($|[^A-Za-z0-9])', '\\1{retrieval.TERM_SYNONYMS[_short]}\\2', 'g')"
+_COSINE = "round(1 - list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 6)"
+_add("hybrid_search", lambda s, d: _hybrid(s, d).select("query_id", "chunk_id", "rank", "similarity", "rerank_score"), "WITH " + _INDEX.replace(_TERMS.format("text") + ")) AS term FROM benchmark", _TERMS.format(f"({_EXPANDED})") + ")) AS term FROM benchmark") + f",{_bm25_sql('bm')}," + f"""
+own AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark) AND embedding IS NOT NULL),
+others AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) AND embedding IS NOT NULL),
+nr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {_COSINE} AS distance FROM own q JOIN others v ON v.vec_id <> q.vec_id)),
+fu AS (SELECT query_id, chunk_id, round(sum(1::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, chunk_id, rank FROM bm UNION ALL SELECT query_id, chunk_id, rank FROM nr WHERE rank <= 20) GROUP BY 1, 2),
+ft AS (SELECT query_id, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM fu) WHERE place <= 5),
+have AS (SELECT query_id, count(*) AS have FROM ft GROUP BY 1),
+sp AS (SELECT nr.query_id, nr.chunk_id, 20 + nr.rank AS place FROM nr LEFT JOIN have USING (query_id) WHERE nr.rank <= 15 AND coalesce(have, 0) < 5 AND NOT EXISTS (SELECT 1 FROM ft WHERE ft.query_id = nr.query_id AND ft.chunk_id = nr.chunk_id)),
+led AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS place FROM (SELECT * FROM ft UNION ALL SELECT * FROM sp)) WHERE place <= 5),
+kn AS (SELECT led.*, round(1 - least(greatest({_COSINE}, 0), 2) / 2, 7) AS sim FROM led LEFT JOIN others v ON v.vec_id = chunk_id LEFT JOIN own q ON q.vec_id = query_id),
+found AS (SELECT item_id AS query_id, lower(text) AS low, list_filter([{_CORES}], lambda x: contains(lower(text), x)) AS c FROM benchmark),
+cores AS (SELECT query_id, CASE WHEN len(c) > 0 THEN c ELSE [low] END AS cores FROM found),
+w AS (SELECT kn.*, cores, d.source AS title, d.text AS content, d.lang AS meta, min(sim) OVER (PARTITION BY query_id) AS lo, max(sim) OVER (PARTITION BY query_id) AS hi FROM kn JOIN documents d ON d.doc_id = chunk_id JOIN cores USING (query_id)),
+c AS (SELECT *, greatest(len(cores), 1) AS n, len(list_filter(cores, lambda x: contains(lower(title), x))) AS th, len(list_filter(cores, lambda x: contains(lower(content), x))) AS ch, len(list_filter(cores, lambda x: contains(lower(meta), x))) AS mh FROM w),
+r AS (SELECT *, round(CASE WHEN sim IS NULL OR hi - lo < 1e-9 THEN 0.5::DOUBLE ELSE (sim - lo) / (hi - lo) END * 0.45::DOUBLE + th::DOUBLE / n * 0.25::DOUBLE + ch::DOUBLE / n * 0.15::DOUBLE + mh::DOUBLE / n * 0.05::DOUBLE
+  + CASE WHEN th >= 2 OR (th >= 1 AND length(title) <= 20) THEN 0.10::DOUBLE ELSE 0 END + 1e-9, 4) AS rerank_score FROM c)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, place) AS rank, sim AS similarity, rerank_score FROM r""")
 _add("term_expansion", lambda s, d: table(s, d, "orders").select("o_orderkey", retrieval.expanded(F.concat(F.lit("what is HTTPS; SSH,T1046? "), F.col("o_orderpriority"))).alias("text")),
      f"WITH q AS (SELECT o_orderkey, 'what is HTTPS; SSH,T1046? ' || o_orderpriority AS text FROM orders) SELECT o_orderkey, {_EXPANDED} AS text FROM q")
 _add("knowledge_blocks", lambda s, d: _chunks(s, d).select("chunk_id", retrieval.rendered(F.col("chunk_id"), F.coalesce("source", F.lit("")), F.col("text"), F.when(F.col("chunk_id") % 3 > 0, F.col("chunk_id") % 7 / 8)).alias("block"), F.length(retrieval.titled(F.col("source"), F.col("text"))).cast("long").alias("n")), """
