@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 import struct
+import warnings
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -104,7 +105,10 @@ def _classic(file: BinaryIO, order: str, per_ms: int) -> Iterator[tuple[int, int
     file.read(20)
     while len(head := file.read(16)) == 16:
         sec, part, kept, length = struct.unpack(order + "IIII", head)
-        if kept > _MOST or len(frame := file.read(kept)) < kept:
+        if kept > _MOST:
+            warnings.warn(f"a packet that says it has {kept} bytes ends the capture", stacklevel=2)
+            return
+        if len(frame := file.read(kept)) < kept:
             return
         yield sec * 1000 + part // per_ms, length, frame
 
