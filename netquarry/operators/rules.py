@@ -50,11 +50,15 @@ def signals(packets: DataFrame, t: Thresholds, captures: bool = False, only: tup
     each = [F.when(when, F.struct(F.lit(m).alias("measure"), a.alias("a"), b.alias("b"), F.lit(own).alias("own"))) for m, when, a, b, own in entries if not only or m in only]
     by = ["capture_id"] * captures + list(also)
     rows = packets.select(*by, "pkt_seq", "ts_ms", "length", F.explode(F.array_compact(F.array(*each))).alias("x")).select(*by, "pkt_seq", "ts_ms", "length", "x.*")
-    own, at = F.col("own"), F.struct("pkt_seq", "ts_ms")
-    return rows.groupBy(*by, "measure", "a", "b").agg(
-        F.count_if(own).alias("n"), F.count_if(~own).alias("other"), F.coalesce(F.sum(F.when(own, F.col("length"))), F.lit(0)).alias("bytes"),
-        F.coalesce(F.sum(F.when(~own, F.col("length"))), F.lit(0)).alias("other_bytes"), F.min(F.when(own, at)).alias("f"), F.max(F.when(own, at)).alias("l"),
+    own = F.col("own")
+    seq = F.when(own, F.col("pkt_seq"))
+    # numbers only, so that the sums stay in a hash table; first and last are put together afterwards
+    summed = rows.groupBy(*by, "measure", "a", "b").agg(
+        F.count_if(own).alias("n"), F.count_if(~own).alias("other"), F.coalesce(F.sum(F.when(own, F.col("length"))), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(~own, F.col("length"))), F.lit(0)).alias("other_bytes"),
+        F.min(seq).alias("f_seq"), F.min_by("ts_ms", seq).alias("f_ms"), F.max(seq).alias("l_seq"), F.max_by("ts_ms", seq).alias("l_ms"),
     )
+    ends = [F.struct(F.col(f"{x}_seq").alias("pkt_seq"), F.col(f"{x}_ms").alias("ts_ms")).alias(x) for x in "fl"]
+    return summed.select(*by, "measure", "a", "b", "n", "other", "bytes", "other_bytes", *ends)
 
 
 def keyed(found: DataFrame) -> DataFrame:
@@ -63,7 +67,7 @@ def keyed(found: DataFrame) -> DataFrame:
     end = F.split("b", r"\|")
     way = F.struct(F.col("n").alias("n"), end[0].alias("src_ip"), end[1].cast("int").alias("src_port"), end[2].alias("dst_ip"), end[3].cast("int").alias("dst_port"))
     return found.groupBy(*_by(found), "measure", "a").agg(
-        F.sum("n").alias("n"), F.sum("other").alias("other"), F.sum("bytes").alias("bytes"), F.sum("other_bytes").alias("other_bytes"), F.min("f").alias("f"), F.max("l").alias("l"),
+        F.sum("n").alias("n"), F.sum("other").alias("other"), F.sum("bytes").alias("bytes"), F.sum("other_bytes").alias("other_bytes"), F.min(F.when(F.col("n") > 0, F.col("f"))).alias("f"), F.max(F.when(F.col("n") > 0, F.col("l"))).alias("l"),
         F.count_if(F.col("n") > 0).alias("keys"), F.array_sort(F.collect_set(F.when(F.col("measure") == "scan", F.col("b").cast("int")))).alias("ports"),
         F.max(F.when(F.col("measure") == "way", way)).alias("top"),
     )
