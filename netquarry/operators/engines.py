@@ -137,11 +137,12 @@ def forest_windows(found: Found, settings: EngineSettings) -> tuple[DataFrame, f
 
 
 def judged(strange: DataFrame, medians: DataFrame, cut: float, settings: EngineSettings) -> DataFrame:
-    """Strange windows (with ``score``) with what makes them so: a high side is HIGH or MEDIUM by score, a low side is INFO."""
+    """Strange windows (with ``score``) with what makes them so: a high side is HIGH or MEDIUM by score, a low side is INFO.
+    Rounded halves go up, whatever the last bit."""
     named = forest.top_dimension(DIMS, medians, strange, CAPTURE)
     rows = strange.join(named, [CAPTURE, "window_index"])
     severity = F.when(F.col("direction") == "low", "INFO").when(F.col("score") < cut - settings.clearly, "HIGH").otherwise("MEDIUM")
-    return rows.select(CAPTURE, "window_index", "dimension", "direction", F.round("ratio", 2).alias("ratio"), F.round("score", 4).alias("score"), severity.alias("severity"))
+    return rows.select(CAPTURE, "window_index", "dimension", "direction", F.round(F.col("ratio") + 1e-9, 2).alias("ratio"), F.round("score", 4).alias("score"), severity.alias("severity"))
 
 
 def forest_alerts(strange: DataFrame, settings: EngineSettings) -> DataFrame:
@@ -155,7 +156,7 @@ def forest_profile(strange: DataFrame, found: Found) -> DataFrame:
     """capture_id, anomaly_windows, total_windows, mean_score, min_score, top_dimension (commonest, the one seen first among equals)."""
     counts = strange.groupBy(CAPTURE, "dimension").agg(F.count(F.lit(1)).alias("n"), F.min("window_index").alias("first"))
     top = counts.groupBy(CAPTURE).agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "dimension")).alias("t")).select(CAPTURE, F.col("t.dimension").alias("top_dimension"))
-    scores = strange.groupBy(CAPTURE).agg(F.count(F.lit(1)).alias("anomaly_windows"), F.round(F.avg("score"), 4).alias("mean_score"), F.min("score").alias("min_score"))
+    scores = strange.groupBy(CAPTURE).agg(F.count(F.lit(1)).alias("anomaly_windows"), F.round(F.avg("score") + 1e-9, 4).alias("mean_score"), F.min("score").alias("min_score"))
     totals = found.windows.groupBy(CAPTURE).agg(F.count(F.lit(1)).alias("total_windows"))
     rows = totals.join(scores, CAPTURE, "left").join(top, CAPTURE, "left")
     return rows.select(

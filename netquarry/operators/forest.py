@@ -2,10 +2,14 @@
 
 Trees are trained from at most ``samples`` rows each (a documented bound of the method), so
 the sample reaches the driver and the model is small; scoring is independent by row.
+
+Every choice (the rows of a tree, the feature and cut of a node) is a hash of the seed, the tree
+and the node's number, so the forest is a function of the rows alone and SQL can grow it too.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,40 +34,50 @@ def _average_path(n: int) -> float:
     return 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """Nodes as (feature, cut, left, right, path length); feature -1 is a leaf."""
+def _draw(seed: int, tree: int, what: str, at: int) -> int:
+    """48 even bits for a choice."""
+    return int(hashlib.md5(f"{seed}:{tree}:{what}:{at}".encode(), usedforsecurity=False).hexdigest()[:12], 16)
+
+
+def _grow(x: np.ndarray, seed: int, tree: int, limit: int) -> list[tuple]:
+    """Nodes as (feature, cut, left, right, path length); feature -1 is a leaf. A node's number is 1 at the root, then twice its parent's, or one more."""
     nodes: list = []
 
-    def add(rows: np.ndarray, depth: int) -> int:
+    def add(rows: np.ndarray, depth: int, number: int) -> int:
         at = len(nodes)
         nodes.append(None)
-        spread = [f for f in range(x.shape[1]) if len(rows) > 1 and x[rows, f].min() < x[rows, f].max()]
-        if depth >= limit or not spread:
+        low, high = (x[rows].min(axis=0), x[rows].max(axis=0)) if len(rows) else (np.zeros(0), np.zeros(0))
+        spread = np.flatnonzero(low < high)
+        if depth >= limit or not len(spread):
             nodes[at] = (-1, 0.0, -1, -1, depth + _average_path(len(rows)))
             return at
-        f = int(rng.choice(spread))
-        cut = float(rng.uniform(x[rows, f].min(), x[rows, f].max()))
+        f = int(spread[_draw(seed, tree, "feature", number) % len(spread)])
+        cut = float(low[f] + (high[f] - low[f]) * ((_draw(seed, tree, "cut", number) + 0.5) / 2**48))
         left = x[rows, f] < cut
-        nodes[at] = (f, cut, add(rows[left], depth + 1), add(rows[~left], depth + 1), 0.0)
+        nodes[at] = (f, cut, add(rows[left], depth + 1, 2 * number), add(rows[~left], depth + 1, 2 * number + 1), 0.0)
         return at
 
-    add(np.arange(len(x)), 0)
+    add(np.arange(len(x)), 0, 1)
     return nodes
 
 
 def fit(rows: DataFrame, columns: list[str], settings: ForestSettings | None = None) -> tuple[list, int]:
-    """Trees from a sample of the rows with the smallest hashes (trees x samples at most reach the driver, 8 sets)."""
+    """Trees from a sample of the rows with the smallest hashes (trees x samples at most reach the driver, 8 sets). Hashes are of the columns as text."""
     settings = settings or ForestSettings()
     own = [F.col(c).cast("double") for c in columns]
-    picked = rows.select(*own).orderBy(F.xxhash64(*own, F.lit(settings.seed)), *own).limit(settings.samples * 8).toPandas().to_numpy(float)
-    n = min(settings.samples, len(picked))
-    rng = np.random.default_rng(settings.seed)
+    order = F.md5(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns], F.lit(str(settings.seed))))
+    pool = rows.select(order.alias("__order"), *own).orderBy("__order", *columns).limit(settings.samples * 8).drop("__order").toPandas().to_numpy(float)
+    n = min(settings.samples, len(pool))
     limit = int(np.ceil(np.log2(max(n, 2))))
-    return [_grow(picked[rng.choice(len(picked), n, replace=False)], rng, limit) for _ in range(settings.trees)] if n else [], n
+    trees = []
+    for t in range(settings.trees if n else 0):
+        places = sorted(range(len(pool)), key=lambda i: (_draw(settings.seed, t, "row", i), i))[:n]
+        trees.append(_grow(pool[places], settings.seed, t, limit))
+    return trees, n
 
 
 def scored(rows: DataFrame, columns: list[str], model: tuple[list, int]) -> DataFrame:
-    """``rows`` with ``score``: 0.5 less the anomaly score, so lower is stranger."""
+    """``rows`` with ``score``: 0.5 less the anomaly score, so lower is stranger; to nine places, so that it doesn't hang on the order of a sum."""
     trees, n = model
     packed = [tuple(np.array(z) for z in zip(*t)) for t in trees]
     unit = _average_path(n) or 1.0
@@ -79,7 +93,7 @@ def scored(rows: DataFrame, columns: list[str], model: tuple[list, int]) -> Data
                 goes = x[np.arange(len(x)), f] < cut[at]
                 at = np.where(inner, np.where(goes, left[at], right[at]), at)
             total += length[at]
-        return pd.Series(0.5 - 2.0 ** (-(total / max(len(packed), 1)) / unit))
+        return pd.Series(np.round(0.5 - 2.0 ** (-(total / max(len(packed), 1)) / unit), 9))
 
     return rows.withColumn("score", score(*[F.col(c).cast("double") for c in columns]))
 

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import baseline, engines, evaluate, forest, fusion, records, rules, store, windows
+from ..scratch import materialize
 from ..sources.packets import packets_from_events, table
 from . import traffic
+from .forest_sql import forest_sql, strange_sql
 from .traffic import _A, _B, _TRAIN, _deviations, _later, _windows, HOUR, PACKETS, SCALED, SIGMA, WINDOWS, _alerts, _packets, _with
 
 QUERIES: dict = {}
@@ -204,7 +206,6 @@ feat AS (
   FROM (SELECT DISTINCT cap FROM ours) c LEFT JOIN byalert USING (cap) LEFT JOIN bywin USING (cap) LEFT JOIN drifts USING (cap))"""
 WEIGHTS = {f: w / 8 for f, w in zip(fusion.FEATURES, (9, 5, 3, -2, 7, 4, 1, -3, 6, 2, -1, 5, 8))}
 _add("fusion_features", _features, _DAYS + " SELECT * FROM feat")
-_add("fusion_features_three_engines", lambda s, d: _features(s, d, True))
 _add("capture_drift", lambda s, d: engines.drift(engines.prepare(*_days(s, d), _SET), _SET), _DAYS + " SELECT cap AS capture_id, dimension, numerator, n1, n2, detected FROM drifts")
 _add("capture_baseline_alerts", lambda s, d: engines.baseline_alerts(engines.deviations(engines.prepare(*_days(s, d), _SET), _SET), _SET).groupBy("capture_id", "type", "severity").agg(F.count(F.lit(1)).alias("n")), _DAYS + " SELECT cap AS capture_id, type, severity, count(*) AS n FROM dayalerts WHERE starts_with(type, 'BASELINE') GROUP BY ALL")
 
@@ -225,8 +226,26 @@ def _forest_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, engines.F
     return judged[0], found
 
 
-_add("forest_profile", lambda s, d: engines.forest_profile(*_forest_days(s, d)))
-_add("forest_alerts", lambda s, d: engines.forest_alerts(_forest_days(s, d)[0], _SET))
+#: The day's forest beside the other two engines, with its alerts among theirs.
+_FOREST_DAYS = _DAYS.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ftrain AS MATERIALIZED (SELECT dayw.* FROM dayw, split WHERE cap < first), fours AS MATERIALIZED (SELECT dayw.* FROM dayw, split WHERE cap >= first),{forest_sql("ftrain", "fours", engines.DIMS)},{strange_sql("fours", engines.DIMS, ["cap", "window_index"], _SET.clearly)},
+flowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cap ORDER BY score, window_index) AS r FROM fstrange) WHERE r <= {_SET.lowest}),
+ftop AS (SELECT cap, arg_max(dimension, {{'n': n, 'f': -f, 'd': dimension}}) AS top_dimension FROM (SELECT cap, dimension, count(*) AS n, min(window_index) AS f FROM fstrange GROUP BY 1, 2) GROUP BY 1),
+fprofile AS (SELECT capture_id, coalesce(anomaly_windows, 0) AS anomaly_windows, total_windows, coalesce(mean_score, 0.0::DOUBLE) AS mean_score, coalesce(min_score, 0.0::DOUBLE) AS min_score, coalesce(top_dimension, '') AS top_dimension
+  FROM (SELECT cap AS capture_id, count(*) AS total_windows FROM fours GROUP BY 1) LEFT JOIN (SELECT cap AS capture_id, count(*) AS anomaly_windows, round(avg(score) + 1e-9::DOUBLE, 4) AS mean_score, min(score) AS min_score FROM fstrange GROUP BY 1) USING (capture_id) LEFT JOIN (SELECT cap AS capture_id, top_dimension FROM ftop) USING (capture_id)),
+alert3 AS (SELECT * FROM dayalerts UNION ALL SELECT cap, 'ML_ANOMALY', severity FROM flowest WHERE direction = 'high'),
+byalert3 AS (SELECT cap AS capture_id, count(*) AS n, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS sev, count(DISTINCT type) AS types FROM alert3 GROUP BY 1),
+fscale AS (SELECT CASE WHEN abs(cut) > 1e-6::DOUBLE THEN abs(cut) ELSE 1.0::DOUBLE END AS scale FROM fcut),
+feat3 AS (
+  SELECT capture_id, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0 END AS rule_has_alert, least(coalesce(n, 0)::DOUBLE / 10, 1.0) AS rule_alert_count_norm, CAST(coalesce(sev, 0) AS DOUBLE) AS rule_max_severity, least(coalesce(types, 0)::DOUBLE / 5, 1.0) AS rule_triggered_rules,
+         {", ".join(fusion.BASELINE)}, 1.0::DOUBLE AS {fusion.FOREST[0]}, least(anomaly_windows::DOUBLE / 10, 1.0) AS {fusion.FOREST[1]}, least(anomaly_windows::DOUBLE / total_windows, 1.0) AS {fusion.FOREST[2]},
+         least(abs(mean_score) / scale, 1.0::DOUBLE) AS {fusion.FOREST[3]}, least(abs(min_score) / scale, 1.0::DOUBLE) AS {fusion.FOREST[4]},
+         CASE WHEN top_dimension IN ('syn', 'dports') THEN 1.0::DOUBLE WHEN top_dimension IN ('packets', 'bytes') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS {fusion.FOREST[5]}
+  FROM feat LEFT JOIN byalert3 USING (capture_id) JOIN fprofile USING (capture_id), fscale)"""
+_add("forest_profile", lambda s, d: engines.forest_profile(*_forest_days(s, d)), _FOREST_DAYS + " SELECT * FROM fprofile")
+_add("forest_alerts", lambda s, d: engines.forest_alerts(_forest_days(s, d)[0], _SET), _FOREST_DAYS + """
+SELECT cap AS capture_id, window_index, dimension, direction, ratio, score, severity, 'ML_ANOMALY' AS type, dimension || '@' || window_index AS subject, direction = 'high' AS alert FROM flowest""")
+_add("fusion_features_three_engines", lambda s, d: _features(s, d, True), _FOREST_DAYS + " SELECT * FROM feat3")
 _FALL = """0.4::DOUBLE * least(rule_has_alert * 0.5 + rule_alert_count_norm * 0.2 + rule_max_severity / 4.0 * 0.2 + rule_triggered_rules * 0.1, 1.0)
   + 0.3::DOUBLE * least(baseline_deviation_count * 0.6 + baseline_multi_dim_triggered * 0.25 + baseline_drifted * 0.15, 1.0)
   + 0.3::DOUBLE * least(isolation_anomaly_count * 0.35 + isolation_anomaly_ratio * 0.25 + isolation_mean_score * 0.15 + isolation_max_score * 0.15 + isolation_top_dim_risk * 0.10, 1.0)"""
@@ -263,14 +282,16 @@ _DIM4 = ["packets", "bytes", "syn", "dports"]
 
 
 def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _windows(spark, sf_dir)
+    found = materialize(_windows(spark, sf_dir), "windows")
     train = found.where(F.col("window_index") < _TRAIN)
     model = forest.fit(train, _DIM4)
     cut = forest.threshold(forest.scored(train, _DIM4, model), 0.10)
     return forest.scored(found.where(F.col("window_index") >= _TRAIN), _DIM4, model).where(F.col("score") < cut).select("window_index", F.round("score", 6).alias("score"))
 
 
-_add("forest_anomalies", _forest)
+_add("forest_anomalies", _forest, _with(PACKETS, WINDOWS).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ftrain AS MATERIALIZED (SELECT * FROM windows WHERE window_index < {_TRAIN}), fours AS MATERIALIZED (SELECT * FROM windows WHERE window_index >= {_TRAIN}),{forest_sql("ftrain", "fours", _DIM4)}
+SELECT window_index, round(score, 6) AS score FROM fours JOIN fscores USING ({", ".join(_DIM4)}), fcut WHERE score < cut""")
 _add("forest_top_dimension", lambda s, d: forest.top_dimension(_DIM4, forest.upper_medians(_windows(s, d), _DIM4), _windows(s, d)).select("window_index", "dimension", "direction"), _with(PACKETS, WINDOWS) + """,
 m AS (SELECT """ + ", ".join(f"(list({c}::DOUBLE ORDER BY {c}))[count(*) // 2 + 1] AS m_{c}" for c in _DIM4) + """ FROM windows),
 x AS (SELECT window_index, unnest([""" + ", ".join(f"{{'d': '{c}', 'o': {i}, 'r': CASE WHEN m_{c} <> 0 THEN abs(({c} - m_{c}) / m_{c}) WHEN {c} > 0 THEN {c}::DOUBLE ELSE 0 END, 's': CASE WHEN {c} >= m_{c} THEN 'high' ELSE 'low' END}}" for i, c in enumerate(_DIM4)) + """]) AS v FROM windows, m)

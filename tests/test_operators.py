@@ -114,6 +114,20 @@ def test_forest_ranks_outliers_first(spark):
     model = forest.fit(rows, ["packets", "bytes", "syn", "dports"])
     first = forest.scored(rows, ["packets", "bytes", "syn", "dports"], model).orderBy("score").first()
     assert first.window_index == 900
+    again = forest.fit(rows.repartition(7).orderBy("bytes"), ["packets", "bytes", "syn", "dports"])
+    assert again == model  # a function of the rows, not of their order
+
+
+def test_forest_of_few_and_equal_rows(spark):
+    dims = ["packets", "bytes"]
+    none = spark.createDataFrame([], "window_index long, packets long, bytes long")
+    assert forest.fit(none, dims) == ([], 0)
+    equal = spark.createDataFrame([(i, 3, 4) for i in range(40)], none.schema)
+    trees, n = forest.fit(equal, dims)
+    assert n == 40 and all(len(t) == 1 and t[0][0] == -1 for t in trees)  # no cut parts equal rows
+    assert {r.score for r in forest.scored(equal, dims, (trees, n)).collect()} == {0.0}
+    pair = spark.createDataFrame([(0, 1, 1), (1, 5, 1)], none.schema)
+    assert {t[0][0] for t in forest.fit(pair, dims)[0]} == {0}  # only the first column differs
 
 
 def test_terms_pair_han_characters(spark):
