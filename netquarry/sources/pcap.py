@@ -1,4 +1,4 @@
-"""Capture files (pcap and pcapng) as a Spark data source, a partition per file, and a writer for round trips.
+"""Capture files (pcap and pcapng): a Spark data source with a partition per file, and readers of whole files and of spans of long ones.
 
 Files are read in a stream and yield Arrow batches, so a task holds one block of a file and one batch of rows.
 
@@ -11,13 +11,16 @@ from __future__ import annotations
 import io
 import struct
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schemas import PACKET_SCHEMA
+from ..scratch import materialize
 
 SCHEMA = PACKET_SCHEMA
 _ARROW = pa.schema([
@@ -101,15 +104,27 @@ def decode(frame: bytes, length: int) -> tuple:
 _MOST = 1 << 26  # a block that says it is longer is broken
 
 
-def _classic(file: BinaryIO, order: str, per_ms: int) -> Iterator[tuple[int, int, bytes]]:
-    file.read(20)
-    while len(head := file.read(16)) == 16:
-        sec, part, kept, length = struct.unpack(order + "IIII", head)
+@dataclass
+class Place:
+    """Where a record or block starts, and what must be known to read on from there."""
+
+    at: int
+    order: str
+    blocks: bool
+    #: Ticks a second of every interface that was described so far; of a classic capture, of all.
+    ticks: list[int]
+
+
+def _classic(file: BinaryIO, place: Place, until: int | None) -> Iterator[tuple[int, int, bytes]]:
+    per_ms = place.ticks[0] // 1000
+    while (until is None or place.at < until) and len(head := file.read(16)) == 16:
+        sec, part, kept, length = struct.unpack(place.order + "IIII", head)
         if kept > _MOST:
             warnings.warn(f"a packet that says it has {kept} bytes ends the capture", stacklevel=2)
             return
         if len(frame := file.read(kept)) < kept:
             return
+        place.at += 16 + kept
         yield sec * 1000 + part // per_ms, length, frame
 
 
@@ -123,34 +138,41 @@ def _resolution(options: bytes, order: str) -> int:
     return 1_000_000
 
 
-def _blocks(file: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
-    order, ticks = "<", []
-    head = b"\x0a\x0d\x0d\x0a" + file.read(4)
-    while len(head) == 8:
-        kind = struct.unpack(order + "I", head[:4])[0]
+def _blocks(file: BinaryIO, place: Place, until: int | None) -> Iterator[tuple[int, int, bytes]]:
+    while (until is None or place.at < until) and len(head := file.read(8)) == 8:
+        kind = struct.unpack(place.order + "I", head[:4])[0]
         start = b""
         if head[:4] == b"\x0a\x0d\x0d\x0a":  # a section says its own byte order
             start = file.read(4)
-            order, ticks = "<" if start == b"\x4d\x3c\x2b\x1a" else ">", []
-        size = struct.unpack(order + "I", head[4:])[0]
+            place.order, place.ticks = "<" if start == b"\x4d\x3c\x2b\x1a" else ">", []
+        size = struct.unpack(place.order + "I", head[4:])[0]
         if size < 12 + len(start) or size > _MOST or len(body := file.read(size - 8 - len(start))) < size - 8 - len(start):
             return
+        place.at += size
         if kind == 1:
-            ticks.append(_resolution(body[8:-4], order))
+            place.ticks.append(_resolution(body[8:-4], place.order))
         elif kind == 6 and len(body) >= 24:
-            where, high, low, kept, length = struct.unpack(order + "IIIII", body[:20])
-            if where < len(ticks) and 20 + kept <= len(body) - 4:
-                yield (high << 32 | low) * 1000 // ticks[where], length, body[20 : 20 + kept]
-        head = file.read(8)
+            where, high, low, kept, length = struct.unpack(place.order + "IIIII", body[:20])
+            if where < len(place.ticks) and 20 + kept <= len(body) - 4:
+                yield (high << 32 | low) * 1000 // place.ticks[where], length, body[20 : 20 + kept]
 
 
-def records(file: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
-    """(milliseconds, length, frame) of a capture's records; nothing where it is none."""
+def first_place(file: BinaryIO) -> Place | None:
+    """Where a capture's records begin; None where it is none."""
     magic = file.read(4)
     if magic == b"\x0a\x0d\x0d\x0a":
-        return _blocks(file)
-    order = {b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\xa1\xb2\xc3\xd4": (">", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1_000_000), b"\xa1\xb2\x3c\x4d": (">", 1_000_000)}.get(magic)
-    return _classic(file, *order) if order else iter(())
+        return Place(0, "<", True, [])
+    order = {b"\xd4\xc3\xb2\xa1": ("<", 1_000_000), b"\xa1\xb2\xc3\xd4": (">", 1_000_000), b"\x4d\x3c\xb2\xa1": ("<", 1_000_000_000), b"\xa1\xb2\x3c\x4d": (">", 1_000_000_000)}.get(magic)
+    return Place(24, order[0], False, [order[1]]) if order else None
+
+
+def records(file: BinaryIO, place: Place | None = None, until: int | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """(milliseconds, length, frame) of a capture's records, from ``place`` (moved along) to those that start before ``until``; nothing where it is none."""
+    place = place or first_place(file)
+    if place is None:
+        return iter(())
+    file.seek(place.at)
+    return _blocks(file, place, until) if place.blocks else _classic(file, place, until)
 
 
 class PcapSource(DataSource):
@@ -176,16 +198,16 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         with open(partition.value, "rb") as file:
-            yield from _rows(partition.value, file)
+            yield from _rows(partition.value, records(file))
 
 
-def _rows(path: str, file: BinaryIO) -> Iterator[pa.RecordBatch]:
+def _rows(path: str, found: Iterable[tuple[int, int, bytes]], first: int = 0) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
 
-    for seq, (ms, length, frame) in enumerate(records(file)):
+    for seq, (ms, length, frame) in enumerate(found, first):
         held.append((path, seq, ms * 1000, ms, *decode(frame, length)))
         if len(held) == _BATCH:
             yield batch()
@@ -196,11 +218,61 @@ def _rows(path: str, file: BinaryIO) -> Iterator[pa.RecordBatch]:
 
 def packets_from_files(spark, path: str):
     """Captures by Spark's own file reader, for paths that only it reads: one task a file, never the driver. Spark hands a file over
-    whole, 2 GB at most; longer captures need the data source and a path that workers can open."""
+    whole, 2 GB at most; longer captures need ``packets_in_spans``."""
 
     def parse(batches):
         for b in batches:
             for p, data in zip(b.column(0).to_pylist(), b.column(1)):
-                yield from _rows(p, io.BytesIO(data.as_buffer()))
+                yield from _rows(p, records(io.BytesIO(data.as_buffer())))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, SCHEMA)
+
+
+def _opened(path: str) -> BinaryIO:
+    """A file to seek in, by the scheme of its path (those that Arrow knows; local ones without)."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    system, inner = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+    return io.BufferedReader(system.open_input_file(inner), 1 << 20)
+
+
+def _spans(path: str, file: BinaryIO, span: int) -> Iterator[tuple]:
+    """(path, at, until, first record's number, byte order, blocks, ticks): stretches of ``span`` bytes or a little more, the last one open."""
+    place = first_place(file)
+    if place is None:
+        return
+    start = (place.at, 0, place.order, place.blocks, list(place.ticks))
+    for seq, _ in enumerate(records(file, place), 1):
+        if place.at - start[0] >= span:
+            yield (path, start[0], place.at, *start[1:])
+            start = (place.at, seq, place.order, place.blocks, list(place.ticks))
+    yield (path, start[0], None, *start[1:])
+
+
+_SPAN = "path string, at long, until long, first long, order string, blocks boolean, ticks array<long>"
+_SPAN_ARROW = pa.schema([("path", pa.string()), ("at", pa.int64()), ("until", pa.int64()), ("first", pa.int64()), ("order", pa.string()), ("blocks", pa.bool_()), ("ticks", pa.list_(pa.int64()))])
+
+
+def packets_in_spans(spark, path: str, span: int = 1 << 26):
+    """Captures of any length by many tasks: where records start is only known by walking over them, so a task a file walks first, without
+    decoding, and notes where every ``span`` bytes begin; the stretches are then decoded side by side. Rows equal those of the other readers.
+
+    Workers open the files themselves, so their paths must be shared ones whose scheme Arrow can read."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                with _opened(p) as file:
+                    found = list(_spans(p, file, span))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _SPAN_ARROW)], schema=_SPAN_ARROW)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                with _opened(r["path"]) as file:
+                    yield from _rows(r["path"], records(file, Place(r["at"], r["order"], r["blocks"], r["ticks"]), r["until"]), r["first"])
+
+    listed = spark.read.format("binaryFile").load(path).select("path")  # names only, no contents
+    found = materialize(listed.mapInArrow(walk, _SPAN), "capture-spans")
+    return found.repartition(max(1, found.count())).mapInArrow(read, SCHEMA)
