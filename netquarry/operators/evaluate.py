@@ -43,6 +43,17 @@ def mixed_sample(base: DataFrame, attack: DataFrame, offset_ms: int) -> DataFram
     return base.withColumn("part", F.lit("base")).unionByName(moved.withColumn("part", F.lit("attack")))
 
 
+def injected(packets: DataFrame, captures: Column, model: Column, start_ms: Column, attacker: str = "10.9.9.9", target: str = "10.9.0.1", ports: int = 997, span_sec: int = 3600) -> DataFrame:
+    """``packets`` with a scan put into ``captures``, so that truth doesn't come from what a detector reads: for each packet that ``model``
+    picks, a SYN of ``attacker`` to another port of ``target`` within ``span_sec`` from ``start_ms`` on. They arrive after all others; ``injected`` marks them."""
+    moved = {
+        "pkt_seq": F.col("pkt_seq") + 1_000_000_000_000, "ts_ms": start_ms + F.col("pkt_seq") % span_sec * 1000, "protocol": F.lit("TCP"), "src_ip": F.lit(attacker), "src_port": F.lit(41000), "dst_ip": F.lit(target),
+        "dst_port": (1 + F.col("pkt_seq") % ports).cast("int"), "length": F.lit(60).cast("long"), "payload_size": F.lit(6).cast("long"), "flags": F.lit("SYN"), "dns_query": F.lit(""), "dns_response": F.lit(""), "raw_summary": F.lit(""),
+    }
+    scan = packets.where(captures & model).select(*[moved.get(c, F.col(c)).alias(c) for c in packets.columns])
+    return packets.withColumn("injected", F.lit(False)).unionByName(scan.withColumn("injected", F.lit(True)))
+
+
 def two_hops(courses: DataFrame, relations: DataFrame, patterns: DataFrame) -> DataFrame:
     """What mitigates each pattern: pattern <- relation <- course, names joined in order."""
     joined = relations.join(courses, relations["source"] == courses["course_id"]).join(patterns, relations["target"] == patterns["pattern_id"])

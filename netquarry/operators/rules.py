@@ -291,13 +291,13 @@ def tunnel_candidates(packets: DataFrame, longest: int = 30, high: int = 20, sho
     return counts.join(sample, "src_ip").select("src_ip", "queries", "sample", _high(F.col("queries"), high).alias("severity"))
 
 
-def threshold_sweep(rows: DataFrame, value: Column, truth: Column, cuts: list[float]) -> DataFrame:
-    """For each cut: rows whose value reaches it against the truth, their rates in ten-thousandths, and if it is the first cut that
-    finds all and nothing else. Every cut is counted in one pass."""
-    each = rows.select(value.alias("v"), truth.alias("t"), F.explode(F.array(*[F.lit(float(c)) for c in cuts])).alias("cut"))
+def threshold_sweep(rows: DataFrame, value: Column, truth: Column, cuts: list[float], *by: str) -> DataFrame:
+    """For each cut (and ``by``, such as the rule): rows whose value reaches it against the truth, their rates in ten-thousandths, and if it
+    is the first cut that finds all and nothing else. Every cut is counted in one pass."""
+    each = rows.select(*by, value.alias("v"), truth.alias("t"), F.explode(F.array(*[F.lit(float(c)) for c in cuts])).alias("cut"))
     hit = F.col("v") >= F.col("cut")
-    found = each.groupBy("cut").agg(F.count_if(hit & F.col("t")).alias("tp"), F.count_if(hit & ~F.col("t")).alias("fp"), F.count_if(~hit & F.col("t")).alias("fn"), F.count_if(~hit & ~F.col("t")).alias("tn"))
+    found = each.groupBy(*by, "cut").agg(F.count_if(hit & F.col("t")).alias("tp"), F.count_if(hit & ~F.col("t")).alias("fp"), F.count_if(~hit & F.col("t")).alias("fn"), F.count_if(~hit & ~F.col("t")).alias("tn"))
     rate = lambda a, b: F.coalesce(F.floor(F.try_divide(F.col(a) * 10000, F.col(a) + F.col(b))), F.lit(0)).cast("long")
     perfect = (F.col("fn") == 0) & (F.col("fp") == 0) & (F.col("tp") > 0)
-    first = F.min(F.when(perfect, F.col("cut"))).over(Window.partitionBy())  # a row per cut
+    first = F.min(F.when(perfect, F.col("cut"))).over(Window.partitionBy(*by))  # a row per cut
     return found.withColumns({"tpr_bp": rate("tp", "fn"), "fpr_bp": rate("fp", "tn"), "optimum": F.coalesce(F.col("cut") == first, F.lit(False))})

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import baseline, engines, evaluate, forest, fusion, records, rules, store, windows
+from ..operators import baseline, engines, evaluate, flows, forest, fusion, records, rules, store, windows
 from ..scratch import materialize
 from ..sources.packets import packets_from_events, table
 from . import traffic
@@ -145,7 +145,7 @@ def _days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
 
 
 def _features(spark: SparkSession, sf_dir: str, with_forest: bool = False) -> DataFrame:
-    """Thirteen features of every day; without the forest (whose scores SQL can't give) its features are 0."""
+    """Thirteen features of every day; without the forest its features are 0."""
     return engines.features(*_days(spark, sf_dir), _PER_DAY, _SET, with_forest)
 
 
@@ -278,6 +278,52 @@ e AS (SELECT t, unnest([{{'engine': 'rules', 'p': rule_triggered_rules >= 0.8}},
 c AS (SELECT x.engine AS engine, count(*) FILTER (t AND x.p) AS tp, count(*) FILTER (NOT t AND x.p) AS fp, count(*) FILTER (t AND NOT x.p) AS fn, count(*) FILTER (NOT t AND NOT x.p) AS tn FROM e GROUP BY 1)
 SELECT engine, {_RATES} FROM c"""
 _add("engine_comparison", lambda s, d: evaluate.confusion(_judgements(s, d), F.col("truth"), F.col("p"), "engine"), _JUDGED)
+
+
+def _attacked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """Days with a scan in the fourth hour of the even ones that don't train."""
+    packets, training = _days(spark, sf_dir)
+    even = F.substring("capture_id", 9, 2).cast("int") % 2 == 0
+    return evaluate.injected(packets, ~training & even, F.col("pkt_seq") % 4 == 0, F.unix_millis(F.date_trunc("day", "ts").cast("timestamp")) + 3 * 3_600_000), training
+
+
+def _judged_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day's verdict by each engine, by all and by two trivial ones, against the days that were attacked."""
+    packets, training = _attacked(spark, sf_dir)
+    truth = packets.where(~training).groupBy("capture_id").agg(F.max("injected").alias("truth"))
+    f = engines.features(packets.drop("injected"), training, _PER_DAY, _SET).join(truth, "capture_id")
+    votes = {"rules": F.col("rule_max_severity") >= 4, "baseline": (F.col("baseline_multi_dim_triggered") > 0) | (F.col("baseline_drifted") > 0), "forest": F.col("isolation_anomaly_count") > 0.25, "fused": fusion.weighted_score() >= 0.7, "every day": F.lit(True), "no day": F.lit(False)}
+    return f.select("truth", F.explode(F.array(*[F.struct(F.lit(n).alias("engine"), p.alias("p")) for n, p in votes.items()])).alias("x")).select("truth", "x.*")
+
+
+_ATTACKED = """split0 AS (SELECT strftime(CAST(min(ts) AS DATE) + INTERVAL 10 DAY, '%Y-%m-%d') AS first FROM every0),
+every AS (SELECT *, false AS injected FROM every0 UNION ALL BY NAME
+  SELECT every0.* REPLACE (pkt_seq + 1000000000000 AS pkt_seq, epoch_ms(date_trunc('day', ts)) + 10800000 + pkt_seq % 3600 * 1000 AS ts_ms, 'TCP' AS protocol, '10.9.9.9' AS src_ip, 41000 AS src_port, '10.9.0.1' AS dst_ip, 1 + pkt_seq % 997 AS dst_port,
+    60 AS length, 6 AS payload_size, 'SYN' AS flags, '' AS dns_query, '' AS dns_response, '' AS raw_summary), true AS injected FROM every0, split0 WHERE cap >= first AND CAST(cap[9:10] AS INT) % 2 = 0 AND pkt_seq % 4 = 0),
+split AS (SELECT"""
+_add("attacked_days_by_engine", lambda s, d: evaluate.confusion(_judged_attacks(s, d), F.col("truth"), F.col("p"), "engine"), _FOREST_DAYS.replace("every AS (", "every0 AS (").replace("split AS (SELECT", _ATTACKED, 1) + f""",
+truths AS (SELECT cap AS capture_id, bool_or(injected) AS t FROM packets GROUP BY 1),
+e AS (SELECT t, unnest([{{'engine': 'rules', 'p': rule_max_severity >= 4}}, {{'engine': 'baseline', 'p': baseline_multi_dim_triggered > 0 OR baseline_drifted > 0}}, {{'engine': 'forest', 'p': isolation_anomaly_count > 0.25::DOUBLE}}, {{'engine': 'fused', 'p': {_FALL} >= 0.7}}, {{'engine': 'every day', 'p': true}}, {{'engine': 'no day', 'p': false}}]) AS x FROM feat3 JOIN truths USING (capture_id)),
+c AS (SELECT x.engine AS engine, count(*) FILTER (t AND x.p) AS tp, count(*) FILTER (NOT t AND x.p) AS fp, count(*) FILTER (t AND NOT x.p) AS fn, count(*) FILTER (NOT t AND NOT x.p) AS tn FROM e GROUP BY 1)
+SELECT engine, {_RATES} FROM c""")
+_SWEPT = [2, 5, 10, 20, 40, 60, 80, 100, 200]
+
+
+def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four measures of every source and day, each with its cuts, against the sources that attacked on that day."""
+    packets, training = _attacked(spark, sf_dir)
+    by_port = packets.where(~training).groupBy("capture_id", "src_ip", "dst_port").agg(F.count(F.lit(1)).alias("n"), F.count_if(flows.initiator_syn()).alias("syn"), F.count_if(flows.has_flag("RST")).alias("rst"), F.max("injected").alias("t"))
+    each = by_port.groupBy("capture_id", "src_ip").agg(F.sum("n").alias("packets"), F.sum("syn").alias("syn"), F.sum("rst").alias("rst"), F.count(F.lit(1)).alias("ports"), F.max("t").alias("t"))
+    rows = each.unpivot(["t"], ["packets", "syn", "rst", "ports"], "measure", "value")
+    return rules.threshold_sweep(rows, F.col("value"), F.col("t"), _SWEPT, "measure")
+
+
+_add("attack_sweep", _swept, "WITH " + _DAY_PACKETS.replace("every AS (", "every0 AS (").replace("split AS (SELECT", _ATTACKED, 1) + f""",
+k AS (SELECT cap, src_ip, count(*) AS packets, count(*) FILTER ({traffic._SYN}) AS syn, count(*) FILTER (contains(flags, 'RST')) AS rst, count(DISTINCT dst_port) AS ports, bool_or(injected) AS t FROM packets GROUP BY 1, 2),
+r AS (SELECT t, unnest([{{'m': 'packets', 'v': packets}}, {{'m': 'syn', 'v': syn}}, {{'m': 'rst', 'v': rst}}, {{'m': 'ports', 'v': ports}}]) AS x FROM k),
+c AS (SELECT x.m AS measure, cut::DOUBLE AS cut, count(*) FILTER (x.v >= cut AND t) AS tp, count(*) FILTER (x.v >= cut AND NOT t) AS fp, count(*) FILTER (x.v < cut AND t) AS fn, count(*) FILTER (x.v < cut AND NOT t) AS tn FROM r, (VALUES {", ".join(f"({c})" for c in _SWEPT)}) c(cut) GROUP BY 1, 2)
+SELECT *, CASE WHEN tp + fn > 0 THEN CAST(floor(tp * 10000 / (tp + fn)) AS BIGINT) ELSE 0 END AS tpr_bp, CASE WHEN fp + tn > 0 THEN CAST(floor(fp * 10000 / (fp + tn)) AS BIGINT) ELSE 0 END AS fpr_bp,
+       coalesce(cut = min(CASE WHEN fn = 0 AND fp = 0 AND tp > 0 THEN cut END) OVER (PARTITION BY measure), false) AS optimum FROM c""")
 _DIM4 = ["packets", "bytes", "syn", "dports"]
 
 
