@@ -105,6 +105,24 @@ def imported(spark, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json(listed, "array<map<string,string>>")).alias("record"))
 
 
+def listed(history: DataFrame, limit: int = 60, offset: int = 0) -> DataFrame:
+    """A page of analyses, the newest first, with ``severity`` as a map and ``raw`` as a map of its parts (texts); what doesn't parse is empty."""
+    decoded = lambda c, of: F.coalesce(F.from_json(c, of, {"mode": "PERMISSIVE"}), F.expr(f"cast(map() as {of})"))
+    return page(history, [F.desc("ts_ms"), F.col("id")], limit, offset).withColumns({"severity": decoded("severity", "map<string,bigint>"), "raw": decoded("raw", "map<string,string>")})
+
+
+def session_messages(chat: DataFrame, session: int, limit: int = 100) -> DataFrame:
+    """The first messages of a conversation, in order."""
+    return chat.where(F.col("conv_id") == session).orderBy("turn").limit(limit)
+
+
+def knowledge_base_stats(history: DataFrame, chat: DataFrame, k: int = 10) -> DataFrame:
+    """One row: sizes of the tables, the rate of attacks, the commonest alert types (type=n), records to review and of high risk."""
+    top = top_attack_types(history, k).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "type"))), lambda x: F.concat_ws("=", x["type"], (-x["o"]).cast("string"))), ",").alias("top_attack_types"))  # k rows
+    rows = trend_summary(history).select(F.col("total_records").alias("history"), "attack_rate", "needs_review", "high_risk")
+    return rows.crossJoin(F.broadcast(chat.agg(F.count(F.lit(1)).alias("chat")))).crossJoin(F.broadcast(top))  # one row each
+
+
 def related(history: DataFrame, target: int, pool: int = 100, k: int = 5) -> DataFrame:
     """Records most like one: 3 points each for the same verdict and for alerts within a fifth, 2 for each
     severity in common and for a week's distance; over 3 points of the newest ``pool`` records."""

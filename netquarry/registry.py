@@ -7,10 +7,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.rules import all_alerts
-from .plans import assess, checks, context, exchange, knowledge, live, models, records, traffic
+from .plans import assess, checks, context, exchange, knowledge, live, models, records, reports, traffic
 from .sources.packets import packets_from_events, table
 
-_PLANS = (traffic, records, knowledge, checks, live, models, context, assess, exchange)
+_PLANS = (traffic, records, knowledge, checks, live, models, context, assess, exchange, reports)
 
 
 def queries() -> dict:
