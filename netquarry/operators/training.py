@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -161,11 +163,75 @@ def summary(rates: DataFrame) -> DataFrame:
     return rates.groupBy("subset").agg(F.count(F.lit(1)).alias("folds"), *of("f1"), *of("precision"), *of("recall"), *of("fpr"), F.sum("fn").alias("total_fn"), F.sum("fp").alias("total_fp"))
 
 
+_LIMB, _LIMBS, _ROWS = 19, 4, 1 << 14  # products of limbs over so many rows stay below 2**53, so a product of matrices is exact
+
+
+def _gram(pairs: list[tuple[int, int]], tops: list[int]):
+    """``tops``: every finite value of a column is below 2**top. Sums per pair and place, as integers: what is missing from 2**-76 of a
+    column's largest value on is left out. Place -2 counts the pair's rows, -1 those of them that aren't finite; then come
+    ``_LIMBS`` places of each column's sum and the places of the sum of products."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, total = len(tops), 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
+                z = np.zeros((p, _LIMBS + 2, batch.num_rows))
+                for c in range(p):
+                    x = batch.column(c).to_numpy(zero_copy_only=False)
+                    z[c, -1] = known = np.asarray(batch.column(c).is_valid())
+                    z[c, -2] = odd = known & ~np.isfinite(x)
+                    rest = np.ldexp(np.where(known & ~odd, x, 0.0), -tops[c])
+                    for i in range(_LIMBS):
+                        rest = rest * 2.0**_LIMB
+                        z[c, i] = np.rint(rest)
+                        rest -= z[c, i]
+                z = z.reshape(-1, batch.num_rows)
+                total = total + (z @ z.T).astype(np.int64).astype(object)  # integers of any length
+        if isinstance(total, int):
+            return
+        g, out = total.reshape(p, _LIMBS + 2, p, _LIMBS + 2), []
+        for k, (a, b) in enumerate(pairs):
+            out += [(k, -2, g[a, -1, b, -1]), (k, -1, g[a, -2, b, -1] + g[a, -1, b, -2])]
+            out += [(k, i, g[a, i, b, -1]) for i in range(_LIMBS)] + [(k, _LIMBS + i, g[a, -1, b, i]) for i in range(_LIMBS)]
+            out += [(k, 2 * _LIMBS + d, sum(g[a, i, b, d - i] for i in range(_LIMBS) if 0 <= d - i < _LIMBS)) for d in range(2 * _LIMBS - 1)]
+        pair, place, value = zip(*out)
+        yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(place, pa.int32()), pa.array([Decimal(v) for v in value], pa.decimal128(28, 0))], names=["pair", "place", "value"])
+
+    return sums
+
+
 def moments(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, covariance) of every pair of columns, itself too, from one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = rows.agg(*[F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("covariance")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+    """(a, b, covariance) of every pair of columns, itself too, over the rows that have both (null: no such row; NaN: one isn't finite).
+
+    Sums are integers, so rows give the same in whatever order and parts they come: the exact covariance, rounded once, where
+    no value has bits below 2**-76 of its column's largest.
+    """
+    spark, pairs = rows.sparkSession, [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    if not pairs:
+        return spark.createDataFrame([], "a string, b string, covariance double")
+    own = rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    size = lambda i: F.abs(f"x{i}")
+    largest = own.agg(*[F.max(F.when(size(i) < float("inf"), size(i))).alias(f"m{i}") for i in range(len(columns))]).first()
+    tops = [int(np.frexp(m or 0.0)[1]) for m in largest]
+    place_of = {c: i for i, c in enumerate(columns)}
+    made = own.mapInArrow(_gram([(place_of[a], place_of[b]) for a, b in pairs], tops), "pair int, place int, value decimal(28,0)")
+    found = {(r.pair, r.place): int(r.value) for r in made.groupBy("pair", "place").agg(F.sum("value").alias("value")).collect()}  # some 20 rows a pair
+    out = []
+    for k, (a, b) in enumerate(pairs):
+        n = found.get((k, -2), 0)
+        if not n or found[k, -1]:
+            out.append((a, b, float("nan") if n else None))
+            continue
+        total = lambda first, places, shift: sum(found[k, first + i] << _LIMB * (shift - i) for i in range(places))
+        x, y, xy = total(0, _LIMBS, _LIMBS - 1), total(_LIMBS, _LIMBS, _LIMBS - 1), total(2 * _LIMBS, 2 * _LIMBS - 1, 2 * _LIMBS - 2)
+        up = Fraction(2) ** (tops[place_of[a]] + tops[place_of[b]] - 2 * _LIMB * _LIMBS)
+        exact = Fraction(n * xy - x * y, n * n) * up
+        try:
+            out.append((a, b, float(exact)))
+        except OverflowError:
+            out.append((a, b, float("inf") if exact > 0 else float("-inf")))
+    return spark.createDataFrame(out, "a string, b string, covariance double")
 
 
 def vif(rows: DataFrame, columns: list[str]) -> DataFrame:

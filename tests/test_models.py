@@ -1,5 +1,7 @@
 """Models fitted side by side, intervals, indicators, sub-queries and nested texts against plain Python."""
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +73,30 @@ def test_folds_hold_whole_groups_and_one_class_gives_no_model(spark):
     assert training.fit_many(rows.limit(0).withColumn("fold", F.lit(0)), NAMES, "y", "fold").isEmpty()
 
 
+def test_moments_are_the_exact_ones_in_any_parts(spark):
+    rng = np.random.default_rng(5)
+    many = [(v / 100.0,) for v, n in zip(range(11), [2941, 5982, 6050, 6035, 6009, 5929, 5987, 5998, 6011, 6046, 3012]) for _ in range(n)]
+    many = [many[i] for i in rng.permutation(len(many))]
+    x = [Fraction(v) for (v,) in many]
+    want = float(sum(v * v for v in x) / len(x) - (sum(x) / len(x)) ** 2)
+    for parts in (1, 2, 3, 7, 8, 16, 32):
+        assert training.moments(spark.createDataFrame(many, "a double").repartition(parts), ["a"]).first().covariance == want
+    shifted = [(1e12 + v, 3.0) for v in range(10)]  # sums of squares of doubles lose this one
+    assert {(r.a, r.b): r.covariance for r in training.moments(spark.createDataFrame(shifted, "a double, b double"), ["a", "b"]).collect()} == {("a", "a"): 8.25, ("a", "b"): 0.0, ("b", "b"): 0.0}
+
+
+def test_moments_of_nulls_and_extremes(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1.0, None, nan, 1e200, 1e-200, 7), (2.0, 4.0, None, 1e200, 3e-200, None), (4.0, 8.0, 1.0, 1e200, 5e-200, 7), (None, 1.0, inf, -1e200, 0.0, 9)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f long")
+    got = {(r.a, r.b): r.covariance for r in training.moments(df, list("abcdef")).collect()}
+    assert len(got) == 21 and got["a", "b"] == 2.0 and got["a", "a"] == pytest.approx(14 / 9, rel=1e-15) and np.isnan(got["c", "c"]) and np.isnan(got["a", "c"])
+    assert got["a", "d"] == 0.0 and got["d", "d"] == inf and got["e", "e"] == 0.0 and got["d", "e"] == pytest.approx(1.125, rel=1e-14)
+    assert got["a", "f"] == 0.0 and got["f", "f"] == pytest.approx(8 / 9, rel=1e-15)
+    assert [r.covariance for r in training.moments(df.limit(0), ["a", "b"]).collect()] == [None] * 3
+    assert training.moments(df.where("a is null").drop("b").withColumn("b", F.lit(None).cast("double")), ["a", "b"]).where("covariance is null").count() == 3
+
+
 def test_vif_by_regressions(spark):
     rows, plain = table_of(spark, seed=4)
     x = np.array([r[2:] for r in plain])
