@@ -25,13 +25,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,24 +58,39 @@ def held_out(doc_id: Column) -> Column:
 
 
 END = ""  # no word is empty
+_SLICE = 1 << 21  # bytes of text that a task looks at together
 
 
-def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, flushed whenever the table of a task is large."""
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased words of all texts in a row, and how many each text has (Arrow's kernels: only A-Z and the ASCII blanks)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    offsets, flat = lists.offsets.to_numpy(), lists.flatten()  # blanks at either end of a text leave empty words
+    filled = pc.greater(pc.binary_length(flat), 0)
+    upto = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+    return flat.filter(filled), np.diff(upto[offsets - offsets[0]])
 
-    def flush(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    counts: Counter = Counter()
-    for part in slices(batches, "text"):
-        for text in part.column(0).cast(pa.binary()).to_pylist():
-            counts.update(text.lower().split())  # bytes: only A-Z and the ASCII blanks
-        counts[b""] += part.num_rows
-        if len(counts) > 200_000:
-            yield flush(counts)
-            counts = Counter()
-    if counts:
-        yield flush(counts)
+def _word_counter(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Counts of words, flushed whenever the table of a task has more than ``most``."""
+
+    def merged() -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+    held, size = [], 0
+    for part in slices(batches, "text", _SLICE):
+        words, _ = _words(part.column(0))
+        found = words.value_counts()
+        held.append(pa.table([found.field(0), found.field(1)], names=["word", "n"]))
+        held.append(pa.table([pa.array([END], words.type), pa.array([part.num_rows], pa.int64())], names=["word", "n"]))
+        size += len(found) + 1
+        if size > 2 * most:
+            held = [merged()]
+            size = held[0].num_rows
+            if size > most:
+                yield from held[0].to_batches()
+                held, size = [], 0
+    if held:
+        yield from merged().to_batches()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -98,15 +112,18 @@ def _most_frequent(counts: DataFrame, most: int) -> list:
     return sorted(counts.where(F.col("c") >= least).collect(), key=lambda r: (-r.c, r.word))
 
 
+_TAIL = 3  # bytes
+
+
 def _suffix_class(word: bytes, classes: int) -> int:
-    return zlib.crc32(word[-3:]) % classes
+    return zlib.crc32(word[-_TAIL:]) % classes
 
 
 @dataclass
 class Vocabulary:
     """What tasks need: local words with class and log10(c + 1), and the log sizes of the suffix classes."""
 
-    index: dict[bytes, int]
+    words: pa.Array
     code: np.ndarray
     log_count: np.ndarray
     log_size: np.ndarray  # by class: log10 of the class's words and types, 0 for a word's own class
@@ -121,36 +138,35 @@ class Vocabulary:
 def _encoder(shared, schema: pa.Schema):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
-        find, none = v.index.get, repeat(-1)
-        suffix: dict[bytes, int] = {}
-        for part in slices(batches, "text"):
-            n, known, log_c, log_n, codes, rare, times, ends = [], [], [], [], [], [], [], [0]
-            for text in part.column(3).cast(pa.binary()).to_pylist():
-                tokens = text.lower().split()
-                tokens.append(b"")
-                at = np.fromiter(map(find, tokens, none), np.int32, len(tokens))
-                code = v.code[at] if len(v.code) else np.zeros(len(at), np.uint16)
-                out = np.flatnonzero(at < 0)
-                for i in out.tolist():
-                    tail = tokens[i][-3:]
-                    if tail not in suffix:
-                        suffix[tail] = v.own + _suffix_class(tail, v.suffixes)
-                    code[i] = suffix[tail]
-                found = Counter(tokens[i] for i in out.tolist())
-                rare += found
-                times += found.values()
-                ends.append(len(rare))
-                hit = at[at >= 0]
-                n.append(len(tokens))
-                known.append(len(hit))
-                log_c.append(float(v.log_count[hit].sum()) if len(hit) else 0.0)
-                # within its class: log10(c + 1) of words without a class of their own, less the class's size
-                shared_ = hit[v.code[hit] >= v.own] if len(hit) else hit
-                log_n.append(float((v.log_count[shared_].sum() if len(shared_) else 0.0) - v.log_size[code].sum()))
-                codes.append(code.astype("<u2").tobytes())
+        for part in slices(batches, "text", _SLICE):
+            words, lengths = _words(part.column(3))
+            coded = words.dictionary_encode()
+            # everything is looked up once a distinct word; the end token is the last of them
+            distinct = pa.concat_arrays([coded.dictionary, pa.array([END], words.type)])
+            at = pc.index_in(distinct, value_set=v.words.cast(words.type)).fill_null(-1).to_numpy()
+            hit = at >= 0
+            code = v.code[at] if len(v.code) else np.zeros(len(at), np.uint16)
+            tails = pc.binary_slice(distinct.filter(pa.array(~hit)).cast(pa.binary()), -_TAIL).dictionary_encode()
+            classes = np.array([v.own + _suffix_class(tail, v.suffixes) for tail in tails.dictionary.to_pylist()], np.uint16)
+            code[~hit] = classes[tails.indices.to_numpy()]
+            log_c = np.where(hit, v.log_count[at], 0.0) if len(v.code) else np.zeros(len(at))
+            # within its class: log10(c + 1) of words without a class of their own, less the class's size
+            log_n = np.where(code >= v.own, log_c, 0.0) - v.log_size[code]
+            ends = np.cumsum(lengths + 1)
+            tokens, inner = np.full(ends[-1], len(distinct) - 1), np.ones(ends[-1], bool)
+            inner[ends - 1] = False
+            tokens[inner] = coded.indices.to_numpy()
+            starts = ends - lengths - 1
+            by_text = lambda values: np.add.reduceat(values[tokens], starts)
+            out = np.flatnonzero(~hit[tokens])
+            text = np.searchsorted(ends, out, side="right")
+            pairs, times = np.unique(text * len(distinct) + tokens[out], return_counts=True)
+            rare = distinct.take(pa.array(pairs % len(distinct)))
+            upto = np.searchsorted(pairs, np.arange(part.num_rows + 1) * len(distinct))
+            codes = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(np.concatenate([[0], ends * 2]).astype(np.int32)), pa.py_buffer(code[tokens].astype("<u2"))])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), part.column(2), *(pa.array(x, pa.int64()) for x in (n, known)), *(pa.array(x, pa.float64()) for x in (log_c, log_n)),
-                 pa.array(codes, pa.binary()), *(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(rare, pa.string()), pa.array(times, pa.int64())))],
+                [part.column(0), part.column(1), part.column(2), *(pa.array(x, pa.int64()) for x in (lengths + 1, by_text(hit.astype(np.int64)))), *(pa.array(by_text(x), pa.float64()) for x in (log_c, log_n)),
+                 codes, *(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), x) for x in (rare.cast(pa.string()), pa.array(times, pa.int64())))],
                 schema=schema,
             )
 
@@ -173,10 +189,11 @@ class Hmm:
 
 def _time_major(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the tokens of sequences (longest first) by place, and where each place starts."""
-    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    order = np.argsort(place, kind="stable")
     active = np.searchsorted(-lengths, -np.arange(1, lengths.max() + 1), side="right")
-    return order, active, np.concatenate([[0], np.cumsum(active)])
+    at = np.concatenate([[0], np.cumsum(active)])
+    sequence = np.arange(at[-1]) - np.repeat(at[:-1], active)
+    order = (np.cumsum(lengths) - lengths)[sequence] + np.repeat(np.arange(len(active)), active)
+    return order, active, at
 
 
 def _stretches(sequences: list[np.ndarray], stretch: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -190,37 +207,34 @@ def _stretches(sequences: list[np.ndarray], stretch: int) -> tuple[list[np.ndarr
     return pieces, np.array(owner), np.array(lead, bool)
 
 
-_RESCALE = 16
-
-
-_RESCALE = 16
+_RESCALE = 8  # a step weighs 1e-12 at least, so nothing vanishes in between
 
 
 def _sweep(pieces: list[np.ndarray], before: np.ndarray, hmm: Hmm) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the states after each piece, scaled by one number a piece, and the natural log of that.
 
     ``before`` (k, or m x k) holds what comes before a first token: a law of the state that emits it, or m of them, whose
-    weights stay apart.
+    weights stay apart. States are rows here, so that numpy's inner loops run over pieces.
     """
     k = len(hmm.start)
     lengths = np.array([len(p) for p in pieces])
     rank = np.argsort(-lengths, kind="stable")
     order, active, at = _time_major(lengths[rank])
-    e = np.ascontiguousarray(hmm.emit.T)[np.concatenate([pieces[i] for i in rank])[order]]
-    m = before.size // k
-    state, logs, one = before.reshape(1, m, k) * e[: at[1], None, :], np.zeros(len(pieces)), np.ones(m * k)
+    e = hmm.emit.take(np.concatenate([pieces[i] for i in rank])[order], axis=1)
+    back = np.ascontiguousarray(hmm.step.T)
+    state, logs = before.reshape(-1, k)[:, :, None] * e[:, : at[1]], np.zeros(len(pieces))
     for t in range(1, len(active)):
         n = active[t]
-        a = (state[:n].reshape(-1, k) @ hmm.step).reshape(n, m, k)
-        a *= e[at[t] : at[t + 1], None, :]
-        if t % _RESCALE == 0:  # a step weighs 1e-12 at least, so nothing vanishes in between
-            s = a.reshape(n, -1) @ one
-            a /= s[:, None, None]
+        a = back @ state[:, :, :n]
+        a *= e[:, at[t] : at[t + 1]]
+        if t % _RESCALE == 0:
+            s = a.sum(axis=(0, 1))
+            a /= s
             logs[:n] += np.log(s)
-        state[:n] = a
-    back = np.empty(len(pieces), np.int64)
-    back[rank] = np.arange(len(pieces))
-    return state[back], logs[back]
+        state[:, :, :n] = a
+    place = np.empty(len(pieces), np.int64)
+    place[rank] = np.arange(len(pieces))
+    return state.transpose(2, 0, 1)[place], logs[place]
 
 
 def _messages(pieces: list[np.ndarray], owner: np.ndarray, lead: np.ndarray, hmm: Hmm) -> tuple[np.ndarray, np.ndarray]:
@@ -250,31 +264,39 @@ def expected_counts(sequences: list[np.ndarray], hmm: Hmm, stretch: int = 512) -
     lengths, first = np.array([len(pieces[i]) for i in rank]), lead[rank]
     order, active, at = _time_major(lengths)
     codes = np.concatenate([pieces[i] for i in rank])[order]
-    k = len(hmm.start)
-    e, one = np.ascontiguousarray(hmm.emit.T)[codes], np.ones(len(hmm.start))
-    alpha, scale = np.empty_like(e), np.empty(len(e))
-    a = None
-    for t, n in enumerate(active):
-        a = (np.where(first[:, None], hmm.start, before[rank] @ hmm.step) if a is None else a[:n] @ hmm.step) * e[at[t] : at[t + 1]]
-        s = a @ one
-        a /= s[:, None]
-        alpha[at[t] : at[t + 1]], scale[at[t] : at[t + 1]] = a, s
+    before, after = before[rank].T, after[rank].T
+    # states are rows, so that numpy's inner loops run over stretches
+    e, back = hmm.emit.take(codes, axis=1), np.ascontiguousarray(hmm.step.T)
+    alpha, scales = np.empty_like(e), {}
+    np.multiply(np.where(first, hmm.start[:, None], back @ before), e[:, : at[1]], out=alpha[:, : at[1]])
+    for t in range(1, len(active)):
+        a = back @ alpha[:, at[t - 1] : at[t - 1] + active[t]]
+        a *= e[:, at[t] : at[t + 1]]
+        if t % _RESCALE == 0:
+            scales[t] = a.sum(axis=0)
+            a /= scales[t]
+        alpha[:, at[t] : at[t + 1]] = a
     # a stretch's last token starts the way back, with what follows the stretch scaled to belief 1
     beta = np.empty_like(e)
     last = at[lengths - 1] + np.arange(len(lengths))
-    beta[last] = after[rank] / (alpha[last] * after[rank]).sum(axis=1, keepdims=True)
+    ends = alpha[:, last]
+    beta[:, last] = after / (ends * after).sum(axis=0)
+    steps = np.zeros_like(hmm.step)
     for t in range(len(active) - 1, -1, -1):
-        w = e[at[t] : at[t + 1]] * beta[at[t] : at[t + 1]] / scale[at[t] : at[t + 1], None]
-        e[at[t] : at[t + 1]] = w  # what a step into this place weighs
+        w = e[:, at[t] : at[t + 1]]  # from here on: what a step into this place weighs
+        w *= beta[:, at[t] : at[t + 1]]
+        if t in scales:
+            w /= scales[t]
         if t:
-            beta[at[t - 1] : at[t - 1] + active[t]] = w @ hmm.step.T
-    later = np.arange(at[1], len(e))
-    previous = later - np.repeat(active[:-1], active[1:])
+            previous = slice(at[t - 1], at[t - 1] + active[t])
+            beta[:, previous] = hmm.step @ w
+            steps += alpha[:, previous] @ w.T
     across = np.flatnonzero(~first)
-    steps = (alpha[previous].T @ e[later] + before[rank[across]].T @ e[across]) * hmm.step
-    gamma = alpha * beta
-    emits = np.stack([np.bincount(codes, weights=gamma[:, i], minlength=hmm.emit.shape[1]) for i in range(k)])
-    return gamma[: at[1]][first].sum(axis=0), steps, emits, float(np.log(scale).sum())
+    steps = (steps + before[:, across] @ e[:, across].T) * hmm.step
+    alpha *= beta
+    emits = np.stack([np.bincount(codes, weights=row, minlength=hmm.emit.shape[1]) for row in alpha])
+    log = np.log(ends.sum(axis=0)).sum() + sum(np.log(s).sum() for s in scales.values())
+    return alpha[:, : at[1]][:, first].sum(axis=1), steps, emits, float(log)
 
 
 def log_likelihoods(sequences: list[np.ndarray], hmm: Hmm, stretch: int = 512) -> np.ndarray:
@@ -382,7 +404,7 @@ def hmm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sett
         sizes[own + r.g] = math.log10(r["size"])
     words = [r.word.encode() for r in local]
     vocabulary = Vocabulary(
-        {w: i for i, w in enumerate(words)},
+        pa.array([r.word for r in local], pa.string()),
         np.array([i if i < own else own + _suffix_class(w, g) for i, w in enumerate(words)], np.uint16),
         np.log10(np.array([r.c for r in local], float) + 1), sizes, own, g,
     )

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings as hyp, strategies as st
 from pyspark.sql import functions as F
@@ -600,6 +601,67 @@ def test_scores_by_a_plain_model(spark):
         assert got[i] == pytest.approx(plain_forward([code(w) for w in words], hmm) / math.log(10) + within, abs=1e-6), t
 
 
+def test_words_of_tasks_are_those_of_plain_bytes():
+    rng = random.Random(23)
+    parts = ["A", "b", "The", "the", "É", "é", "İ", "abcd", "xabcd", "日本", "\x1c", "\x85", "\u00a0", "\u2028", "\x00"]
+    gaps = [" ", "  ", "\t", "\n", "\x0b", "\x0c", "\r\n", ""]
+    texts = ["", " ", "\n\x0b", *("".join(rng.choice(parts) + rng.choice(gaps) for _ in range(rng.randint(0, 30))) for _ in range(300)), "", "end "]
+    tokens = [[*t.encode().lower().split(), b""] for t in texts]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    for whole in (batch, batch.slice(7, 200), batch.slice(0, 0)):
+        want, got = Counter(), Counter()
+        for t in whole.column(0).to_pylist():
+            want.update([*t.encode().lower().split(), b""])
+        for most in (5, 200_000):
+            found = list(hmm_lm._word_counter(iter([whole, whole]), most))
+            got = Counter()
+            for b in found:
+                got.update(dict(zip((w.encode() for w in b.column(0).to_pylist()), b.column(1).to_pylist())))
+            assert got == Counter({w: 2 * n for w, n in want.items()})
+    for local in (["", "the", "a", "é"], ["abcd"], []):
+        own, g = min(2, len(local)), 5
+        suffix = lambda w: own + zlib.crc32(w[-3:]) % g
+        code = [i if i < own else suffix(w.encode()) for i, w in enumerate(local)]
+        v = hmm_lm.Vocabulary(pa.array(local, pa.string()), np.array(code, np.uint16), np.arange(len(local)) + 0.5, np.arange(own + g) / 8, own, g)
+        n = len(texts)
+        given = pa.record_batch([pa.array(range(n)), pa.array(range(n)), pa.array([False] * n), batch.column(0)], names=["uid", "doc_id", "held_out", "text"])
+        shared = type("Shared", (), {"value": v})
+        rows = [r for b in hmm_lm._encoder(shared, hmm_lm._ENCODED_ARROW)(iter([given.slice(0, 100), given.slice(100)])) for r in b.to_pylist()]
+        place = {w.encode(): i for i, w in enumerate(local)}
+        assert [r["uid"] for r in rows] == list(range(n))
+        for r, t in zip(rows, tokens):
+            codes = [code[place[w]] if w in place else suffix(w) for w in t]
+            known = [w for w in t if w in place]
+            assert np.frombuffer(r["codes"], "<u2").tolist() == codes and r["n_tokens"] == len(t) and r["known"] == len(known)
+            assert r["log_c"] == pytest.approx(sum(place[w] + 0.5 for w in known))
+            assert r["log_n"] == pytest.approx(sum(place[w] + 0.5 for w in known if code[place[w]] >= own) - sum(c / 8 for c in codes))
+            rare = Counter(w for w in t if w not in place)
+            assert len(r["rare"]) == len(rare) and {w.encode(): k for w, k in zip(r["rare"], r["times"])} == rare
+
+
+def test_encoding_costs_less_than_splitting_in_plain_python():
+    """CPU time of a task's encoding, held against splitting and counting the same words in plain Python (a loop over words takes more)."""
+    rng = random.Random(37)
+    local = ["", *prose(rng, 3000, 3000)]
+    local = sorted(set(local))
+    texts = [" ".join(rng.choice(local[1:]) if rng.random() < 0.9 else f"{rng.getrandbits(40):x}" for _ in range(rng.randint(20, 1000))) for _ in range(500)]
+    own, g = 100, 512
+    code = [i if i < own else own + zlib.crc32(w.encode()[-3:]) % g for i, w in enumerate(local)]
+    shared = type("Shared", (), {"value": hmm_lm.Vocabulary(pa.array(local), np.array(code, np.uint16), np.ones(len(local)), np.ones(own + g), own, g)})
+    n = len(texts)
+    given = pa.record_batch([pa.array(range(n)), pa.array(range(n)), pa.array([False] * n), pa.array(texts)], names=["uid", "doc_id", "held_out", "text"])
+
+    def least(work):
+        times = []
+        for _ in range(5):
+            began = time.process_time()
+            work()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    assert least(lambda: list(hmm_lm._encoder(shared, hmm_lm._ENCODED_ARROW)(iter([given])))) < 1.5 * least(lambda: [Counter(t.encode().lower().split()) for t in texts])
+
+
 def test_class_sequences_are_a_distribution():
     hmm = small_hmm(2, 3)
     every = [np.array([a, b, c], np.uint16) for a in range(3) for b in range(3) for c in range(3)]
