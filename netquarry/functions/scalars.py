@@ -35,6 +35,11 @@ def indicator_type(text: Column) -> Column:
     return F.when(is_ipv4(text) | F.contains(text, F.lit(":")), "ip").when(F.contains(text, F.lit(".")), "domain").otherwise("other")
 
 
+def half_even(x: Column, places: int) -> Column:
+    """A double rounded as doubles are (scaled, to the nearest whole, halves to even), as DuckDB's ``round_even`` does; ``bround`` goes by its shortest decimal form: 0.575, which scales to 57.49999999999999, would be 0.58."""
+    return F.rint(x * 10.0**places) / 10.0**places
+
+
 def _scaled(n: Column, bytes_: str) -> Column:
     """Bytes with one place in B, KB, MB or GB (halves to even)."""
     one = lambda unit, k: F.format_string(f"%.1f {unit}", F.bround(n.cast("double") / float(1024**k), 1))

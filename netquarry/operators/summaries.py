@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import summary_size
+from ..functions.scalars import half_even, summary_size
 from .rules import SEVERITIES
 
 
@@ -42,8 +42,8 @@ def verdict_lines(score: Column, by_model: Column) -> Column:
     """Lines of a fused verdict: attack from one half on, its confidence, and if a model or the fixed weights gave it."""
     attack = score >= 0.5
     return F.array(
-        F.concat(F.lit("🎯 三引擎融合判定: "), F.when(attack, "🔴 攻击").otherwise("🟢 正常")), F.concat(F.lit("  • 置信度: "), F.format_string("%.2f", F.bround(F.greatest(score, 1 - score), 2))),
-        F.concat(F.lit("  • 攻击概率: "), F.format_string("%.4f", F.bround(score, 4))), F.concat(F.lit("  • 元学习器: "), F.when(by_model, "已使用").otherwise("未加载（固定权重回退）")),
+        F.concat(F.lit("🎯 三引擎融合判定: "), F.when(attack, "🔴 攻击").otherwise("🟢 正常")), F.concat(F.lit("  • 置信度: "), F.format_string("%.2f", half_even(F.greatest(score, 1 - score), 2))),
+        F.concat(F.lit("  • 攻击概率: "), F.format_string("%.4f", half_even(score, 4))), F.concat(F.lit("  • 元学习器: "), F.when(by_model, "已使用").otherwise("未加载（固定权重回退）")),
     )
 
 

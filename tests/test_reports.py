@@ -52,3 +52,11 @@ def test_sizes_of_halves_and_units(spark):
             x /= 1024
 
     assert got == [(plain(n, True), plain(n, False)) for n in (0, 1023, 1024, 1280, 1792, 1 << 20, 1 << 30, 5 << 40)]
+
+
+def test_verdicts_of_halves_as_their_sql_rounds_them(spark, duck):
+    score = (F.col("id") / 1000).alias("p")
+    rows = spark.range(1001).select("id", F.posexplode(summaries.verdict_lines(score, F.lit(False))).alias("place", "line")).where("place in (1, 2)")
+    want = duck.execute("""SELECT i, unnest([1, 2]) AS place, unnest(['  • 置信度: ' || printf('%.2f', round_even(greatest(p, 1 - p), 2)), '  • 攻击概率: ' || printf('%.4f', round_even(p, 4))]) AS line
+        FROM (SELECT i, i / 1000.0::DOUBLE AS p FROM range(1001) t(i))""").fetchall()
+    assert sorted(tuple(r) for r in rows.collect()) == sorted(want)
