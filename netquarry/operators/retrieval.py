@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,34 +37,108 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Asked:
-    """Query terms (query_id, term), and for every chunk its count ``tf`` of each of them and, as the null term, of all others."""
+    """Query terms by number (query_id, word), and for every chunk of ``dl`` terms its count ``tf`` of each of them; the null word counts the chunk itself."""
 
     terms: DataFrame
     counts: DataFrame
 
 
 def ask(chunks: DataFrame, queries: DataFrame) -> Asked:
-    """One pass over the texts: terms that no query asks are counted together before anything is shuffled."""
-    asked = materialize(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")), "asked")
-    words = asked.select(F.col("term").alias("asked")).distinct()
-    listed = chunks.select("chunk_id", F.explode_outer(terms(F.col("text"))).alias("t"))
-    counts = listed.join(if_small(words), F.col("t") == F.col("asked"), "left").groupBy("chunk_id", F.col("asked").alias("term")).agg(F.count("t").alias("tf"))
-    return Asked(asked, materialize(counts, "term-counts"))
+    """One pass over the texts: terms that no query asks only count for the length."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    words = materialize(asked.select("term").distinct().withColumn("word", F.monotonically_increasing_id()), "words")
+    listed = chunks.select("chunk_id", F.coalesce(terms(F.col("text")), F.expr("cast(array() as array<string>)")).alias("t"))
+    each = listed.select("chunk_id", F.size("t").cast("long").alias("dl"), F.concat("t", F.array(F.lit(None).cast("string"))).alias("t")).select("chunk_id", "dl", F.explode("t").alias("term"))
+    known = each.join(if_small(words), "term", "left").where("word is not null or term is null")
+    counts = known.groupBy("chunk_id", "dl", "word").agg(F.count(F.lit(1)).alias("tf"))
+    return Asked(materialize(asked.join(words, "term").select("query_id", "word"), "asked"), materialize(counts, "term-counts"))
+
+
+def _best(value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and rows of the k greatest values of every column, of those that tie at the k-th place the first; -inf is none."""
+    far = -value.T
+    kept = np.isfinite(far)
+    if far.shape[1] > k:
+        last = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+        nearer, tied = far < last, kept & (far == last)
+        kept = nearer | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - nearer.sum(axis=1, keepdims=True)))
+    return np.nonzero(kept)
+
+
+def _best_of_shard(k: int, lists: tuple[str, ...], block: int):
+    """Query terms (query_id, word, idf) and counts (chunk_id, word, weight) of a shard, in any order -> the k best chunks of the shard for each query and list."""
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows, schema = pa.Table.from_batches(held), held[0].schema
+        asks = rows["query_id"].is_valid()
+        part = lambda mask, *names: [rows[c].filter(mask).to_numpy() for c in names]
+        q_id, q_word, idf = part(asks, "query_id", "word", "weight")
+        c_id, c_word, weight = part(pc.invert(asks), "chunk_id", "word", "weight")
+        if not len(q_id) or not len(c_id):
+            return
+        order = np.argsort(q_word, kind="stable")
+        (queries, q), q_word, idf = np.unique(q_id[order], return_inverse=True), q_word[order], idf[order]
+        order = np.argsort(c_id, kind="stable")
+        (chunks, at), c_word, weight = np.unique(c_id[order], return_inverse=True), c_word[order], weight[order]
+        low = np.searchsorted(q_word, c_word, "left")
+        times = np.searchsorted(q_word, c_word, "right") - low  # queries that ask a count's word
+        cost = np.cumsum(np.bincount(at, times) + len(queries))  # by chunk: products and cells
+        first = np.searchsorted(cost // block, np.unique(cost // block))  # chunks that begin a block
+        found = {name: [] for name in lists}
+        for a, z in zip(first.tolist(), [*first[1:].tolist(), len(chunks)]):
+            lo, hi = np.searchsorted(at, [a, z])
+            of = np.repeat(np.arange(lo, hi), times[lo:hi])
+            end = np.cumsum(times[lo:hi])
+            to = np.arange(len(of)) - np.repeat(end - times[lo:hi] - low[lo:hi], times[lo:hi])
+            cell = (at[of] - a) * len(queries) + q[to]
+            shape = (z - a, len(queries))
+            shared = np.bincount(cell, minlength=shape[0] * shape[1]).reshape(shape)
+            for name in lists:
+                value = shared if name == "overlap" else np.round(np.bincount(cell, idf[to] * weight[of], minlength=shape[0] * shape[1]).reshape(shape), 6)
+                value = np.where(shared > 0, value, -np.inf)
+                column, row = _best(value, k)
+                found[name].append((column, row + a, value[row, column]))
+        for name in lists:
+            column, row, value = (np.concatenate(x) for x in zip(*found[name]))
+            order = np.lexsort((row, -value, column))
+            column, row, value = column[order], row[order], value[order]
+            kept = np.arange(len(column)) - np.searchsorted(column, column) < k
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(queries[column[kept]], schema.field("query_id").type), pa.array([name] * int(kept.sum()), pa.string()), pa.array(chunks[row[kept]], schema.field("chunk_id").type), pa.array(value[kept])],
+                names=["query_id", "list", "chunk_id", "score"])
 
-def bm25(index: Asked, k: int = 20, k1: float = 1.5, b: float = 0.75, within: DataFrame | None = None) -> DataFrame:
-    """query_id, rank, chunk_id, score of the best chunks of every query; ``within`` (chunk_id) filters chunks, not statistics."""
-    lengths = index.counts.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("chunks"), F.sum("dl").alias("terms"))
-    hits = index.counts.where("term is not null")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return search
+
+
+def ranked(index: Asked, lists: tuple[str, ...] = ("bm25", "overlap"), k: int = 20, k1: float = 1.5, b: float = 0.75, within: DataFrame | None = None, shard_rows: int = 400_000, block: int = 1_000_000) -> DataFrame:
+    """query_id, list, chunk_id, score, rank of the best chunks of every query: by BM25, and by ``overlap``, the number of distinct query terms they hold.
+
+    Counts lie in shards of about ``shard_rows`` and are moved once; query terms are sent to every shard. Products of terms and chunks, which are
+    many times the counts, stay in the shard (``block`` at once), and k chunks a query leave it. ``within`` (chunk_id) filters chunks, not statistics.
+    """
+    chunk = F.col("word").isNull()
+    whole = index.counts.agg(F.sum(F.when(chunk, F.col("tf"))).alias("chunks"), F.sum(F.when(chunk, F.col("tf") * F.col("dl"))).alias("terms"), F.count("word").alias("hits")).first()
+    n, shards = whole.chunks or 0, max(1, -(-whole.hits // shard_rows))
+    hits = index.counts.where(~chunk)
+    df = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     if within is not None:
         hits = hits.join(within.select("chunk_id"), "chunk_id", "left_semi")
-    scored = index.terms.join(df, "term").join(hits, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log1p((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("terms") / F.col("chunks")))
-    found = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / norm), 6).alias("score"))
-    return top(found, k)
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / ((whole.terms or 1) / max(n, 1)))
+    own = hits.where("chunk_id is not null").select(F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast(index.terms.schema["query_id"].dataType).alias("query_id"), "chunk_id", "word", (F.col("tf") * (k1 + 1) / norm).alias("weight"))
+    idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = index.terms.join(df, "word").where("query_id is not null").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query_id", F.lit(None).cast(hits.schema["chunk_id"].dataType).alias("chunk_id"), "word", idf.alias("weight"))
+    placed = own.unionByName(asked).repartitionById(shards, F.col("shard")).drop("shard")
+    kind = lambda df_, c: df_.schema[c].dataType.simpleString()
+    best = placed.mapInArrow(_best_of_shard(k, lists, block), f"query_id {kind(index.terms, 'query_id')}, list string, chunk_id {kind(hits, 'chunk_id')}, score double")
+    return top(best, k, "list")
+
+
+def bm25(index: Asked, k: int = 20, k1: float = 1.5, b: float = 0.75, within: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, chunk_id, score of the best chunks of every query; ``within`` (chunk_id) filters chunks, not statistics."""
+    return ranked(index, ("bm25",), k, k1, b, within).drop("list")
 
 
 def having(chunks: DataFrame, **values) -> DataFrame:
@@ -71,15 +146,15 @@ def having(chunks: DataFrame, **values) -> DataFrame:
     return chunks.where(reduce(lambda x, y: x & y, [F.col(c) == F.lit(v) for c, v in values.items()], F.lit(True)))
 
 
-def top(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+def top(scored: DataFrame, k: int, *by: str) -> DataFrame:
+    """The k best of every query (and of each value of ``by``)."""
+    order = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def overlap(index: Asked, k: int = 20) -> DataFrame:
     """Chunks by the number of distinct query terms they hold."""
-    found = index.counts.where("term is not null").join(index.terms, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return top(found, k)
+    return ranked(index, ("overlap",), k).drop("list")
 
 
 def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:

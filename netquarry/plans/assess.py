@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assessment, engines, flows, retrieval, rules
+from ..scratch import materialize
 from ..sources.packets import table
 from . import knowledge, records, traffic
 from .traffic import _A, FLOWS, PACKETS, SCALED, _alerts, _packets, _with
@@ -164,13 +165,15 @@ SELECT test_windows, false_alarms, attacks, caught, round(false_alarms::DOUBLE /
 
 def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of four modes of retrieval over comparison questions: whole or cut, by BM25 alone or fused with the overlap of terms."""
-    subs = knowledge._questions(spark, sf_dir).select((F.col("query_id") * 2 + F.col("sub")).alias("query_id"), "text")
+    subs = knowledge._questions(spark, sf_dir).select((F.col("query_id") * 4 + F.col("sub")).alias("query_id"), "text")
+    whole = knowledge._queries(spark, sf_dir).select((F.col("query_id") * 4 + 2).alias("query_id"), "text")
     titles = knowledge._chunks(spark, sf_dir).select("chunk_id", F.coalesce("source", F.lit("")).alias("title"))
-    whole, cut = retrieval.ask(knowledge._chunks(spark, sf_dir), knowledge._queries(spark, sf_dir)), retrieval.ask(knowledge._chunks(spark, sf_dir), subs)
+    lists = materialize(retrieval.ranked(retrieval.ask(knowledge._chunks(spark, sf_dir), whole.unionByName(subs))), "ranked")  # 20 of each list
     every = None
-    for mode, index, split in (("bm25", whole, False), ("bm25+overlap", whole, False), ("bm25+cut", cut, True), ("full", cut, True)):
-        found = retrieval.bm25(index) if mode in ("bm25", "bm25+cut") else retrieval.top(retrieval.fuse([retrieval.bm25(index), retrieval.overlap(index)]), 5)
-        found = found.where("rank <= 5").select((F.floor(F.col("query_id") / 2) if split else F.col("query_id")).alias("query_id"), "chunk_id", "rank", F.lit(mode).alias("mode"))
+    for mode, split in (("bm25", False), ("bm25+overlap", False), ("bm25+cut", True), ("full", True)):
+        own = lists.where(F.col("query_id") % 4 < 2 if split else F.col("query_id") % 4 == 2)
+        found = own.where("list = 'bm25'") if mode in ("bm25", "bm25+cut") else retrieval.top(retrieval.fuse([own]), 5)
+        found = found.where("rank <= 5").select(F.floor(F.col("query_id") / 4).alias("query_id"), "chunk_id", "rank", F.lit(mode).alias("mode"))
         every = found if every is None else every.unionByName(found)
     wanted = knowledge._queries(spark, sf_dir).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 10).cast("string")).alias("keyword"))
     return assessment.title_recall(every.join(titles, "chunk_id"), wanted)

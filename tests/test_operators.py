@@ -319,6 +319,59 @@ def test_hybrid_search_by_plain_python(spark):
         assert [r.rerank_score for r in mine] == sorted((r.rerank_score for r in mine), reverse=True)
 
 
+def _moved(spark, run):
+    """Rows that the stages of ``run`` write for a shuffle, and its result."""
+    sc = spark.sparkContext
+    stages = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in _listed(sc)}
+    before = stages()
+    out = run()
+    return sum(n for k, n in stages().items() if k not in before), out
+
+
+def _listed(sc):
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_products_of_query_terms_and_chunks_are_not_shuffled(spark):
+    chunks = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(20)) + f" own{i}") for i in range(400)], "chunk_id long, text string")
+    queries = spark.createDataFrame([(q, " ".join(f"w{j}" for j in range(20)) + f" own{q}") for q in range(60)], "query_id long, text string")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of size
+    try:
+        moved, found = _moved(spark, lambda: retrieval.bm25(retrieval.ask(chunks, queries)).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert {(r.query_id, r.chunk_id) for r in found if r["rank"] == 1} == {(q, q) for q in range(60)} and len(found) == 60 * 20
+    assert moved < 60_000  # the counts are 8 400 rows, their products with the queries 480 000
+
+
+def test_ranked_in_small_shards_and_blocks(spark):
+    rng = np.random.default_rng(3)
+    words = [f"t{i}" for i in range(30)]
+    texts = {i: " ".join(rng.choice(words, rng.integers(1, 40))) for i in range(90)} | {90: None, 91: "", 92: "the of", 93: "nothing asked"}
+    texts |= {100 + i: texts[i] for i in range(20)}  # copies tie
+    asked = {int(q): " ".join(rng.choice(words, 5)) for q in range(6)} | {9: "absent", 10: None}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id long, text string")
+    index = retrieval.ask(chunks, spark.createDataFrame(list(asked.items()), "query_id long, text string"))
+    listed = {i: [w for w in (t or "").split() if w not in ("the", "of")] for i, t in texts.items()}
+    mean = sum(map(len, listed.values())) / len(listed)
+    want = set()
+    for q, text in asked.items():
+        own = set((text or "").split())
+        shared = {i: len(own & set(t)) for i, t in listed.items() if own & set(t)}
+        df = {w: sum(w in t for t in listed.values()) for w in own}
+        score = {i: round(sum(np.log1p((len(listed) - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in own if w in t), 6) for i, t in listed.items() if i in shared}
+        for name, values in (("bm25", score), ("overlap", shared)):
+            want |= {(q, name, i, float(values[i]), k) for k, i in enumerate(sorted(values, key=lambda i: (-values[i], i))[:7], 1)}
+    for shard_rows, block in ((10_000, 1_000_000), (50, 40), (7, 1)):
+        got = retrieval.ranked(index, k=7, shard_rows=shard_rows, block=block).collect()
+        assert {(r.query_id, r.list, r.chunk_id, r.score, r["rank"]) for r in got} == want and len(got) == len(want)
+    none = retrieval.ask(chunks.limit(0), spark.createDataFrame(list(asked.items()), "query_id long, text string"))
+    assert retrieval.ranked(none).count() == 0
+
+
 def test_match_scores_are_rates(spark):
     alerts = spark.createDataFrame([(1, ["SYN", "flood"], [443, 80], ["1.1.1.1", "TCP", "x.com"]), (2, [], [], [])], "alert_id long, keywords array<string>, numbers array<long>, tokens array<string>")
     hits = spark.createDataFrame([(1, 1, "title 443", "SYN and 1024 of 80", None), (1, 2, "", "flood SYN TCP", 2.0)], "alert_id long, rank long, title string, content string, similarity double")
